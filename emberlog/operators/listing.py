@@ -78,14 +78,9 @@ def page_index(logs: DataFrame, flt: LogFilter, page_size: int, tenant=ALL_TENAN
     paged = ranked.withColumn("page_no", F.floor(F.col("_rank") / F.lit(page_size)).cast("bigint"))
     agg = paged.groupBy("page_no").agg(
         F.count(F.lit(1)).alias("n_rows"),
-        F.max(F.struct("ts", "id")).alias("_first"),
-        F.min(F.struct("ts", "id")).alias("_last"),
-    )
-    return agg.select(
-        "page_no",
-        "n_rows",
-        F.col("_first.ts").alias("first_ts"),
-        F.col("_first.id").alias("first_id"),
-        F.col("_last.ts").alias("last_ts"),
-        F.col("_last.id").alias("last_id"),
+        F.min_by("ts", "_rank").alias("first_ts"),
+        F.min_by("id", "_rank").alias("first_id"),
+        F.max_by("ts", "_rank").alias("last_ts"),
+        F.max_by("id", "_rank").alias("last_id"),
     )
+    return agg

@@ -18,9 +18,8 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-
 from emberlog import schema as S
+from emberlog.functions.sizing import maybe_broadcast
 
 
 @dataclass(frozen=True)
@@ -64,10 +63,10 @@ class LogStore:
     def logs(self, spark: SparkSession) -> DataFrame:
         """Committed logs only (J4). ``batch_id`` is a partition column, so the
         semi join also prunes uncommitted partitions at run time."""
-        return self.raw_logs(spark).join(F.broadcast(self.commits(spark)), "batch_id", "left_semi")
+        return self.raw_logs(spark).join(maybe_broadcast(self.commits(spark)), "batch_id", "left_semi")
 
     def counts(self, spark: SparkSession) -> DataFrame:
-        return self.raw_counts(spark).join(F.broadcast(self.commits(spark)), "batch_id", "left_semi")
+        return self.raw_counts(spark).join(maybe_broadcast(self.commits(spark)), "batch_id", "left_semi")
 
     def rejected(self, spark: SparkSession) -> DataFrame:
         return self._read(spark, "rejected", "doc_id string,entry_index int,reason string,raw string,batch_id bigint")
