@@ -234,3 +234,5 @@ def q_page_index(spark, sf_dir):
         iso_ms("last_ts").alias("last_ts"),
         "last_id",
     )
+
+from emberlog.plans import q_ingest  # noqa: E402,F401

@@ -16,10 +16,11 @@ from dataclasses import dataclass
 from datetime import datetime
 
 from pyspark import StorageLevel
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from emberlog.functions.sizing import maybe_broadcast
+from emberlog.operators.ranking import with_offset
 from emberlog.operators.rollup import build_rollup
 from emberlog.operators.validate import validate_entries
 from emberlog.session import configure
@@ -41,13 +42,10 @@ class BatchFrames:
 
 
 def _doc_offsets(parsed: DataFrame) -> DataFrame:
-    """(doc_id, doc_offset): running entry count of earlier documents of the batch.
-
-    One row per document of the batch, so this stays small.
-    """
-    per_doc = parsed.where(F.col("logs").isNotNull()).select("doc_id", F.size("logs").alias("_n"))
-    w = Window.orderBy("doc_id").rowsBetween(Window.unboundedPreceding, -1)
-    return per_doc.select("doc_id", F.coalesce(F.sum("_n").over(w), F.lit(0)).alias("doc_offset"))
+    """(doc_id, doc_offset): running entry count of the batch's earlier documents
+    (by doc_id). Computed by range slices, never in a single task."""
+    per_doc = parsed.where(F.col("logs").isNotNull()).select("doc_id", F.size("logs").cast("bigint").alias("_n"))
+    return with_offset(per_doc, [F.col("doc_id").asc()], "_n", "doc_offset").select("doc_id", "doc_offset")
 
 
 def validate_batch(docs: DataFrame, batch_id: int, as_of: datetime | None = None,
@@ -59,8 +57,8 @@ def validate_batch(docs: DataFrame, batch_id: int, as_of: datetime | None = None
         docs = docs.withColumn("tenant_id", F.lit(tenant).cast("string"))
     parsed = parse_envelopes(docs)
     entries = explode_entries(parsed, keep=["tenant_id"])
-    offsets = maybe_broadcast(_doc_offsets(parsed))
-    entries = entries.join(offsets, "doc_id")
+    # One row per document: broadcast when the batch's document count allows.
+    entries = entries.join(maybe_broadcast(_doc_offsets(parsed), 5_000_000), "doc_id")
     checked = validate_entries(entries, as_of=as_of).withColumn(
         "id", F.lit(batch_id).cast("bigint") * F.lit(ID_SHIFT) + F.col("doc_offset") + F.col("entry_index")
     )
