@@ -236,3 +236,5 @@ def q_page_index(spark, sf_dir):
     )
 
 from emberlog.plans import q_ingest  # noqa: E402,F401
+from emberlog.plans import q_access  # noqa: E402,F401
+from emberlog.plans import q_reports  # noqa: E402,F401
