@@ -50,23 +50,3 @@ def with_rank(df: DataFrame, order: list[Column], group_cols: list[str] | None =
         out = out.withColumn(total_col, F.col(f"_s_{total_col}"))
     return out.drop("_pid", "_mid", *renamed.columns)
 
-
-def with_offset(df: DataFrame, order: list[Column], size_col: str, out_col: str = "offset",
-                num_partitions: int | None = None) -> DataFrame:
-    """Add ``out_col`` = sum of ``size_col`` over all rows before this one in ``order``.
-
-    Range partitioning splits the order into contiguous slices; each slice
-    sums locally and a table with one total per slice (tiny) supplies the
-    slice's starting offset.
-    """
-    spark = df.sparkSession
-    n = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ranged = df.repartitionByRange(n, *order).withColumn("_pid", F.spark_partition_id())
-    local_w = Window.partitionBy("_pid").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    local = ranged.withColumn("_local", F.coalesce(F.sum(size_col).over(local_w), F.lit(0)))
-    totals = ranged.groupBy("_pid").agg(F.sum(size_col).alias("_tot"))
-    before = Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
-    offs = totals.select("_pid", F.coalesce(F.sum("_tot").over(before), F.lit(0)).alias("_poff"))
-    # One row per range slice: bounded by the partition count.
-    out = local.join(F.broadcast(offs), "_pid")
-    return out.withColumn(out_col, F.col("_poff") + F.col("_local")).drop("_pid", "_local", "_poff")

@@ -56,48 +56,61 @@ def _pointer(key: Column) -> Column:
 
 def validate_entries(entries: DataFrame, as_of: datetime | Column | None = None,
                      entry_col: str = "v") -> DataFrame:
-    """Add ``reason`` and the typed columns ts, level, service, message, attributes."""
+    """Add ``reason`` and the typed columns ts, level, service, message, attributes.
+
+    Fields are pulled out of the variant once (separate projections; Catalyst
+    keeps non-trivial expressions that are used many times from being inlined),
+    then the rule chain reads plain columns.
+    """
     v = F.col(entry_col)
     now = F.current_timestamp() if as_of is None else (as_of if isinstance(as_of, Column) else F.lit(as_of))
     limit = now + F.expr(f"INTERVAL {S.MAX_FUTURE_SKEW_SECONDS} SECONDS")
+    fields = list(S.REQUIRED_FIELDS) + ["attributes"]
 
-    ts_text = _text(v, "timestamp")
-    ts = parse_timestamp(ts_text)
-    attrs_v = _field(v, "attributes")
-    attrs_map = F.try_variant_get(v, "$.attributes", "map<string,variant>")
+    step1 = entries.select("*", _kind(v).alias("_kind"), *[_field(v, f).alias(f"_v_{f}") for f in fields])
+    step2 = step1.select(
+        "*",
+        *[_kind(F.col(f"_v_{f}")).alias(f"_t_{f}") for f in fields],
+        *[F.try_variant_get(F.col(f"_v_{f}"), "$", "string").alias(f"_s_{f}") for f in S.REQUIRED_FIELDS],
+    )
+    attrs_map = F.try_variant_get(F.col("_v_attributes"), "$", "map<string,variant>")
     bad_attr = F.try_element_at(
         F.filter(F.map_entries(attrs_map), lambda e: ~_kind(e["value"]).isin(*SCALAR_TYPES)
                  & ~_kind(e["value"]).startswith("DECIMAL")),
         F.lit(1),
     )["key"]
+    step3 = step2.select("*", parse_timestamp(F.col("_s_timestamp")).alias("_ts"),
+                         F.when(F.col("_t_attributes").startswith("OBJECT"), bad_attr).alias("_bad_attr"))
 
-    chain = F.when(~F.coalesce(_kind(v).startswith("OBJECT"), F.lit(False)), F.lit(S.REASON_NOT_OBJECT))
+    ts, s_ = F.col("_ts"), (lambda f: F.col(f"_s_{f}"))
+    chain = F.when(~F.coalesce(F.col("_kind").startswith("OBJECT"), F.lit(False)), F.lit(S.REASON_NOT_OBJECT))
     for f in S.REQUIRED_FIELDS:
-        chain = chain.when(_field(v, f).isNull(), F.lit(S.REASON_MISSING.format(field=f)))
-    not_string = {f: _kind(_field(v, f)) != "STRING" for f in S.REQUIRED_FIELDS}
+        chain = chain.when(F.col(f"_v_{f}").isNull(), F.lit(S.REASON_MISSING.format(field=f)))
+    not_string = {f: F.col(f"_t_{f}") != "STRING" for f in S.REQUIRED_FIELDS}
     chain = (
         chain.when(not_string["timestamp"], F.lit(S.REASON_NOT_STRING.format(field="timestamp")))
-        .when(ts.isNull(), _fmt(S.REASON_BAD_TIMESTAMP, value=ts_text))
+        .when(ts.isNull(), _fmt(S.REASON_BAD_TIMESTAMP, value=s_("timestamp")))
         .when(not_string["level"], F.lit(S.REASON_NOT_STRING.format(field="level")))
-        .when(~_text(v, "level").isin(*S.LEVELS), _fmt(S.REASON_BAD_LEVEL, value=_text(v, "level")))
+        .when(~s_("level").isin(*S.LEVELS), _fmt(S.REASON_BAD_LEVEL, value=s_("level")))
     )
     for f in ("service", "message"):
         chain = chain.when(not_string[f], F.lit(S.REASON_NOT_STRING.format(field=f))).when(
-            _text(v, f) == "", F.lit(S.REASON_EMPTY.format(field=f))
+            s_(f) == "", F.lit(S.REASON_EMPTY.format(field=f))
         )
     chain = (
-        chain.when(attrs_v.isNotNull() & ~_kind(attrs_v).startswith("OBJECT"), F.lit(S.REASON_ATTRS_NOT_OBJECT))
-        .when(bad_attr.isNotNull(), _fmt(S.REASON_BAD_ATTR, key=_pointer(bad_attr)))
+        chain.when(F.col("_v_attributes").isNotNull() & ~F.col("_t_attributes").startswith("OBJECT"),
+                   F.lit(S.REASON_ATTRS_NOT_OBJECT))
+        .when(F.col("_bad_attr").isNotNull(), _fmt(S.REASON_BAD_ATTR, key=_pointer(F.col("_bad_attr"))))
         .when(ts > limit, F.lit(S.REASON_FUTURE))
     )
     reason = chain.otherwise(F.lit(None).cast("string"))
 
-    return entries.select(
-        "*",
+    return step3.select(
+        *[F.col(c) for c in entries.columns],
         reason.alias("reason"),
         ts.alias("ts"),
-        _text(v, "level").alias("level"),
-        _text(v, "service").alias("service"),
-        _text(v, "message").alias("message"),
-        F.coalesce(F.to_json(attrs_v), F.lit("{}")).alias("attributes"),
+        s_("level").alias("level"),
+        s_("service").alias("service"),
+        s_("message").alias("message"),
+        F.coalesce(F.to_json(F.col("_v_attributes")), F.lit("{}")).alias("attributes"),
     )

@@ -5,9 +5,10 @@ One batch (a load number, or a stream's epoch id) is written as partitions
 marker is written last. Rerunning the same batch overwrites exactly its own
 partitions, so a retry never doubles rows or counts.
 
-Ids are ``batch_id * 2**32 + position``, where a document's entries take
-consecutive positions after all entries of the documents before it (by
-doc_id): stable on replay, unique across batches, no global sort.
+Ids are ``batch_id * 2**32 + position``; positions are dense within the
+batch (partition by partition, documents in id order inside a partition):
+unique across batches, reproduced by a replay of the same input, and found
+without a global sort.
 """
 
 from __future__ import annotations
@@ -16,11 +17,9 @@ from dataclasses import dataclass
 from datetime import datetime
 
 from pyspark import StorageLevel
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from emberlog.functions.sizing import maybe_broadcast
-from emberlog.operators.ranking import with_offset
 from emberlog.operators.rollup import build_rollup
 from emberlog.operators.validate import validate_entries
 from emberlog.session import configure
@@ -41,11 +40,39 @@ class BatchFrames:
     bad: DataFrame
 
 
-def _doc_offsets(parsed: DataFrame) -> DataFrame:
-    """(doc_id, doc_offset): running entry count of the batch's earlier documents
-    (by doc_id). Computed by range slices, never in a single task."""
-    per_doc = parsed.where(F.col("logs").isNotNull()).select("doc_id", F.size("logs").cast("bigint").alias("_n"))
-    return with_offset(per_doc, [F.col("doc_id").asc()], "_n", "doc_offset").select("doc_id", "doc_offset")
+def _spread(docs: DataFrame) -> DataFrame:
+    """Parsing and validation are CPU work per document: when the source has
+    fewer splits than the cluster has cores (one big file), hash-spread the
+    documents by id first. Sources with enough splits are left as they are.
+    The explicit partition count keeps AQE from re-cutting these partitions."""
+    cores = docs.sparkSession.sparkContext.defaultParallelism
+    if docs.rdd.getNumPartitions() < cores:
+        return docs.repartition(cores, "doc_id")
+    return docs
+
+
+def _with_ids(parsed: DataFrame, batch_id: int) -> DataFrame:
+    """Explode entries and number them densely across the batch.
+
+    Within a partition, documents are sorted by id and their entries follow
+    in order, so ``monotonically_increasing_id`` minus the partition's base is
+    the entry's position in the partition; a table with one entry total per
+    partition (tiny) gives each partition its starting offset. No global sort,
+    no single task; the same input and partitioning give the same ids.
+    """
+    ordered = parsed.sortWithinPartitions("doc_id").withColumn("_pid", F.spark_partition_id())
+    totals = ordered.groupBy("_pid").agg(F.sum(F.coalesce(F.size("logs"), F.lit(0))).alias("_n"))
+    before = Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = totals.select("_pid", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off"))
+    entries = explode_entries(ordered, keep=["tenant_id", "_pid"]).withColumn(
+        "_mid", F.monotonically_increasing_id()
+    )
+    # One row per partition: bounded by the partition count, safe to broadcast.
+    entries = entries.join(F.broadcast(offsets), "_pid")
+    pos = F.col("_off") + F.col("_mid") - F.shiftleft(F.col("_pid").cast("bigint"), 33)
+    return entries.withColumn("id", F.lit(batch_id).cast("bigint") * F.lit(ID_SHIFT) + pos).drop(
+        "_pid", "_mid", "_off"
+    )
 
 
 def validate_batch(docs: DataFrame, batch_id: int, as_of: datetime | None = None,
@@ -55,13 +82,8 @@ def validate_batch(docs: DataFrame, batch_id: int, as_of: datetime | None = None
     configure(docs.sparkSession)
     if "tenant_id" not in docs.columns:
         docs = docs.withColumn("tenant_id", F.lit(tenant).cast("string"))
-    parsed = parse_envelopes(docs)
-    entries = explode_entries(parsed, keep=["tenant_id"])
-    # One row per document: broadcast when the batch's document count allows.
-    entries = entries.join(maybe_broadcast(_doc_offsets(parsed), 5_000_000), "doc_id")
-    checked = validate_entries(entries, as_of=as_of).withColumn(
-        "id", F.lit(batch_id).cast("bigint") * F.lit(ID_SHIFT) + F.col("doc_offset") + F.col("entry_index")
-    )
+    parsed = parse_envelopes(_spread(docs))
+    checked = validate_entries(_with_ids(parsed, batch_id), as_of=as_of)
     validated = checked.select(
         "doc_id", "entry_index", "reason", F.to_json("v").alias("raw"), *LOG_COLUMNS
     )

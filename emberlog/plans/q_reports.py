@@ -47,3 +47,23 @@ def q_latency_percentiles_by_service(spark, sf_dir):
 
     logs = logs_of(spark, sf_dir).select("service", F.col("id").cast("double").alias("value"))
     return percentiles(logs, "value", ["service"], PCTS).select("service", "n", *[f"p{p}" for p in PCTS])
+
+
+# ---------------------------------------------------------------------------
+# Bench query set (M4): the six query kinds of the load generator, one day wide.
+# ---------------------------------------------------------------------------
+def _bench():
+    from emberlog.plans.catalog import _register_agg, _register_list
+    from emberlog.spec import AggregateSpec, ListSpec, LogFilter
+
+    day = ("2024-01-16T00:00:00Z", "2024-01-17T00:00:00Z")
+    _register_list("bench_list", ListSpec(LogFilter(service="svc-3", level="info", since=day[0], until=day[1])))
+    _register_list("bench_list_attr", ListSpec(LogFilter(service="svc-1", since=day[0], until=day[1],
+                                                         attrs=(("k", "3"),))))
+    _register_list("bench_list_q", ListSpec(LogFilter(since=day[0], until=day[1], q="purchase")))
+    _register_agg("bench_agg", AggregateSpec(*day, "5m", "service", LogFilter(service="svc-2")), rollup=True)
+    _register_agg("bench_agg_attr", AggregateSpec(*day, "5m", "level", LogFilter(attrs=(("k", "3"),))))
+    _register_agg("bench_agg_q", AggregateSpec(*day, "1m", None, LogFilter(q="click")))
+
+
+_bench()

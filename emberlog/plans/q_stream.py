@@ -105,11 +105,12 @@ def q_stream_late(spark, sf_dir):
 def q_stream_replay(spark, sf_dir):
     """Retry of an already written batch (same id, same input): counts do not move."""
     store = stream_store(spark, sf_dir)
-    first = store.raw_logs(spark).agg(F.min("batch_id")).first()[0]
-    landed = store.root.rsplit("/", 1)[0] + "/in/0"
-    files = sorted(p for p in spark.read.parquet(landed).inputFiles())
-    docs = spark.read.parquet(files[0])
-    ingest_batch(store, docs, int(first), as_of=to_utc(AS_OF))
+    first = int(store.raw_logs(spark).agg(F.min("batch_id")).first()[0])
+    landed = store.root.rsplit("/", 1)[0] + "/in"
+    # The batch's own documents, found through its receipts.
+    mine = store.receipts(spark).where(F.col("batch_id") == first).select("doc_id")
+    docs = spark.read.parquet(f"{landed}/0", f"{landed}/1").join(mine, "doc_id", "left_semi")
+    ingest_batch(store, docs, first, as_of=to_utc(AS_OF))
     counts = store.counts(spark)
     return counts.groupBy(F.date_format("bucket_ts", "yyyy-MM-dd").alias("dt")).agg(F.sum("n").alias("n"))
 

@@ -36,7 +36,7 @@ def build_session(master: str | None = None, app_name: str = "emberlog",
     b = SparkSession.builder.appName(app_name)
     if master:
         b = b.master(master)
-    conf = {**DEFAULT_CONF, **REQUIRED_CONF, "spark.ui.enabled": "false"}
+    conf = {**DEFAULT_CONF, **REQUIRED_CONF, "spark.ui.enabled": "false", "spark.ui.showConsoleProgress": "false"}
     conf.update(extra or {})
     for k, v in conf.items():
         b = b.config(k, v)
