@@ -8,11 +8,13 @@ one second the window is a plain scan (no edge is counted twice).
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from emberlog.functions.timefns import bucket_start, ceil_second, floor_second, iso_ms
-from emberlog.operators.predicates import apply_filter, filter_clauses
+from emberlog.operators.predicates import apply_filter, day_bounds, filter_clauses
 from emberlog.spec import ALL_TENANTS, AggregateSpec, LogFilter
 
 BUCKET_COLUMNS = ["bucket_start", "group_name", "count"]
@@ -46,6 +48,8 @@ def rollup_counts(logs: DataFrame, counts: DataFrame, spec: AggregateSpec,
     interior = apply_filter(counts, shared, tenant).where(
         (F.col("bucket_ts") >= F.lit(lo)) & (F.col("bucket_ts") < F.lit(hi))
     )
+    if "dt" in counts.columns:  # prune day partitions of the stored rollup
+        interior = interior.where(reduce(lambda a, b: a & b, day_bounds(lo, hi)))
     parts = [
         interior.select(
             bucket_start("bucket_ts", spec.width_seconds).alias("bucket_start"),

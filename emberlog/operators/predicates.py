@@ -35,9 +35,24 @@ def bookmark_column(bm: Bookmark) -> Column:
     return (F.col("ts") <= ts) & ((F.col("ts") < ts) | ((F.col("ts") == ts) & (F.col("id") < i)))
 
 
+def day_bounds(since=None, until=None, ts_upper=None) -> list[Column]:
+    """Partition-pruning clauses on the store's ``dt`` (UTC day) column that
+    follow from the time bounds; redundant with the ts clauses, so exact."""
+    out: list[Column] = []
+    if since is not None:
+        out.append(F.col("dt") >= F.lit(since.date()))
+    for upper in (until, ts_upper):
+        if upper is not None:
+            out.append(F.col("dt") <= F.lit(upper.date()))
+    return out
+
+
 def filter_clauses(flt: LogFilter, tenant=ALL_TENANTS, bookmark: Bookmark | None = None,
-                   with_time: bool = True) -> list[Column]:
+                   with_time: bool = True, has_day: bool = False) -> list[Column]:
     out: list[Column] = []
+    if has_day:
+        out += day_bounds(flt.since if with_time else None, flt.until if with_time else None,
+                          bookmark.ts if bookmark is not None else None)
     if with_time and flt.since is not None:
         out.append(F.col("ts") >= F.lit(flt.since))
     if with_time and flt.until is not None:
@@ -59,12 +74,14 @@ def filter_clauses(flt: LogFilter, tenant=ALL_TENANTS, bookmark: Bookmark | None
 
 
 def filter_column(flt: LogFilter, tenant=ALL_TENANTS, bookmark: Bookmark | None = None,
-                  with_time: bool = True) -> Column:
-    clauses = filter_clauses(flt, tenant, bookmark, with_time)
+                  with_time: bool = True, has_day: bool = False) -> Column:
+    clauses = filter_clauses(flt, tenant, bookmark, with_time, has_day)
     return reduce(lambda a, b: a & b, clauses) if clauses else F.lit(True)
 
 
 def apply_filter(df, flt: LogFilter, tenant=ALL_TENANTS, bookmark: Bookmark | None = None,
                  with_time: bool = True):
-    clauses = filter_clauses(flt, tenant, bookmark, with_time)
+    """Filter ``df``; on a stored table with a ``dt`` column the time bounds
+    also become ``dt`` bounds, which prune whole day partitions."""
+    clauses = filter_clauses(flt, tenant, bookmark, with_time, has_day="dt" in df.columns)
     return df.where(reduce(lambda a, b: a & b, clauses)) if clauses else df

@@ -129,10 +129,10 @@ def ingest_batch(store: LogStore, docs: DataFrame, batch_id: int, as_of: datetim
     try:
         frames = frames_of(first.parsed, validated)
         b = F.lit(batch_id).cast("bigint")
-        store.write_partitions(frames.accepted.withColumn("batch_id", b), "logs", ["dt", "batch_id"])
+        store.write_partitions(frames.accepted.withColumn("batch_id", b), "logs", ["dt", "batch_id"], "ts")
         written = store.raw_logs(spark).where(F.col("batch_id") == batch_id)
         counts = build_rollup(written).withColumn("dt", F.to_date("bucket_ts")).withColumn("batch_id", b)
-        store.write_partitions(counts, "log_counts", ["dt", "batch_id"])
+        store.write_partitions(counts, "log_counts", ["dt", "batch_id"], "bucket_ts")
         store.write_partitions(frames.rejected.withColumn("batch_id", b), "rejected", ["batch_id"])
         store.write_partitions(frames.receipts.withColumn("batch_id", b), "receipts", ["batch_id"])
         totals = store.receipts(spark).where(F.col("batch_id") == batch_id).agg(

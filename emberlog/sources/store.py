@@ -30,7 +30,15 @@ class LogStore:
         return f"{self.root.rstrip('/')}/{table}"
 
     # -- writers ----------------------------------------------------------
-    def write_partitions(self, df: DataFrame, table: str, partition_cols: list[str]) -> None:
+    def write_partitions(self, df: DataFrame, table: str, partition_cols: list[str],
+                         sort_col: str | None = None) -> None:
+        """Dynamic partition overwrite of the partitions present in ``df``.
+
+        With ``sort_col`` rows are sorted inside each task by partition then
+        ``sort_col``, so Parquet row groups carry tight min/max ranges on it.
+        """
+        if sort_col:
+            df = df.sortWithinPartitions(*partition_cols, sort_col)
         (
             df.write.mode("overwrite")
             .option("partitionOverwriteMode", "dynamic")

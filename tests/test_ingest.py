@@ -84,3 +84,23 @@ def test_tenant_stamp_and_late_rows(spark, tmp_root):
     spec = AggregateSpec("2026-07-20T14:00:00Z", "2026-07-20T14:05:00Z", "1m", "service")
     got = [tuple(r) for r in render_buckets(bucket_counts(store.logs(spark), store.counts(spark), spec)).collect()]
     assert got == [("2026-07-20T14:01:00.000Z", "checkout", 2)]
+
+
+def test_store_reads_prune_day_partitions(spark, tmp_root):
+    from emberlog.operators.aggregate import rollup_counts
+    from emberlog.operators.listing import list_rows
+    from emberlog.spec import ListSpec, LogFilter
+
+    store = LogStore(tmp_root)
+    docs = docs_df(spark, [("a", {"logs": [entry("2026-07-18T10:00:00Z"), entry("2026-07-20T14:01:30Z")]})])
+    ingest_batch(store, docs, 1, as_of=AS_OF)
+    logs, counts = store.logs(spark), store.counts(spark)
+    lst = list_rows(logs, ListSpec(LogFilter(since="2026-07-20T00:00:00Z")))
+    plan = lst._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(dt" in plan and "dt#" in plan
+    assert [r["ts"].day for r in lst.collect()] == [20]
+    spec = AggregateSpec("2026-07-20T14:00:00.5Z", "2026-07-20T14:05:00Z", "1m")
+    agg = rollup_counts(logs, counts, spec)
+    aplan = agg._jdf.queryExecution().executedPlan().toString()
+    assert aplan.count("PartitionFilters: [isnotnull(dt") >= 2
+    assert [tuple(r)[1:] for r in agg.collect()] == [(None, 1)]
