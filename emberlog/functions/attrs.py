@@ -50,10 +50,7 @@ def _is_numeric(kind: Column) -> Column:
     return kind.isin(*NUMERIC_VARIANT_TYPES) | kind.startswith("DECIMAL")
 
 
-def attr_equals(attrs_text: Column | str, key: str, value: str) -> Column:
-    """Typed equality probe for one ``attr.<key>=<value>`` pair."""
-    text = F.col(attrs_text) if isinstance(attrs_text, str) else attrs_text
-    x = F.try_element_at(parse_attributes(text), F.lit(key))
+def _probe(x: Column, value: str) -> Column:
     kind = F.schema_of_variant(x)
     probes = [(kind == "STRING") & (F.try_variant_get(x, "$", "string") == F.lit(value))]
     num = js_number(value) if value != "" else None
@@ -64,7 +61,19 @@ def attr_equals(attrs_text: Column | str, key: str, value: str) -> Column:
     match = probes[0]
     for p in probes[1:]:
         match = match | p
-    match = F.coalesce(match, F.lit(False))
+    return match
+
+
+def attr_equals(attrs_text: Column | str, key: str, value: str) -> Column:
+    """Typed equality probe for one ``attr.<key>=<value>`` pair.
+
+    The attribute object is parsed once per row: the looked-up value is bound
+    to a lambda variable (``exists`` over a one-element array) and every typed
+    probe reads that variable.
+    """
+    text = F.col(attrs_text) if isinstance(attrs_text, str) else attrs_text
+    x = F.try_element_at(parse_attributes(text), F.lit(key))
+    match = F.coalesce(F.exists(F.array(x), lambda v: _probe(v, value)), F.lit(False))
     if re.fullmatch(r"[A-Za-z0-9_.:@-]+", key):
         # Cheap text guard before the parse: the serialised key must occur.
         match = text.contains(f'"{key}"') & match

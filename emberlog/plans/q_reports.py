@@ -50,13 +50,13 @@ def q_latency_percentiles_by_service(spark, sf_dir):
 
 
 # ---------------------------------------------------------------------------
-# Bench query set (M4): the six query kinds of the load generator, one day wide.
+# Bench query set (M4): the six query kinds of the load generator, one week wide.
 # ---------------------------------------------------------------------------
 def _bench():
     from emberlog.plans.catalog import _register_agg, _register_list
     from emberlog.spec import AggregateSpec, ListSpec, LogFilter
 
-    day = ("2024-01-16T00:00:00Z", "2024-01-17T00:00:00Z")
+    day = ("2024-01-10T00:00:00Z", "2024-01-17T00:00:00Z")  # one week
     _register_list("bench_list", ListSpec(LogFilter(service="svc-3", level="info", since=day[0], until=day[1])))
     _register_list("bench_list_attr", ListSpec(LogFilter(service="svc-1", since=day[0], until=day[1],
                                                          attrs=(("k", "3"),))))
