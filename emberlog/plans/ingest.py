@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from emberlog.operators.rollup import build_rollup
 from emberlog.operators.validate import validate_entries
 from emberlog.session import configure
-from emberlog.sources.envelopes import bad_documents, explode_entries, parse_envelopes
+from emberlog.sources.envelopes import explode_entries, parse_envelopes
 from emberlog.sources.store import LogStore
 
 ID_SHIFT = 2**32
@@ -33,7 +33,8 @@ LOG_COLUMNS = ["id", "ts", "level", "service", "message", "attributes", "tenant_
 @dataclass
 class BatchFrames:
     parsed: DataFrame  # documents with their parsed envelope
-    validated: DataFrame  # every entry: doc_id, entry_index, reason, raw, typed columns, id
+    validated: DataFrame  # every entry (+ one placeholder row per refused or empty document)
+    entries: DataFrame  # entries only: doc_id, entry_index, reason, raw, typed columns, id
     accepted: DataFrame  # logs rows + dt
     rejected: DataFrame
     receipts: DataFrame
@@ -52,19 +53,21 @@ def _spread(docs: DataFrame) -> DataFrame:
 
 
 def _with_ids(parsed: DataFrame, batch_id: int) -> DataFrame:
-    """Explode entries and number them densely across the batch.
-
-    Within a partition, documents are sorted by id and their entries follow
-    in order, so ``monotonically_increasing_id`` minus the partition's base is
-    the entry's position in the partition; a table with one entry total per
-    partition (tiny) gives each partition its starting offset. No global sort,
-    no single task; the same input and partitioning give the same ids.
+    """Explode entries (one placeholder row for a refused or empty document)
+    and number them densely across the batch.
+
+    Within a partition, documents are sorted by id and their rows follow in
+    order, so ``monotonically_increasing_id`` minus the partition's base is the
+    row's position in the partition; a table with one row count per partition
+    (tiny) gives each partition its starting offset. No global sort, no single
+    task; the same input and partitioning give the same ids.
     """
     ordered = parsed.sortWithinPartitions("doc_id").withColumn("_pid", F.spark_partition_id())
-    totals = ordered.groupBy("_pid").agg(F.sum(F.coalesce(F.size("logs"), F.lit(0))).alias("_n"))
+    rows_of_doc = F.greatest(F.coalesce(F.size("logs"), F.lit(0)), F.lit(1))
+    totals = ordered.groupBy("_pid").agg(F.sum(rows_of_doc).alias("_n"))
     before = Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
     offsets = totals.select("_pid", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off"))
-    entries = explode_entries(ordered, keep=["tenant_id", "_pid"]).withColumn(
+    entries = explode_entries(ordered, keep=["tenant_id", "envelope_error", "_pid"], outer=True).withColumn(
         "_mid", F.monotonically_increasing_id()
     )
     # One row per partition: bounded by the partition count, safe to broadcast.
@@ -75,45 +78,57 @@ def _with_ids(parsed: DataFrame, batch_id: int) -> DataFrame:
     )
 
 
-def validate_batch(docs: DataFrame, batch_id: int, as_of: datetime | None = None,
-                   tenant: str | None = None) -> BatchFrames:
-    """``docs`` has (doc_id, value) and optionally ``tenant_id`` (the caller's tenant
-    per document); otherwise every row is stamped with ``tenant``."""
+def parse_batch(docs: DataFrame, tenant: str | None = None) -> DataFrame:
+    """Spread (if needed) and parse the documents; keeps doc_id, tenant_id,
+    logs and envelope_error (the raw text is no longer needed)."""
     configure(docs.sparkSession)
     if "tenant_id" not in docs.columns:
         docs = docs.withColumn("tenant_id", F.lit(tenant).cast("string"))
-    parsed = parse_envelopes(_spread(docs))
+    return parse_envelopes(_spread(docs.select("doc_id", "value", "tenant_id"))).drop("value")
+
+
+def validate_parsed(parsed: DataFrame, batch_id: int, as_of: datetime | None = None) -> BatchFrames:
     checked = validate_entries(_with_ids(parsed, batch_id), as_of=as_of)
+    is_entry = F.col("entry_index").isNotNull()
     validated = checked.select(
-        "doc_id", "entry_index", "reason", F.to_json("v").alias("raw"), *LOG_COLUMNS
+        "doc_id", "entry_index", "envelope_error",
+        F.when(is_entry, F.col("reason")).alias("reason"),
+        F.to_json("v").alias("raw"), *LOG_COLUMNS,
     )
     return frames_of(parsed, validated)
 
 
+def validate_batch(docs: DataFrame, batch_id: int, as_of: datetime | None = None,
+                   tenant: str | None = None) -> BatchFrames:
+    """``docs`` has (doc_id, value) and optionally ``tenant_id`` (the caller's tenant
+    per document); otherwise every row is stamped with ``tenant``."""
+    return validate_parsed(parse_batch(docs, tenant), batch_id, as_of)
+
+
 def frames_of(parsed: DataFrame, validated: DataFrame) -> BatchFrames:
-    """Accepted rows, rejections and per-document receipts of a validated batch."""
-    accepted = validated.where(F.col("reason").isNull()).select(*LOG_COLUMNS, F.to_date("ts").alias("dt"))
-    rejected = validated.where(F.col("reason").isNotNull()).select("doc_id", "entry_index", "reason", "raw")
-    per_doc = validated.groupBy("doc_id").agg(
-        F.count_if(F.col("reason").isNull()).alias("accepted"),
-        F.count_if(F.col("reason").isNotNull()).alias("rejected"),
+    """Accepted rows, rejections and per-document receipts, all from ``validated``
+    (which holds one placeholder row per refused or empty document)."""
+    entry = F.col("entry_index").isNotNull()
+    accepted = validated.where(entry & F.col("reason").isNull()).select(
+        *LOG_COLUMNS, F.to_date("ts").alias("dt")
     )
-    good = per_doc.select(
-        "doc_id", "accepted", "rejected",
-        F.when(F.col("accepted") > 0, F.lit("accepted")).otherwise(F.lit("refused")).alias("status"),
-        F.lit(None).cast("string").alias("error"),
+    rejected = validated.where(entry & F.col("reason").isNotNull()).select(
+        "doc_id", "entry_index", "reason", "raw"
     )
-    zero = F.lit(0).cast("bigint")
-    empty_docs = parsed.where(F.size("logs") == 0).select(
-        "doc_id", zero.alias("accepted"), zero.alias("rejected"),
-        F.lit("refused").alias("status"), F.lit(None).cast("string").alias("error"),
+    per_doc = validated.groupBy("doc_id").agg(
+        F.count_if(entry & F.col("reason").isNull()).alias("accepted"),
+        F.count_if(entry & F.col("reason").isNotNull()).alias("rejected"),
+        F.max("envelope_error").alias("error"),
     )
-    bad = bad_documents(parsed)
-    refused = bad.select(
-        "doc_id", zero.alias("accepted"), zero.alias("rejected"), F.lit("bad_batch").alias("status"), "error"
+    status = (
+        F.when(F.col("error").isNotNull(), F.lit("bad_batch"))
+        .when(F.col("accepted") > 0, F.lit("accepted"))
+        .otherwise(F.lit("refused"))
     )
-    receipts = good.unionByName(empty_docs).unionByName(refused)
-    return BatchFrames(parsed, validated, accepted, rejected, receipts, bad)
+    receipts = per_doc.select("doc_id", "accepted", "rejected", status.alias("status"), "error")
+    bad = per_doc.where(F.col("error").isNotNull()).select("doc_id", "error")
+    entries = validated.where(entry)
+    return BatchFrames(parsed, validated, entries, accepted, rejected, receipts, bad)
 
 
 def ingest_batch(store: LogStore, docs: DataFrame, batch_id: int, as_of: datetime | None = None,
@@ -124,10 +139,15 @@ def ingest_batch(store: LogStore, docs: DataFrame, batch_id: int, as_of: datetim
     receipts, and last the commit marker that makes the batch visible.
     """
     spark = docs.sparkSession
-    first = validate_batch(docs, batch_id, as_of, tenant)
-    validated = first.validated.persist(StorageLevel.MEMORY_AND_DISK)
+    # Parsed documents are read twice (partition totals for ids, then the
+    # entries) and validated rows three times (logs, rejections, receipts):
+    # keep both for the batch's lifetime; a lost block is recomputed from
+    # the input, which gives the same ids.
+    parsed = parse_batch(docs, tenant).persist(StorageLevel.MEMORY_AND_DISK)
+    validated = None
     try:
-        frames = frames_of(first.parsed, validated)
+        validated = validate_parsed(parsed, batch_id, as_of).validated.persist(StorageLevel.MEMORY_AND_DISK)
+        frames = frames_of(parsed, validated)
         b = F.lit(batch_id).cast("bigint")
         store.write_partitions(frames.accepted.withColumn("batch_id", b), "logs", ["dt", "batch_id"], "ts")
         written = store.raw_logs(spark).where(F.col("batch_id") == batch_id)
@@ -143,4 +163,6 @@ def ingest_batch(store: LogStore, docs: DataFrame, batch_id: int, as_of: datetim
         store.write_partitions(commit, "commits", ["batch_id"])
         return {k: int(totals[k] or 0) for k in ("accepted", "rejected", "bad_documents")}
     finally:
-        validated.unpersist()
+        if validated is not None:
+            validated.unpersist()
+        parsed.unpersist()

@@ -79,7 +79,7 @@ def q_ingest_bad_batches(spark, sf_dir):
     O.with_logs("SELECT reason, count(*) AS n FROM entries GROUP BY reason", REQ_CTE + f",\nentries AS ({ENTRIES_SQL})"),
 )
 def q_validate_counts(spark, sf_dir):
-    return ingest_frames(spark, sf_dir).validated.groupBy("reason").agg(F.count(F.lit(1)).alias("n"))
+    return ingest_frames(spark, sf_dir).entries.groupBy("reason").agg(F.count(F.lit(1)).alias("n"))
 
 
 @register(
@@ -103,7 +103,7 @@ ACCEPT_SQL = (
 
 @register("ingest_accept", O.with_logs(ACCEPT_SQL, REQ_CTE))
 def q_ingest_accept(spark, sf_dir):
-    v = ingest_frames(spark, sf_dir).validated.where(F.col("reason").isNull())
+    v = ingest_frames(spark, sf_dir).entries.where(F.col("reason").isNull())
     return v.select("doc_id", "entry_index", iso_ms("ts").alias("ts"), "level", "service", "message",
                     "attributes", "tenant_id")
 

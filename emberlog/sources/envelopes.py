@@ -40,9 +40,15 @@ def bad_documents(parsed: DataFrame) -> DataFrame:
     return parsed.where(F.col("envelope_error").isNotNull()).select("doc_id", F.col("envelope_error").alias("error"))
 
 
-def explode_entries(parsed: DataFrame, keep: list[str] | None = None) -> DataFrame:
-    """(doc_id, entry_index, v [, keep...]) for every entry of every good document."""
+def explode_entries(parsed: DataFrame, keep: list[str] | None = None, outer: bool = False) -> DataFrame:
+    """(doc_id, entry_index, v [, keep...]) for every entry of every good document.
+
+    With ``outer`` a refused or empty document still yields one row with a
+    NULL ``entry_index``, so per-document outcomes can come from the same rows.
+    """
     keep = keep or []
+    if outer:
+        return parsed.select("doc_id", *keep, F.posexplode_outer("logs").alias("entry_index", "v"))
     return parsed.where(F.col("logs").isNotNull()).select(
         "doc_id", *keep, F.posexplode("logs").alias("entry_index", "v")
     )
