@@ -78,3 +78,10 @@ def attr_equals(attrs_text: Column | str, key: str, value: str) -> Column:
         # Cheap text guard before the parse: the serialised key must occur.
         match = text.contains(f'"{key}"') & match
     return match
+
+
+def attributes_as_text(attrs_text: Column | str) -> Column:
+    """Every attribute value coerced to its string form (numbers and booleans
+    spelled as text), as JSON object text."""
+    text = F.col(attrs_text) if isinstance(attrs_text, str) else attrs_text
+    return F.to_json(F.transform_values(parse_attributes(text), lambda k, v: v.cast("string")))

@@ -131,6 +131,21 @@ def q_rollup_compact(spark, sf_dir):
     return folded.select(iso_ms("bucket_ts").alias("bucket_ts"), "service", "level", "tenant_id", "n")
 
 
+@register(
+    "attr_text",
+    O.with_logs(
+        "SELECT CAST(id AS VARCHAR) AS id, '{\"k\":\"' || json_extract_string(attributes, '$.k') || '\"}' AS attr_text\n"
+        "FROM logs"
+    ),
+)
+def q_attr_text(spark, sf_dir):
+    """Historic string-coerced copy of the attributes (P7)."""
+    from emberlog.functions.attrs import attributes_as_text
+
+    logs = logs_of(spark, sf_dir)
+    return logs.select(F.col("id").cast("string").alias("id"), attributes_as_text("attributes").alias("attr_text"))
+
+
 # ---------------------------------------------------------------------------
 # Listings (F1-F9, P1-P3, K1-K4)
 # ---------------------------------------------------------------------------
