@@ -1,0 +1,63 @@
+"""Day compaction of the store: many small batch partitions → one per day.
+
+Streams write a few files per micro-batch and day, so a day collects many
+small files and many rollup partials. Compaction rewrites the chosen days'
+visible rows as one new batch (ids unchanged, files range-sorted by ts) and
+folds their rollup partials into one row per key, in one job for all days.
+The new batch's commit marker names the (batch, day) partitions it replaces,
+so readers switch atomically; the old directories are deleted afterwards
+(readers already ignore them).
+"""
+
+from __future__ import annotations
+
+import math
+
+from pyspark.sql import SparkSession
+from pyspark.sql import functions as F
+
+from emberlog.operators.retention import _fs
+from emberlog.operators.rollup import compact
+from emberlog.sources.store import LogStore
+
+DEFAULT_ROWS_PER_FILE = 2_000_000
+
+
+def compact_days(store: LogStore, days: list[str] | None = None, batch_id: int | None = None,
+                 spark: SparkSession | None = None, rows_per_file: int = DEFAULT_ROWS_PER_FILE) -> dict:
+    """Compact the visible logs and rollup partials of ``days`` (all days when None)."""
+    spark = spark or SparkSession.getActiveSession()
+    logs = store.logs(spark)
+    if days is not None:
+        logs = logs.where(F.col("dt").isin([F.lit(d).cast("date") for d in days]))
+    # One row per (day, batch) partition: store metadata, bounded by days x batches.
+    parts = [
+        (r["dt"].isoformat(), int(r["batch_id"]), int(r["n"]))
+        for r in logs.groupBy("dt", "batch_id").agg(F.count(F.lit(1)).alias("n")).collect()
+    ]
+    per_day: dict[str, list[int]] = {}
+    for d, b, _ in parts:
+        per_day.setdefault(d, []).append(b)
+    todo = sorted(d for d, bs in per_day.items() if len(bs) > 1)
+    if not todo:
+        return {"days": 0, "retired": 0, "compacted": False}
+    if batch_id is None:
+        batch_id = int(store.commits(spark).agg(F.max("batch_id")).first()[0]) + 1
+    rows = sum(n for d, _, n in parts if d in todo)
+    files = max(len(todo), math.ceil(rows / rows_per_file))
+    b = F.lit(batch_id).cast("bigint")
+    in_todo = F.col("dt").isin([F.lit(d).cast("date") for d in todo])
+    merged = logs.where(in_todo).drop("batch_id").repartitionByRange(files, "ts").withColumn("batch_id", b)
+    store.write_partitions(merged, "logs", ["dt", "batch_id"], "ts")
+    counts = compact(store.counts(spark).where(in_todo))
+    counts = counts.withColumn("dt", F.to_date("bucket_ts")).withColumn("batch_id", b)
+    store.write_partitions(counts.repartitionByRange(len(todo), "bucket_ts"), "log_counts", ["dt", "batch_id"],
+                           "bucket_ts")
+    retires = [(old, d) for d in todo for old in per_day[d]]
+    store.commit(spark, batch_id, retires=retires)
+    for table in ("logs", "log_counts"):
+        for old, d in retires:
+            fs, p = _fs(spark, f"{store.path(table)}/dt={d}/batch_id={old}")
+            if fs.exists(p):
+                fs.delete(p, True)
+    return {"days": len(todo), "retired": len(retires), "compacted": True, "batch_id": batch_id, "rows": rows}

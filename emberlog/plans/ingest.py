@@ -159,8 +159,7 @@ def ingest_batch(store: LogStore, docs: DataFrame, batch_id: int, as_of: datetim
             F.sum("accepted").alias("accepted"), F.sum("rejected").alias("rejected"),
             F.count_if(F.col("status") == "bad_batch").alias("bad_documents"),
         ).collect()[0]
-        commit = spark.range(1).select(b.alias("batch_id"), F.lit(True).alias("committed"))
-        store.write_partitions(commit, "commits", ["batch_id"])
+        store.commit(spark, batch_id)
         return {k: int(totals[k] or 0) for k in ("accepted", "rejected", "bad_documents")}
     finally:
         if validated is not None:

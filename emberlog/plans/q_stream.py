@@ -147,3 +147,27 @@ def q_reconcile(spark, sf_dir):
         F.sum("accepted").alias("accepted"), F.sum("visible").alias("visible"),
         F.bool_and("consistent").alias("consistent"),
     )
+
+
+@register(
+    "store_compact",
+    O.with_logs(
+        "SELECT strftime(ts, '%Y-%m-%d') AS dt, count(*) AS n, count(*) AS rollup_n FROM req WHERE sel >= 11 GROUP BY 1",
+        REQ_CTE,
+    ),
+)
+def q_store_compact(spark, sf_dir):
+    """Three interleaved batches, then day compaction: rows and rollup unchanged."""
+    from emberlog.plans.compaction import compact_days
+
+    configure(spark)
+    store = LogStore(f"{checkpoint_dir(spark)}/compact-{uuid.uuid4().hex}")
+    docs = requests_from_events(spark, sf_dir)
+    for b in range(3):
+        part = docs.where(F.col("event_id") % 3 == b).select("doc_id", "value", "tenant_id")
+        ingest_batch(store, part, b, as_of=to_utc(AS_OF))
+    compact_days(store, spark=spark)
+    day = F.date_format("dt", "yyyy-MM-dd").alias("dt")
+    rows = store.logs(spark).groupBy(day).agg(F.count(F.lit(1)).alias("n"))
+    counts = store.counts(spark).groupBy(day).agg(F.sum("n").alias("rollup_n"))
+    return rows.join(counts, "dt", "full_outer")

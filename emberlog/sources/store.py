@@ -6,11 +6,13 @@ Layout under one root (a shared, cluster-visible folder)::
     log_counts/dt=.../batch_id=N/       bucket_ts service level tenant_id n   (additive partials)
     rejected/batch_id=N/                doc_id entry_index reason raw
     receipts/batch_id=N/                doc_id accepted rejected status
-    commits/batch_id=N/                 batch_id marker, written last
+    commits/batch_id=N/                 committed, retires_batch, retires_dt   (written last)
 
 A batch becomes visible only once its commit marker exists; a replayed batch
 overwrites its own partitions (dynamic partition overwrite), so retries never
-double rows or counts.
+double rows or counts. A compaction batch's marker also names the
+(batch, day) partitions it replaces; readers drop those in the same step, so
+the switch from many small partitions to one compacted partition is atomic.
 """
 
 from __future__ import annotations
@@ -18,6 +20,8 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
 from emberlog import schema as S
 from emberlog.functions.sizing import maybe_broadcast
 
@@ -55,8 +59,36 @@ class LogStore:
                 return spark.createDataFrame([], schema)
             raise
 
+    COMMITS_DDL = "committed boolean, retires_batch bigint, retires_dt date, batch_id bigint"
+
+    def _commit_rows(self, spark: SparkSession) -> DataFrame:
+        return self._read(spark, "commits", self.COMMITS_DDL)
+
     def commits(self, spark: SparkSession) -> DataFrame:
-        return self._read(spark, "commits", "batch_id bigint").select("batch_id").distinct()
+        return self._commit_rows(spark).select("batch_id").distinct()
+
+    def retired(self, spark: SparkSession) -> DataFrame:
+        """(batch_id, dt) partitions replaced by a committed compaction."""
+        rows = self._commit_rows(spark)
+        if "retires_batch" not in rows.columns:
+            return spark.createDataFrame([], "batch_id bigint, dt date")
+        return rows.where(F.col("retires_batch").isNotNull()).select(
+            F.col("retires_batch").alias("batch_id"), F.col("retires_dt").alias("dt")
+        ).distinct()
+
+    def commit(self, spark: SparkSession, batch_id: int, retires: list[tuple[int, str]] | None = None) -> None:
+        """Write the commit marker of ``batch_id`` (the last write of a batch)."""
+        rows = [(True, int(b), d, int(batch_id)) for b, d in (retires or [])] or [(True, None, None, int(batch_id))]
+        df = spark.createDataFrame(rows, "committed boolean, retires_batch bigint, retires_dt string, batch_id bigint")
+        df = df.withColumn("retires_dt", F.col("retires_dt").cast("date"))
+        self.write_partitions(df.coalesce(1), "commits", ["batch_id"])
+
+    def _visible(self, spark: SparkSession, raw: DataFrame) -> DataFrame:
+        out = raw.join(maybe_broadcast(self.commits(spark)), "batch_id", "left_semi")
+        retired = self.retired(spark)
+        if retired.take(1):
+            out = out.join(maybe_broadcast(retired), ["batch_id", "dt"], "left_anti")
+        return out
 
     def raw_logs(self, spark: SparkSession) -> DataFrame:
         return self._read(
@@ -69,12 +101,12 @@ class LogStore:
         )
 
     def logs(self, spark: SparkSession) -> DataFrame:
-        """Committed logs only (J4). ``batch_id`` is a partition column, so the
-        semi join also prunes uncommitted partitions at run time."""
-        return self.raw_logs(spark).join(maybe_broadcast(self.commits(spark)), "batch_id", "left_semi")
+        """Committed, not compacted-away logs (J4). ``batch_id`` and ``dt`` are
+        partition columns, so the joins also prune partitions at run time."""
+        return self._visible(spark, self.raw_logs(spark))
 
     def counts(self, spark: SparkSession) -> DataFrame:
-        return self.raw_counts(spark).join(maybe_broadcast(self.commits(spark)), "batch_id", "left_semi")
+        return self._visible(spark, self.raw_counts(spark))
 
     def rejected(self, spark: SparkSession) -> DataFrame:
         return self._read(spark, "rejected", "doc_id string,entry_index int,reason string,raw string,batch_id bigint")
