@@ -23,7 +23,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from emberlog import schema as S
-from emberlog.functions.sizing import maybe_broadcast
+from emberlog.functions.sizing import is_small
+
+MAX_BROADCAST_COMMIT_ROWS = 5_000_000
 
 
 @dataclass(frozen=True)
@@ -84,11 +86,13 @@ class LogStore:
         self.write_partitions(df.coalesce(1), "commits", ["batch_id"])
 
     def _visible(self, spark: SparkSession, raw: DataFrame) -> DataFrame:
-        out = raw.join(maybe_broadcast(self.commits(spark)), "batch_id", "left_semi")
-        retired = self.retired(spark)
-        if retired.take(1):
-            out = out.join(maybe_broadcast(retired), ["batch_id", "dt"], "left_anti")
-        return out
+        """Semi join on committed batches, anti join on retired (batch, day)
+        partitions. Both lists come from the commit markers (one row per batch
+        or retired partition); one size check covers both broadcasts."""
+        small = is_small(self._commit_rows(spark), MAX_BROADCAST_COMMIT_ROWS)
+        side = F.broadcast if small else (lambda df: df)
+        out = raw.join(side(self.commits(spark)), "batch_id", "left_semi")
+        return out.join(side(self.retired(spark)), ["batch_id", "dt"], "left_anti")
 
     def raw_logs(self, spark: SparkSession) -> DataFrame:
         return self._read(
