@@ -1,22 +1,21 @@
 """Retention: expire logs older than ``as_of - hours`` and keep the rollup in step.
 
-On the store, whole ``dt`` partitions before the cutoff day are dropped as
-directories; only the partition holding the cutoff is rewritten with its
-kept rows. Rollup partials follow the same cutoff: seconds wholly before it
-go, and the second that holds the cutoff is recounted from kept rows.
+On the store, whole ``dt`` partitions before the cutoff day are retired and
+dropped; only the day holding the cutoff is rewritten with its kept rows.
+Rollup partials follow the same cutoff: seconds wholly before it go, and the
+second that holds the cutoff is recounted from kept rows.
 """
 
 from __future__ import annotations
 
-import uuid
 from datetime import datetime, timedelta
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from emberlog import schema as S
-from emberlog.functions.timefns import bucket_start, ceil_second, floor_second
-from emberlog.operators.rollup import build_rollup
+from emberlog.functions.timefns import ceil_second
+from emberlog.operators.rollup import build_rollup, compact
 from emberlog.spec import to_utc
 
 
@@ -61,50 +60,48 @@ def _fs(spark: SparkSession, path: str):
     return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p
 
 
-def _drop_old_partitions(spark: SparkSession, table_path: str, first_kept_day: str) -> int:
-    fs, root = _fs(spark, table_path)
-    if not fs.exists(root):
-        return 0
-    dropped = 0
-    for st in fs.listStatus(root):
-        name = st.getPath().getName()
-        if st.isDirectory() and name.startswith("dt=") and name[3:] < first_kept_day:
-            fs.delete(st.getPath(), True)
-            dropped += 1
-    return dropped
-
-
 def expire_store(store, as_of: datetime, hours: int = S.RETENTION_HOURS_DEFAULT,
                  spark: SparkSession | None = None) -> int:
-    """Apply retention to a ``LogStore``; returns the number of log rows removed."""
-    from emberlog.session import checkpoint_dir
-
+    """Apply retention to a ``LogStore``; returns the number of log rows removed.
+
+    Kept rows of the day holding the cutoff are rewritten as one new batch
+    (with the rollup partials of that day, the cutoff second recounted from
+    kept rows). That batch's commit marker retires every (batch, day)
+    partition up to the cutoff day, so readers switch in one step; the retired
+    directories are deleted afterwards. A rerun after a crash is harmless:
+    before the marker nothing is visible, after it the work is done.
+    """
     spark = spark or SparkSession.getActiveSession()
     cut = cutoff_of(as_of, hours)
-    day = cut.date().isoformat()
-    removed = int(store.raw_logs(spark).where(F.col("ts") < F.lit(cut)).count())
-    staging = f"{checkpoint_dir(spark)}/retention-{uuid.uuid4().hex}"
+    day = F.lit(cut.date().isoformat()).cast("date")
+    logs = store.logs(spark)
+    # One row per (day, batch) partition up to the cutoff day: store metadata.
+    parts = [
+        (r["dt"].isoformat(), int(r["batch_id"]))
+        for r in logs.where(F.col("dt") <= day).select("dt", "batch_id").distinct().collect()
+    ]
+    if not parts:
+        return 0
+    removed = int(logs.where(F.col("ts") < F.lit(cut)).count())
+    new_batch = int(store.commits(spark).agg(F.max("batch_id")).first()[0]) + 1
+    b = F.lit(new_batch).cast("bigint")
+    kept = logs.where((F.col("dt") == day) & (F.col("ts") >= F.lit(cut))).drop("batch_id").withColumn("batch_id", b)
+    store.write_partitions(kept, "logs", ["dt", "batch_id"], "ts")
     lo = ceil_second(cut)
-    # Boundary day: stage the kept rows (lineage cut), then overwrite only that partition.
-    boundary = store.raw_logs(spark).where((F.col("dt") == F.lit(day)) & (F.col("ts") >= F.lit(cut)))
-    boundary.write.parquet(staging + "/logs")
-    counts_b = store.raw_counts(spark).where((F.col("dt") == F.lit(day)) & (F.col("bucket_ts") >= F.lit(lo)))
-    edge_logs = spark.read.parquet(staging + "/logs").where(F.col("ts") < F.lit(lo))
-    # Recount per batch so every partial stays under its own (committed) batch.
-    edge_counts = edge_logs.groupBy(
-        bucket_start("ts", 1).alias("bucket_ts"), "service", "level", "tenant_id", "dt", "batch_id"
-    ).agg(F.count(F.lit(1)).alias("n"))
-    counts_b.unionByName(edge_counts).write.parquet(staging + "/counts")
-    _drop_old_partitions(spark, store.path("logs"), day)
-    _drop_old_partitions(spark, store.path("log_counts"), day)
-    for table, sub in (("logs", "logs"), ("log_counts", "counts")):
-        fs, p = _fs(spark, store.path(table) + f"/dt={day}")
-        if fs.exists(p):
-            fs.delete(p, True)
-        staged = spark.read.parquet(f"{staging}/{sub}")
-        if staged.take(1):
-            store.write_partitions(staged, table, ["dt", "batch_id"])
+    keys = ["bucket_ts", "service", "level", "tenant_id", "n"]
+    counts = store.counts(spark).where((F.col("dt") == day) & (F.col("bucket_ts") >= F.lit(lo))).select(*keys)
+    if lo != cut:  # the second holding the cutoff, recounted from kept rows
+        edge = logs.where((F.col("dt") == day) & (F.col("ts") >= F.lit(cut)) & (F.col("ts") < F.lit(lo)))
+        counts = counts.unionByName(build_rollup(edge).select(*keys))
+    counts = compact(counts).withColumn("dt", day).withColumn("batch_id", b)
+    store.write_partitions(counts, "log_counts", ["dt", "batch_id"], "bucket_ts")
+    store.commit(spark, new_batch, retires=[(bid, d) for d, bid in parts])
+    for table in ("logs", "log_counts"):
+        for d, bid in parts:
+            fs, p = _fs(spark, f"{store.path(table)}/dt={d}/batch_id={bid}")
+            if fs.exists(p):
+                fs.delete(p, True)
     return removed
 
 
-__all__ = ["check_hours", "cutoff_of", "expire", "expired_count", "expire_store", "floor_second"]
+__all__ = ["check_hours", "cutoff_of", "expire", "expired_count", "expire_store"]
