@@ -85,6 +85,16 @@ class LogStore:
         df = df.withColumn("retires_dt", F.col("retires_dt").cast("date"))
         self.write_partitions(df.coalesce(1), "commits", ["batch_id"])
 
+    def days(self, spark: SparkSession) -> list[str]:
+        """Day partitions of the log table, newest first (a directory listing)."""
+        jvm = spark.sparkContext._jvm
+        root = jvm.org.apache.hadoop.fs.Path(self.path("logs"))
+        fs = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        if not fs.exists(root):
+            return []
+        names = [st.getPath().getName() for st in fs.listStatus(root) if st.isDirectory()]
+        return sorted((n[3:] for n in names if n.startswith("dt=")), reverse=True)
+
     def _visible(self, spark: SparkSession, raw: DataFrame) -> DataFrame:
         """Semi join on committed batches, anti join on retired (batch, day)
         partitions. Both lists come from the commit markers (one row per batch

@@ -127,3 +127,29 @@ def test_compact_day_is_atomic_and_lossless(spark, tmp_root):
     assert store.counts(spark).count() == len(sums)
     page = list_rows(store.logs(spark), ListSpec(LogFilter(), limit=5)).collect()
     assert [r["id"] for r in page] == [i for i, _ in sorted(before, key=lambda x: (x[1], x[0]), reverse=True)][:6]
+
+
+def test_page_by_days_equals_full_scan(spark, tmp_root):
+    from emberlog.operators.listing import fetch_page, fetch_page_by_days
+    from emberlog.spec import ListSpec, LogFilter
+
+    store = LogStore(tmp_root)
+    stamps = [f"2026-07-{d:02d}T{h:02d}:00:00Z" for d in range(1, 20) for h in (3, 9, 15)]
+    docs = docs_df(spark, [("a", {"logs": [entry(t, level="error" if i % 4 == 0 else "info")
+                                           for i, t in enumerate(stamps)]})])
+    ingest_batch(store, docs, 1, as_of=AS_OF)
+    logs, days = store.logs(spark), store.days(spark)
+    assert days[0] == "2026-07-19" and len(days) == 19
+    for spec in (ListSpec(LogFilter(), limit=5), ListSpec(LogFilter(level="error"), limit=7),
+                 ListSpec(LogFilter(until="2026-07-10T00:00:00Z"), limit=10),
+                 ListSpec(LogFilter(since="2026-07-15T00:00:00Z"), limit=1000)):
+        bm = None
+        while True:
+            s = ListSpec(spec.filter, spec.limit, bm)
+            a_rows, a_next = fetch_page(logs, s)
+            b_rows, b_next = fetch_page_by_days(logs, days, s)
+            assert [r["id"] for r in a_rows] == [r["id"] for r in b_rows]
+            assert a_next == b_next
+            if a_next is None:
+                break
+            bm = a_next
