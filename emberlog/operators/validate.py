@@ -112,5 +112,6 @@ def validate_entries(entries: DataFrame, as_of: datetime | Column | None = None,
         s_("level").alias("level"),
         s_("service").alias("service"),
         s_("message").alias("message"),
-        F.coalesce(F.to_json(F.col("_v_attributes")), F.lit("{}")).alias("attributes"),
+        # Stored JSON text of the attributes, for accepted entries only.
+        F.when(reason.isNull(), F.coalesce(F.to_json(F.col("_v_attributes")), F.lit("{}"))).alias("attributes"),
     )

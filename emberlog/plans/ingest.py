@@ -90,10 +90,11 @@ def parse_batch(docs: DataFrame, tenant: str | None = None) -> DataFrame:
 def validate_parsed(parsed: DataFrame, batch_id: int, as_of: datetime | None = None) -> BatchFrames:
     checked = validate_entries(_with_ids(parsed, batch_id), as_of=as_of)
     is_entry = F.col("entry_index").isNotNull()
+    reason = F.when(is_entry, F.col("reason"))
     validated = checked.select(
-        "doc_id", "entry_index", "envelope_error",
-        F.when(is_entry, F.col("reason")).alias("reason"),
-        F.to_json("v").alias("raw"), *LOG_COLUMNS,
+        "doc_id", "entry_index", "envelope_error", reason.alias("reason"),
+        # The raw entry text is kept for rejections only.
+        F.when(reason.isNotNull(), F.to_json("v")).alias("raw"), *LOG_COLUMNS,
     )
     return frames_of(parsed, validated)
 

@@ -80,9 +80,16 @@ class LogStore:
 
     def commit(self, spark: SparkSession, batch_id: int, retires: list[tuple[int, str]] | None = None) -> None:
         """Write the commit marker of ``batch_id`` (the last write of a batch)."""
-        rows = [(True, int(b), d, int(batch_id)) for b, d in (retires or [])] or [(True, None, None, int(batch_id))]
-        df = spark.createDataFrame(rows, "committed boolean, retires_batch bigint, retires_dt string, batch_id bigint")
-        df = df.withColumn("retires_dt", F.col("retires_dt").cast("date"))
+        if retires:
+            df = spark.createDataFrame(
+                [(True, int(b), d, int(batch_id)) for b, d in retires],
+                "committed boolean, retires_batch bigint, retires_dt string, batch_id bigint",
+            ).withColumn("retires_dt", F.col("retires_dt").cast("date"))
+        else:
+            df = spark.range(1).select(
+                F.lit(True).alias("committed"), F.lit(None).cast("bigint").alias("retires_batch"),
+                F.lit(None).cast("date").alias("retires_dt"), F.lit(int(batch_id)).cast("bigint").alias("batch_id"),
+            )
         self.write_partitions(df.coalesce(1), "commits", ["batch_id"])
 
     def days(self, spark: SparkSession) -> list[str]:
