@@ -20,6 +20,8 @@ from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from emberlog import schema as S
+from emberlog.operators.access import verdicts
 from emberlog.operators.rollup import build_rollup
 from emberlog.operators.validate import validate_entries
 from emberlog.session import configure
@@ -67,7 +69,8 @@ def _with_ids(parsed: DataFrame, batch_id: int) -> DataFrame:
     totals = ordered.groupBy("_pid").agg(F.sum(rows_of_doc).alias("_n"))
     before = Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
     offsets = totals.select("_pid", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off"))
-    entries = explode_entries(ordered, keep=["tenant_id", "envelope_error", "_pid"], outer=True).withColumn(
+    entries = explode_entries(ordered, keep=["tenant_id", "envelope_error", "auth_error", "_pid"],
+                              outer=True).withColumn(
         "_mid", F.monotonically_increasing_id()
     )
     # One row per partition: bounded by the partition count, safe to broadcast.
@@ -78,13 +81,28 @@ def _with_ids(parsed: DataFrame, batch_id: int) -> DataFrame:
     )
 
 
-def parse_batch(docs: DataFrame, tenant: str | None = None) -> DataFrame:
+def parse_batch(docs: DataFrame, tenant: str | None = None, keys: DataFrame | None = None) -> DataFrame:
     """Spread (if needed) and parse the documents; keeps doc_id, tenant_id,
-    logs and envelope_error (the raw text is no longer needed)."""
+    logs, envelope_error and auth_error (the raw text is no longer needed).
+
+    With ``keys`` (the key table) and an ``api_key`` column, each document is
+    first checked for the ``ingest`` scope: refused documents are not parsed
+    and carry the verdict; accepted ones are stamped with the key's tenant.
+    """
     configure(docs.sparkSession)
-    if "tenant_id" not in docs.columns:
-        docs = docs.withColumn("tenant_id", F.lit(tenant).cast("string"))
-    return parse_envelopes(_spread(docs.select("doc_id", "value", "tenant_id"))).drop("value")
+    if keys is not None and "api_key" in docs.columns:
+        checked = verdicts(docs, keys, "ingest", key_col="api_key")
+        ok = F.col("verdict") == S.VERDICT_OK
+        docs = checked.select(
+            "doc_id", F.when(ok, F.col("value")).alias("value"), F.col("key_tenant").alias("tenant_id"),
+            F.when(~ok, F.col("verdict")).alias("auth_error"),
+        )
+    else:
+        if "tenant_id" not in docs.columns:
+            docs = docs.withColumn("tenant_id", F.lit(tenant).cast("string"))
+        docs = docs.select("doc_id", "value", "tenant_id", F.lit(None).cast("string").alias("auth_error"))
+    parsed = parse_envelopes(_spread(docs))
+    return parsed.withColumn("envelope_error", F.coalesce("auth_error", "envelope_error")).drop("value")
 
 
 def validate_parsed(parsed: DataFrame, batch_id: int, as_of: datetime | None = None) -> BatchFrames:
@@ -92,7 +110,7 @@ def validate_parsed(parsed: DataFrame, batch_id: int, as_of: datetime | None = N
     is_entry = F.col("entry_index").isNotNull()
     reason = F.when(is_entry, F.col("reason"))
     validated = checked.select(
-        "doc_id", "entry_index", "envelope_error", reason.alias("reason"),
+        "doc_id", "entry_index", "envelope_error", "auth_error", reason.alias("reason"),
         # The raw entry text is kept for rejections only.
         F.when(reason.isNotNull(), F.to_json("v")).alias("raw"), *LOG_COLUMNS,
     )
@@ -100,10 +118,11 @@ def validate_parsed(parsed: DataFrame, batch_id: int, as_of: datetime | None = N
 
 
 def validate_batch(docs: DataFrame, batch_id: int, as_of: datetime | None = None,
-                   tenant: str | None = None) -> BatchFrames:
+                   tenant: str | None = None, keys: DataFrame | None = None) -> BatchFrames:
     """``docs`` has (doc_id, value) and optionally ``tenant_id`` (the caller's tenant
-    per document); otherwise every row is stamped with ``tenant``."""
-    return validate_parsed(parse_batch(docs, tenant), batch_id, as_of)
+    per document) or ``api_key`` (checked against ``keys``); otherwise every
+    row is stamped with ``tenant``."""
+    return validate_parsed(parse_batch(docs, tenant, keys), batch_id, as_of)
 
 
 def frames_of(parsed: DataFrame, validated: DataFrame) -> BatchFrames:
@@ -120,20 +139,22 @@ def frames_of(parsed: DataFrame, validated: DataFrame) -> BatchFrames:
         F.count_if(entry & F.col("reason").isNull()).alias("accepted"),
         F.count_if(entry & F.col("reason").isNotNull()).alias("rejected"),
         F.max("envelope_error").alias("error"),
+        F.max("auth_error").alias("_auth"),
     )
     status = (
-        F.when(F.col("error").isNotNull(), F.lit("bad_batch"))
+        F.when(F.col("_auth").isNotNull(), F.lit("denied"))
+        .when(F.col("error").isNotNull(), F.lit("bad_batch"))
         .when(F.col("accepted") > 0, F.lit("accepted"))
         .otherwise(F.lit("refused"))
     )
     receipts = per_doc.select("doc_id", "accepted", "rejected", status.alias("status"), "error")
-    bad = per_doc.where(F.col("error").isNotNull()).select("doc_id", "error")
+    bad = per_doc.where(F.col("error").isNotNull() & F.col("_auth").isNull()).select("doc_id", "error")
     entries = validated.where(entry)
     return BatchFrames(parsed, validated, entries, accepted, rejected, receipts, bad)
 
 
 def ingest_batch(store: LogStore, docs: DataFrame, batch_id: int, as_of: datetime | None = None,
-                 tenant: str | None = None) -> dict:
+                 tenant: str | None = None, keys: DataFrame | None = None) -> dict:
     """Validate and write one batch; returns accepted/rejected/bad-document totals.
 
     Order: logs, rollup partials (from the logs just written), rejections,
@@ -144,7 +165,7 @@ def ingest_batch(store: LogStore, docs: DataFrame, batch_id: int, as_of: datetim
     # entries) and validated rows three times (logs, rejections, receipts):
     # keep both for the batch's lifetime; a lost block is recomputed from
     # the input, which gives the same ids.
-    parsed = parse_batch(docs, tenant).persist(StorageLevel.MEMORY_AND_DISK)
+    parsed = parse_batch(docs, tenant, keys).persist(StorageLevel.MEMORY_AND_DISK)
     validated = None
     try:
         validated = validate_parsed(parsed, batch_id, as_of).validated.persist(StorageLevel.MEMORY_AND_DISK)
@@ -159,9 +180,13 @@ def ingest_batch(store: LogStore, docs: DataFrame, batch_id: int, as_of: datetim
         totals = store.receipts(spark).where(F.col("batch_id") == batch_id).agg(
             F.sum("accepted").alias("accepted"), F.sum("rejected").alias("rejected"),
             F.count_if(F.col("status") == "bad_batch").alias("bad_documents"),
+            F.count_if(F.col("status") == "denied").alias("denied_documents"),
         ).collect()[0]
         store.commit(spark, batch_id)
-        return {k: int(totals[k] or 0) for k in ("accepted", "rejected", "bad_documents")}
+        out = {k: int(totals[k] or 0) for k in ("accepted", "rejected", "bad_documents")}
+        if totals["denied_documents"]:
+            out["denied_documents"] = int(totals["denied_documents"])
+        return out
     finally:
         if validated is not None:
             validated.unpersist()

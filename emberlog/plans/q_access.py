@@ -12,6 +12,7 @@ from emberlog.operators.retention import cutoff_of, expire, expired_count
 from emberlog.operators.rollup import build_rollup
 from emberlog.plans import oracle as O
 from emberlog.plans.catalog import register
+from emberlog.plans.q_ingest import RECEIPT_SQL, REQ_CTE
 from emberlog.session import configure
 from emberlog.sources.events import read_table
 from emberlog.spec import AggregateSpec, to_utc
@@ -163,3 +164,38 @@ def q_retention_counts(spark, sf_dir):
 
 
 __all__ = ["iso_ms"]
+
+
+# ---------------------------------------------------------------------------
+# Ingest behind the key check (X1 + S9): request bodies from events, each
+# sent with its sender's key.
+# ---------------------------------------------------------------------------
+@register(
+    "access_ingest",
+    O.with_logs(
+        "SELECT r.doc_id,\n"
+        "  CASE WHEN v.verdict <> 'ok' THEN 'denied' WHEN r.status = 'bad_batch' THEN 'bad_batch' ELSE r.status END AS status,\n"
+        "  CASE WHEN v.verdict <> 'ok' THEN v.verdict ELSE r.error END AS error,\n"
+        "  CASE WHEN v.verdict <> 'ok' THEN CAST(0 AS BIGINT) ELSE r.accepted END AS accepted,\n"
+        "  CASE WHEN v.verdict <> 'ok' THEN CAST(0 AS BIGINT) ELSE r.rejected END AS rejected\n"
+        "FROM receipts r JOIN verdicts v ON r.event_id = v.request_id",
+        "\n,".join([
+            REQ_CTE,
+            KEYS_SQL,
+            "reqk AS (SELECT event_id AS request_id,\n"
+            "  CASE WHEN user_id % 11 = 0 THEN '' ELSE concat('key-', CAST(user_id % 5 AS VARCHAR)) END AS api_key,\n"
+            "  'ingest' AS need FROM events)",
+            VERDICT_SQL.replace("FROM req LEFT JOIN", "FROM reqk req LEFT JOIN"),
+            "receipts AS (" + RECEIPT_SQL.replace("SELECT doc_id,", "SELECT doc_id, id AS event_id,", 1) + ")",
+        ]),
+    ),
+)
+def q_access_ingest(spark, sf_dir):
+    from emberlog.plans.ingest import validate_batch
+    from emberlog.sources.requests import AS_OF, requests_from_events
+
+    configure(spark)
+    uid_key = _requests(spark, sf_dir).select(F.col("request_id").alias("event_id"), "api_key")
+    docs = requests_from_events(spark, sf_dir).join(uid_key, "event_id").select("doc_id", "value", "api_key")
+    fr = validate_batch(docs, 1, as_of=to_utc(AS_OF), keys=_keys(spark))
+    return fr.receipts.select("doc_id", "status", "error", "accepted", "rejected")

@@ -31,9 +31,10 @@ class LogService:
 
     # -- ingest -------------------------------------------------------------
     def ingest(self, docs: DataFrame, batch_id: int, as_of: datetime | None = None,
-               tenant: str | None = None) -> dict:
-        """``docs``: (doc_id, value[, tenant_id]) request bodies; one store batch."""
-        return ingest_batch(self.store, docs, batch_id, as_of=as_of, tenant=tenant)
+               tenant: str | None = None, keys: DataFrame | None = None) -> dict:
+        """``docs``: (doc_id, value[, tenant_id | api_key]) request bodies; one store batch.
+        With ``keys`` each document's ``api_key`` must hold the ingest scope."""
+        return ingest_batch(self.store, docs, batch_id, as_of=as_of, tenant=tenant, keys=keys)
 
     def ingest_files(self, path: str, batch_id: int, as_of: datetime | None = None,
                      tenant: str | None = None) -> dict:
@@ -42,10 +43,12 @@ class LogService:
 
     def start_stream(self, path: str, fmt: str = "text", checkpoint_location: str | None = None,
                      max_files_per_trigger: int | None = None, trigger: dict | None = None,
-                     batch_base: int = 0, tenant: str | None = None) -> StreamingQuery:
+                     batch_base: int = 0, tenant: str | None = None,
+                     keys: DataFrame | None = None) -> StreamingQuery:
         ckpt = checkpoint_location or f"{checkpoint_dir(self.spark)}/ingest-stream"
         docs = document_stream(self.spark, path, fmt, max_files_per_trigger)
-        return start_ingest(docs, self.store, ckpt, tenant=tenant, batch_base=batch_base, trigger=trigger)
+        return start_ingest(docs, self.store, ckpt, tenant=tenant, batch_base=batch_base, trigger=trigger,
+                            keys=keys)
 
     # -- read ---------------------------------------------------------------
     def logs(self) -> DataFrame:

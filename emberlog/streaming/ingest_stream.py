@@ -20,7 +20,7 @@ from pyspark.sql.streaming import StreamingQuery
 from emberlog.plans.ingest import ingest_batch
 from emberlog.sources.store import LogStore
 
-DOCS_SCHEMA = "doc_id string, value string, tenant_id string"
+DOCS_SCHEMA = "doc_id string, value string, tenant_id string, api_key string"
 
 
 def document_stream(spark: SparkSession, path: str, fmt: str = "text",
@@ -44,11 +44,15 @@ def document_stream(spark: SparkSession, path: str, fmt: str = "text",
 def start_ingest(docs: DataFrame, store: LogStore, checkpoint_location: str,
                  as_of: datetime | None = None, tenant: str | None = None,
                  batch_base: int = 0, trigger: dict | None = None,
-                 query_name: str | None = None) -> StreamingQuery:
-    """Start the ingest stream; ``trigger`` defaults to ``availableNow``."""
+                 query_name: str | None = None, keys: DataFrame | None = None) -> StreamingQuery:
+    """Start the ingest stream; ``trigger`` defaults to ``availableNow``.
+
+    With ``keys`` (the key table), documents carrying an ``api_key`` column are
+    checked for the ingest scope and stamped with the key's tenant.
+    """
 
     def write(batch: DataFrame, epoch_id: int) -> None:
-        ingest_batch(store, batch, batch_base + int(epoch_id), as_of=as_of, tenant=tenant)
+        ingest_batch(store, batch, batch_base + int(epoch_id), as_of=as_of, tenant=tenant, keys=keys)
 
     w = docs.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint_location)
     if query_name:

@@ -65,8 +65,13 @@ def test_tenant_isolation(spark, tmp_root):
          doc("d3", "nope", ["never"])],
         "doc_id string, value string, api_key string",
     )
+    res = ingest_batch(store, reqs, 1, as_of=AS_OF, keys=keys)
+    assert res == {"accepted": 3, "rejected": 0, "bad_documents": 0, "denied_documents": 1}
+    rec = {r["doc_id"]: (r["status"], r["error"]) for r in store.receipts(spark).collect()}
+    assert rec["d3"] == ("denied", "401 invalid api key") and rec["d1"] == ("accepted", None)
+    # The same through the explicit verdict join.
     allowed = stamp_tenant(verdicts(reqs, keys, "ingest")).select("doc_id", "value", "tenant_id")
-    ingest_batch(store, allowed, 1, as_of=AS_OF)
+    assert sorted(r["doc_id"] for r in allowed.collect()) == ["d1", "d2"]
     logs = store.logs(spark)
     a_rows = list_rows(logs, ListSpec(LogFilter()), tenant="a").collect()
     assert sorted(r["message"] for r in a_rows) == ["secret-a", "secret-a-2"]

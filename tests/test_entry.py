@@ -19,6 +19,6 @@ def test_entry_runs(spark):
 def test_catalog_and_oracles_line_up():
     q, o = E.queries(), E.oracle_sql()
     assert set(q) == set(o)
-    assert len(q) >= 71
+    assert len(q) >= 72
     for name in q:
         assert not name.startswith("op") and "pipeline" not in name
