@@ -42,11 +42,12 @@ class LogService:
         return self.ingest(read_documents(self.spark, path), batch_id, as_of, tenant)
 
     def start_stream(self, path: str, fmt: str = "text", checkpoint_location: str | None = None,
-                     max_files_per_trigger: int | None = None, trigger: dict | None = None,
+                     max_files_per_trigger: int | None = None, max_bytes_per_trigger: int | str | None = None,
+                     trigger: dict | None = None,
                      batch_base: int = 0, tenant: str | None = None,
                      keys: DataFrame | None = None) -> StreamingQuery:
         ckpt = checkpoint_location or f"{checkpoint_dir(self.spark)}/ingest-stream"
-        docs = document_stream(self.spark, path, fmt, max_files_per_trigger)
+        docs = document_stream(self.spark, path, fmt, max_files_per_trigger, max_bytes_per_trigger)
         return start_ingest(docs, self.store, ckpt, tenant=tenant, batch_base=batch_base, trigger=trigger,
                             keys=keys)
 

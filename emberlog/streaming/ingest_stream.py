@@ -24,15 +24,20 @@ DOCS_SCHEMA = "doc_id string, value string, tenant_id string, api_key string"
 
 
 def document_stream(spark: SparkSession, path: str, fmt: str = "text",
-                    max_files_per_trigger: int | None = None) -> DataFrame:
-    """Streaming (doc_id, value[, tenant_id]).
+                    max_files_per_trigger: int | None = None,
+                    max_bytes_per_trigger: int | str | None = None) -> DataFrame:
+    """Streaming (doc_id, value[, tenant_id, api_key]).
 
     ``text``: one request body per file, doc_id = file path.
-    ``parquet``: landed rows with doc_id, value, tenant_id columns.
+    ``parquet``: landed rows with doc_id, value, tenant_id, api_key columns.
+    Micro-batch size is bounded by file count and/or bytes (size-first
+    batching; the trigger interval is the wait bound).
     """
     reader = spark.readStream
     if max_files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", int(max_files_per_trigger))
+    if max_bytes_per_trigger:
+        reader = reader.option("maxBytesPerTrigger", str(max_bytes_per_trigger))
     if fmt == "text":
         df = reader.format("text").option("wholetext", True).load(path)
         return df.select(F.col("_metadata.file_path").alias("doc_id"), "value")

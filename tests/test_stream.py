@@ -48,3 +48,18 @@ def test_stream_runs_late_and_replay(spark, tmp_root):
     ingest_batch(store, docs.join(first, "doc_id", "left_semi"), 0, as_of=AS_OF)
     assert store.logs(spark).count() == 5
     assert compact(store.counts(spark)).agg(F.sum("n")).first()[0] == 5
+
+
+def test_size_bounded_batches_with_processing_time_trigger(spark, tmp_root):
+    src, store = f"{tmp_root}/in", LogStore(f"{tmp_root}/store")
+    for i in range(4):
+        write_doc(src, f"r{i}.json", [e(f"2026-07-20T14:0{i}:00Z")])
+    size = os.path.getsize(f"{src}/r0.json")
+    docs = document_stream(spark, src, "text", max_bytes_per_trigger=2 * size + 1)
+    q = start_ingest(docs, store, f"{tmp_root}/ckpt", as_of=AS_OF, trigger={"processingTime": "1 second"})
+    try:
+        q.processAllAvailable()
+    finally:
+        q.stop()
+    assert store.logs(spark).count() == 4
+    assert store.commits(spark).count() == 2  # two documents per micro-batch
