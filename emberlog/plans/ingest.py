@@ -157,8 +157,8 @@ def ingest_batch(store: LogStore, docs: DataFrame, batch_id: int, as_of: datetim
                  tenant: str | None = None, keys: DataFrame | None = None) -> dict:
     """Validate and write one batch; returns accepted/rejected/bad-document totals.
 
-    Order: logs, rollup partials (from the logs just written), rejections,
-    receipts, and last the commit marker that makes the batch visible.
+    Order: logs, rollup partials (of the same rows), rejections, receipts,
+    and last the commit marker that makes the batch visible.
     """
     spark = docs.sparkSession
     # Parsed documents are read twice (partition totals for ids, then the
@@ -172,8 +172,8 @@ def ingest_batch(store: LogStore, docs: DataFrame, batch_id: int, as_of: datetim
         frames = frames_of(parsed, validated)
         b = F.lit(batch_id).cast("bigint")
         store.write_partitions(frames.accepted.withColumn("batch_id", b), "logs", ["dt", "batch_id"], "ts")
-        written = store.raw_logs(spark).where(F.col("batch_id") == batch_id)
-        counts = build_rollup(written).withColumn("dt", F.to_date("bucket_ts")).withColumn("batch_id", b)
+        # Partials from the same (cached) accepted rows that were just written.
+        counts = build_rollup(frames.accepted).withColumn("dt", F.to_date("bucket_ts")).withColumn("batch_id", b)
         store.write_partitions(counts, "log_counts", ["dt", "batch_id"], "bucket_ts")
         store.write_partitions(frames.rejected.withColumn("batch_id", b), "rejected", ["batch_id"])
         store.write_partitions(frames.receipts.withColumn("batch_id", b), "receipts", ["batch_id"])
