@@ -43,3 +43,15 @@ def test_load_summary(spark):
     assert (got["s1"]["sent"], got["s1"]["accepted"], got["s1"]["docs_bad"]) == (2, 2, 1)
     assert abs(got["s1"]["accept_ratio"] - 2 / 3) < 1e-12
     assert got["s2"]["accept_ratio"] == 0.0
+
+
+def test_hot_group_is_split_across_tasks(spark):
+    """A group holding a third of the rows is ranked by many tasks, not one."""
+    hot = spark.range(0, 30000).select(F.lit("hot").alias("g"), (F.col("id") % 977).cast("double").alias("v"))
+    cold = spark.range(0, 60000).select((F.col("id") % 50).cast("string").alias("g"), F.rand(1).alias("v"))
+    df = hot.unionByName(cold)
+    ranked = with_rank(df, [F.col("v").asc()], ["g"], rank_col="r", total_col="n", num_partitions=8)
+    parts = ranked.where(F.col("g") == "hot").select(F.spark_partition_id().alias("p")).distinct().count()
+    assert parts >= 3
+    got = ranked.where(F.col("g") == "hot").agg(F.min("r"), F.max("r"), F.countDistinct("r"), F.max("n")).first()
+    assert tuple(got) == (0, 29999, 30000, 30000)
