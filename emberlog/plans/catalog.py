@@ -7,6 +7,7 @@ over their whole extent; parameters are fixed so results are reproducible.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from datetime import datetime, timezone
 
@@ -18,7 +19,7 @@ from emberlog.operators import aggregate as A
 from emberlog.operators import listing as L
 from emberlog.operators.rollup import build_rollup, compact
 from emberlog.plans import oracle as O
-from emberlog.session import configure
+from emberlog.session import checkpoint_dir, configure
 from emberlog.sources.events import logs_from_events
 from emberlog.spec import ALL_TENANTS, AggregateSpec, Bookmark, ListSpec, LogFilter
 
@@ -63,10 +64,26 @@ def _agg_oracle_scan(spec: AggregateSpec, tenant=ALL_TENANTS) -> str:
     )
 
 
+_ROLLUPS: dict[tuple, str] = {}
+
+
+def stored_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The one-second rollup of the view, written once per application as a
+    day-partitioned table in the shared checkpoint folder and read back (the
+    rollup path reads stored partials, as on a live store)."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _ROLLUPS:
+        path = f"{checkpoint_dir(spark)}/rollup-{uuid.uuid4().hex}"
+        counts = build_rollup(logs_of(spark, sf_dir)).withColumn("dt", F.to_date("bucket_ts"))
+        counts.write.partitionBy("dt").parquet(path)
+        _ROLLUPS[key] = path
+    return spark.read.parquet(_ROLLUPS[key])
+
+
 def _register_agg(name: str, spec: AggregateSpec, tenant=ALL_TENANTS, rollup: bool = False):
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         logs = logs_of(spark, sf_dir)
-        counts = build_rollup(logs) if rollup else None
+        counts = stored_rollup(spark, sf_dir) if rollup else None
         return A.render_buckets(A.bucket_counts(logs, counts, spec, tenant))
 
     register(name, _agg_oracle_scan(spec, tenant))(run)

@@ -36,8 +36,9 @@ def _land(spark, sf_dir, root, name, cond):
 
 
 def stream_store(spark, sf_dir) -> LogStore:
-    """Ingest every request via two stream runs: on-time documents first, then
-    late ones (older timestamps) through the same checkpoint."""
+    """Ingest every request via two stream runs into one store: on-time
+    documents first, then the late ones (older timestamps), which arrive as
+    later batches and are added to their old buckets."""
     key = (spark.sparkContext.applicationId, sf_dir)
     if key in _STORES:
         return _STORES[key]
