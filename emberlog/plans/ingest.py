@@ -59,8 +59,9 @@ def _with_ids(parsed: DataFrame, batch_id: int) -> DataFrame:
     and number them densely across the batch.
 
     Within a partition, documents are sorted by id and their rows follow in
-    order, so ``monotonically_increasing_id`` minus the partition's base is the
-    row's position in the partition; a table with one row count per partition
+    order, so ``monotonically_increasing_id`` minus the partition's base (its
+    documented layout: partition id in the upper 31 bits, record number in
+    the lower 33) is the row's position in the partition; a table with one row count per partition
     (tiny) gives each partition its starting offset. No global sort, no single
     task; the same input and partitioning give the same ids.
     """
