@@ -178,7 +178,7 @@ def ingest_batch(store: LogStore, docs: DataFrame, batch_id: int, as_of: datetim
         store.write_partitions(counts, "log_counts", ["dt", "batch_id"], "bucket_ts")
         store.write_partitions(frames.rejected.withColumn("batch_id", b), "rejected", ["batch_id"])
         store.write_partitions(frames.receipts.withColumn("batch_id", b), "receipts", ["batch_id"])
-        totals = store.receipts(spark).where(F.col("batch_id") == batch_id).agg(
+        totals = store.raw_receipts(spark).where(F.col("batch_id") == batch_id).agg(
             F.sum("accepted").alias("accepted"), F.sum("rejected").alias("rejected"),
             F.count_if(F.col("status") == "bad_batch").alias("bad_documents"),
             F.count_if(F.col("status") == "denied").alias("denied_documents"),

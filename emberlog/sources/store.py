@@ -129,10 +129,23 @@ class LogStore:
     def counts(self, spark: SparkSession) -> DataFrame:
         return self._visible(spark, self.raw_counts(spark))
 
-    def rejected(self, spark: SparkSession) -> DataFrame:
+    def raw_rejected(self, spark: SparkSession) -> DataFrame:
         return self._read(spark, "rejected", "doc_id string,entry_index int,reason string,raw string,batch_id bigint")
 
-    def receipts(self, spark: SparkSession) -> DataFrame:
+    def raw_receipts(self, spark: SparkSession) -> DataFrame:
         return self._read(
-            spark, "receipts", "doc_id string,accepted bigint,rejected bigint,status string,batch_id bigint"
+            spark, "receipts", "doc_id string,accepted bigint,rejected bigint,status string,error string,batch_id bigint"
         )
+
+    def _committed(self, spark: SparkSession, raw: DataFrame) -> DataFrame:
+        small = is_small(self._commit_rows(spark), MAX_BROADCAST_COMMIT_ROWS)
+        commits = self.commits(spark)
+        return raw.join(F.broadcast(commits) if small else commits, "batch_id", "left_semi")
+
+    def rejected(self, spark: SparkSession) -> DataFrame:
+        """Rejections of committed batches."""
+        return self._committed(spark, self.raw_rejected(spark))
+
+    def receipts(self, spark: SparkSession) -> DataFrame:
+        """Receipts of committed batches: a batch is acknowledged once stored."""
+        return self._committed(spark, self.raw_receipts(spark))
