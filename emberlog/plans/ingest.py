@@ -13,6 +13,7 @@ without a global sort.
 
 from __future__ import annotations
 
+import hashlib
 from dataclasses import dataclass
 from datetime import datetime
 
@@ -24,7 +25,7 @@ from emberlog import schema as S
 from emberlog.operators.access import verdicts
 from emberlog.operators.rollup import build_rollup
 from emberlog.operators.validate import validate_entries
-from emberlog.session import configure
+from emberlog.session import checkpoint_dir, configure
 from emberlog.sources.envelopes import explode_entries, parse_envelopes
 from emberlog.sources.store import LogStore
 
@@ -155,25 +156,35 @@ def frames_of(parsed: DataFrame, validated: DataFrame) -> BatchFrames:
 
 
 def ingest_batch(store: LogStore, docs: DataFrame, batch_id: int, as_of: datetime | None = None,
-                 tenant: str | None = None, keys: DataFrame | None = None) -> dict:
+                 tenant: str | None = None, keys: DataFrame | None = None, stage: bool = False) -> dict:
     """Validate and write one batch; returns accepted/rejected/bad-document totals.
 
     Order: logs, rollup partials (of the same rows), rejections, receipts,
     and last the commit marker that makes the batch visible.
+
+    Parsed documents are read twice (partition totals for ids, then the
+    entries) and validated rows three times (logs, rejections, receipts).
+    By default both are cached for the batch's lifetime (a lost block is
+    recomputed from the input, which gives the same ids). With ``stage`` the
+    validated rows are instead written once to the shared checkpoint folder
+    and read back, which cuts the lineage for very large batches.
     """
     spark = docs.sparkSession
-    # Parsed documents are read twice (partition totals for ids, then the
-    # entries) and validated rows three times (logs, rejections, receipts):
-    # keep both for the batch's lifetime; a lost block is recomputed from
-    # the input, which gives the same ids.
     parsed = parse_batch(docs, tenant, keys).persist(StorageLevel.MEMORY_AND_DISK)
     validated = None
     try:
-        validated = validate_parsed(parsed, batch_id, as_of).validated.persist(StorageLevel.MEMORY_AND_DISK)
+        checked = validate_parsed(parsed, batch_id, as_of).validated
+        if stage:
+            store_key = hashlib.sha1(store.root.encode("utf-8")).hexdigest()[:16]
+            path = f"{checkpoint_dir(spark)}/ingest-stage/{store_key}/batch_id={batch_id}"
+            checked.write.mode("overwrite").parquet(path)
+            validated = spark.read.parquet(path)
+        else:
+            validated = checked.persist(StorageLevel.MEMORY_AND_DISK)
         frames = frames_of(parsed, validated)
         b = F.lit(batch_id).cast("bigint")
         store.write_partitions(frames.accepted.withColumn("batch_id", b), "logs", ["dt", "batch_id"], "ts")
-        # Partials from the same (cached) accepted rows that were just written.
+        # Partials from the same validated rows that were just written.
         counts = build_rollup(frames.accepted).withColumn("dt", F.to_date("bucket_ts")).withColumn("batch_id", b)
         store.write_partitions(counts, "log_counts", ["dt", "batch_id"], "bucket_ts")
         store.write_partitions(frames.rejected.withColumn("batch_id", b), "rejected", ["batch_id"])
@@ -189,6 +200,6 @@ def ingest_batch(store: LogStore, docs: DataFrame, batch_id: int, as_of: datetim
             out["denied_documents"] = int(totals["denied_documents"])
         return out
     finally:
-        if validated is not None:
+        if validated is not None and not stage:
             validated.unpersist()
         parsed.unpersist()

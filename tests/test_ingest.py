@@ -153,3 +153,13 @@ def test_page_by_days_equals_full_scan(spark, tmp_root):
             if a_next is None:
                 break
             bm = a_next
+
+
+def test_staged_batch_equals_cached_batch(spark, tmp_root):
+    docs = docs_df(spark, [("a", {"logs": [entry("2026-07-20T14:01:30Z"), entry("2026-07-20T14:01:31Z", level="x")]}),
+                           ("b", {"logs": [entry("2026-07-20T14:02:00Z")]})])
+    s1, s2 = LogStore(tmp_root + "/cached"), LogStore(tmp_root + "/staged")
+    assert ingest_batch(s1, docs, 3, as_of=AS_OF) == ingest_batch(s2, docs, 3, as_of=AS_OF, stage=True)
+    a = sorted(tuple(r) for r in s1.logs(spark).drop("dt").collect())
+    b = sorted(tuple(r) for r in s2.logs(spark).drop("dt").collect())
+    assert a == b and len(a) == 2
