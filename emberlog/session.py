@@ -62,3 +62,26 @@ def checkpoint_dir(spark: SparkSession) -> str:
 def scratch_dir(spark: SparkSession, name: str) -> str:
     """A sub-folder of the shared checkpoint folder for written intermediate tables."""
     return os.path.join(checkpoint_dir(spark), name)
+
+
+def scale_conf(input_bytes: int, target_partition_bytes: int = 256 * 1024**2) -> dict[str, str]:
+    """Settings sized for a job reading ``input_bytes``: scan splits and shuffle
+    partitions near ``target_partition_bytes`` each (AQE coalesces shuffle
+    partitions that turn out small; explicit range exchanges such as the rank
+    and page index use ``spark.sql.shuffle.partitions`` as their count).
+
+    For 100 TB this gives 409,600 shuffle partitions of 256 MiB.
+    """
+    parts = max(200, -(-int(input_bytes) // int(target_partition_bytes)))
+    size = str(int(target_partition_bytes))
+    return {
+        "spark.sql.files.maxPartitionBytes": size,
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": size,
+        "spark.sql.shuffle.partitions": str(parts),
+    }
+
+
+def apply_scale(spark: SparkSession, input_bytes: int) -> SparkSession:
+    for k, v in scale_conf(input_bytes).items():
+        spark.conf.set(k, v)
+    return spark

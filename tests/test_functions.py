@@ -52,3 +52,11 @@ def test_bookmark_with_large_ids(spark):
     assert [r["id"] for r in page] == [big + 4, big + 3] and bm == Bookmark(ts, big + 3)
     page, bm = fetch_page(logs, ListSpec(LogFilter(), limit=2, bookmark=bm))
     assert [r["id"] for r in page] == [big + 2, big + 1]
+
+
+def test_scale_conf():
+    from emberlog.session import scale_conf
+
+    c = scale_conf(100 * 1024**4)
+    assert c["spark.sql.shuffle.partitions"] == "409600"
+    assert scale_conf(10)["spark.sql.shuffle.partitions"] == "200"
