@@ -78,7 +78,7 @@ class LogFilter:
     level: str | None = None
     since: datetime | str | None = None
     until: datetime | str | None = None
-    attrs: tuple[tuple[str, str], ...] = field(default_factory=tuple)
+    attrs: tuple[tuple[str, str], ...] = field(default_factory=tuple)  # or a dict
     q: str | None = None
 
     def __post_init__(self):
@@ -90,7 +90,8 @@ class LogFilter:
             object.__setattr__(self, "since", to_utc(self.since))
         if self.until is not None:
             object.__setattr__(self, "until", to_utc(self.until))
-        pairs = tuple((str(k), str(v)) for k, v in (self.attrs or ()))
+        raw = self.attrs.items() if isinstance(self.attrs, dict) else (self.attrs or ())
+        pairs = tuple((str(k), str(v)) for k, v in raw)
         for k, _ in pairs:
             if len(k) == 0:
                 raise ValueError("invalid attribute key")
