@@ -64,19 +64,34 @@ def _probe(x: Column, value: str) -> Column:
     return match
 
 
-def attr_equals(attrs_text: Column | str, key: str, value: str) -> Column:
+_PLAIN_KEY = re.compile(r"[^'\\]*")
+
+
+def attr_value(attrs: Column | str, key: str, is_variant: bool = False) -> Column:
+    """The stored value under ``key`` as a variant (NULL when absent).
+
+    On a VARIANT attribute column this is a direct path lookup (no parsing);
+    on JSON text the object is parsed into ``map<string, variant>``.
+    """
+    col = F.col(attrs) if isinstance(attrs, str) else attrs
+    if is_variant and _PLAIN_KEY.fullmatch(key):
+        return F.try_variant_get(col, f"$['{key}']", "variant")
+    text = F.to_json(col) if is_variant else col
+    return F.try_element_at(parse_attributes(text), F.lit(key))
+
+
+def attr_equals(attrs: Column | str, key: str, value: str, is_variant: bool = False) -> Column:
     """Typed equality probe for one ``attr.<key>=<value>`` pair.
 
-    The attribute object is parsed once per row: the looked-up value is bound
-    to a lambda variable (``exists`` over a one-element array) and every typed
-    probe reads that variable.
+    The looked-up value is bound once to a lambda variable (``exists`` over a
+    one-element array) and every typed probe reads that variable.
     """
-    text = F.col(attrs_text) if isinstance(attrs_text, str) else attrs_text
-    x = F.try_element_at(parse_attributes(text), F.lit(key))
+    col = F.col(attrs) if isinstance(attrs, str) else attrs
+    x = attr_value(col, key, is_variant)
     match = F.coalesce(F.exists(F.array(x), lambda v: _probe(v, value)), F.lit(False))
-    if re.fullmatch(r"[A-Za-z0-9_.:@-]+", key):
+    if not is_variant and re.fullmatch(r"[A-Za-z0-9_.:@-]+", key):
         # Cheap text guard before the parse: the serialised key must occur.
-        match = text.contains(f'"{key}"') & match
+        match = col.contains(f'"{key}"') & match
     return match
 
 

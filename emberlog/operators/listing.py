@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from emberlog.functions.timefns import iso_ms
-from emberlog.operators.predicates import apply_filter
+from emberlog.operators.predicates import apply_filter, attributes_are_variant
 from emberlog.operators.ranking import with_rank
 from emberlog.spec import ALL_TENANTS, Bookmark, ListSpec, LogFilter
 
@@ -88,15 +88,20 @@ def fetch_page_by_days(logs: DataFrame, days: list[str], spec: ListSpec, tenant=
     return rows[: spec.limit], nxt
 
 
+def attributes_text(df: DataFrame):
+    """The attributes as JSON object text, whichever way they are stored."""
+    return F.to_json("attributes") if attributes_are_variant(df) else F.col("attributes")
+
+
 def render_rows(df: DataFrame) -> DataFrame:
-    """Listing as the API shows it: id as text, ts as ISO-8601 ms UTC."""
+    """Listing as the API shows it: id as text, ts as ISO-8601 ms UTC, attributes as JSON."""
     return df.select(
         F.col("id").cast("string").alias("id"),
         iso_ms("ts").alias("ts"),
         "level",
         "service",
         "message",
-        "attributes",
+        attributes_text(df).alias("attributes"),
     )
 
 

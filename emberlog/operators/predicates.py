@@ -11,6 +11,7 @@ from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import VariantType
 
 from emberlog.functions.attrs import attr_equals
 from emberlog.functions.text import message_contains
@@ -48,7 +49,8 @@ def day_bounds(since=None, until=None, ts_upper=None) -> list[Column]:
 
 
 def filter_clauses(flt: LogFilter, tenant=ALL_TENANTS, bookmark: Bookmark | None = None,
-                   with_time: bool = True, has_day: bool = False) -> list[Column]:
+                   with_time: bool = True, has_day: bool = False,
+                   attrs_variant: bool = False) -> list[Column]:
     out: list[Column] = []
     if has_day:
         out += day_bounds(flt.since if with_time else None, flt.until if with_time else None,
@@ -62,7 +64,7 @@ def filter_clauses(flt: LogFilter, tenant=ALL_TENANTS, bookmark: Bookmark | None
     if flt.level is not None:
         out.append(F.col("level") == F.lit(flt.level))
     for key, value in flt.attrs:
-        out.append(attr_equals("attributes", key, value))
+        out.append(attr_equals("attributes", key, value, is_variant=attrs_variant))
     if flt.q is not None:
         out.append(message_contains("message", flt.q))
     tc = tenant_column(tenant)
@@ -79,9 +81,15 @@ def filter_column(flt: LogFilter, tenant=ALL_TENANTS, bookmark: Bookmark | None
     return reduce(lambda a, b: a & b, clauses) if clauses else F.lit(True)
 
 
+def attributes_are_variant(df) -> bool:
+    """The store keeps attributes as VARIANT; views and fixtures as JSON text."""
+    return "attributes" in df.columns and isinstance(df.schema["attributes"].dataType, VariantType)
+
+
 def apply_filter(df, flt: LogFilter, tenant=ALL_TENANTS, bookmark: Bookmark | None = None,
                  with_time: bool = True):
     """Filter ``df``; on a stored table with a ``dt`` column the time bounds
     also become ``dt`` bounds, which prune whole day partitions."""
-    clauses = filter_clauses(flt, tenant, bookmark, with_time, has_day="dt" in df.columns)
+    clauses = filter_clauses(flt, tenant, bookmark, with_time, has_day="dt" in df.columns,
+                             attrs_variant=attributes_are_variant(df))
     return df.where(reduce(lambda a, b: a & b, clauses)) if clauses else df

@@ -112,6 +112,7 @@ def validate_entries(entries: DataFrame, as_of: datetime | Column | None = None,
         s_("level").alias("level"),
         s_("service").alias("service"),
         s_("message").alias("message"),
-        # Stored JSON text of the attributes, for accepted entries only.
+        # The attributes of accepted entries, as JSON text and as the VARIANT the store keeps.
         F.when(reason.isNull(), F.coalesce(F.to_json(F.col("_v_attributes")), F.lit("{}"))).alias("attributes"),
+        F.when(reason.isNull(), F.coalesce(F.col("_v_attributes"), F.parse_json(F.lit("{}")))).alias("attributes_v"),
     )

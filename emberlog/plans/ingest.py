@@ -114,7 +114,7 @@ def validate_parsed(parsed: DataFrame, batch_id: int, as_of: datetime | None = N
     validated = checked.select(
         "doc_id", "entry_index", "envelope_error", "auth_error", reason.alias("reason"),
         # The raw entry text is kept for rejections only.
-        F.when(reason.isNotNull(), F.to_json("v")).alias("raw"), *LOG_COLUMNS,
+        F.when(reason.isNotNull(), F.to_json("v")).alias("raw"), *LOG_COLUMNS, "attributes_v",
     )
     return frames_of(parsed, validated)
 
@@ -131,9 +131,9 @@ def frames_of(parsed: DataFrame, validated: DataFrame) -> BatchFrames:
     """Accepted rows, rejections and per-document receipts, all from ``validated``
     (which holds one placeholder row per refused or empty document)."""
     entry = F.col("entry_index").isNotNull()
-    accepted = validated.where(entry & F.col("reason").isNull()).select(
-        *LOG_COLUMNS, F.to_date("ts").alias("dt")
-    )
+    # Stored rows keep the attributes as VARIANT: probes need no JSON parsing.
+    stored = [F.col("attributes_v").alias("attributes") if c == "attributes" else F.col(c) for c in LOG_COLUMNS]
+    accepted = validated.where(entry & F.col("reason").isNull()).select(*stored, F.to_date("ts").alias("dt"))
     rejected = validated.where(entry & F.col("reason").isNotNull()).select(
         "doc_id", "entry_index", "reason", "raw"
     )

@@ -13,6 +13,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from emberlog.functions.timefns import iso_ms
+from emberlog.operators.listing import attributes_text
 from emberlog.operators.report import reconcile
 from emberlog.operators.rollup import compact
 from emberlog.plans import oracle as O
@@ -68,7 +69,8 @@ STREAM_LOGS_SQL = O.with_logs(
 @register("stream_ingest", STREAM_LOGS_SQL)
 def q_stream_ingest(spark, sf_dir):
     logs = stream_store(spark, sf_dir).logs(spark)
-    return logs.select(iso_ms("ts").alias("ts"), "level", "service", "message", "attributes", "tenant_id")
+    return logs.select(iso_ms("ts").alias("ts"), "level", "service", "message",
+                       attributes_text(logs).alias("attributes"), "tenant_id")
 
 
 ROLLUP_SQL = O.with_logs(

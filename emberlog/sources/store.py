@@ -2,7 +2,7 @@
 
 Layout under one root (a shared, cluster-visible folder)::
 
-    logs/dt=YYYY-MM-DD/batch_id=N/      id ts level service message attributes tenant_id
+    logs/dt=YYYY-MM-DD/batch_id=N/      id ts level service message attributes(variant) tenant_id
     log_counts/dt=.../batch_id=N/       bucket_ts service level tenant_id n   (additive partials)
     rejected/batch_id=N/                doc_id entry_index reason raw
     receipts/batch_id=N/                doc_id accepted rejected status
@@ -26,6 +26,11 @@ from emberlog import schema as S
 from emberlog.functions.sizing import is_small
 
 MAX_BROADCAST_COMMIT_ROWS = 5_000_000
+# Stored log rows: attributes as VARIANT (typed values, direct path lookups).
+STORED_LOGS_DDL = (
+    "id bigint, ts timestamp, level string, service string, message string, attributes variant, "
+    "tenant_id string, dt date, batch_id bigint"
+)
 
 
 @dataclass(frozen=True)
@@ -112,9 +117,7 @@ class LogStore:
         return out.join(side(self.retired(spark)), ["batch_id", "dt"], "left_anti")
 
     def raw_logs(self, spark: SparkSession) -> DataFrame:
-        return self._read(
-            spark, "logs", S.LOGS_SCHEMA.simpleString()[7:-1] + ",dt date,batch_id bigint"
-        )
+        return self._read(spark, "logs", STORED_LOGS_DDL)
 
     def raw_counts(self, spark: SparkSession) -> DataFrame:
         return self._read(

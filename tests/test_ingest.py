@@ -160,6 +160,28 @@ def test_staged_batch_equals_cached_batch(spark, tmp_root):
                            ("b", {"logs": [entry("2026-07-20T14:02:00Z")]})])
     s1, s2 = LogStore(tmp_root + "/cached"), LogStore(tmp_root + "/staged")
     assert ingest_batch(s1, docs, 3, as_of=AS_OF) == ingest_batch(s2, docs, 3, as_of=AS_OF, stage=True)
-    a = sorted(tuple(r) for r in s1.logs(spark).drop("dt").collect())
-    b = sorted(tuple(r) for r in s2.logs(spark).drop("dt").collect())
+    a = sorted(tuple(r) for r in s1.logs(spark).drop("dt").withColumn("attributes", F.to_json("attributes")).collect())
+    b = sorted(tuple(r) for r in s2.logs(spark).drop("dt").withColumn("attributes", F.to_json("attributes")).collect())
     assert a == b and len(a) == 2
+
+
+def test_typed_probes_on_stored_variant_attributes(spark, tmp_root):
+    from emberlog.operators.listing import list_rows, render_rows
+    from emberlog.spec import ListSpec, LogFilter
+
+    store = LogStore(tmp_root)
+    attrs = [{"retries": 2}, {"retries": "2"}, {"retries": 2.0}, {"retries": True}, {"a'b": 1, "retries": "x"}]
+    docs = docs_df(spark, [("a", {"logs": [entry(f"2026-07-20T14:0{i}:00Z", attrs=a) for i, a in enumerate(attrs)]})])
+    ingest_batch(store, docs, 1, as_of=AS_OF)
+    logs = store.logs(spark)
+
+    def n(**kw):
+        return list_rows(logs, ListSpec(LogFilter(attrs=tuple(kw.items())), limit=1000)).count()
+
+    assert n(retries="2") == 3 and n(retries="02") == 2 and n(retries="true") == 1 and n(retries="x") == 1
+    assert list_rows(logs, ListSpec(LogFilter(attrs=(("a'b", "1"),)))).count() == 1
+    plan = list_rows(logs, ListSpec(LogFilter(attrs=(("retries", "2"),))))._jdf.queryExecution() \
+        .executedPlan().toString()
+    assert "from_json" not in plan and "variant_get" in plan
+    texts = sorted(r["attributes"] for r in render_rows(list_rows(logs, ListSpec())).collect())
+    assert """{"a'b":1,"retries":"x"}""" in texts and '{"retries":2}' in texts
