@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from emberlog.functions.timefns import bucket_start, ceil_second, floor_second, iso_ms
-from emberlog.operators.predicates import apply_filter, day_bounds, filter_clauses
+from emberlog.operators.predicates import apply_filter, day_bounds
 from emberlog.spec import ALL_TENANTS, AggregateSpec, LogFilter
 
 BUCKET_COLUMNS = ["bucket_start", "group_name", "count"]
@@ -82,4 +82,4 @@ def render_buckets(df: DataFrame) -> DataFrame:
     )
 
 
-__all__ = ["scan_counts", "rollup_counts", "bucket_counts", "render_buckets", "filter_clauses"]
+__all__ = ["scan_counts", "rollup_counts", "bucket_counts", "render_buckets"]

@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from emberlog import schema as S
-from emberlog.functions.timefns import iso_ms
 from emberlog.operators.access import key_rows, seed_keys, stamp_tenant, verdicts
 from emberlog.operators.aggregate import render_buckets, rollup_counts
 from emberlog.operators.retention import cutoff_of, expire, expired_count
@@ -163,7 +162,6 @@ def q_retention_counts(spark, sf_dir):
     return render_buckets(rollup_counts(kept, kept_counts, RET_SPEC))
 
 
-__all__ = ["iso_ms"]
 
 
 # ---------------------------------------------------------------------------
