@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
 
 from emberlog import schema as S
+from emberlog.operators.access import verdicts
 from emberlog.operators.aggregate import bucket_counts, render_buckets
 from emberlog.operators.listing import fetch_page_by_days
 from emberlog.operators.retention import expire_store
@@ -67,6 +68,27 @@ class LogService:
         """Buckets (bucket_start ISO text, group_name, count), oldest first."""
         return render_buckets(bucket_counts(self.logs(), self.counts(), spec, tenant))
 
+    # -- access -------------------------------------------------------------
+    def scope_of(self, keys: DataFrame, api_key: str | None, need: str = "query"):
+        """(verdict, tenant scope) of one caller: the verdict join on a one-row
+        request. With access on, a key without tenant reads rows without tenant."""
+        req = self.spark.createDataFrame([(api_key,)], "api_key string")
+        row = verdicts(req, keys, need).select("verdict", "key_tenant").first()
+        return row["verdict"], row["key_tenant"]
+
+    def list_for_key(self, keys: DataFrame, api_key: str | None, spec: ListSpec = ListSpec()):
+        """A page as the holder of ``api_key`` sees it; raises PermissionError on 401/403."""
+        verdict, tenant = self.scope_of(keys, api_key, "query")
+        if verdict != S.VERDICT_OK:
+            raise PermissionError(verdict)
+        return self.list(spec, tenant)
+
+    def aggregate_for_key(self, keys: DataFrame, api_key: str | None, spec: AggregateSpec) -> DataFrame:
+        verdict, tenant = self.scope_of(keys, api_key, "query")
+        if verdict != S.VERDICT_OK:
+            raise PermissionError(verdict)
+        return self.aggregate(spec, tenant)
+
     # -- upkeep -------------------------------------------------------------
     def expire(self, as_of: datetime, hours: int = S.RETENTION_HOURS_DEFAULT) -> int:
         return expire_store(self.store, as_of, hours, self.spark)

@@ -79,3 +79,30 @@ def test_tenant_isolation(spark, tmp_root):
     got = render_buckets(bucket_counts(logs, store.counts(spark), spec, tenant="a")).collect()
     assert got[0]["count"] == 2
     assert list_rows(logs, ListSpec(LogFilter()), tenant=None).count() == 0
+
+
+def test_service_scopes_reads_by_key(spark, tmp_root):
+    import pytest
+
+    from emberlog.service import LogService
+
+    svc = LogService(spark, tmp_root)
+    keys = key_rows(keys_df(spark))
+    docs = spark.createDataFrame(
+        [("d1", json.dumps({"logs": [{"timestamp": "2026-07-20T14:01:00Z", "level": "info", "service": "s",
+                                      "message": m} for m in ("a1", "a2")]}), "tenant-a-key"),
+         ("d2", json.dumps({"logs": [{"timestamp": "2026-07-20T14:02:00Z", "level": "info", "service": "s",
+                                      "message": "b1"}]}), "tenant-b-key")],
+        "doc_id string, value string, api_key string",
+    )
+    svc.ingest(docs, 1, as_of=AS_OF, keys=keys)
+    rows, _ = svc.list_for_key(keys, "tenant-a-key")
+    assert sorted(r["message"] for r in rows) == ["a1", "a2"]
+    assert svc.list_for_key(keys, "test-loadgen-secret")[0] == []  # no tenant: rows without tenant
+    with pytest.raises(PermissionError, match="403"):
+        svc.list_for_key(keys, "ingest-only-key")
+    with pytest.raises(PermissionError, match="401"):
+        svc.list_for_key(keys, None)
+    spec = AggregateSpec("2026-07-20T14:00:00Z", "2026-07-20T15:00:00Z", "1m")
+    assert [tuple(r) for r in svc.aggregate_for_key(keys, "tenant-b-key", spec).collect()] == [
+        ("2026-07-20T14:02:00.000Z", None, 1)]
