@@ -1,9 +1,13 @@
 """Exact rank of every row inside its group without a single-partition window.
 
 Rows are range-partitioned on (group, order) so even a group holding a third
-of the table is spread over many tasks; each task numbers its rows in order,
-a small per-(partition, group) count table gives every partition its offset
-inside the group, and offset + local position is the global rank.
+of the table is spread over many tasks. Each task sorts its slice and
+numbers the rows (``monotonically_increasing_id``: partition id in the upper
+31 bits, record number in the lower 33, as documented). A small table of row
+counts per (partition, group) — at most partitions + groups rows, built
+without sorting — gives each slice of a group its start inside the
+partition and its offset inside the group; start + offset + position is the
+global rank. The range exchange is computed once and read by both branches.
 """
 
 from __future__ import annotations
@@ -24,29 +28,29 @@ def with_rank(df: DataFrame, order: list[Column], group_cols: list[str] | None =
     group_cols = list(group_cols or [])
     spark = df.sparkSession
     n = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    keys = [F.col(g).asc_nulls_first() for g in group_cols] + list(order)
-    ranged = (
-        df.repartitionByRange(n, *keys)
-        .sortWithinPartitions(*keys)
-        .withColumn("_pid", F.spark_partition_id())
-        .withColumn("_mid", F.monotonically_increasing_id())
+    group_order = [F.col(g).asc_nulls_first() for g in group_cols]
+    keys = group_order + list(order)
+    ranged = df.repartitionByRange(n, *keys).withColumn("_pid", F.spark_partition_id())
+
+    stats = ranged.groupBy("_pid", *group_cols).agg(F.count(F.lit(1)).alias("_cnt"))
+    # Rows of earlier groups in the same partition (groups sorted as in the range order).
+    in_part = Window.partitionBy("_pid").orderBy(*group_order).rowsBetween(Window.unboundedPreceding, -1)
+    # Rows of the same group in earlier partitions.
+    earlier = Window.partitionBy(*group_cols).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
+    stats = stats.select(
+        "_pid", *group_cols,
+        F.coalesce(F.sum("_cnt").over(in_part), F.lit(0)).alias("_start"),
+        F.coalesce(F.sum("_cnt").over(earlier), F.lit(0)).alias("_off"),
+        *([F.sum("_cnt").over(Window.partitionBy(*group_cols)).alias(total_col)] if total_col else []),
     )
-    stats = ranged.groupBy("_pid", *group_cols).agg(
-        F.min("_mid").alias("_base"), F.count(F.lit(1)).alias("_cnt")
-    )
-    before = Window.partitionBy(*group_cols).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
-    stats = stats.withColumn("_off", F.coalesce(F.sum("_cnt").over(before), F.lit(0)))
-    if total_col:
-        stats = stats.withColumn(total_col, F.sum("_cnt").over(Window.partitionBy(*group_cols)))
-    stats = stats.drop("_cnt")
-    # Stats has one row per (partition, group): at most partitions + groups rows.
     renamed = stats.select([F.col(c).alias(f"_s_{c}") for c in stats.columns])
-    cond = [ranged["_pid"] == renamed["_s__pid"]] + [
-        ranged[g].eqNullSafe(renamed[f"_s_{g}"]) for g in group_cols
+    numbered = ranged.sortWithinPartitions(*keys).withColumn("_mid", F.monotonically_increasing_id())
+    cond = [numbered["_pid"] == renamed["_s__pid"]] + [
+        numbered[g].eqNullSafe(renamed[f"_s_{g}"]) for g in group_cols
     ]
-    joined = ranged.join(maybe_broadcast(renamed), reduce(lambda a, b: a & b, cond))
-    out = joined.withColumn(rank_col, F.col("_mid") - F.col("_s__base") + F.col("_s__off"))
+    joined = numbered.join(maybe_broadcast(renamed), reduce(lambda a, b: a & b, cond))
+    position = F.col("_mid") - F.shiftleft(F.col("_pid").cast("bigint"), 33) - F.col("_s__start")
+    out = joined.withColumn(rank_col, position + F.col("_s__off"))
     if total_col:
         out = out.withColumn(total_col, F.col(f"_s_{total_col}"))
     return out.drop("_pid", "_mid", *renamed.columns)
-

@@ -17,10 +17,10 @@ def test_percentiles_match_brute_force(spark):
     rnd = random.Random(3)
     rows = [("hot", float(rnd.randint(0, 50))) for _ in range(900)]
     rows += [(g, rnd.random() * 100) for g in ("a", "b", "c") for _ in range(rnd.randint(1, 300))]
-    rows += [("one", 7.0)]
+    rows += [("one", 7.0)] + [(None, float(k % 7)) for k in range(40)]
     df = spark.createDataFrame(rows, "g string, v double").repartition(6)
     got = {r["g"]: r for r in percentiles(df, "v", ["g"], (50, 95, 99)).collect()}
-    for g in {r[0] for r in rows}:
+    for g in {r[0] for r in rows}:  # includes the NULL group
         vals = [v for gg, v in rows if gg == g]
         assert got[g]["n"] == len(vals)
         for p in (50, 95, 99):
