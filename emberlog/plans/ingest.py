@@ -189,10 +189,14 @@ def ingest_batch(store: LogStore, docs: DataFrame, batch_id: int, as_of: datetim
         store.write_partitions(counts, "log_counts", ["dt", "batch_id"], "bucket_ts")
         store.write_partitions(frames.rejected.withColumn("batch_id", b), "rejected", ["batch_id"])
         store.write_partitions(frames.receipts.withColumn("batch_id", b), "receipts", ["batch_id"])
-        totals = store.raw_receipts(spark).where(F.col("batch_id") == batch_id).agg(
-            F.sum("accepted").alias("accepted"), F.sum("rejected").alias("rejected"),
-            F.count_if(F.col("status") == "bad_batch").alias("bad_documents"),
-            F.count_if(F.col("status") == "denied").alias("denied_documents"),
+        entry = F.col("entry_index").isNotNull()
+        doc_row = F.col("entry_index").isNull()  # one placeholder row per refused or empty document
+        totals = validated.agg(
+            F.count_if(entry & F.col("reason").isNull()).alias("accepted"),
+            F.count_if(entry & F.col("reason").isNotNull()).alias("rejected"),
+            F.count_if(doc_row & F.col("envelope_error").isNotNull() & F.col("auth_error").isNull())
+            .alias("bad_documents"),
+            F.count_if(doc_row & F.col("auth_error").isNotNull()).alias("denied_documents"),
         ).collect()[0]
         store.commit(spark, batch_id)
         out = {k: int(totals[k] or 0) for k in ("accepted", "rejected", "bad_documents")}
