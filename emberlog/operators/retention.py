@@ -83,7 +83,7 @@ def expire_store(store, as_of: datetime, hours: int = S.RETENTION_HOURS_DEFAULT,
     if not parts:
         return 0
     removed = int(logs.where(F.col("ts") < F.lit(cut)).count())
-    new_batch = int(store.commits(spark).agg(F.max("batch_id")).first()[0]) + 1
+    new_batch = store.next_maintenance_batch(spark)
     b = F.lit(new_batch).cast("bigint")
     kept = logs.where((F.col("dt") == day) & (F.col("ts") >= F.lit(cut))).drop("batch_id").withColumn("batch_id", b)
     store.write_partitions(kept, "logs", ["dt", "batch_id"], "ts")

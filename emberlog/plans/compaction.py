@@ -42,7 +42,7 @@ def compact_days(store: LogStore, days: list[str] | None = None, batch_id: int |
     if not todo:
         return {"days": 0, "retired": 0, "compacted": False}
     if batch_id is None:
-        batch_id = int(store.commits(spark).agg(F.max("batch_id")).first()[0]) + 1
+        batch_id = store.next_maintenance_batch(spark)
     rows = sum(n for d, _, n in parts if d in todo)
     files = max(len(todo), math.ceil(rows / rows_per_file))
     b = F.lit(batch_id).cast("bigint")

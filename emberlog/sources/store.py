@@ -8,7 +8,8 @@ Layout under one root (a shared, cluster-visible folder)::
     receipts/batch_id=N/                doc_id accepted rejected status
     commits/batch_id=N/                 committed, retires_batch, retires_dt   (written last)
 
-A batch becomes visible only once its commit marker exists; a replayed batch
+Ingest batches have non-negative ids, maintenance batches (compaction,
+retention) negative ones. A batch becomes visible only once its commit marker exists; a replayed batch
 overwrites its own partitions (dynamic partition overwrite), so retries never
 double rows or counts. A compaction batch's marker also names the
 (batch, day) partitions it replaces; readers drop those in the same step, so
@@ -97,6 +98,16 @@ class LogStore:
             )
         self.write_partitions(df.coalesce(1), "commits", ["batch_id"])
 
+    def next_maintenance_batch(self, spark: SparkSession) -> int:
+        """A fresh id for a compaction or retention batch.
+
+        Maintenance batches take negative ids, so they never meet the ids of
+        ingest batches (stream epochs count up from a non-negative base) even
+        while a stream keeps writing.
+        """
+        low = self.commits(spark).agg(F.min("batch_id")).first()[0]
+        return min(0, int(low) if low is not None else 0) - 1
+
     def days(self, spark: SparkSession) -> list[str]:
         """Day partitions of the log table, newest first (a directory listing)."""
         jvm = spark.sparkContext._jvm
