@@ -156,7 +156,8 @@ def frames_of(parsed: DataFrame, validated: DataFrame) -> BatchFrames:
 
 
 def ingest_batch(store: LogStore, docs: DataFrame, batch_id: int, as_of: datetime | None = None,
-                 tenant: str | None = None, keys: DataFrame | None = None, stage: bool = False) -> dict:
+                 tenant: str | None = None, keys: DataFrame | None = None, stage: bool = False,
+                 totals: bool = True) -> dict:
     """Validate and write one batch; returns accepted/rejected/bad-document totals.
 
     Order: logs, rollup partials (of the same rows), rejections, receipts,
@@ -168,6 +169,7 @@ def ingest_batch(store: LogStore, docs: DataFrame, batch_id: int, as_of: datetim
     recomputed from the input, which gives the same ids). With ``stage`` the
     validated rows are instead written once to the shared checkpoint folder
     and read back, which cuts the lineage for very large batches.
+    ``totals=False`` skips the summary job (streams read receipts instead).
     """
     spark = docs.sparkSession
     parsed = parse_batch(docs, tenant, keys).persist(StorageLevel.MEMORY_AND_DISK)
@@ -189,9 +191,12 @@ def ingest_batch(store: LogStore, docs: DataFrame, batch_id: int, as_of: datetim
         store.write_partitions(counts, "log_counts", ["dt", "batch_id"], "bucket_ts")
         store.write_partitions(frames.rejected.withColumn("batch_id", b), "rejected", ["batch_id"])
         store.write_partitions(frames.receipts.withColumn("batch_id", b), "receipts", ["batch_id"])
+        if not totals:
+            store.commit(spark, batch_id)
+            return {}
         entry = F.col("entry_index").isNotNull()
         doc_row = F.col("entry_index").isNull()  # one placeholder row per refused or empty document
-        totals = validated.agg(
+        summary = validated.agg(
             F.count_if(entry & F.col("reason").isNull()).alias("accepted"),
             F.count_if(entry & F.col("reason").isNotNull()).alias("rejected"),
             F.count_if(doc_row & F.col("envelope_error").isNotNull() & F.col("auth_error").isNull())
@@ -199,9 +204,9 @@ def ingest_batch(store: LogStore, docs: DataFrame, batch_id: int, as_of: datetim
             F.count_if(doc_row & F.col("auth_error").isNotNull()).alias("denied_documents"),
         ).collect()[0]
         store.commit(spark, batch_id)
-        out = {k: int(totals[k] or 0) for k in ("accepted", "rejected", "bad_documents")}
-        if totals["denied_documents"]:
-            out["denied_documents"] = int(totals["denied_documents"])
+        out = {k: int(summary[k] or 0) for k in ("accepted", "rejected", "bad_documents")}
+        if summary["denied_documents"]:
+            out["denied_documents"] = int(summary["denied_documents"])
         return out
     finally:
         if validated is not None and not stage:

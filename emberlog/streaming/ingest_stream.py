@@ -57,7 +57,8 @@ def start_ingest(docs: DataFrame, store: LogStore, checkpoint_location: str,
     """
 
     def write(batch: DataFrame, epoch_id: int) -> None:
-        ingest_batch(store, batch, batch_base + int(epoch_id), as_of=as_of, tenant=tenant, keys=keys)
+        ingest_batch(store, batch, batch_base + int(epoch_id), as_of=as_of, tenant=tenant, keys=keys,
+                     totals=False)
 
     w = docs.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint_location)
     if query_name:
