@@ -43,13 +43,20 @@ class LogStore:
 
     # -- writers ----------------------------------------------------------
     def write_partitions(self, df: DataFrame, table: str, partition_cols: list[str],
-                         sort_col: str | None = None) -> None:
+                         sort_col: str | None = None, cluster: bool = True) -> None:
         """Dynamic partition overwrite of the partitions present in ``df``.
 
-        With ``sort_col`` rows are sorted inside each task by partition then
-        ``sort_col``, so Parquet row groups carry tight min/max ranges on it.
+        With ``sort_col`` the rows are first range-partitioned on (day,
+        ``sort_col``): each task then holds one contiguous time slice and
+        writes one or two day directories instead of one file per day it
+        happens to hold; a hot day is split over many tasks, and AQE merges
+        slices that are too small. Rows are sorted inside each task, so
+        Parquet row groups carry tight min/max ranges on ``sort_col``.
         """
         if sort_col:
+            if cluster:
+                keys = [c for c in partition_cols if c != "batch_id"] + [sort_col]
+                df = df.repartitionByRange(*keys)
             df = df.sortWithinPartitions(*partition_cols, sort_col)
         (
             df.write.mode("overwrite")
