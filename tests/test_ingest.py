@@ -170,8 +170,10 @@ def test_typed_probes_on_stored_variant_attributes(spark, tmp_root):
     from emberlog.spec import ListSpec, LogFilter
 
     store = LogStore(tmp_root)
-    attrs = [{"retries": 2}, {"retries": "2"}, {"retries": 2.0}, {"retries": True}, {"a'b": 1, "retries": "x"}]
+    attrs = [{"retries": 2}, {"retries": "2"}, {"retries": 2.0}, {"retries": True}, {"a'b": 1, "retries": "x"},
+             {"a]b": "v", "a.b": 5, "ü": False, "back\\slash": "y"}]
     docs = docs_df(spark, [("a", {"logs": [entry(f"2026-07-20T14:0{i}:00Z", attrs=a) for i, a in enumerate(attrs)]})])
+    assert len(attrs) <= 10
     ingest_batch(store, docs, 1, as_of=AS_OF)
     logs = store.logs(spark)
 
@@ -180,6 +182,8 @@ def test_typed_probes_on_stored_variant_attributes(spark, tmp_root):
 
     assert n(retries="2") == 3 and n(retries="02") == 2 and n(retries="true") == 1 and n(retries="x") == 1
     assert list_rows(logs, ListSpec(LogFilter(attrs=(("a'b", "1"),)))).count() == 1
+    for key, value in (("a]b", "v"), ("a.b", "5"), ("ü", "false"), ("back\\slash", "y")):
+        assert list_rows(logs, ListSpec(LogFilter(attrs=((key, value),)))).count() == 1, key
     plan = list_rows(logs, ListSpec(LogFilter(attrs=(("retries", "2"),))))._jdf.queryExecution() \
         .executedPlan().toString()
     assert "from_json" not in plan and "variant_get" in plan
