@@ -15,6 +15,7 @@ from emberlog import schema as S
 from emberlog.operators.access import verdicts
 from emberlog.operators.aggregate import bucket_counts, render_buckets
 from emberlog.operators.listing import fetch_page_by_days
+from emberlog.operators.report import reconcile
 from emberlog.operators.retention import expire_store
 from emberlog.plans.compaction import compact_days
 from emberlog.plans.ingest import ingest_batch
@@ -60,6 +61,18 @@ class LogService:
     def counts(self) -> DataFrame:
         return self.store.counts(self.spark)
 
+    def receipts(self) -> DataFrame:
+        """Per-document outcome of committed batches (accepted, rejected, status, error)."""
+        return self.store.receipts(self.spark)
+
+    def rejected(self) -> DataFrame:
+        """Rejected entries of committed batches with their reasons."""
+        return self.store.rejected(self.spark)
+
+    def reconcile(self) -> DataFrame:
+        """Per batch: accepted according to receipts vs rows visible."""
+        return reconcile(self.receipts(), self.logs())
+
     def list(self, spec: ListSpec = ListSpec(), tenant=ALL_TENANTS) -> tuple[list, Bookmark | None]:
         """One page newest first and the bookmark of the next page (or None)."""
         return fetch_page_by_days(self.logs(), self.store.days(self.spark), spec, tenant)

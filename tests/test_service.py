@@ -28,6 +28,8 @@ def test_service_end_to_end(spark, tmp_root):
     svc = LogService(spark, os.path.join(tmp_root, "store"))
     res = svc.ingest_files(src, 1, as_of=utc(2026, 7, 20, 15))
     assert res == {"accepted": 6, "rejected": 0, "bad_documents": 0}
+    assert [tuple(r) for r in svc.reconcile().collect()] == [(1, 6, 6, True)]
+    assert svc.receipts().count() == 6 and svc.rejected().count() == 0
     w = ("2026-07-20T14:00:00Z", "2026-07-20T14:05:00Z")
     got = [tuple(r) for r in svc.aggregate(AggregateSpec(*w, "1m", "service")).collect()]
     assert got == [("2026-07-20T14:01:00.000Z", "auth", 2), ("2026-07-20T14:01:00.000Z", "checkout", 3),

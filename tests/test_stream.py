@@ -63,3 +63,24 @@ def test_size_bounded_batches_with_processing_time_trigger(spark, tmp_root):
         q.stop()
     assert store.logs(spark).count() == 4
     assert store.commits(spark).count() == 2  # two documents per micro-batch
+
+
+def test_stream_with_key_check(spark, tmp_root):
+    from emberlog.operators.access import key_rows
+
+    keys = key_rows(spark.createDataFrame(
+        [("k-a", "a", ["ingest", "query"], "a"), ("k-q", "q", ["query"], None)],
+        "key string, name string, scopes array<string>, tenant_id string"))
+    src, store = f"{tmp_root}/in", LogStore(f"{tmp_root}/store")
+    rows = [("d1", json.dumps({"logs": [e("2026-07-20T14:01:00Z")]}), None, "k-a"),
+            ("d2", json.dumps({"logs": [e("2026-07-20T14:02:00Z")]}), None, "k-q"),
+            ("d3", json.dumps({"logs": [e("2026-07-20T14:03:00Z")]}), None, "nope")]
+    spark.createDataFrame(rows, "doc_id string, value string, tenant_id string, api_key string") \
+        .coalesce(1).write.parquet(src)
+    q = start_ingest(document_stream(spark, src, "parquet"), store, f"{tmp_root}/ckpt", as_of=AS_OF, keys=keys)
+    run_to_end(q, 120)
+    assert [(r["tenant_id"], r["ts"].minute) for r in store.logs(spark).collect()] == [("a", 1)]
+    rec = {r["doc_id"]: (r["status"], r["error"]) for r in store.receipts(spark).collect()}
+    assert rec == {"d1": ("accepted", None),
+                   "d2": ("denied", "403 insufficient permissions: scope 'ingest' required"),
+                   "d3": ("denied", "401 invalid api key")}
