@@ -48,11 +48,11 @@ def compact_days(store: LogStore, days: list[str] | None = None, batch_id: int |
     b = F.lit(batch_id).cast("bigint")
     in_todo = F.col("dt").isin([F.lit(d).cast("date") for d in todo])
     merged = logs.where(in_todo).drop("batch_id").repartitionByRange(files, "ts").withColumn("batch_id", b)
-    store.write_partitions(merged, "logs", ["dt", "batch_id"], "ts", cluster=False)
+    store.write_partitions(merged, "logs", ["dt", "batch_id"], "ts")
     counts = compact(store.counts(spark).where(in_todo))
     counts = counts.withColumn("dt", F.to_date("bucket_ts")).withColumn("batch_id", b)
     store.write_partitions(counts.repartitionByRange(len(todo), "bucket_ts"), "log_counts", ["dt", "batch_id"],
-                           "bucket_ts", cluster=False)
+                           "bucket_ts")
     retires = [(old, d) for d in todo for old in per_day[d]]
     store.commit(spark, batch_id, retires=retires)
     for table in ("logs", "log_counts"):

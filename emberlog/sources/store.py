@@ -43,15 +43,16 @@ class LogStore:
 
     # -- writers ----------------------------------------------------------
     def write_partitions(self, df: DataFrame, table: str, partition_cols: list[str],
-                         sort_col: str | None = None, cluster: bool = True) -> None:
+                         sort_col: str | None = None, cluster: bool = False) -> None:
         """Dynamic partition overwrite of the partitions present in ``df``.
 
-        With ``sort_col`` the rows are first range-partitioned on (day,
-        ``sort_col``): each task then holds one contiguous time slice and
-        writes one or two day directories instead of one file per day it
-        happens to hold; a hot day is split over many tasks, and AQE merges
-        slices that are too small. Rows are sorted inside each task, so
-        Parquet row groups carry tight min/max ranges on ``sort_col``.
+        Rows are sorted inside each task by partition then ``sort_col``, so
+        Parquet row groups carry tight min/max ranges on it. ``cluster`` first
+        range-partitions on (day, ``sort_col``) so each task writes one time
+        slice (one or two day directories; a hot day is split over many
+        tasks). It costs a shuffle, so ingest leaves it off — a live stream's
+        batch mostly covers one day — and a backfill over many days is folded
+        by day compaction instead.
         """
         if sort_col:
             if cluster:
