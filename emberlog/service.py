@@ -79,7 +79,9 @@ class LogService:
 
     def aggregate(self, spec: AggregateSpec, tenant=ALL_TENANTS) -> DataFrame:
         """Buckets (bucket_start ISO text, group_name, count), oldest first."""
-        return render_buckets(bucket_counts(self.logs(), self.counts(), spec, tenant))
+        small = self.store.commits_are_small(self.spark)
+        logs, counts = self.store.logs(self.spark, small), self.store.counts(self.spark, small)
+        return render_buckets(bucket_counts(logs, counts, spec, tenant))
 
     # -- access -------------------------------------------------------------
     def scope_of(self, keys: DataFrame, api_key: str | None, need: str = "query"):

@@ -126,11 +126,15 @@ class LogStore:
         names = [st.getPath().getName() for st in fs.listStatus(root) if st.isDirectory()]
         return sorted((n[3:] for n in names if n.startswith("dt=")), reverse=True)
 
-    def _visible(self, spark: SparkSession, raw: DataFrame) -> DataFrame:
+    def commits_are_small(self, spark: SparkSession) -> bool:
+        """One size check of the commit markers (batches + retired partitions)."""
+        return is_small(self._commit_rows(spark), MAX_BROADCAST_COMMIT_ROWS)
+
+    def _visible(self, spark: SparkSession, raw: DataFrame, small: bool | None = None) -> DataFrame:
         """Semi join on committed batches, anti join on retired (batch, day)
         partitions. Both lists come from the commit markers (one row per batch
         or retired partition); one size check covers both broadcasts."""
-        small = is_small(self._commit_rows(spark), MAX_BROADCAST_COMMIT_ROWS)
+        small = self.commits_are_small(spark) if small is None else small
         side = F.broadcast if small else (lambda df: df)
         out = raw.join(side(self.commits(spark)), "batch_id", "left_semi")
         return out.join(side(self.retired(spark)), ["batch_id", "dt"], "left_anti")
@@ -143,13 +147,14 @@ class LogStore:
             spark, "log_counts", S.COUNTS_SCHEMA.simpleString()[7:-1] + ",dt date,batch_id bigint"
         )
 
-    def logs(self, spark: SparkSession) -> DataFrame:
+    def logs(self, spark: SparkSession, small: bool | None = None) -> DataFrame:
         """Committed, not compacted-away logs (J4). ``batch_id`` and ``dt`` are
-        partition columns, so the joins also prune partitions at run time."""
-        return self._visible(spark, self.raw_logs(spark))
+        partition columns, so the joins also prune partitions at run time.
+        ``small``: a result of ``commits_are_small`` already at hand."""
+        return self._visible(spark, self.raw_logs(spark), small)
 
-    def counts(self, spark: SparkSession) -> DataFrame:
-        return self._visible(spark, self.raw_counts(spark))
+    def counts(self, spark: SparkSession, small: bool | None = None) -> DataFrame:
+        return self._visible(spark, self.raw_counts(spark), small)
 
     def raw_rejected(self, spark: SparkSession) -> DataFrame:
         return self._read(spark, "rejected", "doc_id string,entry_index int,reason string,raw string,batch_id bigint")
