@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -18,7 +19,8 @@ from pyspark.sql import types as T
 from emberlog.llm.bpe_tables import CACHE_WORD_CHARS, new_words, runs_of, split, split_all, tables
 from emberlog.llm.common import require, without
 
-CACHE_WORDS = 300_000
+CACHE_WORDS = 500_000
+BATCH_BYTES = 8_000_000
 
 
 class BpeCodec:
@@ -30,44 +32,52 @@ class BpeCodec:
         self._ids: dict[str, bytes] = {}
         self.proposed = self.failed = 0
 
-    def _propose(self, word: bytes) -> list[int]:
-        """Greedy longest match from left to right."""
-        id_of, longest = self.t.id_of, self.t.longest
-        whole = id_of.get(word)
-        if whole is not None:
-            return [whole]
-        out, i, n = [], 0, len(word)
-        while i < n:
-            j = min(n, i + longest.get(word[i:i + 2], 1))
-            while (token := id_of.get(word[i:j])) is None:
-                j -= 1
-            out.append(token)
-            i = j
+    def _propose(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Greedy longest match from left to right, as (all ids in order, ids per word)."""
+        if all(len(w) <= 4 * CACHE_WORD_CHARS for w in words):
+            return self.t.longest_matches(words)
+        found = [self._propose_one(w) for w in words]
+        return np.array(list(chain.from_iterable(found)), dtype=np.int64), np.array(list(map(len, found)))
+
+    def _propose_one(self, word: bytes) -> list[int]:
+        step, ends = self.t.step, self.t.ends
+        out, i = [], 0
+        while i < len(word):
+            node = 0
+            for j in range(i, len(word)):
+                node = step.get(node << 8 | word[j])
+                if node is None:
+                    break
+                if ends[node] >= 0:
+                    found, end = ends[node], j + 1
+            out.append(found)
+            i = end
         return out
 
     def encode_words(self, words: list[str]) -> list[bytes]:
         """Little-endian uint32 ids of each word."""
+        if not words:
+            return []
         raw = [w.encode() for w in words]
-        proposals = [self._propose(w) for w in raw]
-        lengths = np.fromiter(map(len, proposals), dtype=np.int64, count=len(proposals))
-        flat = np.fromiter((t for p in proposals for t in p), dtype=np.int64, count=int(lengths.sum()))
+        flat, lengths = self._propose(raw)
         word_of = np.repeat(np.arange(len(words)), lengths)
         seams = np.flatnonzero(word_of[1:] == word_of[:-1])
         bad = ~self.t.compatible(flat[seams], flat[seams + 1])
         wrong = set(word_of[seams[bad]].tolist())
         self.proposed += len(words)
         self.failed += len(wrong)
-        short = [k for k in sorted(wrong) if len(raw[k]) <= CACHE_WORD_CHARS]
-        exact = dict(zip(short, self.t.merge_words([raw[k] for k in short]), strict=True)) if short else {}
-        exact |= {k: self.t.merge_exactly(raw[k]) for k in wrong if k not in exact}
-        out = []
         packed = flat.astype("<u4").tobytes()
         ends = (np.cumsum(lengths) * 4).tolist()
-        for k, (end, n) in enumerate(zip(ends, lengths.tolist(), strict=True)):
-            if k in wrong:
-                out.append(np.array(exact[k], dtype="<u4").tobytes())
-            else:
-                out.append(packed[end - 4 * n:end])
+        out = [packed[end - 4 * n:end] for end, n in zip(ends, lengths.tolist(), strict=True)]
+        short = [k for k in wrong if len(raw[k]) <= CACHE_WORD_CHARS]
+        if short:
+            ids, sizes = self.t.merge_words([raw[k] for k in short])
+            packed, ends = ids.astype("<u4").tobytes(), (np.cumsum(sizes) * 4).tolist()
+            for k, end, n in zip(short, ends, sizes.tolist(), strict=True):
+                out[k] = packed[end - 4 * n:end]
+        for k in wrong:
+            if len(raw[k]) > CACHE_WORD_CHARS:
+                out[k] = np.array(self.t.merge_exactly(raw[k]), dtype="<u4").tobytes()
         return out
 
     def encode(self, text: str, parts: list | None = None) -> bytes:
@@ -124,7 +134,7 @@ def encode_texts(df: DataFrame, vocab: str, text_col: str = "text", decode: bool
         for batch in batches:
             column = batch.column(batch.schema.get_field_index(text_col))
             rows: list[tuple] = []
-            for lo, hi in runs_of(column):
+            for lo, hi in runs_of(column, BATCH_BYTES):
                 texts = [v.as_py() or "" for v in column.slice(lo, hi - lo)]
                 parts = split_all(vocab, texts)
                 codec.learn(parts)

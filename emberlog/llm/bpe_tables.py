@@ -95,9 +95,50 @@ class BpeTables:
             stable[t] = ok and stable[a] and stable[b]
         self.id_of = {b: i for b, i in id_of.items() if stable[i]}
         self.id_of.update({bytes([b]): int(i) for b, i in enumerate(self.byte_id)})
-        self.longest: dict[bytes, int] = {}
-        for b in self.id_of:
-            self.longest[b[:2]] = max(self.longest.get(b[:2], 1), len(b))
+        # The tokens as a tree of bytes: (node << 8 | byte) -> node, and the token that ends at a node or -1.
+        self.step: dict[int, int] = {}
+        ends = [-1]
+        for b, i in sorted(self.id_of.items()):
+            node = 0
+            for byte in b:
+                node = self.step.setdefault(node << 8 | byte, len(ends))
+                if node == len(ends):
+                    ends.append(-1)
+            ends[node] = i
+        self.ends = ends
+        self._steps = np.array(sorted(self.step), dtype=np.int64)
+        self._nodes = np.array([self.step[k] for k in self._steps.tolist()], dtype=np.int64)
+        self._ends = np.array(ends, dtype=np.int64)
+
+    def longest_matches(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Greedy longest match of many non-empty short words at once, as (all ids in order, ids per word): every
+        word reads a byte per round, and takes its longest token when no token goes on."""
+        lengths = np.fromiter(map(len, words), dtype=np.int64, count=len(words))
+        data = np.append(np.frombuffer(b"".join(words), dtype=np.uint8), 0).astype(np.int64)
+        end = np.cumsum(lengths)
+        at, word = end - lengths, np.arange(len(words))
+        node, token, after = np.zeros(len(words), dtype=np.int64), np.zeros(len(words), dtype=np.int64), at.copy()
+        out, owner = [], []
+        while len(word):
+            key = node << 8 | data[at]
+            i = np.minimum(np.searchsorted(self._steps, key), len(self._steps) - 1)
+            on = (self._steps[i] == key) & (at < end)
+            node = np.where(on, self._nodes[i], 0)
+            at = at + on
+            t = self._ends[node]
+            hit = on & (t >= 0)
+            token[hit], after[hit] = t[hit], at[hit]
+            off = np.flatnonzero(~on)
+            if len(off):
+                out.append(token[off])
+                owner.append(word[off])
+                at[off] = after[off]
+                if (after[off] == end[off]).any():
+                    go = on | (after < end)
+                    word, at, end, node, token, after = word[go], at[go], end[go], node[go], token[go], after[go]
+        owner = np.concatenate(owner)
+        order = np.argsort(owner, kind="stable")
+        return np.concatenate(out)[order], np.bincount(owner, minlength=len(words))
 
     def merge_rank(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """Rank of the merge of each pair; NEVER where there is none."""
@@ -133,14 +174,14 @@ class BpeTables:
             live = live[go]
         return ok
 
-    def merge_words(self, words: list[bytes]) -> list[np.ndarray]:
-        """BPE by its definition for many short words at once: in each round every word merges its
-        leftmost pair of lowest rank; only the pairs beside a merge are looked up again."""
+    def merge_words(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """BPE by its definition for many short words at once, as (all ids in order, ids per word): in each round
+        every word merges its leftmost pair of lowest rank; only the pairs beside a merge are looked up again."""
         lengths = np.fromiter(map(len, words), dtype=np.int64, count=len(words))
         ids = self.byte_id[np.frombuffer(b"".join(words), dtype=np.uint8)]
         word = np.repeat(np.arange(len(words)), lengths)
         ranks = self._seam_ranks(ids, word, np.arange(len(ids)))
-        done: dict[int, np.ndarray] = {}
+        done_ids, done_words = [], []
         while len(ids):
             starts = np.flatnonzero(np.append(True, word[1:] != word[:-1]))
             sizes = np.diff(np.append(starts, len(ids)))
@@ -148,13 +189,12 @@ class BpeTables:
             over = best == NEVER
             if over.any():
                 ended = np.repeat(over, sizes)
-                out, owner = ids[ended], word[starts[over]]
-                done.update(zip(owner.tolist(), np.split(out, np.cumsum(sizes[over])[:-1]), strict=True))
+                done_ids.append(ids[ended])
+                done_words.append(word[ended])
                 ids, word, ranks = ids[~ended], word[~ended], ranks[~ended]
                 if not len(ids):
                     break
                 sizes, best = sizes[~over], best[~over]
-                starts = np.cumsum(sizes) - sizes
             hits = np.flatnonzero(ranks == np.repeat(best, sizes))
             at = hits[np.append(True, word[hits[1:]] != word[hits[:-1]])]
             ids[at] = self._made[ranks[at]]
@@ -162,9 +202,11 @@ class BpeTables:
             keep[at + 1] = False
             at = at - np.arange(len(at))
             ids, word, ranks = ids[keep], word[keep], ranks[keep]
-            near = np.unique(np.concatenate((at, np.maximum(at - 1, 0))))
+            near = np.concatenate((at, np.maximum(at - 1, 0)))
             ranks[near] = self._seam_ranks(ids, word, near)
-        return [done[k] for k in range(len(words))]
+        owner = np.concatenate(done_words)
+        order = np.argsort(owner, kind="stable")
+        return np.concatenate(done_ids)[order], np.bincount(owner, minlength=len(words))
 
     def _seam_ranks(self, ids: np.ndarray, word: np.ndarray, at: np.ndarray) -> np.ndarray:
         """Merge ranks of the pairs that start at the given places; NEVER at the end of a word."""

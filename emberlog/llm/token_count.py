@@ -10,7 +10,9 @@ lookup in that table, with no second encoding.
 from __future__ import annotations
 
 import re
+from array import array
 from collections.abc import Iterator
+from os.path import commonprefix
 
 import numpy as np
 import pyarrow as pa
@@ -25,7 +27,8 @@ SPACE_RUN = regex.compile(r"\p{White_Space}{2,}+")
 TWO_SPACES = re.compile(r"\s\s")
 # Suffixes the split pattern keeps whole; cut after two characters they fall apart.
 SPLIT_SUFFIXES = ("'re", "'ve", "'ll")
-CACHE_WORDS = 200_000
+CACHE_WORDS = 500_000
+BATCH_BYTES = 8_000_000
 CACHE_PAIRS = 1_000_000
 
 
@@ -36,19 +39,10 @@ class PrefixCounter:
         self.path = path
         self.t = tables(path)
         self._words: dict[str, bytes] = {}
-        self._pairs: dict[tuple[int, int], bool] = {}
-        self._states: dict[tuple[bytes, int], bytes] = {}
-        self._ends: dict[bytes, list[tuple[int, int]]] = {}
+        self._pairs: dict[int, bool] = {}
+        self._states: dict[bytes, tuple] = {}  # at most one per beginning of a token
         self._begins = {b[:k] for b in self.t.id_of for k in range(len(b) + 1)}
 
-    def _compatible(self, a: int, b: int) -> bool:
-        known = self._pairs.get((a, b))
-        if known is None:
-            if len(self._pairs) >= CACHE_PAIRS:
-                self._pairs.clear()
-            known = self._pairs[a, b] = self._walk(a, b)
-        return known
-
     def _walk(self, a: int, b: int) -> bool:
         """``BpeTables.compatible`` for one pair."""
         rank, left, right, merges = self._lists()
@@ -71,45 +65,43 @@ class PrefixCounter:
             self._as_lists = t.rank.tolist(), t.left.tolist(), t.right.tolist(), t.merge_of
         return self._as_lists
 
-    def _step(self, state: bytes, byte: int) -> bytes:
-        """Longest suffix of state + byte that some token begins with."""
-        known = self._states.get((state, byte))
-        if known is None:
-            if len(self._states) >= CACHE_PAIRS:
-                self._states.clear()
-            known = state + bytes([byte])
-            while known not in self._begins:
-                known = known[1:]
-            self._states[state, byte] = known
-        return known
-
-    def _suffixes(self, state: bytes) -> list[tuple[int, int]]:
-        """(length, token) of all tokens the state ends with, longest first."""
-        known = self._ends.get(state)
+    def _state(self, ending: bytes) -> tuple[dict, list[tuple[int, int]], bytes]:
+        """What is known after reading some bytes: next states by byte, (length, token) of all tokens that
+        end here with the longest first, and the longest ending that some token begins with."""
+        while ending not in self._begins:
+            ending = ending[1:]
+        known = self._states.get(ending)
         if known is None:
             id_of = self.t.id_of
-            known = [(len(state) - j, t) for j in range(len(state)) if (t := id_of.get(state[j:])) is not None]
-            if len(self._ends) >= CACHE_PAIRS:
-                self._ends.clear()
-            self._ends[state] = known
+            ends = [(len(ending) - j, t) for j in range(len(ending)) if (t := id_of.get(ending[j:])) is not None]
+            known = self._states[ending] = ({}, ends, ending)
         return known
 
     def _counts(self, raws: list[bytes]) -> Iterator[list[int]]:
         """Tokens of word[:i] for i = 0 .. len(word), for sorted words: a word goes on where it leaves the one before."""
-        last, count, states, before = [-1], [0], [b""], b""
-        step, suffixes, compatible = self._step, self._suffixes, self._compatible
+        start = self._state(b"")
+        last, count, states, before = [-1], [0], [start], b""
+        pairs, size, walk = self._pairs, self.t.size, self._walk
+        if len(pairs) > CACHE_PAIRS:
+            pairs.clear()
         for word in raws:
-            same = 0
-            for x, y in zip(word, before, strict=False):
-                if x != y:
-                    break
-                same += 1
+            same = len(commonprefix((word, before)))
             del last[same + 1:], count[same + 1:], states[same + 1:]
             state = states[-1]
             for i in range(same + 1, len(word) + 1):
-                state = step(state, word[i - 1])
-                for k, token in suffixes(state):  # noqa: B007
-                    if k == i or compatible(last[i - k], token):
+                byte = word[i - 1]
+                moved = state[0].get(byte)
+                if moved is None:
+                    moved = state[0][byte] = self._state(state[2] + word[i - 1:i])
+                state = moved
+                for k, token in state[1]:  # noqa: B007
+                    if k == i:
+                        break
+                    pair = last[i - k] * size + token
+                    fits = pairs.get(pair)
+                    if fits is None:
+                        fits = pairs[pair] = walk(last[i - k], token)
+                    if fits:
                         break
                 last.append(token)
                 count.append(count[i - k] + 1)
@@ -127,7 +119,7 @@ class PrefixCounter:
                 out = [c for c, b in zip(count[1:], [*raw[1:], 0], strict=True) if b & 0xC0 != 0x80]
             if piece in SPLIT_SUFFIXES:
                 out[1] = 2  # the quote and one letter are two pieces
-            yield piece, np.array(out, dtype=np.int32).tobytes()
+            yield piece, array("i", out).tobytes()
 
     def learn(self, parts: list) -> None:
         """Solve the new words of a batch of texts together, so that they share their beginnings."""
@@ -150,7 +142,10 @@ class PrefixCounter:
     def _sum(self, words: list[str], spaced: bool) -> np.ndarray:
         """Table of a run of words: counts within each word on top of the words before it."""
         known = self._words
-        solved = [known[p] if p in known else self.word_counts(p) for p in words]
+        try:
+            solved = list(map(known.__getitem__, words))
+        except KeyError:
+            solved = [known[p] if p in known else self.word_counts(p) for p in words]
         table = np.frombuffer(b"".join(solved), dtype=np.int32)
         if not len(table):
             return table
@@ -218,7 +213,7 @@ def token_counts(df: DataFrame, vocab: str, text_col: str = "text", limit: int =
             column = batch.column(batch.schema.get_field_index(text_col))
             rows: list[tuple] = []
             tables_: list = []
-            for lo, hi in runs_of(column):
+            for lo, hi in runs_of(column, BATCH_BYTES):
                 texts = [v.as_py() or "" for v in column.slice(lo, hi - lo)]
                 parts = split_all(vocab, texts)
                 counter.learn(parts)
