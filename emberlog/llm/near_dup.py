@@ -6,9 +6,11 @@
    only, so a bucket of n members gives n - 1 pairs and a third of all rows may share one.
 3. Pairs are tested on set sizes and on the joint likelihood of their sketches, then confirmed on the
    full sets: the texts of a pair meet in a task that holds one hub's set and streams the members.
-4. Links become components. Members that their bucket's hub did not reach are then paired with all
-   members of other components of the bucket, a growing number of them per round, until none is left:
-   no pair of a bucket that could still join two components goes untested.
+4. Links become components. Members whose hub's component does not hold them are then compared with all
+   members of the same hub: pair by pair after the same sketch test where a hub has few of them, else in
+   blocks, a task holding an index over one block's sets and streaming the members past it. Only links that
+   join something new leave a task. So no pair of a bucket that could still join two components goes untested,
+   and no list of all pairs is made.
 
 Links, components and sketches stay in tables of the shared checkpoint folder.
 """
@@ -21,16 +23,18 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from emberlog.llm.common import materialize, require
 from emberlog.llm.setsketch import REGISTERS, ROWS, band_keys, may_reach, registers, set_digest, shingle_set
 
 PERCENT = 85
 SHINGLE = 5
-# Members that one task compares with one copy of a hub's set.
+# Members left over that a hub may have to be compared pair by pair; more go in blocks.
+FEW = 8
+# Members that one task compares with one copy of the texts it holds.
 MEMBERS_PER_TASK = 2000
-FIRST_ROUND, ROUND_GROWTH = 4, 16
+# Shingles of one block's index.
+BLOCK_SHINGLES = 500_000
 
 
 def sketches(docs: DataFrame, size: int) -> DataFrame:
@@ -81,46 +85,91 @@ def likely_pairs(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
 
 
 def confirmed_pairs(pairs: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
-    """The pairs whose full shingle sets reach the similarity.
+    """The (hub, node) pairs whose full shingle sets reach the similarity. A hub of many members is copied to as
+    many parts as needed."""
+    pairs = materialize(pairs, "likely-pairs")
+    parts = max(16, pairs.count() // MEMBERS_PER_TASK)
+    members = pairs.select(F.col("node").alias("id"), "hub", F.lit(0).alias("block"), F.pmod(F.xxhash64("node"), F.lit(parts)).cast("int").alias("part"))
+    hubs = members.select(F.col("hub").alias("id"), "hub", "block", "part").distinct()
+    routes = hubs.withColumn("held", F.lit(0)).unionByName(members.withColumn("held", F.lit(1)))
+    return linked_texts(routes, docs, size, percent)
+
 
-    Each text is sent to the groups (hub, part) it takes part in. A hub of many members is copied to as
-    many parts as needed; a task keeps one hub's set and streams the members past it.
+def linked_texts(routes: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
+    """(hub, node) links between the texts held by a group (held = 0) and those that stream past (held = 1).
+
+    ``routes`` (id, hub, block, part, held) says to which groups (hub, block, part) a text is sent. A task keeps an
+    index over the shingles of the texts held; of the links found it gives those that join something new.
     """
     id_type = docs.schema["id"].dataType.simpleString()
-    pairs = materialize(pairs, "likely-pairs")
-    parts = max(16, pairs.count() // MEMBERS_PER_TASK)
-    members = pairs.select(F.col("node").alias("id"), "hub", F.pmod(F.xxhash64("node"), F.lit(parts)).alias("part"))
-    hubs = members.select(F.col("hub").alias("id"), "hub", "part").distinct()
-    routes = members.withColumn("is_member", F.lit(True)).unionByName(hubs.withColumn("is_member", F.lit(False)))
     # One row per document to send, however many groups it goes to; the join carries each text once.
-    routes = routes.groupBy("id").agg(F.collect_list(F.struct("hub", "part", "is_member")).alias("to"))
-    sent = docs.join(routes, "id").select("id", "text", F.explode("to").alias("r"))
-    sent = sent.select("id", "text", "r.*").repartition("hub", "part").sortWithinPartitions("hub", "part", "is_member")
+    routes = routes.groupBy("id").agg(F.collect_list(F.struct("hub", "block", "part", "held")).alias("to"))
+    sent = docs.join(routes, "id").select("id", "text", F.explode("to").alias("r")).select("id", "text", "r.*")
+    sent = sent.repartition("hub", "block", "part").sortWithinPartitions("hub", "block", "part", "held")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, held = None, []
+        key = group = None
         for batch in batches:
-            hub_out, node_out = [], []
+            found = []
             for row in batch.to_pylist():
-                if (row["hub"], row["part"]) != key:
-                    key, held = (row["hub"], row["part"]), []
+                if (row["hub"], row["block"], row["part"]) != key:
+                    key, group = (row["hub"], row["block"], row["part"]), Held(percent)
                 mine = shingle_set(row["text"], size)
-                if not row["is_member"]:
-                    held.append(mine)
-                elif any(linked(mine, other, percent) for other in held):
-                    hub_out.append(row["hub"])
-                    node_out.append(row["id"])
+                if row["held"] == 0:
+                    group.add(row["id"], mine)
+                else:
+                    found.extend((other, row["id"]) for other in group.new_links(row["id"], mine))
             kind = batch.schema.field("id").type
-            yield pa.RecordBatch.from_arrays([pa.array(hub_out, kind), pa.array(node_out, kind)], names=["hub", "node"])
+            yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in found], kind), pa.array([y for _, y in found], kind)],
+                                             names=["hub", "node"])
 
     return sent.mapInArrow(run, f"hub {id_type}, node {id_type}").distinct()
 
 
-def linked(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
-    if not len(a) or not len(b) or 100 * min(len(a), len(b)) < percent * max(len(a), len(b)):
-        return False
-    common = len(a) + len(b) - len(np.union1d(a, b))
-    return 100 * common >= percent * (len(a) + len(b) - common)
+class Held:
+    """Shingle sets held by a task, and what they are known to be joined with."""
+
+    def __init__(self, percent: int):
+        self.percent = percent
+        self.ids: list = []
+        self.sets: list[np.ndarray] = []
+        self.index: tuple[np.ndarray, np.ndarray] | None = None
+        self.root: dict = {}
+
+    def add(self, doc_id, shingles: np.ndarray) -> None:
+        self.ids.append(doc_id)
+        self.sets.append(shingles)
+        self.index = None
+
+    def _find(self, x):
+        while self.root.setdefault(x, x) != x:
+            self.root[x] = self.root[self.root[x]]
+            x = self.root[x]
+        return x
+
+    def new_links(self, doc_id, shingles: np.ndarray) -> list:
+        """Held ids linked with this text and not joined with it so far."""
+        if not self.ids or not len(shingles):
+            return []
+        if self.index is None:
+            owner = np.repeat(np.arange(len(self.sets)), [len(x) for x in self.sets])
+            flat = np.concatenate(self.sets)
+            order = np.argsort(flat, kind="stable")
+            self.index = flat[order], owner[order]
+            self.sizes = np.array([len(x) for x in self.sets])
+        flat, owner = self.index
+        lo, hi = np.searchsorted(flat, shingles, "left"), np.searchsorted(flat, shingles, "right")
+        n = hi - lo
+        ends = np.cumsum(n)
+        at = np.arange(ends[-1]) + np.repeat(lo - (ends - n), n)
+        common = np.bincount(owner[at], minlength=len(self.ids))
+        out = []
+        for k in np.flatnonzero((common > 0) & (100 * common >= self.percent * (self.sizes + len(shingles) - common))).tolist():
+            a, b = self._find(self.ids[k]), self._find(doc_id)
+            if a != b:
+                self.root[a] = b
+                out.append(self.ids[k])
+        return out
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -179,21 +228,17 @@ def groups_of(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", s
     bands = classes.select(F.explode("bands").alias("band"), "id", "n")
     hubs = materialize(bands.groupBy("band").agg(F.min("id").alias("hub"), F.count("*").alias("c")).where("c > 1").select("band", "hub"), "hubs")
     # From here on only buckets of several members matter.
-    members = materialize(bands.join(hubs, "band").select("band", "id", "n", "hub"), "members")
+    members = materialize(bands.join(hubs, "band").select("hub", "id", "n").distinct(), "members")
     nodes = classes.select("id", "n", "regs")
     named = docs.where("id IS NOT NULL")
-    pairs = members.where("id != hub").select("hub", F.col("id").alias("node")).distinct()
+    pairs = members.where("id != hub").select("hub", F.col("id").alias("node"))
     links = materialize(confirmed_pairs(likely_pairs(pairs, nodes, percent), named, size, percent), "links")
     labels = relabel(None, links.select(F.col("hub").alias("a"), F.col("node").alias("b")))
-    width, upto = FIRST_ROUND, None
-    while True:
-        picked, more, upto = _left_over(members, labels, upto, width, percent)
-        if picked is None:
-            break
-        links = materialize(confirmed_pairs(likely_pairs(more, nodes, percent), named, size, percent), "links")
-        if not links.isEmpty():
-            labels = relabel(labels, links.select(F.col("hub").alias("a"), F.col("node").alias("b")))
-        width *= ROUND_GROWTH
+    few, blocks = left_over(members, labels)
+    more = confirmed_pairs(likely_pairs(few, nodes, percent), named, size, percent)
+    links = materialize(more.unionByName(linked_texts(blocks, named, size, percent)), "links")
+    if not links.isEmpty():
+        labels = relabel(labels, links.select(F.col("hub").alias("a"), F.col("node").alias("b")))
     out = rows.select("id", "n", "s1", "s2").join(classes.select("s1", "s2", F.col("id").alias("node")), ["s1", "s2"], "left")
     # A document of several texts is in the component of its smallest class.
     out = out.join(labels, "node", "left").withColumn("c", F.coalesce("label", "node", "id"))
@@ -202,37 +247,31 @@ def groups_of(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", s
                       F.coalesce(F.col("id") == F.col("c"), F.lit(True)).alias("kept"))
 
 
-def _left_over(members: DataFrame, labels: DataFrame, upto: DataFrame | None, width: int, percent: int):
-    """Pairs of the next ``width`` members of each bucket that its hub's component does not hold.
-
-    ``upto``: per bucket the largest member tested so far. Returns (the members picked, their pairs with the
-    members of other components, the new upto), or (None, None, upto) when no bucket has one left.
-    """
+def left_over(members: DataFrame, labels: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """What is still to be compared after the hubs: members outside their hub's component with all members of the
+    hub, as (pairs of hubs with few of them, routes of blocks for the others)."""
     who = members.join(labels.toDF("id", "l"), "id", "left").join(labels.toDF("hub", "hl"), "hub", "left")
-    who = who.select("band", "id", "n", F.coalesce("l", "id").alias("comp"), F.coalesce("hl", "hub").alias("hub_comp"), "hub")
-    apart = who.where("comp != hub_comp")
-    # Buckets of a hub and one other member were fully tested in the first round.
-    busy = members.groupBy("band").agg(F.count("*").alias("c")).where("c > 2").select("band")
-    apart = apart.join(busy, "band", "left_semi")
-    if upto is not None:
-        apart = apart.join(upto, "band", "left").where("done IS NULL OR id > done")
-    # The last member left has been compared with all others when they were picked or by the hub.
-    order = Window.partitionBy("band").orderBy("id")
-    picked = apart.withColumn("r", F.row_number().over(order)).where(F.col("r") <= width).select("band", "id", "n", "comp")
-    picked = materialize(picked, "picked")
-    if picked.isEmpty():
-        return None, None, upto
-    other = who.select("band", F.col("id").alias("node"), F.col("n").alias("n2"), F.col("comp").alias("comp2"), "hub")
+    who = who.select("hub", "id", "n", F.coalesce("l", "id").alias("comp"), (F.coalesce("l", "id") != F.coalesce("hl", "hub")).alias("apart"))
+    who = materialize(who, "who")
+    # A hub with one member was fully compared already.
+    busy = materialize(who.groupBy("hub").agg(F.count("*").alias("m"), F.count_if("apart").alias("s"), F.sum(F.when(F.col("apart"), F.col("n"))).alias("size"))
+                       .where("s > 0 AND m > 2"), "busy")
+    apart = who.where("apart")
+    small = busy.where(F.col("s") <= FEW).select("hub")
     pairs = (
-        other.join(picked.toDF("band", "s", "n1", "comp1"), "band")
-        .where("comp1 != comp2 AND node != hub")
-        .where(100 * F.least("n1", "n2") >= percent * F.greatest("n1", "n2"))
-        .select(F.col("s").alias("hub"), "node").distinct()
+        who.join(apart.join(small, "hub").select("hub", F.col("id").alias("s"), F.col("comp").alias("comp1"), F.col("n").alias("n1")), "hub")
+        # Between two that are left over once; the hub itself was compared in the first round.
+        .where("comp != comp1 AND id != hub AND (NOT apart OR id > s)")
+        .select(F.col("s").alias("hub"), F.col("id").alias("node")).distinct()
     )
-    now = picked.groupBy("band").agg(F.max("id").alias("done"))
-    if upto is not None:
-        now = now.unionByName(upto).groupBy("band").agg(F.max("done").alias("done"))
-    return picked, pairs, materialize(now, "done")
+    large = busy.where(F.col("s") > FEW).select("hub", F.ceil(F.col("size") / BLOCK_SHINGLES).cast("int").alias("blocks"),
+                                                F.ceil(F.col("m") / MEMBERS_PER_TASK).cast("int").alias("parts"))
+    key = F.xxhash64("id")
+    past = who.join(large, "hub").select("id", "hub", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"),
+                                         F.pmod(key, "parts").cast("int").alias("part"), F.lit(1).alias("held"))
+    held = apart.join(large, "hub").select("id", "hub", F.pmod(key, "blocks").cast("int").alias("block"),
+                                           F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(0).alias("held"))
+    return pairs, past.unionByName(held)
 
 
 def near_duplicates_dropped(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
