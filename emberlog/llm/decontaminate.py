@@ -148,7 +148,10 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
         .select("found", F.explode("items").alias("item")).groupBy("found")
         .agg(F.array_sort(F.collect_set("item")).alias("items"))
     )
-    rows = rows.join(ids, "found", "left")
+    # Rows without hits have no key to meet at; the ids are written, so a frequent set of classes may be split.
+    ids = materialize(ids, "item-ids")
+    none = rows.where(F.size("found") == 0).withColumn("items", F.array().cast("array<string>"))
+    rows = rows.where(F.size("found") > 0).join(ids, "found", "left").unionByName(none)
     listed = F.coalesce(F.array_join("items", ","), F.lit(""))
     return rows.select(
         F.col("id").alias(id_col), F.col("th").alias("__th"), "n_words", "n_hit",
