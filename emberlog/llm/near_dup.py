@@ -84,15 +84,13 @@ def likely_pairs(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
     return pairs.select("hub", "node", "n1", "r1", "n2", "r2").mapInArrow(run, f"hub {id_type}, node {id_type}")
 
 
-def confirmed_pairs(pairs: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
-    """The (hub, node) pairs whose full shingle sets reach the similarity. A hub of many members is copied to as
-    many parts as needed."""
+def pair_routes(pairs: DataFrame) -> DataFrame:
+    """Where to send the texts of (hub, node) pairs; a hub of many members is copied to as many parts as needed."""
     pairs = materialize(pairs, "likely-pairs")
     parts = max(16, pairs.count() // MEMBERS_PER_TASK)
-    members = pairs.select(F.col("node").alias("id"), "hub", F.lit(0).alias("block"), F.pmod(F.xxhash64("node"), F.lit(parts)).cast("int").alias("part"))
+    members = pairs.select(F.col("node").alias("id"), "hub", F.lit(-1).alias("block"), F.pmod(F.xxhash64("node"), F.lit(parts)).cast("int").alias("part"))
     hubs = members.select(F.col("hub").alias("id"), "hub", "block", "part").distinct()
-    routes = hubs.withColumn("held", F.lit(0)).unionByName(members.withColumn("held", F.lit(1)))
-    return linked_texts(routes, docs, size, percent)
+    return hubs.withColumn("held", F.lit(0)).unionByName(members.withColumn("held", F.lit(1)))
 
 
 def linked_texts(routes: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
@@ -232,11 +230,11 @@ def groups_of(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", s
     nodes = classes.select("id", "n", "regs")
     named = docs.where("id IS NOT NULL")
     pairs = members.where("id != hub").select("hub", F.col("id").alias("node"))
-    links = materialize(confirmed_pairs(likely_pairs(pairs, nodes, percent), named, size, percent), "links")
+    links = materialize(linked_texts(pair_routes(likely_pairs(pairs, nodes, percent)), named, size, percent), "links")
     labels = relabel(None, links.select(F.col("hub").alias("a"), F.col("node").alias("b")))
     few, blocks = left_over(members, labels)
-    more = confirmed_pairs(likely_pairs(few, nodes, percent), named, size, percent)
-    links = materialize(more.unionByName(linked_texts(blocks, named, size, percent)), "links")
+    routes = pair_routes(likely_pairs(few, nodes, percent)).unionByName(blocks)
+    links = materialize(linked_texts(routes, named, size, percent), "links")
     if not links.isEmpty():
         labels = relabel(labels, links.select(F.col("hub").alias("a"), F.col("node").alias("b")))
     out = rows.select("id", "n", "s1", "s2").join(classes.select("s1", "s2", F.col("id").alias("node")), ["s1", "s2"], "left")
