@@ -19,8 +19,8 @@ from pyspark.sql import types as T
 from emberlog.llm.bpe_tables import CACHE_WORD_CHARS, new_words, runs_of, split, split_all, tables
 from emberlog.llm.common import require, without
 
-CACHE_WORDS = 500_000
-BATCH_BYTES = 8_000_000
+CACHE_WORDS = 250_000
+BATCH_BYTES = 4_000_000
 
 
 class BpeCodec:

@@ -38,6 +38,10 @@ def _gram(words: str, i: Column, k: int) -> Column:
     return F.shiftleft(h, 32).bitwiseOR(i.cast("long"))
 
 
+def _all_grams(words: str, n: Column, k: int) -> Column:
+    return F.transform(_span(n - k + 1), lambda i: F.struct(F.lit(k).alias("k"), _gram(words, i, k).alias("v")))
+
+
 def fingerprints(df: DataFrame, words: str, keep: list[str], window: int, gram: int, short: list[int],
                  whole: bool) -> DataFrame:
     """(keep..., k, h, pos) rows: winnowed grams and, for each short length, all grams of that many words
@@ -49,7 +53,7 @@ def fingerprints(df: DataFrame, words: str, keep: list[str], window: int, gram:
     families = [F.when(F.col("__g").isNotNull(), F.transform(picked, lambda v: F.struct(F.lit(gram).alias("k"), v.alias("v"))))]
     for k in short:
         fits = n == k if whole else n >= k
-        families.append(F.when(fits, F.transform(_span(n - k + 1), lambda i, k=k: F.struct(F.lit(k).alias("k"), _gram(words, i, k).alias("v")))))
+        families.append(F.when(fits, _all_grams(words, n, k)))
     nothing = F.array().cast("array<struct<k:int,v:bigint>>")
     all_ = F.concat(*[F.coalesce(f, nothing) for f in families]) if len(families) > 1 else families[0]
     rows = df.select(*keep, F.explode(all_).alias("f"))

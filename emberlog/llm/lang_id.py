@@ -7,7 +7,6 @@ order that has any, from ORDERS downwards. The best sum is the language, its pos
 
 from __future__ import annotations
 
-import functools
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -30,6 +29,7 @@ TRAIN_DOCS = 6000
 WORDS_PER_LANGUAGE = 40_000
 GRAMS_PER_LANGUAGE = 20_000
 SMOOTH = 0.5
+CACHE_WORDS = 50_000
 
 
 def held_out(doc_id: str):
@@ -52,43 +52,57 @@ class Model:
             for n in ORDERS:
                 for g in grams_of(word, n):
                     grams[n][g] = grams[n].get(g, 0) + row
+        self.memory: dict[str, np.ndarray] = {}
         self.words = self._logs(words, WORDS_PER_LANGUAGE)
         self.grams = {n: self._logs(grams[n], GRAMS_PER_LANGUAGE) for n in ORDERS}
 
-    def _logs(self, counts: dict[str, np.ndarray], keep: int) -> dict[str, np.ndarray]:
+    def _logs(self, counts: dict[str, np.ndarray], keep: int) -> tuple[dict[str, int], np.ndarray]:
+        """The most frequent entries of each language: their row by name, and log frequencies by row and language."""
         if not counts:
-            return {}
+            return {}, np.zeros((0, len(self.langs)), dtype=np.float32)
         names = sorted(counts)
         table = np.array([counts[n] for n in names])
         total = table.sum(axis=0)
-        logs = np.log(table + SMOOTH) - np.log(total + SMOOTH * len(names))
         rows = set()
         for lang in range(table.shape[1]):
             best = np.argsort(-table[:, lang], kind="stable")[:keep]
             rows.update(best[table[best, lang] > 0].tolist())
-        return {names[r]: logs[r] for r in sorted(rows)}
+        rows = sorted(rows)
+        logs = np.log(table[rows] + SMOOTH) - np.log(total + SMOOTH * len(names))
+        return {names[r]: i for i, r in enumerate(rows)}, logs.astype(np.float32)
 
-    @functools.lru_cache(maxsize=200_000)  # noqa: B019  (a model lives as long as its process)
     def unseen(self, word: str) -> np.ndarray:
-        for n in ORDERS:
-            known = [self.grams[n][g] for g in grams_of(word, n) if g in self.grams[n]]
-            if known:
-                return np.mean(known, axis=0)
-        return np.zeros(len(self.langs))
+        """Mean log frequencies of the known n-grams of the longest order that has any."""
+        found = self.memory.get(word)
+        if found is None:
+            found = np.zeros(len(self.langs), dtype=np.float32)
+            for n in ORDERS:
+                rows, logs = self.grams[n]
+                known = [rows[g] for g in grams_of(word, n) if g in rows]
+                if known:
+                    found = logs[known].mean(axis=0)
+                    break
+            if len(self.memory) >= CACHE_WORDS:
+                self.memory.clear()
+            self.memory[word] = found
+        return found
 
     def predict(self, text: str | None) -> tuple[str, float]:
         counts = Counter(WORD.findall((text or "").lower()))
         if not counts or not self.langs:
             return UNDECIDED, 0.0
-        known, total = self.words, np.zeros(len(self.langs))
-        rows = [known[w] if w in known else self.unseen(w) for w in counts]
-        total = np.fromiter(counts.values(), dtype=np.float64, count=len(counts)) @ np.array(rows)
+        rows, logs = self.words
+        known = [(rows[w], c) for w, c in counts.items() if w in rows]
+        total = np.zeros(len(self.langs))
+        if known:
+            at, times = zip(*known, strict=True)
+            total += np.array(times, dtype=np.float64) @ logs[list(at)]
+        for w, c in counts.items():
+            if w not in rows:
+                total += c * self.unseen(w).astype(np.float64)
         best = int(np.argmax(total))
         return self.langs[best], float(1.0 / np.exp(total - total[best]).sum())
 
-    def __getstate__(self):
-        return {"langs": self.langs, "words": self.words, "grams": self.grams}
-
 
 def grams_of(word: str, n: int) -> list[str]:
     """Character n-grams of a word between two marks; of order 1 its letters."""
