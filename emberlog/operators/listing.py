@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from datetime import datetime, timedelta, timezone
+
+from pyspark.sql import DataFrame, Row, Window
 from pyspark.sql import functions as F
 
 from emberlog.functions.timefns import iso_ms
@@ -46,14 +48,22 @@ def next_bookmark(logs: DataFrame, spec: ListSpec, tenant=ALL_TENANTS) -> DataFr
     return ranked.where((F.col("_rn") == spec.limit) & (F.col("_n") > spec.limit)).select("ts", "id")
 
 
+_EPOCH = datetime(1970, 1, 1, tzinfo=timezone.utc)
+
+
+def _collect(page: DataFrame) -> tuple[list[Row], list[Bookmark]]:
+    """Rows of a page and the bookmark of each. The time travels as a number: a collected
+    datetime is in the zone of the Python process, which need not be UTC."""
+    keyed = page.withColumn("_us", F.unix_micros(F.col("ts").cast("timestamp"))).collect()
+    shape = Row(*page.columns)
+    rows = [shape(*[r[c] for c in page.columns]) for r in keyed]
+    return rows, [Bookmark(_EPOCH + timedelta(microseconds=r["_us"]), r["id"]) for r in keyed]
+
+
 def fetch_page(logs: DataFrame, spec: ListSpec, tenant=ALL_TENANTS):
     """(rows, next bookmark or None) for one page; collects at most 1,001 rows."""
-    rows = list_rows(logs, spec, tenant).collect()
-    nxt = None
-    if len(rows) > spec.limit:
-        last = rows[spec.limit - 1]
-        nxt = Bookmark(last["ts"], last["id"])
-    return rows[: spec.limit], nxt
+    rows, marks = _collect(list_rows(logs, spec, tenant))
+    return rows[: spec.limit], marks[spec.limit - 1] if len(rows) > spec.limit else None
 
 
 def fetch_page_by_days(logs: DataFrame, days: list[str], spec: ListSpec, tenant=ALL_TENANTS):
@@ -73,19 +83,16 @@ def fetch_page_by_days(logs: DataFrame, days: list[str], spec: ListSpec, tenant=
             if (upper is None or d <= upper.date().isoformat())
             and (flt.since is None or d >= flt.since.date().isoformat())]
     want = spec.limit + 1
-    rows, i, step = [], 0, 1
+    rows, marks, i, step = [], [], 0, 1
     while i < len(cand) and len(rows) < want:
         chunk = cand[i:i + step]
         part = logs.where(F.col("dt").isin([F.lit(d).cast("date") for d in chunk]))
         need = ListSpec(flt, min(want - len(rows), 1000), spec.bookmark)
-        got = list_rows(part, need, tenant).collect()
+        got, keys = _collect(list_rows(part, need, tenant))
+        marks += keys[: want - len(rows)]
         rows += got[: want - len(rows)]
         i, step = i + len(chunk), step * 2
-    nxt = None
-    if len(rows) > spec.limit:
-        last = rows[spec.limit - 1]
-        nxt = Bookmark(last["ts"], last["id"])
-    return rows[: spec.limit], nxt
+    return rows[: spec.limit], marks[spec.limit - 1] if len(rows) > spec.limit else None
 
 
 def attributes_text(df: DataFrame):

@@ -17,8 +17,6 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from emberlog.functions.sizing import maybe_broadcast
-
 
 def with_rank(df: DataFrame, order: list[Column], group_cols: list[str] | None = None,
               rank_col: str = "rank", total_col: str | None = None,
@@ -48,7 +46,8 @@ def with_rank(df: DataFrame, order: list[Column], group_cols: list[str] | None =
     cond = [numbered["_pid"] == renamed["_s__pid"]] + [
         numbered[g].eqNullSafe(renamed[f"_s_{g}"]) for g in group_cols
     ]
-    joined = numbered.join(maybe_broadcast(renamed), reduce(lambda a, b: a & b, cond))
+    # Without groups: one row per partition. With groups the planner decides by size.
+    joined = numbered.join(renamed if group_cols else F.broadcast(renamed), reduce(lambda a, b: a & b, cond))
     position = F.col("_mid") - F.shiftleft(F.col("_pid").cast("bigint"), 33) - F.col("_s__start")
     out = joined.withColumn(rank_col, position + F.col("_s__off"))
     if total_col:

@@ -45,8 +45,15 @@ def parse_timestamp(text: Column) -> Column:
     date alone); the parser then rejects impossible dates and leap seconds.
     """
     shaped = text.rlike(S.RFC3339_PATTERN)
-    parsed = F.try_to_timestamp(F.upper(text))
-    return F.when(shaped, F.date_trunc("millisecond", parsed))
+    # Offsets go to 23:59, further than the parser takes them, so they are subtracted.
+    zone = F.regexp_extract(text, r"([+-])(\d{2}):?(\d{2})?$", 0)
+    part = lambda i: F.coalesce(F.regexp_extract(text, r"([+-])(\d{2}):?(\d{2})?$", i).try_cast("bigint"), F.lit(0))
+    minutes = F.when(zone.startswith("-"), -1).otherwise(1) * (part(2) * 60 + part(3))
+    local = F.try_to_timestamp(F.upper(F.concat(F.substr(text, F.lit(1), F.length(text) - F.length(zone)), F.lit("Z"))))
+    parsed = F.when(text.rlike("[Zz]$"), F.try_to_timestamp(F.upper(text))).otherwise(
+        F.timestamp_micros(F.unix_micros(local) - minutes * 60_000_000))
+    parsed = F.date_trunc("millisecond", parsed)
+    return F.when(shaped & (parsed >= F.lit(S.EARLIEST).cast("timestamp")), parsed)
 
 
 def _pointer(key: Column) -> Column:

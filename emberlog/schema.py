@@ -23,9 +23,12 @@ ISO_MS_FORMAT = "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'"
 # RFC 3339 date-time shape accepted by the entry validator (calendar validity
 # is checked separately by the timestamp parser).
 RFC3339_PATTERN = (
-    r"^\d{4}-[0-1]\d-[0-3]\d[Tt\s][0-2]\d:[0-5]\d:[0-6]\d(\.\d+)?([Zz]|[+-]\d{2}(:?\d{2})?)$"
+    r"^(?!0000)\d{4}-[0-1]\d-[0-3]\d[Tt\s][0-2]\d:[0-5]\d:[0-6]\d(\.\d+)?([Zz]|[+-]([01]\d|2[0-3])(:?[0-5]\d)?)$"
 )
 
+# Timestamps before year 1 are refused, whatever their offset.
+EARLIEST = "0001-01-01T00:00:00Z"
+
 # Reason texts, in the order the validator checks them.
 REASON_NOT_OBJECT = "entry must be a object"
 REASON_MISSING = "missing required field: '{field}'"

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import os
+import re
 import tempfile
 
 from pyspark.sql import SparkSession
@@ -48,22 +48,20 @@ def build_session(master: str | None = None, app_name: str = "emberlog",
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared checkpoint folder named by ``spark.checkpoint.dir``.
 
-    Only when the session names none (local tests) a folder is made here.
+    Only a local session that names none (tests) gets a folder made here; on a
+    cluster a folder of the driver's own disk would be invisible to the executors.
     """
     sc = spark.sparkContext
     d = sc.getConf().get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not d:
+        if not re.fullmatch(r"local(\[.*\])?", sc.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         d = tempfile.mkdtemp(prefix="emberlog-ckpt-")
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(d)
     return d
 
 
-def scratch_dir(spark: SparkSession, name: str) -> str:
-    """A sub-folder of the shared checkpoint folder for written intermediate tables."""
-    return os.path.join(checkpoint_dir(spark), name)
-
-
 def scale_conf(input_bytes: int, target_partition_bytes: int = 256 * 1024**2) -> dict[str, str]:
     """Settings sized for a job reading ``input_bytes``: scan splits and shuffle
     partitions near ``target_partition_bytes`` each (AQE coalesces shuffle
@@ -79,9 +77,3 @@ def scale_conf(input_bytes: int, target_partition_bytes: int = 256 * 1024**2) ->
         "spark.sql.adaptive.advisoryPartitionSizeInBytes": size,
         "spark.sql.shuffle.partitions": str(parts),
     }
-
-
-def apply_scale(spark: SparkSession, input_bytes: int) -> SparkSession:
-    for k, v in scale_conf(input_bytes).items():
-        spark.conf.set(k, v)
-    return spark

@@ -66,6 +66,8 @@ class Bookmark:
     id: int
 
     def __post_init__(self):
+        if isinstance(self.ts, datetime) and self.ts.tzinfo is None:
+            raise ValueError("a bookmark's time needs a zone: a collected datetime is local to its process")
         object.__setattr__(self, "ts", to_utc(self.ts))
         object.__setattr__(self, "id", int(self.id))
 

@@ -107,3 +107,22 @@ def test_equal_bounds_legal_and_q_escaping():
     LogFilter(since="2026-07-20T14:00:00Z", until="2026-07-20T14:00:00Z")
     assert escape_like("50%_off\\x") == "50\\%\\_off\\\\x"
     assert LogFilter(q="").q is None
+
+
+@pytest.mark.parametrize("zone", ["America/New_York", "Asia/Tokyo"])
+def test_full_walk_in_other_process_zones(spark, monkeypatch, zone):
+    import time
+
+    monkeypatch.setenv("TZ", zone)
+    time.tzset()
+    try:
+        logs, mark, seen = list_dataset(spark), None, []
+        for _ in range(10):
+            rows, mark = fetch_page(logs, ListSpec(LogFilter(), 5, mark))
+            seen += [r["id"] for r in rows]
+            if mark is None:
+                break
+    finally:
+        monkeypatch.undo()
+        time.tzset()
+    assert mark is None and sorted(seen) == list(range(1, 22))

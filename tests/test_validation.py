@@ -142,3 +142,28 @@ def test_bad_envelopes(spark):
     assert got["h"] is None
     assert explode_entries(p).count() == 0
     assert p.where(F.col("doc_id") == "h").select(F.size("logs")).first()[0] == 0
+
+
+def test_only_one_strict_json_value_is_a_body(spark):
+    from emberlog.sources.envelopes import MALFORMED_BODY, NOT_ENVELOPE, parse_envelopes
+
+    bodies = {
+        '{"logs":[1]}': None, ' {"logs":[]}\n': None, '{"a":1,"a":2,"logs":[]}': None, '{"logs":"x","logs":[2]}': None,
+        '{"logs":[1]} garbage': MALFORMED_BODY, '{"logs":[1]}}': MALFORMED_BODY, '{"logs":[1]}{"logs":[]}': MALFORMED_BODY,
+        '{"logs":[]}] x': MALFORMED_BODY, '{"logs":[]},1': MALFORMED_BODY, "{'logs':[]}": MALFORMED_BODY, "": MALFORMED_BODY,
+        '{"logs":[{"a":NaN}]}': MALFORMED_BODY, '{"logs":[1],"logs":"nope"}': NOT_ENVELOPE, "[]": NOT_ENVELOPE, '{"logs":null}': NOT_ENVELOPE,
+    }
+    got = parse_envelopes(spark.createDataFrame([(b, b) for b in bodies], "doc_id string, value string"))
+    assert {r["doc_id"]: r["envelope_error"] for r in got.select("doc_id", "envelope_error").collect()} == bodies
+
+
+def test_offsets_to_the_end_of_the_day_and_no_year_zero(spark):
+    from pyspark.sql import functions as F
+
+    from emberlog.operators.validate import parse_timestamp
+
+    cases = {"2024-01-02T00:00:00+23:59": "2024-01-01 00:01:00", "2024-01-02T00:00:00.5-19:30": "2024-01-02 19:30:00.5",
+             "2024-01-02T00:00:00+24:00": None, "0000-06-01T00:00:00Z": None, "0001-01-01T00:00:00+01:00": None,
+             "0001-01-01T00:00:00Z": "0001-01-01 00:00:00", "2024-01-02t10:00:00z": "2024-01-02 10:00:00", "2024-02-30T00:00:00+19:00": None}
+    df = spark.createDataFrame([(c,) for c in cases], "t string")
+    assert {r["t"]: r["p"] for r in df.select("t", parse_timestamp(F.col("t")).cast("string").alias("p")).collect()} == cases
