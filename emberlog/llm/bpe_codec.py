@@ -19,8 +19,8 @@ from pyspark.sql import types as T
 from emberlog.llm.bpe_tables import CACHE_WORD_CHARS, new_words, runs_of, split, split_all, tables
 from emberlog.llm.common import require, without
 
-CACHE_WORDS = 250_000
-BATCH_BYTES = 4_000_000
+CACHE_WORDS = 120_000
+BATCH_BYTES = 2_000_000
 
 
 class BpeCodec:
@@ -131,13 +131,15 @@ def encode_texts(df: DataFrame, vocab: str, text_col: str = "text", decode: bool
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = BpeCodec(vocab)
-        for batch in batches:
-            column = batch.column(batch.schema.get_field_index(text_col))
-            rows: list[tuple] = []
-            for lo, hi in runs_of(column, BATCH_BYTES):
-                texts = [v.as_py() or "" for v in column.slice(lo, hi - lo)]
+        arrow = [pa.int64(), *([pa.string()] * 2 if digests else [pa.binary(), pa.string()])]
+        for whole in batches:
+            place = whole.schema.get_field_index(text_col)
+            for lo, hi in runs_of(whole.column(place), BATCH_BYTES):
+                batch = whole.slice(lo, hi - lo)
+                texts = [v.as_py() or "" for v in batch.column(place)]
                 parts = split_all(vocab, texts)
                 codec.learn(parts)
+                rows: list[tuple] = []
                 for text, part in zip(texts, parts, strict=True):
                     ids = codec.encode(text, part)
                     row: tuple = (len(ids) // 4,)
@@ -146,10 +148,9 @@ def encode_texts(df: DataFrame, vocab: str, text_col: str = "text", decode: bool
                     else:
                         row += (ids, codec.decode(ids)) if decode else (ids,)
                     rows.append(row)
-            cols = list(zip(*rows, strict=True)) or [()] * len(names)
-            arrow = [pa.int64(), *([pa.string()] * 2 if digests else [pa.binary(), pa.string()])]
-            yield pa.RecordBatch.from_arrays(
-                [*batch.columns, *(pa.array(c, k) for c, k in zip(cols, arrow, strict=False))],
-                names=[*batch.schema.names, *names])
+                cols = list(zip(*rows, strict=True))
+                yield pa.RecordBatch.from_arrays(
+                    [*batch.columns, *(pa.array(c, k) for c, k in zip(cols, arrow, strict=False))],
+                    names=[*batch.schema.names, *names])
 
     return rest.mapInArrow(run, schema)
