@@ -20,8 +20,8 @@ from pyspark.sql.window import Window
 from emberlog.llm.common import require, without
 
 WORD = re.compile(r"[^\W\d_]+")
-# Same letters for the JVM: Python's word characters without digits and underscore.
-WORD_SQL = r"[\p{L}\p{M}\p{Nl}\p{No}]+"
+# The same characters for the JVM: Python's word characters (no combining marks) without digits and underscore.
+WORD_SQL = r"[\p{L}\p{Nl}\p{No}]+"
 UNDECIDED = "und"
 ORDERS = (4, 3, 2, 1)
 # Bounds of the classifier: labelled documents it is fitted on (about), and entries kept per language.
@@ -89,7 +89,8 @@ class Model:
 
     def predict(self, text: str | None) -> tuple[str, float]:
         counts = Counter(WORD.findall((text or "").lower()))
-        if not counts or not self.langs:
+        # Number signs such as a half are word characters, yet no letters.
+        if not self.langs or not any(c.isalpha() for w in counts for c in w):
             return UNDECIDED, 0.0
         rows, logs = self.words
         known = [(rows[w], c) for w, c in counts.items() if w in rows]

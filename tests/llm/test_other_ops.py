@@ -117,11 +117,11 @@ def test_language(spark):
     df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
     model = lang_id.train(df)
     asked = spark.createDataFrame([(1, "the house", "x"), (2, "UND Haus!", "x"), (3, None, "x"), (4, "12 + 3", "x"), (5, "wassers", "x"), (6, "", "x"),
-                                   (7, "ш", "x"), (1, "the house", "x")], "doc_id long, text string, score string")
+                                   (7, "ш", "x"), (8, "½ ²", "x"), (1, "the house", "x")], "doc_id long, text string, score string")
     out = lang_id.identify(asked, model).collect()
-    assert len(out) == 8
+    assert len(out) == 9
     got = {r["doc_id"]: (r["lang_pred"], r["score"]) for r in out}
-    assert {k: v[0] for k, v in got.items()} == {1: "aa", 2: "bb", 3: "und", 4: "und", 5: "bb", 6: "und", 7: "aa"}
+    assert {k: v[0] for k, v in got.items()} == {1: "aa", 2: "bb", 3: "und", 4: "und", 5: "bb", 6: "und", 7: "aa", 8: "und"}
     assert all(0 <= s <= 1 for _, s in got.values()) and got[7][1] == 0.5
     empty = lang_id.train(df.limit(0))
     assert {r["lang_pred"] for r in lang_id.identify(asked, empty).collect()} == {"und"}
