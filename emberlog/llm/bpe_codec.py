@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 from emberlog.llm.bpe_tables import CACHE_WORD_CHARS, new_words, runs_of, split, split_all, tables
-from emberlog.llm.common import require, without
+from emberlog.llm.common import give_back, require, without
 
 CACHE_WORDS = 120_000
 BATCH_BYTES = 2_000_000
@@ -152,5 +152,6 @@ def encode_texts(df: DataFrame, vocab: str, text_col: str = "text", decode: bool
                 yield pa.RecordBatch.from_arrays(
                     [*batch.columns, *(pa.array(c, k) for c, k in zip(cols, arrow, strict=False))],
                     names=[*batch.schema.names, *names])
+        give_back()
 
     return rest.mapInArrow(run, schema)

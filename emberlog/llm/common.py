@@ -5,6 +5,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -48,5 +49,11 @@ def require(df: DataFrame, *names: str) -> None:
         raise ValueError(f"missing columns: {missing}; there are {df.columns}")
 
 
+def give_back() -> None:
+    """Return Arrow's free memory to the system at the end of a partition: an idle Python worker would
+    hold it beside what the next stages need."""
+    pa.default_memory_pool().release_unused()
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from emberlog.llm.common import require, without
+from emberlog.llm.common import give_back, require, without
 
 WORD = re.compile(r"[^\W\d_]+")
 # The same characters for the JVM: Python's word characters (no combining marks) without digits and underscore.
@@ -146,5 +146,7 @@ def identify(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame
             yield pa.RecordBatch.from_arrays(
                 [*batch.columns, pa.array([a for a, _ in found], pa.string()), pa.array([b for _, b in found], pa.float64())],
                 names=[*batch.schema.names, "lang_pred", "score"])
+        m.memory.clear()
+        give_back()
 
     return rest.mapInArrow(run, f"{fields}, lang_pred string, score double")

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from emberlog.llm.common import materialize, require
+from emberlog.llm.common import give_back, materialize, require
 from emberlog.llm.setsketch import REGISTERS, ROWS, band_keys, may_reach, registers, set_digest, shingle_set
 
 PERCENT = 85
@@ -61,6 +61,7 @@ def sketches(docs: DataFrame, size: int) -> DataFrame:
                 [ids, pa.array(n, pa.int64()), pa.array(s1, pa.int64()), pa.array(s2, pa.int64()), pa.array(regs, pa.binary()),
                  pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))],
                 names=["id", "n", "s1", "s2", "regs", "bands"])
+        give_back()
 
     return docs.mapInArrow(run, f"id {id_type}, n bigint, s1 bigint, s2 bigint, regs binary, bands array<bigint>")
 
@@ -80,6 +81,7 @@ def likely_pairs(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
             r1, r2 = (np.frombuffer(b"".join(col[c].to_pylist()), dtype=np.uint16).reshape(-1, REGISTERS) for c in ("r1", "r2"))
             keep = may_reach(percent / 100, col["n1"].to_numpy(), col["n2"].to_numpy(), r1, r2)
             yield pa.RecordBatch.from_arrays([col["hub"], col["node"]], names=["hub", "node"]).filter(pa.array(keep))
+        give_back()
 
     return pairs.select("hub", "node", "n1", "r1", "n2", "r2").mapInArrow(run, f"hub {id_type}, node {id_type}")
 
@@ -120,6 +122,7 @@ def linked_texts(routes: DataFrame, docs: DataFrame, size: int, percent: int) ->
             kind = batch.schema.field("id").type
             yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in found], kind), pa.array([y for _, y in found], kind)],
                                              names=["hub", "node"])
+        give_back()
 
     return sent.mapInArrow(run, f"hub {id_type}, node {id_type}").distinct()
 
