@@ -78,7 +78,10 @@ def _with_ids(parsed: DataFrame, batch_id: int) -> DataFrame:
     # One row per partition: bounded by the partition count, safe to broadcast.
     entries = entries.join(F.broadcast(offsets), "_pid")
     pos = F.col("_off") + F.col("_mid") - F.shiftleft(F.col("_pid").cast("bigint"), 33)
-    return entries.withColumn("id", F.lit(batch_id).cast("bigint") * F.lit(ID_SHIFT) + pos).drop(
+    # A batch past its block of ids would repeat those of the next one: it fails before anything is committed.
+    too_many = F.raise_error(F.lit(f"batch {batch_id} has more than {ID_SHIFT} entries; split it")).cast("bigint")
+    block = F.lit(batch_id).cast("bigint") * F.lit(ID_SHIFT)
+    return entries.withColumn("id", F.when(pos < F.lit(ID_SHIFT), block + pos).otherwise(too_many)).drop(
         "_pid", "_mid", "_off"
     )
 

@@ -3,11 +3,13 @@
 import json
 from datetime import datetime, timezone
 
+import pytest
 from pyspark.sql import functions as F
 
 from emberlog.operators.aggregate import bucket_counts, render_buckets
 from emberlog.operators.report import reconcile
 from emberlog.operators.rollup import compact
+from emberlog.plans import ingest
 from emberlog.plans.ingest import ID_SHIFT, ingest_batch
 from emberlog.sources.store import LogStore
 from emberlog.spec import AggregateSpec
@@ -59,6 +61,16 @@ def test_batch_roundtrip(spark, tmp_root):
     assert [(x["batch_id"], x["accepted"], x["visible"], x["consistent"]) for x in r] == [(5, 3, 3, True)]
 
 
+def test_batch_past_its_block_of_ids_fails_before_commit(spark, tmp_root, monkeypatch):
+    monkeypatch.setattr(ingest, "ID_SHIFT", 3)
+    store = LogStore(tmp_root)
+    logs = [entry(f"2026-07-20T14:01:3{i}Z") for i in range(4)]
+    ingest_batch(store, docs_df(spark, [("a", {"logs": logs[:3]})]), 1, as_of=AS_OF)
+    with pytest.raises(Exception, match="batch 2 has more than 3 entries"):
+        ingest_batch(store, docs_df(spark, [("a", {"logs": logs})]), 2, as_of=AS_OF)
+    assert [r["id"] for r in store.logs(spark).orderBy("id").collect()] == [3, 4, 5]
+
+
 def test_uncommitted_batch_is_invisible(spark, tmp_root):
     store = LogStore(tmp_root)
     docs = docs_df(spark, [("a", {"logs": [entry("2026-07-20T14:01:30Z")]})])
