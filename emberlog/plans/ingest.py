@@ -175,6 +175,7 @@ def ingest_batch(store: LogStore, docs: DataFrame, batch_id: int, as_of: datetim
     ``totals=False`` skips the summary job (streams read receipts instead).
     """
     spark = docs.sparkSession
+    store.clear_uncommitted(spark, batch_id)
     parsed = parse_batch(docs, tenant, keys).persist(StorageLevel.MEMORY_AND_DISK)
     validated = None
     try:

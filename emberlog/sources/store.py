@@ -66,6 +66,20 @@ class LogStore:
             .parquet(self.path(table))
         )
 
+    def clear_uncommitted(self, spark: SparkSession, batch_id: int) -> None:
+        """Delete what an earlier, uncommitted attempt of this batch left: dynamic overwrite
+        replaces only partitions the new attempt writes, the others would become visible with
+        its marker. A committed batch is left alone."""
+        conf = spark.sparkContext._jsc.hadoopConfiguration()
+        to_path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+        marker = to_path(f"{self.path('commits')}/batch_id={batch_id}")
+        fs = marker.getFileSystem(conf)
+        if fs.exists(marker):
+            return
+        for table, days in (("logs", "dt=*/"), ("log_counts", "dt=*/"), ("rejected", ""), ("receipts", "")):
+            for st in fs.globStatus(to_path(f"{self.path(table)}/{days}batch_id={batch_id}")) or []:
+                fs.delete(st.getPath(), True)
+
     # -- readers ----------------------------------------------------------
     def _read(self, spark: SparkSession, table: str, schema: str) -> DataFrame:
         try:

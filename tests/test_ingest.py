@@ -71,6 +71,18 @@ def test_batch_past_its_block_of_ids_fails_before_commit(spark, tmp_root, monkey
     assert [r["id"] for r in store.logs(spark).orderBy("id").collect()] == [3, 4, 5]
 
 
+def test_retry_leaves_nothing_of_the_failed_attempt(spark, tmp_root, monkeypatch):
+    store = LogStore(tmp_root)
+    future = docs_df(spark, [("a", {"logs": [entry("2026-07-20T14:01:30Z"), entry("2026-07-22T14:01:30Z")]})])
+    with monkeypatch.context() as m:
+        m.setattr(LogStore, "commit", lambda *a, **k: (_ for _ in ()).throw(RuntimeError("lost")))
+        with pytest.raises(RuntimeError, match="lost"):
+            ingest_batch(store, future, 4, as_of=AS_OF)
+    assert store.raw_rejected(spark).count() == 1
+    assert ingest_batch(store, future, 4, as_of=datetime(2026, 7, 23, tzinfo=timezone.utc))["rejected"] == 0
+    assert store.rejected(spark).count() == 0 and store.logs(spark).count() == 2
+
+
 def test_uncommitted_batch_is_invisible(spark, tmp_root):
     store = LogStore(tmp_root)
     docs = docs_df(spark, [("a", {"logs": [entry("2026-07-20T14:01:30Z")]})])
