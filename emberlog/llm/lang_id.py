@@ -1,6 +1,6 @@
 """Operator 8, language identification: known words first, shorter and shorter character n-grams for the rest.
 
-Training counts words per language over a bounded sample of labelled documents. A word the model knows adds
+Training counts words per language over distinct labelled texts, at most a bounded number of each language. A word the model knows adds
 its log frequency per language; an unknown word adds the mean log frequency of its known n-grams of the longest
 order that has any, from ORDERS downwards. The best sum is the language, its posterior the score.
 """
@@ -17,14 +17,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from emberlog.llm.common import give_back, require, without
+from emberlog.llm.common import give_back, materialize, require, without
 
 WORD = re.compile(r"[^\W\d_]+")
 # The same characters for the JVM: Python's word characters (no combining marks) without digits and underscore.
 WORD_SQL = r"[\p{L}\p{Nl}\p{No}]+"
 UNDECIDED = "und"
 ORDERS = (4, 3, 2, 1)
-# Bounds of the classifier: labelled documents it is fitted on (about), and entries kept per language.
+# Bounds of the classifier: distinct labelled texts it is fitted on, words and n-grams kept, each per language.
 TRAIN_DOCS = 6000
 WORDS_PER_LANGUAGE = 40_000
 GRAMS_PER_LANGUAGE = 20_000
@@ -112,13 +112,15 @@ def grams_of(word: str, n: int) -> list[str]:
 
 
 def train(docs: DataFrame, lang_col: str = "lang", text_col: str = "text", train_docs: int = TRAIN_DOCS) -> Model:
-    """Fit on the rows with a language and text: all of them up to about ``train_docs``, else a hash sample of
-    that size (by text, so any id or order gives the same model). What reaches the driver is bounded by
-    WORDS_PER_LANGUAGE words per language."""
+    """Fit on the rows with a language and text: per language on each distinct text once, all of them up to
+    ``train_docs``, else the ``train_docs`` of the smallest hashes (by text, so any ids, order or number of copies
+    give the same model). What reaches the driver is bounded by WORDS_PER_LANGUAGE words per language."""
     require(docs, lang_col, text_col)
     rows = docs.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text")).where("lang IS NOT NULL AND text IS NOT NULL")
-    n = rows.count()
-    rows = rows.where(F.pmod(F.xxhash64("text"), F.lit(max(1, n // train_docs))) == 0)
+    rows = rows.withColumn("h", F.xxhash64("text"))
+    # One row per language: small enough for every task.
+    rows = rows.join(F.broadcast(last_hashes(rows, train_docs)), "lang").where("h <= last").select("lang", "h", "text")
+    rows = first_copies(rows).dropDuplicates(["lang", "h"])
     words = rows.select("lang", F.explode(F.regexp_extract_all(F.lower("text"), F.lit(WORD_SQL), F.lit(0))).alias("word"))
     counts = words.groupBy("lang", "word").count()
     top = Window.partitionBy("lang").orderBy(F.col("count").desc(), "word")
@@ -126,6 +128,35 @@ def train(docs: DataFrame, lang_col: str = "lang", text_col: str = "text", train
     return Model([(r["word"], r["lang"], r["count"]) for r in counts.select("word", "lang", "count").toLocalIterator()])
 
 
+def last_hashes(rows: DataFrame, n: int) -> DataFrame:
+    """(lang, last): the n-th smallest distinct h of each language, or the largest where it has no more than n.
+
+    Hashes are spread evenly, so only those below a share of their range that holds n of them all but surely
+    (eight standard deviations) are put in order: one task sees about n rows of a language, at any size.
+    """
+    hashes = materialize(rows.select("lang", "h").distinct(), "text-hashes")
+    share = hashes.groupBy("lang").agg(((n + 8 * n**0.5 + 100) / F.count("*")).alias("share"))
+    low = hashes.join(F.broadcast(share), "lang").where(F.col("h") / F.lit(2.0**64) + 0.5 <= F.col("share"))
+    low = low.withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy("h"))).where(F.col("r") <= n)
+    return low.groupBy("lang").agg(F.max("h").alias("last"))
+
+
+def first_copies(rows: DataFrame) -> DataFrame:
+    """Rows (lang, h, text) without those that repeat a (lang, h) of their task, so copies do not all travel."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[tuple[str, int]] = set()
+        for batch in batches:
+            keep = []
+            for key in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                keep.append(key not in seen)
+                seen.add(key)
+            yield batch.filter(pa.array(keep, pa.bool_()))
+        give_back()
+
+    return rows.mapInArrow(run, "lang string, h bigint, text string")
+
+
 def identify(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
     """Add lang_pred (a learned language, ``und`` without letters or for null text) and score (0 to 1: its
     posterior; 0 for und).

@@ -128,6 +128,21 @@ def test_language(spark):
     assert lang_id.identify(asked.limit(0), model).count() == 0
 
 
+def test_training_takes_each_distinct_text_once_and_every_language(spark):
+    rare = ["wasser haus", "wasser und"]
+    rows = [(f"the w{i}", "aa") for i in range(300)] + [("the copy", "aa")] * 200 + [(t, "bb") for t in rare] + [(None, "aa"), ("x", None)]
+    df = spark.createDataFrame(rows, "text string, lang string").repartition(7)
+    model = lang_id.train(df, train_docs=20)
+    assert model.langs == ["aa", "bb"] and {"wasser", "haus", "und"} <= set(model.words[0])
+    hashes = df.where("lang = 'aa' AND text IS NOT NULL").selectExpr("text", "xxhash64(text) AS h").distinct().orderBy("h").limit(20)
+    assert {w for r in hashes.collect() for w in lang_id.WORD.findall(r["text"])} == {w for w in model.words[0]} - {"wasser", "haus", "und"}
+    # Copies neither add weight nor crowd others out.
+    once = lang_id.train(df.distinct(), train_docs=20)
+    assert once.words[0] == model.words[0] and (once.words[1] == model.words[1]).all()
+    same = spark.createDataFrame([("the water", "aa")] * 500, "text string, lang string")
+    assert lang_id.train(same, train_docs=20).langs == ["aa"]
+
+
 def test_held_out_rows_are_those_of_the_checksum(spark):
     ids = [None, *range(50)]
     df = spark.createDataFrame([(i,) for i in ids], "doc_id long").withColumn("h", lang_id.held_out("doc_id"))
