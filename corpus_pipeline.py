@@ -12,11 +12,23 @@ from emberlog.llm import bpe_codec, decontaminate, lang_id, line_dedup, near_dup
 from emberlog.llm.common import materialize, table
 from emberlog.llm.queries import vocabulary
 
+# Scores of the language stage: the least for a text without a label, and from where a prediction replaces a label.
+LIKELY = 0.5
+CERTAIN = 0.99
+
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in no language (no letters at all, or no text) go; the others keep all they have."""
+    """Texts without letters go; the others get the predicted language in ``lang`` where they have none, or where the
+    prediction is as good as certain. An unlabelled text of which no language is more likely than all others together
+    goes too, as nothing says what it is. Where no row has a label there is no learned language: all texts with
+    letters stay, without a language."""
     model = lang_id.train(docs)
-    return lang_id.identify(docs, model).where(F.col("lang_pred") != lang_id.UNDECIDED).select(*docs.columns)
+    if not model.langs:
+        return docs.where(lang_id.has_letters("text"))
+    found = lang_id.identify(docs, model)
+    found = found.where((F.col("lang_pred") != lang_id.UNDECIDED) & (F.col("lang").isNotNull() | (F.col("score") >= LIKELY)))
+    decided = F.when(F.col("lang").isNull() | (F.col("score") >= CERTAIN), F.col("lang_pred")).otherwise(F.col("lang"))
+    return found.select(*[decided.alias("lang") if c == "lang" else F.col(f"`{c}`") for c in docs.columns])
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

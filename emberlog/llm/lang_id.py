@@ -157,6 +157,11 @@ def first_copies(rows: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, "lang string, h bigint, text string")
 
 
+def has_letters(text_col: str):
+    """True where ``identify`` finds a letter in the text; false for null."""
+    return F.coalesce(F.col(text_col).rlike(r"\p{L}"), F.lit(False))
+
+
 def identify(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
     """Add lang_pred (a learned language, ``und`` without letters or for null text) and score (0 to 1: its
     posterior; 0 for und).

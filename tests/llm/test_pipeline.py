@@ -33,3 +33,23 @@ def test_pipeline(spark, tmp_path):
     for i, t in kept.items():
         assert np.frombuffer(got[i]["token_ids"], dtype="<u4").tolist() == library.encode(t, add_special_tokens=False).ids
     assert [n for n, _ in corpus_pipeline.STAGES] == ["language", "line_dedup", "near_dedup", "decontamination", "bpe"]
+
+
+def test_language_stage_decides(spark):
+    words = {"aa": "the and house water", "bb": "der und haus wasser", "cc": "le et maison eau"}
+    rows = [(10 * i + k, f"{words[lang]} {words[lang]} x{i}", lang, "s", 1) for i in range(20) for k, lang in enumerate(words)]
+    rows += [(900, "the house", None, "s", 1), (901, "und und wasser haus der", "aa", "s", 1), (902, "12 + 3", "aa", "s", 1), (903, None, "aa", "s", 1),
+             (904, "ж", None, "s", 1), (905, "ш", "bb", "s", 1), (906, "12", None, "s", 1)]
+    out = corpus_pipeline.identify_language(spark, spark.createDataFrame(rows, SCHEMA), "")
+    assert out.columns == ["doc_id", "text", "lang", "source", "n_chars"]
+    got = {r["doc_id"]: r["lang"] for r in out.collect()}
+    assert {i: lang for i, lang in got.items() if i >= 900} == {900: "aa", 901: "bb", 905: "bb"}
+    assert {i: lang for i, lang in got.items() if i < 900} == {i: lang for i, _, lang, _, _ in rows if i < 900}
+
+
+def test_pipeline_without_any_label_keeps_texts_with_letters(spark, tmp_path):
+    rng = random.Random(10)
+    rows = [(i, prose(rng, 40)) for i in range(8)] + [(100, None), (101, "12 ½"), (102, "")]
+    spark.createDataFrame([(i, t, None, "s", len(t or "")) for i, t in rows], SCHEMA).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, prose(rng, 30, 9000))], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    assert {r["doc_id"]: r["lang"] for r in corpus_pipeline.run(spark, str(tmp_path)).collect()} == dict.fromkeys(range(8))
