@@ -15,6 +15,8 @@ from emberlog.llm.queries import vocabulary
 # Scores of the language stage: the least for a text without a label, and from where a prediction replaces a label.
 LIKELY = 0.5
 CERTAIN = 0.99
+# Near copies share so much of their word shingles, at least. (85, the contract of op9, binds that query only.)
+NEAR_PERCENT = 80
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -43,8 +45,8 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies stays."""
-    return near_dup.near_duplicates_dropped(docs)
+    """One document of each group of near copies (Jaccard similarity of NEAR_PERCENT) stays."""
+    return near_dup.near_duplicates_dropped(docs, percent=NEAR_PERCENT)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

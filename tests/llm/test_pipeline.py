@@ -53,3 +53,12 @@ def test_pipeline_without_any_label_keeps_texts_with_letters(spark, tmp_path):
     spark.createDataFrame([(i, t, None, "s", len(t or "")) for i, t in rows], SCHEMA).write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame([(1, prose(rng, 30, 9000))], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
     assert {r["doc_id"]: r["lang"] for r in corpus_pipeline.run(spark, str(tmp_path)).collect()} == dict.fromkeys(range(8))
+
+
+def test_near_copies_of_four_fifths_go(spark):
+    words = [f"w{i}" for i in range(54)]  # 50 shingles; one word in the middle is in 5 of them
+    near, far = ([("x" if i in at else w) for i, w in enumerate(words)] for at in ((25,), (10, 40)))
+    rows = [(i, " ".join(t), "en", "s", 1) for i, t in enumerate((words, near, far))]
+    out = corpus_pipeline.drop_near_copies(spark, spark.createDataFrame(rows, SCHEMA), "")
+    # 45 of 55 shingles are 0.82; 40 of 60 are 0.67, and the two changed texts share 35 of 65.
+    assert {r["doc_id"] for r in out.collect()} == {0, 2}
