@@ -44,9 +44,10 @@ def digest(lines: Column) -> Column:
     return F.sha2(F.array_join(lines, " "), 256)
 
 
-def known_licenses(spark: SparkSession) -> DataFrame:
-    """license_id, text of the licences that come with the library."""
-    return spark.createDataFrame(STATEMENTS + TEXTS, "license_id string, text string")
+def known_licenses(spark: SparkSession, path: str | None = None) -> DataFrame:
+    """license_id, text of the licences that come with the library, and of those in a Parquet table at ``path``."""
+    known = spark.createDataFrame(STATEMENTS + TEXTS, "license_id string, text string")
+    return known if path is None else known.unionByName(spark.read.parquet(path).select("license_id", "text"))
 
 
 def scan(docs: DataFrame, known: DataFrame | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

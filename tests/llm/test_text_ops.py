@@ -7,7 +7,7 @@ from collections import defaultdict
 import pytest
 
 from emberlog.llm import decontaminate, license_scan, line_dedup, near_dup
-from emberlog.llm.license_texts import TEXTS
+from emberlog.llm.license_texts import FILES, TEXTS
 from emberlog.llm.setsketch import merge, most_likely, registers, shingle_set
 
 DOCS = "doc_id long, text string, n_lines string, extra int"
@@ -185,6 +185,18 @@ def test_license_scan(spark):
                    (None, "MIT", 1, "MIT"), (2, None, 0, ""), (6, None, 0, "")}
 
 
+def test_whole_texts_of_long_licenses_and_of_a_table(spark, tmp_path):
+    own = tmp_path / "known"
+    spark.createDataFrame([("LicenseRef-own", "Use it\nas you like.")], "license_id string, text string").write.parquet(str(own))
+    bsd = next(t for i, t in TEXTS if i == "BSD-3-Clause").replace("<year>, <copyright holders>", "2020 Somebody")
+    rows = [("BSD-3-Clause", bsd), ("BSD-3-Clause", bsd.replace("Somebody", "Somebody\nAll rights reserved."))]
+    rows += [(f.stem, f.read_text(encoding="utf-8").upper()) for f in sorted(FILES.glob("*.txt"))]
+    rows += [("LicenseRef-own", "use it as you like"), (None, bsd.replace("endorse", "praise"))]
+    assert {i for i, _ in rows} >= {"Apache-2.0", "MPL-2.0", "GPL-2.0-only", "GPL-3.0-only", "LGPL-2.1-only", "LGPL-3.0-only", "CC0-1.0"}
+    out = license_scan.scan(docs_df(spark, [(k, t) for k, (_, t) in enumerate(rows)]), license_scan.known_licenses(spark, str(own)))
+    assert [r["license_id"] for r in out.orderBy("doc_id").collect()] == [i for i, _ in rows]
+
+
 def test_empty_tables(spark):
     none = docs_df(spark, [])
     bench = spark.createDataFrame([(1, "a b c")], "item_id long, text string")
