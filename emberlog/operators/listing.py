@@ -118,7 +118,7 @@ def page_index(logs: DataFrame, flt: LogFilter, page_size: int, tenant=ALL_TENAN
     if page_size < 1:
         raise ValueError("limit must be between 1 and 1000")
     df = apply_filter(logs, flt, tenant).select("ts", "id")
-    ranked = with_rank(df, newest_first(), rank_col="_rank")
+    ranked = with_rank(df, ["-ts", "-id"], rank_col="_rank")
     paged = ranked.withColumn("page_no", F.floor(F.col("_rank") / F.lit(page_size)).cast("bigint"))
     agg = paged.groupBy("page_no").agg(
         F.count(F.lit(1)).alias("n_rows"),
