@@ -58,6 +58,8 @@ def _literal(value, kind: T.DataType) -> str:
         return "named_struct(" + ", ".join(f"'{f.name}', {_literal(value[f.name], f.dataType)}" for f in kind) + ")"
     if value is None:
         return f"cast(null as {kind.simpleString()})"
+    if isinstance(value, (bytes, bytearray)):
+        return f"unhex('{value.hex()}')"
     if isinstance(value, str):
         return f"decode(unbase64('{base64.b64encode(value.encode()).decode()}'), 'UTF-8')"
     return f"cast('{value}' as {kind.simpleString()})"
