@@ -115,7 +115,106 @@ SELECT d.doc_id, sha256(array_to_string(l, ' ')) AS text_sha256, k.license AS li
 FROM d LEFT JOIN k ON k.t = array_to_string(l, ' ') LEFT JOIN y ON y.doc_id = d.doc_id
 """
 
+
+
+def _vector_codes(parts: int = 8, entries: int = 16, rounds: int = 6, scale: int = 4096) -> str:
+    """A statement for each round: nearest entry as the least of distance * 256 + index, then floors of the means."""
+    cut = f"[p * (len(q) // {parts}) + 1 : (p + 1) * (len(q) // {parts})]"
+    dist = "list_sum(list_transform(list_zip(x.v, c.v), lambda z: (z[1] - z[2]) * (z[1] - z[2])))"
+    steps = [f"""k AS MATERIALIZED (
+  SELECT row_number() OVER () AS rid, vec_id, label, list_transform(embedding, lambda v: CAST(floor({scale} * CAST(v AS DOUBLE)) AS BIGINT)) AS q
+  FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda v: v IS NULL OR NOT isfinite(v))) = 0)""",
+             f"x AS MATERIALIZED (SELECT rid, p, q{cut} AS v FROM k, range({parts}) t(p))",
+             f"s AS (SELECT row_number() OVER (ORDER BY vec_id) - 1 AS e, q FROM (SELECT vec_id, min(q) AS q FROM k WHERE vec_id IS NOT NULL GROUP BY vec_id ORDER BY vec_id LIMIT {entries}))",
+             f"c0 AS MATERIALIZED (SELECT p, e, q{cut} AS v FROM s, range({parts}) t(p))"]
+    for r in range(rounds + 1):
+        steps.append(f"a{r} AS MATERIALIZED (SELECT rid, x.p, min({dist} * 256 + c.e) AS best FROM x JOIN c{r} c ON c.p = x.p GROUP BY rid, x.p)")
+        if r < rounds:
+            steps.append(f"""c{r + 1} AS MATERIALIZED (
+  SELECT c.p, c.e, coalesce(l.v, c.v) AS v FROM c{r} c LEFT JOIN (
+    SELECT p, e, list((s - ((s % n) + n) % n) // n ORDER BY i) AS v FROM (
+      SELECT x.p, CAST(best % 256 AS BIGINT) AS e, i, CAST(sum(x.v[i]) AS BIGINT) AS s, count(*) AS n
+      FROM x JOIN a{r} a ON a.rid = x.rid AND a.p = x.p, LATERAL (SELECT unnest(range(1, len(x.v) + 1)) AS i) GROUP BY ALL) GROUP BY p, e) l
+  ON l.p = c.p AND l.e = c.e)""")
+    steps.append(f"""r AS MATERIALIZED (SELECT rid, string_agg(printf('%02x', CAST(best % 256 AS INT)), '' ORDER BY p) AS code,
+  CAST(sum(best // 256) AS BIGINT) AS error FROM a{rounds} GROUP BY rid)""")
+    steps.append(f"b AS (SELECT sha256(string_agg(CAST(n AS VARCHAR), ',' ORDER BY p, e, i)) AS digest FROM (SELECT p, e, unnest(v) AS n, unnest(range(len(v))) AS i FROM c{rounds}))")
+    return "WITH " + ",\n".join(steps) + """
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, (SELECT digest FROM b) AS codebooks_sha256
+FROM k JOIN r ON r.rid = k.rid
+"""
+
+
+OP11 = _vector_codes()
+
+
+def _crc_table() -> list[int]:
+    out = []
+    for c in range(256):
+        for _ in range(8):
+            c = c >> 1 ^ (0xEDB88320 if c & 1 else 0)
+        out.append(c)
+    return out
+
+
+def crc32(expr: str) -> str:
+    """Unsigned CRC-32 of a text's UTF-8 bytes."""
+    steps = f"list_transform(regexp_extract_all(hex(encode({expr})), '..'), lambda z: CAST('0x' || z AS BIGINT))"
+    return (f"xor(list_reduce(list_prepend(4294967295::BIGINT, {steps}), "
+            f"lambda c, z: xor(c >> 8, list_extract(CAST({_crc_table()} AS BIGINT[]), (xor(c, z) & 255) + 1))), 4294967295::BIGINT)")
+
+
+OP12 = f"""
+WITH d AS (SELECT doc_id, source, CAST(coalesce(strlen(text), 0) + 1 AS BIGINT) AS size, {crc32("coalesce(text, '')")} AS text_crc32,
+                  md5('42:' || coalesce(CAST(doc_id AS VARCHAR), '-')) AS h FROM documents),
+p AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY h, size, text_crc32) - 1 AS place, count(*) OVER (PARTITION BY source) AS n FROM d),
+r AS (SELECT *, row_number() OVER (ORDER BY (2 * place + 1) / (2 * n), h, source NULLS FIRST, size, text_crc32) - 1 AS k, count(*) OVER () AS total FROM p)
+SELECT doc_id, size, text_crc32, 'rows' AS law, CAST(k * 16 // total AS INT) AS shard,
+       k - ((k * 16 // total) * total + 15) // 16 AS slot, CAST(NULL AS INT) AS grown_shard FROM r
+"""
+
+
+def _field(name: str, value: str | None = None) -> str:
+    value = value or f"CAST({name} AS VARCHAR)"
+    return f"coalesce(CAST(strlen({value}) AS VARCHAR) || ':' || {value}, '-')"
+
+
+def _merkle(levels: int = 5, over: int = 2) -> str:
+    """Trees of up to 16 ** levels rows a source, and of 16 ** over sources, level by level."""
+    leaf = "sha256(" + " || ".join(_field(f) for f in ("doc_id", "source", "lang", "n_chars", "text")) + ")"
+    lowered_leaf = "sha256(" + " || ".join([*(_field(f) for f in ("doc_id", "source", "lang", "n_chars")), _field("text", lowered("text"))]) + ")"
+    steps = [f"""d AS MATERIALIZED (SELECT doc_id, coalesce('s' || source, '-') AS g, {leaf} AS leaf, CASE WHEN {crc32('CAST(doc_id AS VARCHAR)')} % 5 = 0 THEN {lowered_leaf} ELSE {leaf} END AS fold FROM documents)""",
+             """f0 AS MATERIALIZED (SELECT doc_id, g, leaf, fold, '' AS proof, row_number() OVER (PARTITION BY g ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos,
+  count(*) OVER (PARTITION BY g) AS cnt FROM d)""", "n0 AS (SELECT g, pos, cnt, leaf AS h FROM f0)"]
+
+    def climb(at: int) -> None:
+        steps.append(f"r{at} AS MATERIALIZED (SELECT g, pos // 16 AS pos, (cnt + 15) // 16 AS cnt, list(h ORDER BY pos) AS hs FROM n{at} WHERE cnt > 1 GROUP BY g, pos // 16, (cnt + 15) // 16)")
+        steps.append(f"n{at + 1} AS MATERIALIZED (SELECT g, pos, cnt, sha256(array_to_string(hs, '')) AS h FROM r{at} UNION ALL SELECT * FROM n{at} WHERE cnt = 1)")
+        steps.append(f"""f{at + 1} AS MATERIALIZED (
+  SELECT doc_id, f.g, leaf, CASE WHEN f.cnt = 1 THEN fold ELSE sha256(array_to_string(hs[:f.pos % 16] || [fold] || hs[f.pos % 16 + 2:], '')) END AS fold,
+         CASE WHEN f.cnt = 1 THEN proof ELSE proof || array_to_string(hs[:f.pos % 16] || hs[f.pos % 16 + 2:], '') END AS proof,
+         f.pos // 16 AS pos, (f.cnt + 15) // 16 AS cnt
+  FROM f{at} f LEFT JOIN r{at} r ON r.g = f.g AND r.pos = f.pos // 16 AND f.cnt > 1)""")
+
+    for at in range(levels):
+        climb(at)
+    # Roots of the sources, the null source first ('-' sorts before 's').
+    steps.append(f"subs AS MATERIALIZED (SELECT g, h AS subroot, row_number() OVER (ORDER BY g) - 1 AS pos, count(*) OVER () AS cnt FROM n{levels})")
+    steps.append(f"n{levels + 1} AS (SELECT 'all' AS g, pos, cnt, subroot AS h FROM subs)")
+    steps.append(f"""f{levels + 1} AS MATERIALIZED (SELECT doc_id, 'all' AS g, leaf, fold, proof, s.pos, s.cnt FROM f{levels} f JOIN subs s ON s.g = f.g)""")
+    for at in range(levels + 1, levels + 1 + over):
+        climb(at)
+    last = levels + 1 + over
+    return "WITH " + ",\n".join(steps) + f"""
+SELECT f.doc_id, f.leaf, subroot, h AS root, sha256(proof) AS proof_sha256, fold AS folded_root, fold = h AS verified
+FROM f{last} f JOIN n{last} n ON true JOIN (SELECT doc_id, leaf, g FROM f0) o ON o.doc_id IS NOT DISTINCT FROM f.doc_id AND o.leaf = f.leaf JOIN subs s ON s.g = o.g
+"""
+
+
+OP13 = _merkle()
+
 ORACLES = {
     "op2_decontamination": OP2, "op4_line_dedup": OP4, "op5_hamming_topk": OP5, "op6_warc": OP6,
-    "op9_near_duplicates": OP9, "op10_licenses": OP10,
+    "op9_near_duplicates": OP9, "op10_licenses": OP10, "op11_vector_codes": OP11,
+    "op12_sharding": OP12, "op13_merkle_manifest": OP13,
 }

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from emberlog.llm import (bpe_codec, chat_format, decontaminate, hamming_topk, lang_id, license_scan, line_dedup,
-                          near_dup, token_count, warc)
+from emberlog.llm import (bpe_codec, chat_format, decontaminate, hamming_topk, lang_id, license_scan, line_dedup, merkle,
+                          near_dup, sharding, token_count, vector_codes, warc)
 from emberlog.llm.common import table
 from emberlog.llm.oracle import ORACLES  # noqa: F401
 
@@ -72,5 +72,23 @@ def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.scan(table(spark, sf_dir, "documents"))
 
 
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    codes, books = vector_codes.compress(table(spark, sf_dir, "embeddings"))
+    return codes.withColumn("codebooks_sha256", F.lit(vector_codes.codebooks_digest(books)))
+
+
+def op12_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    text = F.coalesce("text", F.lit(""))
+    docs = table(spark, sf_dir, "documents").select(
+        "doc_id", "source", (F.octet_length(text) + 1).cast("bigint").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"))
+    return sharding.shard_rows(docs, tie_cols=("size", "text_crc32")).select(
+        "doc_id", "size", "text_crc32", "law", "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.manifest(table(spark, sf_dir, "documents"), fold_text=merkle.tampered())
+
+
 QUERIES = {f.__name__: f for f in (op1_token_counts, op2_decontamination, op3_bpe, op4_line_dedup, op5_hamming_topk, op6_warc,
-                                   op7_chat_format, op8_language, op9_near_duplicates, op10_licenses)}
+                                   op7_chat_format, op8_language, op9_near_duplicates, op10_licenses, op11_vector_codes,
+                                   op12_sharding, op13_merkle_manifest)}

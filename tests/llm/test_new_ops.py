@@ -1,0 +1,274 @@
+"""Vector codes, sharding and the Merkle manifest against brute force."""
+
+import hashlib
+import math
+import random
+import zlib
+from collections import Counter
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from emberlog.llm import merkle, sharding, vector_codes
+
+
+# -- vector codes -------------------------------------------------------------
+def brute_codes(rows, parts=8, entries=16, rounds=6, scale=4096):
+    """rows: (id, vector, label) of kept rows."""
+    q = [(i, [math.floor(scale * float(np.float32(x))) for x in v], lb) for i, v, lb in rows]
+    first = {}
+    for i, v, _ in q:
+        if i is not None:
+            first[i] = min(first.get(i, v), v)
+    starts = [first[i] for i in sorted(first)[:entries]]
+    d = len(q[0][1]) // parts
+    cut = lambda v, p: v[p * d:(p + 1) * d]
+    books = [[cut(v, p) for v in starts] for p in range(parts)]
+
+    def nearest(x, book):
+        return min((sum((a - b) ** 2 for a, b in zip(x, e)), k) for k, e in enumerate(book))
+
+    for _ in range(rounds):
+        for p in range(parts):
+            own = {}
+            for _, v, _ in q:
+                own.setdefault(nearest(cut(v, p), books[p])[1], []).append(cut(v, p))
+            books[p] = [[sum(c) // len(own[k]) for c in zip(*own[k])] if k in own else e for k, e in enumerate(books[p])]
+    out = []
+    for i, v, lb in q:
+        found = [nearest(cut(v, p), books[p]) for p in range(parts)]
+        out.append((i, lb, "".join(f"{k:02x}" for _, k in found), sum(e for e, _ in found)))
+    totals = Counter()
+    for _, lb, _, e in out:
+        totals[lb] += e
+    text = ",".join(str(x) for b in books for e in b for x in e)
+    return sorted((str(i), c, e, totals[lb]) for i, lb, c, e in out), hashlib.sha256(text.encode()).hexdigest()
+
+
+def vectors(spark, rows):
+    return spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").repartition(3)
+
+
+def compressed(df, **options):
+    codes, books = vector_codes.compress(df, **options)
+    return sorted((str(r["vec_id"]), r["code"], r["error"], r["label_error"]) for r in codes.collect()), vector_codes.codebooks_digest(books), books
+
+
+def test_codes_against_brute_force(spark):
+    rnd = random.Random(2)
+    rows = [(k, [rnd.gauss(k % 5, 0.3) for _ in range(16)], rnd.choice([None, 1, 2])) for k in range(300)]
+    rows += [rows[7]] * 120  # one vector a third of all
+    rows += [(400, [0.0] * 16, 3), (3, [9.0] * 16, 3), (None, [1.0] * 16, None)]
+    bad = [(900, None, 1), (901, [None] * 16, 1), (902, [float("nan")] * 16, 1), (903, [1.0] * 15 + [float("inf")], 1)]
+    got = compressed(vectors(spark, rows + bad))
+    assert got[:2] == brute_codes(rows)
+
+
+def test_codes_of_few_ids_ties_and_other_shapes(spark):
+    rows = [(5, [1.0, -1.0, 0.5, 0.25], None), (5, [1.0, -1.0, 0.5, -0.25], None), (2, [0.0] * 4, None), (9, [0.5, -0.5, 0.25, 0.0], 1)]
+    got = compressed(vectors(spark, rows), parts=4, entries=3, rounds=2)
+    assert got[:2] == brute_codes(rows, parts=4, entries=3, rounds=2)
+    named = vectors(spark, rows).select(F.concat(F.lit("v"), "vec_id").alias("vec_id"), "embedding", "label", F.lit(1).alias("code"), F.lit(2).alias("id"))
+    again = compressed(named, parts=4, entries=3, rounds=2)
+    assert [r[1:] for r in again[0]] == [r[1:] for r in sorted(got[0], key=lambda r: "v" + r[0])]
+    codes, books = vector_codes.compress(vectors(spark, rows), parts=4, entries=3, rounds=2)
+    back = vector_codes.decoded(codes, books).collect()
+    for r in back:
+        assert r["vector"] == [books[p][int(r["code"][2 * p:2 * p + 2], 16)][0] / 4096 for p in range(4)]
+
+
+def test_codes_of_nothing_and_of_unfit_vectors(spark):
+    assert compressed(vectors(spark, []))[:2] == ([], hashlib.sha256(b"").hexdigest())
+    assert compressed(vectors(spark, [(1, None, 1)]))[0] == []
+    for rows in ([(1, [1.0] * 16, 1), (2, [1.0] * 8, 1)], [(1, [1.0] * 9, 1)], [(1, [1e30] * 8, 1)]):
+        with pytest.raises(Exception, match="vectors must be of one length|too large"):
+            compressed(vectors(spark, rows))
+
+
+def test_balls_own_what_is_nearest():
+    rnd = np.random.default_rng(4)
+    for trial in range(40):
+        n, d = int(rnd.integers(1, 900)), int(rnd.integers(1, 6))
+        points = rnd.integers(-40, 40, (n, d)) * int(rnd.choice([1, 100])) if trial % 3 else np.tile(rnd.integers(-3, 3, (1, d)), (n, 1))
+        entries = np.concatenate([points[rnd.integers(0, n, 5)], rnd.integers(-40, 40, (4, d))]).astype(np.int64)
+        balls = vector_codes.unpacked(vector_codes.packed(vector_codes.grow(points.astype(np.int64))), d)
+        assert sorted(balls.placed.tolist()) == list(range(n)) and (points[balls.placed] == balls.points).all()
+        inside = [((balls.points[f:k] - c) ** 2).sum(axis=1).max() <= r for f, k, c, r in zip(balls.first, balls.last, balls.center, balls.reach2)]
+        assert all(inside)
+        sums, counts, owners = np.zeros_like(entries), np.zeros(len(entries), np.int64), np.zeros(n, np.int64)
+        vector_codes.settle(balls, entries, sums, counts, owners)
+        want = ((balls.points[:, None] - entries[None]) ** 2).sum(axis=2).argmin(axis=1)
+        assert (owners == want).all()
+        assert (counts == np.bincount(want, minlength=len(entries))).all()
+        assert all((sums[e] == balls.points[want == e].sum(axis=0)).all() for e in range(len(entries)))
+
+
+# -- sharding -------------------------------------------------------------------
+def brute_shards(rows, shards, seed=42):
+    by = {}
+    for i, s in rows:
+        by.setdefault(s, []).append((hashlib.md5(f"{seed}:{'-' if i is None else i}".encode()).hexdigest(), i))
+    flat = []
+    for s, own in by.items():
+        flat += [((2 * k + 1) / (2 * len(own)), h, (s is not None, s or ""), i) for k, (h, i) in enumerate(sorted(own, key=lambda x: x[0]))]
+    flat.sort(key=lambda x: x[:3])
+    first = [-(-s * len(flat) // shards) for s in range(shards + 1)]
+    out = []
+    for k, (_, _, s, i) in enumerate(flat):
+        shard = k * shards // len(flat)
+        out.append((i, s[1] if s[0] else None, shard, k - first[shard]))
+    return out
+
+
+def shard_table(spark, rows):
+    return spark.createDataFrame(rows, "doc_id long, source string")
+
+
+KEY = lambda r: tuple((x is not None, x) for x in r)
+
+
+def test_shards_against_brute_force_and_partitioning(spark):
+    rnd = random.Random(8)
+    rows = [(k, rnd.choice(["hot", "hot", "hot", "a", "ä", None, ""])) for k in range(1500)] + [(2000 + k, f"s{k}") for k in range(5)]
+    want = sorted(brute_shards(rows, 16), key=KEY)
+    for parts in (1, 3, 7):
+        got = sharding.shard_rows(shard_table(spark, rows).repartition(parts))
+        assert sorted(((r["doc_id"], r["source"], r["shard"], r["slot"]) for r in got.collect()), key=KEY) == want
+    sizes = Counter(r[2] for r in want)
+    assert max(sizes.values()) - min(sizes.values()) <= 1 and len(sizes) == 16
+    # Every shard holds every source in its proportion, to a row for each source between its two ends.
+    for s, n in Counter(r[1] for r in rows).items():
+        for shard in range(16):
+            assert abs(sum(r[1] == s and r[2] == shard for r in want) - n / 16) <= 2
+
+
+def test_shards_of_repeated_rows_and_clashing_names(spark):
+    rows = [(1, "a")] * 400 + [(None, None)] * 200 + [(k, "a") for k in range(600)]
+    df = shard_table(spark, rows).withColumn("shard", F.lit("x")).withColumn("slot", F.lit(1)).withColumn("text", F.lit("t"))
+    got = sharding.shard_rows(df, shards=7).collect()
+    ends = [-(-s * 1200 // 7) for s in range(8)]
+    assert sorted((r["shard"], r["slot"]) for r in got) == [(s, k) for s in range(7) for k in range(ends[s + 1] - ends[s])]
+    assert Counter((r["doc_id"], r["source"]) for r in got) == Counter(rows) and {r["text"] for r in got} == {"t"}
+    with pytest.raises(ValueError, match="operator itself"):
+        sharding.shard_rows(df.withColumn("__share", F.lit(1)))
+
+
+def test_shards_of_few_rows_and_none(spark):
+    assert sharding.shard_rows(shard_table(spark, [])).count() == 0
+    got = sharding.shard_rows(shard_table(spark, [(1, "a"), (2, "a"), (3, None)]), shards=16).collect()
+    assert len({r["shard"] for r in got}) == 3 and {r["slot"] for r in got} == {0}
+
+
+def test_written_shards_hold_the_rows_in_order(spark, tmp_root):
+    rows = [(k, "ab"[k % 2]) for k in range(90)]
+    out = sharding.shard_rows(shard_table(spark, rows), shards=4)
+    sharding.write_shards(out, f"{tmp_root}/shards", rows_per_file=10)
+    back = spark.read.parquet(f"{tmp_root}/shards")
+    assert sorted(r["doc_id"] for r in back.collect()) == list(range(90))
+    assert back.where("shard = 2 AND piece = 1").select("slot").collect() == [(k,) for k in range(10, 20)]
+
+
+# -- Merkle manifest ------------------------------------------------------------
+def h(*parts):
+    return hashlib.sha256("".join(parts).encode()).hexdigest()
+
+
+def brute_leaf(row, text=None):
+    values = [*row[:4], row[4] if text is None else text]
+    return h("".join("-" if v is None else f"{len(str(v).encode())}:{v}" for v in values))
+
+
+def brute_tree(leaves):
+    """Root, and for each leaf the levels of (run, place)."""
+    level, where = list(leaves), list(range(len(leaves)))
+    paths = [[] for _ in leaves]
+    while len(level) > 1:
+        runs = [level[k:k + 16] for k in range(0, len(level), 16)]
+        for i, w in enumerate(where):
+            paths[i].append((runs[w // 16], w % 16))
+        where = [w // 16 for w in where]
+        level = [h(*r) for r in runs]
+    return level[0], paths
+
+
+def brute_manifest(rows):
+    by = {}
+    for r in rows:
+        by.setdefault(r[1], []).append(r)
+    names = sorted(by, key=lambda s: (s is not None, (s or "").encode()))
+    subs = {}
+    for s in names:
+        by[s].sort(key=lambda r: ((r[0] is not None, r[0]), brute_leaf(r)))
+        subs[s] = brute_tree([brute_leaf(r) for r in by[s]])
+    root, over = brute_tree([subs[s][0] for s in names])
+    out = []
+    for s, up in zip(names, over):
+        for r, path in zip(by[s], subs[s][1]):
+            path = path + up
+            hit = r[0] is not None and zlib.crc32(str(r[0]).encode()) % 5 == 0 and r[4] is not None
+            lowered = "".join(c.lower() if "A" <= c <= "Z" else c for c in r[4]) if hit else None
+            node = brute_leaf(r, lowered)
+            proof = "".join(x for run, p in path for k, x in enumerate(run) if k != p)
+            for run, p in path:
+                node = h(*run[:p], node, *run[p + 1:])
+            out.append((r[0], brute_leaf(r), subs[s][0], root, h(proof), node, node == root))
+    return sorted(out, key=lambda r: tuple(map(str, r)))
+
+
+def docs_table(spark, rows):
+    return spark.createDataFrame(rows, "doc_id long, source string, lang string, n_chars long, text string")
+
+
+def manifested(df, **options):
+    return sorted((tuple(r) for r in merkle.manifest(df, fold_text=merkle.tampered(), **options).collect()), key=lambda r: tuple(map(str, r)))
+
+
+def some_docs(rnd, sizes):
+    rows = []
+    for s, n in sizes.items():
+        for _ in range(n):
+            k = len(rows)
+            rows.append((k * 3, s, rnd.choice([None, "en"]), rnd.choice([None, k]), rnd.choice([None, "", f"Text {k} Ä\n", "UPPER", "low"])))
+    return rows
+
+
+@pytest.mark.parametrize("levels", [1, 2, 3])
+def test_manifest_against_brute_force(spark, levels):
+    """With blocks of one level the larger sources take several rounds of appending block roots."""
+    rnd = random.Random(levels)
+    sizes = {None: 1, "": 2, "a": 16, "b": 17, "ä": 33, "hot": 700, "c": 256, "d": 257, "e": 4}
+    rows = some_docs(rnd, sizes) + [(None, "a", None, None, None), (9, "hot", "x", 1, "twice"), (9, "hot", "x", 1, "twice")]
+    rnd.shuffle(rows)
+    want = brute_manifest(rows)
+    assert manifested(docs_table(spark, rows).repartition(5), levels=levels) == want
+    assert any(r[6] for r in want) and any(not r[6] for r in want)
+
+
+def test_manifest_of_many_sources_and_of_whole_blocks(spark):
+    rows = some_docs(random.Random(1), {f"s{k}": 1 for k in range(40)} | {"big": 4096 + 4096 + 1})
+    assert manifested(docs_table(spark, rows)) == brute_manifest(rows)
+
+
+def test_manifest_of_one_row_of_none_and_of_clashing_names(spark):
+    rows = [(5, "s", "en", 3, "A" * 100_000)]
+    df = docs_table(spark, rows)
+    for name in ("leaf", "fold", "grp", "place", "of", "block", "steps"):
+        df = df.withColumn(name, F.lit(1))
+    got = manifested(df)
+    assert got == brute_manifest(rows)
+    assert got[0][1] == got[0][2] == got[0][3] and got[0][4] == hashlib.sha256(b"").hexdigest()
+    assert manifested(docs_table(spark, [])) == []
+    plain = merkle.manifest(docs_table(spark, rows)).first()
+    assert plain["verified"] and plain["folded_root"] == plain["root"]
+
+
+def test_tree_is_the_same_however_it_is_appended():
+    leaves = [h(str(k)) for k in range(600)]
+    for n in (1, 2, 15, 16, 17, 255, 256, 257, 600):
+        tree = merkle.Tree()
+        found = [tree.append(x)[0] for x in leaves[:n]]
+        root, paths = brute_tree(leaves[:n])
+        assert tree.root() == root
+        assert [[(list(r), p) for r, p in w.steps] for w in found] == [[(list(r), p) for r, p in path] for path in paths]
+        assert all(w.fold(x) == root for w, x in zip(found, leaves))
