@@ -23,7 +23,7 @@ from emberlog.functions.written import written
 
 # Splitters that one plan holds at most, rows of a bucket at least, and sampled keys per bucket.
 MAX_BUCKETS = 16_384
-ROWS_PER_BUCKET = 10_000
+ROWS_PER_BUCKET = 2_000
 SAMPLED_PER_BUCKET = 20
 # Buckets for each task that reads them: they are dealt by hash, so a few for each even the tasks out.
 BUCKETS_PER_TASK = 4
@@ -100,19 +100,21 @@ def bucketed(table: DataFrame, cuts: list, kind: T.DataType) -> DataFrame:
 
 
 def with_rank(df: DataFrame, order: list[str], group_cols: list[str] | None = None, rank_col: str = "rank",
-              total_col: str | None = None, num_partitions: int | None = None, weight_col: str | None = None) -> DataFrame:
+              total_col: str | None = None, num_partitions: int | None = None, weight_col: str | None = None,
+              is_written: bool = False) -> DataFrame:
     """Add a 0-based ``rank_col`` by ``order`` (column names, ``-`` before one that goes down) within
     ``group_cols``, and the group's size as ``total_col`` when given.
 
     With ``weight_col`` a row counts that often: its rank is the sum of the weights before it. Rows that tie in
-    all of ``order`` get distinct ranks in no defined order. Null groups are one group.
+    all of ``order`` get distinct ranks in no defined order. Null groups are one group. A ``df`` that ``is_written`` (a
+    selection of columns of a written table) is read as it is; rows of one key are then not dealt over several slices.
     """
     spark = df.sparkSession
     group_cols = list(group_cols or [])
     clash = {"_salt", "_bucket", "_group", "_key", "_off", "_lo", "_hi"} & set(df.columns)
     if clash:
         raise ValueError(f"column names of the rank itself: {sorted(clash)}")
-    kept = written(df.withColumn("_salt", F.monotonically_increasing_id()), "rank-rows")
+    kept = df.withColumn("_salt", F.lit(0)) if is_written else written(df.withColumn("_salt", F.monotonically_increasing_id()), "rank-rows")
     rows = kept.count()
     most = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     key = sort_key(kept, group_cols + list(order))

@@ -2,31 +2,34 @@
 
 One batch (a load number, or a stream's epoch id) is written as partitions
 ``batch_id=N`` of logs, rollup partials, rejections and receipts; the commit
-marker is written last. Rerunning the same batch overwrites exactly its own
-partitions, so a retry never doubles rows or counts.
-
-Ids are ``batch_id * 2**32 + position``; positions are dense within the
-batch (partition by partition, documents in id order inside a partition):
-unique across batches, reproduced by a replay of the same input, and found
-without a global sort.
+marker is written last. A batch that is committed stays as it is: sending its
+number again writes nothing and returns the stored totals, whatever the input
+or the clock. An attempt that ended before its marker is removed and done anew.
+
+A document is parsed and all its entries are validated in one narrow pass, which also gives its receipt
+with the list of rejections. Ids are ``batch_id * 2**32 + position``: the entries in the order of the document ids, and within
+a document in the order of the body, counted without gaps (rejected entries keep their place). They depend on the documents
+alone, not on files, partitions or cores.
 """
 
 from __future__ import annotations
 
-import hashlib
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 from datetime import datetime
 
-from pyspark import StorageLevel
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from emberlog import schema as S
+from emberlog.functions.spread import spread
+from emberlog.functions.written import written
 from emberlog.operators.access import verdicts
+from emberlog.operators.ranking import with_rank
 from emberlog.operators.rollup import build_rollup
-from emberlog.operators.validate import validate_entries
-from emberlog.session import checkpoint_dir, configure
-from emberlog.sources.envelopes import explode_entries, parse_envelopes
+from emberlog.operators.validate import check_entries
+from emberlog.session import configure
+from emberlog.sources.envelopes import parse_envelopes
 from emberlog.sources.store import LogStore
 
 ID_SHIFT = 2**32
@@ -35,60 +38,17 @@ LOG_COLUMNS = ["id", "ts", "level", "service", "message", "attributes", "tenant_
 
 @dataclass
 class BatchFrames:
-    parsed: DataFrame  # documents with their parsed envelope
-    validated: DataFrame  # every entry (+ one placeholder row per refused or empty document)
-    entries: DataFrame  # entries only: doc_id, entry_index, reason, raw, typed columns, id
-    accepted: DataFrame  # logs rows + dt
+    documents: DataFrame  # doc_id, tenant_id, errors, checked (an array of its validated entries), n_entries, body_hash
+    entries: DataFrame  # entries only: doc_id, entry_index, reason, raw, typed columns
+    accepted: DataFrame  # logs rows without id, + dt
     rejected: DataFrame
     receipts: DataFrame
     bad: DataFrame
 
 
-def _spread(docs: DataFrame) -> DataFrame:
-    """Parsing and validation are CPU work per document: when the source has
-    fewer splits than the cluster has cores (one big file), hash-spread the
-    documents by id first. Sources with enough splits are left as they are.
-    The explicit partition count keeps AQE from re-cutting these partitions."""
-    cores = docs.sparkSession.sparkContext.defaultParallelism
-    if docs.rdd.getNumPartitions() < cores:
-        return docs.repartition(cores, "doc_id")
-    return docs
-
-
-def _with_ids(parsed: DataFrame, batch_id: int) -> DataFrame:
-    """Explode entries (one placeholder row for a refused or empty document)
-    and number them densely across the batch.
-
-    Within a partition, documents are sorted by id and their rows follow in
-    order, so ``monotonically_increasing_id`` minus the partition's base (its
-    documented layout: partition id in the upper 31 bits, record number in
-    the lower 33) is the row's position in the partition; a table with one row count per partition
-    (tiny) gives each partition its starting offset. No global sort, no single
-    task; the same input and partitioning give the same ids.
-    """
-    ordered = parsed.sortWithinPartitions("doc_id").withColumn("_pid", F.spark_partition_id())
-    rows_of_doc = F.greatest(F.coalesce(F.size("logs"), F.lit(0)), F.lit(1))
-    totals = ordered.groupBy("_pid").agg(F.sum(rows_of_doc).alias("_n"))
-    before = Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = totals.select("_pid", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off"))
-    entries = explode_entries(ordered, keep=["tenant_id", "envelope_error", "auth_error", "_pid"],
-                              outer=True).withColumn(
-        "_mid", F.monotonically_increasing_id()
-    )
-    # One row per partition: bounded by the partition count, safe to broadcast.
-    entries = entries.join(F.broadcast(offsets), "_pid")
-    pos = F.col("_off") + F.col("_mid") - F.shiftleft(F.col("_pid").cast("bigint"), 33)
-    # A batch past its block of ids would repeat those of the next one: it fails before anything is committed.
-    too_many = F.raise_error(F.lit(f"batch {batch_id} has more than {ID_SHIFT} entries; split it")).cast("bigint")
-    block = F.lit(batch_id).cast("bigint") * F.lit(ID_SHIFT)
-    return entries.withColumn("id", F.when(pos < F.lit(ID_SHIFT), block + pos).otherwise(too_many)).drop(
-        "_pid", "_mid", "_off"
-    )
-
-
 def parse_batch(docs: DataFrame, tenant: str | None = None, keys: DataFrame | None = None) -> DataFrame:
-    """Spread (if needed) and parse the documents; keeps doc_id, tenant_id,
-    logs, envelope_error and auth_error (the raw text is no longer needed).
+    """Spread (if needed) and parse the documents: doc_id, value, tenant_id,
+    logs, envelope_error and auth_error.
 
     With ``keys`` (the key table) and an ``api_key`` column, each document is
     first checked for the ``ingest`` scope: refused documents are not parsed
@@ -106,113 +66,117 @@ def parse_batch(docs: DataFrame, tenant: str | None = None, keys: DataFrame | No
         if "tenant_id" not in docs.columns:
             docs = docs.withColumn("tenant_id", F.lit(tenant).cast("string"))
         docs = docs.select("doc_id", "value", "tenant_id", F.lit(None).cast("string").alias("auth_error"))
-    parsed = parse_envelopes(_spread(docs))
-    return parsed.withColumn("envelope_error", F.coalesce("auth_error", "envelope_error")).drop("value")
-
-
-def validate_parsed(parsed: DataFrame, batch_id: int, as_of: datetime | None = None) -> BatchFrames:
-    checked = validate_entries(_with_ids(parsed, batch_id), as_of=as_of)
-    is_entry = F.col("entry_index").isNotNull()
-    reason = F.when(is_entry, F.col("reason"))
-    validated = checked.select(
-        "doc_id", "entry_index", "envelope_error", "auth_error", reason.alias("reason"),
-        # The raw entry text is kept for rejections only.
-        F.when(reason.isNotNull(), F.to_json("v")).alias("raw"), *LOG_COLUMNS, "attributes_v",
-    )
-    return frames_of(parsed, validated)
+    parsed = parse_envelopes(spread(docs, "doc_id"))
+    return parsed.withColumn("envelope_error", F.coalesce("auth_error", "envelope_error"))
 
 
-def validate_batch(docs: DataFrame, batch_id: int, as_of: datetime | None = None,
-                   tenant: str | None = None, keys: DataFrame | None = None) -> BatchFrames:
+def validate_parsed(parsed: DataFrame, as_of: datetime | None = None) -> DataFrame:
+    """One row for each document, with its validated entries as array ``checked``. Narrow."""
+    checked = F.coalesce(check_entries(F.col("logs"), as_of, F.col("value")), F.array())
+    return parsed.select("doc_id", "tenant_id", "envelope_error", "auth_error", F.xxhash64("value").alias("body_hash"), checked.alias("checked"),
+                         F.coalesce(F.size("logs"), F.lit(0)).cast("bigint").alias("n_entries"))
+
+
+def validate_batch(docs: DataFrame, as_of: datetime | None = None, tenant: str | None = None,
+                   keys: DataFrame | None = None) -> BatchFrames:
     """``docs`` has (doc_id, value) and optionally ``tenant_id`` (the caller's tenant
     per document) or ``api_key`` (checked against ``keys``); otherwise every
     row is stamped with ``tenant``."""
-    return validate_parsed(parse_batch(docs, tenant, keys), batch_id, as_of)
-
-
-def frames_of(parsed: DataFrame, validated: DataFrame) -> BatchFrames:
-    """Accepted rows, rejections and per-document receipts, all from ``validated``
-    (which holds one placeholder row per refused or empty document)."""
-    entry = F.col("entry_index").isNotNull()
-    # Stored rows keep the attributes as VARIANT: probes need no JSON parsing.
-    stored = [F.col("attributes_v").alias("attributes") if c == "attributes" else F.col(c) for c in LOG_COLUMNS]
-    accepted = validated.where(entry & F.col("reason").isNull()).select(*stored, F.to_date("ts").alias("dt"))
-    rejected = validated.where(entry & F.col("reason").isNotNull()).select(
-        "doc_id", "entry_index", "reason", "raw"
-    )
-    per_doc = validated.groupBy("doc_id").agg(
-        F.count_if(entry & F.col("reason").isNull()).alias("accepted"),
-        F.count_if(entry & F.col("reason").isNotNull()).alias("rejected"),
-        F.max("envelope_error").alias("error"),
-        F.max("auth_error").alias("_auth"),
-    )
+    return frames_of(validate_parsed(parse_batch(docs, tenant, keys), as_of))
+
+
+def _exploded(documents: DataFrame, *columns: str) -> DataFrame:
+    # The plain form would first filter on the array, and so validate every document a second time.
+    out = documents.select(*columns, F.posexplode_outer("checked").alias("entry_index", "e"))
+    return out.where("entry_index IS NOT NULL").select(*columns, "entry_index", "e.*")
+
+
+def _stored(entries: DataFrame) -> DataFrame:
+    """Accepted entries as log rows; attributes stay VARIANT, so probes need no JSON parsing."""
+    rows = entries.where("reason IS NULL").withColumnRenamed("attributes_v", "attributes")
+    return rows.select(*[c for c in LOG_COLUMNS if c in rows.columns], F.to_date("ts").alias("dt"))
+
+
+def receipts_of(documents: DataFrame) -> DataFrame:
+    """What the sender of each document is told: counts, status, error and the rejected entries with their reasons, in order."""
+    indexed = F.transform("checked", lambda e, i: F.struct(i.alias("index"), e["reason"].alias("reason")))
+    out = documents.withColumn("rejections", F.filter(indexed, lambda r: r["reason"].isNotNull()))
+    rejected = F.size("rejections").cast("bigint")
     status = (
-        F.when(F.col("_auth").isNotNull(), F.lit("denied"))
-        .when(F.col("error").isNotNull(), F.lit("bad_batch"))
+        F.when(F.col("auth_error").isNotNull(), F.lit("denied"))
+        .when(F.col("envelope_error").isNotNull(), F.lit("bad_batch"))
         .when(F.col("accepted") > 0, F.lit("accepted"))
         .otherwise(F.lit("refused"))
     )
-    receipts = per_doc.select("doc_id", "accepted", "rejected", status.alias("status"), "error")
-    bad = per_doc.where(F.col("error").isNotNull() & F.col("_auth").isNull()).select("doc_id", "error")
-    entries = validated.where(entry)
-    return BatchFrames(parsed, validated, entries, accepted, rejected, receipts, bad)
+    return out.select("*", (F.col("n_entries") - rejected).alias("accepted"), rejected.alias("rejected")).select(
+        "doc_id", "accepted", "rejected", status.alias("status"), F.col("envelope_error").alias("error"), "rejections")
+
+
+def frames_of(documents: DataFrame) -> BatchFrames:
+    """Accepted rows, rejections and receipts of validated documents."""
+    entries = _exploded(documents, "doc_id", "tenant_id")
+    rejected = entries.where("reason IS NOT NULL").select("doc_id", "entry_index", "reason", "raw")
+    bad = documents.where("envelope_error IS NOT NULL AND auth_error IS NULL").select("doc_id", F.col("envelope_error").alias("error"))
+    return BatchFrames(documents, entries, _stored(entries), rejected, receipts_of(documents), bad)
+
+
+def with_ids(documents: DataFrame, batch_id: int, is_written: bool = False) -> DataFrame:
+    """Entries of all documents with their ids: block of the batch + entries of earlier documents + place in the document.
+
+    Documents of one id stand in the order of the hash of their bodies. The entries before a document are a prefix sum over
+    slices of the document ids (``operators.ranking``), so the ids are the same for any partitioning.
+    """
+    slim = documents.select("doc_id", "tenant_id", "checked", "n_entries", "body_hash")
+    placed = with_rank(slim, ["doc_id", "body_hash"], rank_col="start", weight_col="n_entries", is_written=is_written)
+    entries = _exploded(placed, "doc_id", "tenant_id", "start")
+    position = F.col("start") + F.col("entry_index")
+    # A batch past its block of ids would repeat those of the next one: it fails before anything is committed.
+    too_many = F.raise_error(F.lit(f"batch {batch_id} has more than {ID_SHIFT} entries; split it")).cast("bigint")
+    block = F.lit(batch_id).cast("bigint") * F.lit(ID_SHIFT)
+    return entries.withColumn("id", F.when(position < F.lit(ID_SHIFT), block + position).otherwise(too_many)).drop("start")
+
+
+def totals_of(store: LogStore, spark, batch_id: int) -> dict:
+    """What the stored receipts of a batch add up to."""
+    status = F.col("status")
+    row = store.raw_receipts(spark).where(F.col("batch_id") == batch_id).agg(
+        F.sum("accepted").alias("accepted"), F.sum("rejected").alias("rejected"), F.count_if(status == "bad_batch").alias("bad_documents"),
+        F.count_if(status == "denied").alias("denied_documents")).first()
+    out = {k: int(row[k] or 0) for k in ("accepted", "rejected", "bad_documents")}
+    return out | ({"denied_documents": int(row["denied_documents"])} if row["denied_documents"] else {})
 
 
 def ingest_batch(store: LogStore, docs: DataFrame, batch_id: int, as_of: datetime | None = None,
-                 tenant: str | None = None, keys: DataFrame | None = None, stage: bool = False,
-                 totals: bool = True) -> dict:
+                 tenant: str | None = None, keys: DataFrame | None = None, totals: bool = True) -> dict:
     """Validate and write one batch; returns accepted/rejected/bad-document totals.
 
-    Order: logs, rollup partials (of the same rows), rejections, receipts,
+    Logs, rollup partials (of the same rows), rejections and receipts are written,
     and last the commit marker that makes the batch visible.
 
-    Parsed documents are read twice (partition totals for ids, then the
-    entries) and validated rows three times (logs, rejections, receipts).
-    By default both are cached for the batch's lifetime (a lost block is
-    recomputed from the input, which gives the same ids). With ``stage`` the
-    validated rows are instead written once to the shared checkpoint folder
-    and read back, which cuts the lineage for very large batches.
+    Validated documents are written once to the shared checkpoint folder; ids, rows, rollup, rejections and receipts all read
+    that table, so the clock and the input are looked at once in a batch. Rows are rebalanced by day before they are
+    written: a batch of one day gets few files, a backfill over many days not a file for each task and day.
     ``totals=False`` skips the summary job (streams read receipts instead).
     """
     spark = docs.sparkSession
+    if store.is_committed(spark, batch_id):
+        return totals_of(store, spark, batch_id) if totals else {}
     store.clear_uncommitted(spark, batch_id)
-    parsed = parse_batch(docs, tenant, keys).persist(StorageLevel.MEMORY_AND_DISK)
-    validated = None
-    try:
-        checked = validate_parsed(parsed, batch_id, as_of).validated
-        if stage:
-            store_key = hashlib.sha1(store.root.encode("utf-8")).hexdigest()[:16]
-            path = f"{checkpoint_dir(spark)}/ingest-stage/{store_key}/batch_id={batch_id}"
-            checked.write.mode("overwrite").parquet(path)
-            validated = spark.read.parquet(path)
-        else:
-            validated = checked.persist(StorageLevel.MEMORY_AND_DISK)
-        frames = frames_of(parsed, validated)
-        b = F.lit(batch_id).cast("bigint")
-        store.write_partitions(frames.accepted.withColumn("batch_id", b), "logs", ["dt", "batch_id"], "ts")
-        # Partials from the same validated rows that were just written.
-        counts = build_rollup(frames.accepted).withColumn("dt", F.to_date("bucket_ts")).withColumn("batch_id", b)
-        store.write_partitions(counts, "log_counts", ["dt", "batch_id"], "bucket_ts")
-        store.write_partitions(frames.rejected.withColumn("batch_id", b), "rejected", ["batch_id"])
-        store.write_partitions(frames.receipts.withColumn("batch_id", b), "receipts", ["batch_id"])
-        if not totals:
-            store.commit(spark, batch_id)
-            return {}
-        entry = F.col("entry_index").isNotNull()
-        doc_row = F.col("entry_index").isNull()  # one placeholder row per refused or empty document
-        summary = validated.agg(
-            F.count_if(entry & F.col("reason").isNull()).alias("accepted"),
-            F.count_if(entry & F.col("reason").isNotNull()).alias("rejected"),
-            F.count_if(doc_row & F.col("envelope_error").isNotNull() & F.col("auth_error").isNull())
-            .alias("bad_documents"),
-            F.count_if(doc_row & F.col("auth_error").isNotNull()).alias("denied_documents"),
-        ).collect()[0]
-        store.commit(spark, batch_id)
-        out = {k: int(summary[k] or 0) for k in ("accepted", "rejected", "bad_documents")}
-        if summary["denied_documents"]:
-            out["denied_documents"] = int(summary["denied_documents"])
-        return out
-    finally:
-        if validated is not None and not stage:
-            validated.unpersist()
-        parsed.unpersist()
+    documents = written(validate_parsed(parse_batch(docs, tenant, keys), as_of), "ingest-documents")
+    frames = frames_of(documents)
+    b = F.lit(batch_id).cast("bigint")
+    day = F.col("dt")
+    logs = _stored(with_ids(documents, batch_id, is_written=True)).withColumn("batch_id", b)
+    counts = build_rollup(frames.accepted).withColumn("dt", F.to_date("bucket_ts")).withColumn("batch_id", b)
+    tables = [
+        (logs.hint("rebalance", day), "logs", ["dt", "batch_id"], "ts"),
+        (counts.hint("rebalance", day), "log_counts", ["dt", "batch_id"], "bucket_ts"),
+        (frames.rejected.withColumn("batch_id", b), "rejected", ["batch_id"], None),
+        (frames.receipts.withColumn("batch_id", b), "receipts", ["batch_id"], None),
+    ]
+    # Four jobs over one table, at the same time; the first failure is raised, and nothing is committed then.
+    with ThreadPoolExecutor(len(tables)) as pool:
+        list(pool.map(lambda t: store.write_partitions(*t), tables))
+    out = totals_of(store, spark, batch_id) if totals else {}
+    store.commit(spark, batch_id)
+    return out

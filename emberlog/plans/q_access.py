@@ -195,5 +195,5 @@ def q_access_ingest(spark, sf_dir):
     configure(spark)
     uid_key = _requests(spark, sf_dir).select(F.col("request_id").alias("event_id"), "api_key")
     docs = requests_from_events(spark, sf_dir).join(uid_key, "event_id").select("doc_id", "value", "api_key")
-    fr = validate_batch(docs, 1, as_of=to_utc(AS_OF), keys=_keys(spark))
+    fr = validate_batch(docs, as_of=to_utc(AS_OF), keys=_keys(spark))
     return fr.receipts.select("doc_id", "status", "error", "accepted", "rejected")

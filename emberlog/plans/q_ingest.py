@@ -8,19 +8,16 @@ from emberlog import schema as S
 from emberlog.functions.timefns import iso_ms
 from emberlog.plans import oracle as O
 from emberlog.plans.catalog import register
-from emberlog.plans.ingest import validate_batch
+from emberlog.plans.ingest import ID_SHIFT, parse_batch, validate_batch, validate_parsed, with_ids
 from emberlog.session import configure
 from emberlog.sources.envelopes import MALFORMED_BODY, NOT_ENVELOPE, explode_entries, parse_envelopes
 from emberlog.sources.requests import AS_OF, SELECTOR_MOD, requests_from_events
 from emberlog.spec import to_utc
 
-BATCH = 1
-
-
 def ingest_frames(spark, sf_dir):
     configure(spark)
     docs = requests_from_events(spark, sf_dir).select("doc_id", "value", "tenant_id")
-    return validate_batch(docs, BATCH, as_of=to_utc(AS_OF))
+    return validate_batch(docs, as_of=to_utc(AS_OF))
 
 
 def _q(s: str) -> str:
@@ -105,7 +102,30 @@ ACCEPT_SQL = (
 def q_ingest_accept(spark, sf_dir):
     v = ingest_frames(spark, sf_dir).entries.where(F.col("reason").isNull())
     return v.select("doc_id", "entry_index", iso_ms("ts").alias("ts"), "level", "service", "message",
-                    "attributes", "tenant_id")
+                    F.to_json("attributes_v").alias("attributes"), "tenant_id")
+
+
+# Ids by document order: the entries of earlier documents, then the place in the document.
+IDS_SQL = (
+    "SELECT doc_id, entry_index, CAST(row_number() OVER (ORDER BY doc_id, entry_index) - 1 AS BIGINT) AS position, TRUE AS same\n"
+    "FROM entries"
+)
+ID_BATCH = 3
+
+
+@register("ingest_ids", O.with_logs(IDS_SQL, REQ_CTE + f",\nentries AS ({ENTRIES_SQL})"))
+def q_ingest_ids(spark, sf_dir):
+    """Position of every entry in its batch, numbered over two partitionings of the same documents."""
+    configure(spark)
+    docs = requests_from_events(spark, sf_dir).select("doc_id", "value", "tenant_id")
+
+    def ids(dealt, name):
+        documents = validate_parsed(parse_batch(dealt), as_of=to_utc(AS_OF))
+        return with_ids(documents, ID_BATCH).select("doc_id", "entry_index", F.col("id").alias(name))
+
+    one, other = ids(docs.repartition(3), "id"), ids(docs.repartition(11, "value"), "again")
+    both = one.join(other, ["doc_id", "entry_index"], "full_outer")
+    return both.select("doc_id", "entry_index", (F.col("id") - ID_BATCH * ID_SHIFT).alias("position"), (F.col("id") == F.col("again")).alias("same"))
 
 
 RECEIPT_SQL = (
@@ -119,11 +139,17 @@ RECEIPT_SQL = (
     + _q(NOT_ENVELOPE)
     + " END AS error\nFROM req"
 )
+REJECTIONS_SQL = (
+    "SELECT r.*, coalesce(x.rejections, '[]') AS rejections FROM (" + RECEIPT_SQL + ") r LEFT JOIN (\n"
+    "  SELECT doc_id, '[' || string_agg('{\"index\":' || entry_index || ',\"reason\":\"' || reason || '\"}', ',' ORDER BY entry_index) || ']' AS rejections\n"
+    "  FROM entries WHERE reason IS NOT NULL GROUP BY doc_id) x ON x.doc_id = r.doc_id"
+)
 
 
-@register("ingest_receipt", O.with_logs(RECEIPT_SQL, REQ_CTE))
+@register("ingest_receipt", O.with_logs(REJECTIONS_SQL, REQ_CTE + f",\nentries AS ({ENTRIES_SQL})"))
 def q_ingest_receipt(spark, sf_dir):
-    return ingest_frames(spark, sf_dir).receipts
+    """What each sender is told, with the list of rejected entries as JSON text."""
+    return ingest_frames(spark, sf_dir).receipts.withColumn("rejections", F.to_json("rejections"))
 
 
 @register(
@@ -145,7 +171,7 @@ def q_load_summary(spark, sf_dir):
 
     configure(spark)
     docs = requests_from_events(spark, sf_dir)
-    receipts = validate_batch(docs.select("doc_id", "value", "tenant_id"), BATCH, as_of=to_utc(AS_OF)).receipts
+    receipts = validate_batch(docs.select("doc_id", "value", "tenant_id"), as_of=to_utc(AS_OF)).receipts
     # The label of a request is the service that sent it (from the view, not the body).
     svc = docs.select("doc_id", "service")
     return load_summary(receipts.join(svc, "doc_id"), "service")

@@ -33,11 +33,11 @@ class LogService:
 
     # -- ingest -------------------------------------------------------------
     def ingest(self, docs: DataFrame, batch_id: int, as_of: datetime | None = None,
-               tenant: str | None = None, keys: DataFrame | None = None, stage: bool = False) -> dict:
+               tenant: str | None = None, keys: DataFrame | None = None) -> dict:
         """``docs``: (doc_id, value[, tenant_id | api_key]) request bodies; one store batch.
-        With ``keys`` each document's ``api_key`` must hold the ingest scope; ``stage``
-        writes validated rows to the checkpoint folder instead of caching them."""
-        return ingest_batch(self.store, docs, batch_id, as_of=as_of, tenant=tenant, keys=keys, stage=stage)
+        With ``keys`` each document's ``api_key`` must hold the ingest scope. A batch that is
+        committed is not written again; its totals are returned."""
+        return ingest_batch(self.store, docs, batch_id, as_of=as_of, tenant=tenant, keys=keys)
 
     def ingest_files(self, path: str, batch_id: int, as_of: datetime | None = None,
                      tenant: str | None = None) -> dict:

@@ -50,8 +50,6 @@ def explode_entries(parsed: DataFrame, keep: list[str] | None = None, outer: boo
     NULL ``entry_index``, so per-document outcomes can come from the same rows.
     """
     keep = keep or []
-    if outer:
-        return parsed.select("doc_id", *keep, F.posexplode_outer("logs").alias("entry_index", "v"))
-    return parsed.where(F.col("logs").isNotNull()).select(
-        "doc_id", *keep, F.posexplode("logs").alias("entry_index", "v")
-    )
+    # The plain form would first filter on the array, and so parse every document a second time.
+    out = parsed.select("doc_id", *keep, F.posexplode_outer("logs").alias("entry_index", "v"))
+    return out if outer else out.where("entry_index IS NOT NULL")

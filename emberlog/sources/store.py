@@ -5,7 +5,7 @@ Layout under one root (a shared, cluster-visible folder)::
     logs/dt=YYYY-MM-DD/batch_id=N/      id ts level service message attributes(variant) tenant_id
     log_counts/dt=.../batch_id=N/       bucket_ts service level tenant_id n   (additive partials)
     rejected/batch_id=N/                doc_id entry_index reason raw
-    receipts/batch_id=N/                doc_id accepted rejected status
+    receipts/batch_id=N/                doc_id accepted rejected status error rejections(index, reason)
     commits/batch_id=N/                 committed, retires_batch, retires_dt   (written last)
 
 Ingest batches have non-negative ids, maintenance batches (compaction,
@@ -50,9 +50,7 @@ class LogStore:
         Parquet row groups carry tight min/max ranges on it. ``cluster`` first
         range-partitions on (day, ``sort_col``) so each task writes one time
         slice (one or two day directories; a hot day is split over many
-        tasks). It costs a shuffle, so ingest leaves it off — a live stream's
-        batch mostly covers one day — and a backfill over many days is folded
-        by day compaction instead.
+        tasks). Ingest leaves it off: it rebalances its rows by day itself.
         """
         if sort_col:
             if cluster:
@@ -66,16 +64,19 @@ class LogStore:
             .parquet(self.path(table))
         )
 
+    def is_committed(self, spark: SparkSession, batch_id: int) -> bool:
+        """Whether the batch has its marker (one look at a path)."""
+        marker = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.path('commits')}/batch_id={batch_id}")
+        return marker.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(marker)
+
     def clear_uncommitted(self, spark: SparkSession, batch_id: int) -> None:
         """Delete what an earlier, uncommitted attempt of this batch left: dynamic overwrite
         replaces only partitions the new attempt writes, the others would become visible with
         its marker. A committed batch is left alone."""
-        conf = spark.sparkContext._jsc.hadoopConfiguration()
-        to_path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
-        marker = to_path(f"{self.path('commits')}/batch_id={batch_id}")
-        fs = marker.getFileSystem(conf)
-        if fs.exists(marker):
+        if self.is_committed(spark, batch_id):
             return
+        to_path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+        fs = to_path(self.root).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
         for table, days in (("logs", "dt=*/"), ("log_counts", "dt=*/"), ("rejected", ""), ("receipts", "")):
             for st in fs.globStatus(to_path(f"{self.path(table)}/{days}batch_id={batch_id}")) or []:
                 fs.delete(st.getPath(), True)
@@ -175,7 +176,8 @@ class LogStore:
 
     def raw_receipts(self, spark: SparkSession) -> DataFrame:
         return self._read(
-            spark, "receipts", "doc_id string,accepted bigint,rejected bigint,status string,error string,batch_id bigint"
+            spark, "receipts", "doc_id string,accepted bigint,rejected bigint,status string,error string,"
+            "rejections array<struct<index:int,reason:string>>,batch_id bigint"
         )
 
     def _committed(self, spark: SparkSession, raw: DataFrame) -> DataFrame:

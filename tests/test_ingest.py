@@ -1,6 +1,7 @@
 """Batch ingest into the store: visibility on commit, replay, ids, rollup, receipts."""
 
 import json
+import random
 from datetime import datetime, timezone
 
 import pytest
@@ -179,14 +180,67 @@ def test_page_by_days_equals_full_scan(spark, tmp_root):
             bm = a_next
 
 
-def test_staged_batch_equals_cached_batch(spark, tmp_root):
-    docs = docs_df(spark, [("a", {"logs": [entry("2026-07-20T14:01:30Z"), entry("2026-07-20T14:01:31Z", level="x")]}),
-                           ("b", {"logs": [entry("2026-07-20T14:02:00Z")]})])
-    s1, s2 = LogStore(tmp_root + "/cached"), LogStore(tmp_root + "/staged")
-    assert ingest_batch(s1, docs, 3, as_of=AS_OF) == ingest_batch(s2, docs, 3, as_of=AS_OF, stage=True)
-    a = sorted(tuple(r) for r in s1.logs(spark).drop("dt").withColumn("attributes", F.to_json("attributes")).collect())
-    b = sorted(tuple(r) for r in s2.logs(spark).drop("dt").withColumn("attributes", F.to_json("attributes")).collect())
-    assert a == b and len(a) == 2
+def test_ids_do_not_depend_on_partitions_or_cores(spark, tmp_root):
+    rnd = random.Random(9)
+    bodies = [(f"doc-{k:03d}", {"logs": [entry(f"2026-07-{1 + k % 19:02d}T14:01:{i:02d}Z", level=rnd.choice(["info", "x"]))
+                                         for i in range(rnd.randint(0, 5))]}) for k in range(120)]
+    bodies += [("doc-007", {"logs": [entry("2026-07-20T14:01:30Z", msg="again")]}), ("doc-050b", "not json")]
+    # By hand: documents in the order of their ids, entries in the order of the body.
+    want, position = {}, 0
+    for name, body in sorted((b for b in bodies if b[0] != "doc-007" and b[1] != "not json"), key=lambda b: b[0]):
+        for i, e in enumerate(body["logs"]):
+            want[name, i] = (position, e["level"] == "info")
+            position += 1
+        if name == "doc-006":
+            position += 1 + len(dict(bodies[:120])["doc-007"]["logs"])  # the two documents of one id
+    seen = set()
+    for k, parts in enumerate((3, 4, 7, 1)):
+        rnd.shuffle(bodies)
+        store = LogStore(f"{tmp_root}/{parts}")
+        ingest_batch(store, docs_df(spark, bodies).repartition(parts), 6, as_of=AS_OF)
+        rows = {r["id"] - 6 * ID_SHIFT: (r["ts"].isoformat(), r["message"]) for r in store.logs(spark).collect()}
+        assert {p for p, ok in want.values() if ok} <= set(rows)
+        seen.add(tuple(sorted(rows.items())))
+        documents = ingest.validate_parsed(ingest.parse_batch(docs_df(spark, bodies).repartition(parts)), AS_OF)
+        got = {(r["doc_id"], r["entry_index"]): r["id"] - 6 * ID_SHIFT for r in ingest.with_ids(documents, 6).collect() if r["doc_id"] != "doc-007"}
+        assert got == {key: p for key, (p, _) in want.items()}
+    assert len(seen) == 1
+
+
+def test_committed_batch_is_not_written_again(spark, tmp_root):
+    store = LogStore(tmp_root)
+    early = docs_df(spark, [("a", {"logs": [entry("2026-07-20T14:01:30Z"), entry("2026-07-22T14:01:30Z")]})])
+    assert ingest_batch(store, early, 7, as_of=AS_OF) == {"accepted": 1, "rejected": 1, "bad_documents": 0}
+    before = [sorted(map(str, t.collect())) for t in (store.logs(spark), store.receipts(spark), store.rejected(spark))]
+    # Other input and a later clock under the same number: the stored totals come back.
+    other = docs_df(spark, [("b", {"logs": [entry("2026-07-20T14:01:31Z")] * 3})])
+    assert ingest_batch(store, other, 7, as_of=AS_OF) == {"accepted": 1, "rejected": 1, "bad_documents": 0}
+    assert ingest_batch(store, early, 7, as_of=datetime(2026, 7, 23, tzinfo=timezone.utc))["rejected"] == 1
+    assert [sorted(map(str, t.collect())) for t in (store.logs(spark), store.receipts(spark), store.rejected(spark))] == before
+
+
+def test_receipts_list_the_rejections_in_one_narrow_pass(spark, tmp_root):
+    docs = docs_df(spark, [("a", {"logs": [entry("2026-07-20T14:01:30Z", level="x"), entry("2026-07-20T14:01:30Z"), 5, {}]}),
+                           ("b", {"logs": []}), ("c", "{")])
+    receipts = ingest.validate_batch(docs, as_of=AS_OF).receipts
+    got = {r["doc_id"]: (r["accepted"], r["rejected"], r["status"], [tuple(x) for x in r["rejections"]]) for r in receipts.collect()}
+    assert got == {"a": (1, 3, "accepted", [(0, "invalid level: 'x'"), (2, "entry must be a object"), (3, "missing required field: 'timestamp'")]),
+                   "b": (0, 0, "refused", []), "c": (0, 0, "bad_batch", [])}
+    path = f"{tmp_root}/bodies"
+    docs.repartition(6).write.parquet(path)
+    plan = ingest.validate_batch(spark.read.parquet(path).repartition(8), as_of=AS_OF).receipts._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and "Generate" not in plan  # the repartition above
+    store = LogStore(f"{tmp_root}/store")
+    ingest_batch(store, docs, 1, as_of=AS_OF)
+    assert {r["doc_id"]: [tuple(x) for x in r["rejections"]] for r in store.receipts(spark).collect()} == {k: v[3] for k, v in got.items()}
+
+
+def test_backfill_over_days_writes_few_files(spark, tmp_root):
+    docs = docs_df(spark, [(f"d{k}", {"logs": [entry(f"2026-07-{d:02d}T10:00:0{k % 10}Z") for d in range(1, 19)]}) for k in range(64)])
+    store = LogStore(tmp_root)
+    ingest_batch(store, docs.repartition(16), 1, as_of=AS_OF)
+    files = store.raw_logs(spark).select(F.col("_metadata.file_path")).distinct().count()
+    assert files <= 2 * 18 and store.logs(spark).count() == 64 * 18
 
 
 def test_typed_probes_on_stored_variant_attributes(spark, tmp_root):

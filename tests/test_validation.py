@@ -167,3 +167,22 @@ def test_offsets_to_the_end_of_the_day_and_no_year_zero(spark):
              "0001-01-01T00:00:00Z": "0001-01-01 00:00:00", "2024-01-02t10:00:00z": "2024-01-02 10:00:00", "2024-02-30T00:00:00+19:00": None}
     df = spark.createDataFrame([(c,) for c in cases], "t string")
     assert {r["t"]: r["p"] for r in df.select("t", parse_timestamp(F.col("t")).cast("string").alias("p")).collect()} == cases
+
+
+def checked(spark, body, as_of=AS_OF):
+    from emberlog.plans.ingest import validate_batch
+
+    docs = spark.createDataFrame([("d", body)], "doc_id string, value string")
+    return [r["reason"] for r in validate_batch(docs, as_of=as_of).entries.orderBy("entry_index").collect()]
+
+
+@pytest.mark.parametrize("attributes,key", [
+    ('{"z":[1],"a":[1]}', "z"), ('{"ok":1,"b":{},"a":null}', "b"), ('{"z":[1],"10":null,"9":{},"a":[1]}', "9"), ('{"01":[1],"z":[1],"1":"x"}', "01"),
+    ('{"z":[1],"y":[],"z":"fine"}', "y"), ('{"z":1,"y":[],"z":[2]}', "z"), ('{"b/c":{"x":{"a":1}},"a~":[]}', "b~1c"), ('{"4294967295":[],"7":[],"é":[]}', "7"),
+    ('{"4294967295":[],"é":[]}', "4294967295"), ('{"é":[],"4294967295":[]}', "é"),
+])
+def test_first_bad_attribute_is_the_first_of_the_text(spark, attributes, key):
+    """Keys in the order of the text, those that are array indexes first in ascending order, a repeated key where it first stands."""
+    base = '"timestamp":"2026-07-20T14:32:01Z","level":"info","service":"s","message":"m"'
+    body = '{"x":{"logs":7},"logs":[4,{' + base + ',"attributes":{"q":[]}},{' + base + ',"attributes":' + attributes + "}]}"
+    assert checked(spark, body) == ["entry must be a object", NESTED.format(k="q"), NESTED.format(k=key)]
