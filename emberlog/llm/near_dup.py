@@ -12,6 +12,9 @@
    join something new leave a task. So no pair of a bucket that could still join two components goes untested,
    and no list of all pairs is made.
 
+Only texts of buckets with several members can be compared. They are fetched once, into a table that both steps read; the
+other texts do not move.
+
 Links, components and sketches stay in tables of the shared checkpoint folder.
 """
 
@@ -24,6 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from emberlog.functions.sizing import maybe_broadcast
 from emberlog.llm.common import give_back, materialize, require
 from emberlog.llm.setsketch import REGISTERS, ROWS, band_keys, may_reach, registers, set_digest, shingle_set
 
@@ -31,8 +35,10 @@ PERCENT = 85
 SHINGLE = 5
 # Members left over that a hub may have to be compared pair by pair; more go in blocks.
 FEW = 8
-# Members that one task compares with one copy of the texts it holds.
-MEMBERS_PER_TASK = 2000
+# Members that are compared with one copy of the texts held for them.
+MEMBERS_PER_TASK = 500
+# Ids that are broadcast to fetch their texts; more of them are joined by shuffle.
+BROADCAST_IDS = 2_000_000
 # Shingles of one block's index.
 BLOCK_SHINGLES = 500_000
 
@@ -86,11 +92,18 @@ def likely_pairs(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
     return pairs.select("hub", "node", "n1", "r1", "n2", "r2").mapInArrow(run, f"hub {id_type}, node {id_type}")
 
 
+def wanted_texts(docs: DataFrame, members: DataFrame) -> DataFrame:
+    """The rows of ``docs`` that any comparison can need, as written table."""
+    ids = materialize(members.select("id").distinct(), "wanted-ids")
+    return materialize(docs.join(maybe_broadcast(ids, BROADCAST_IDS), "id", "left_semi"), "wanted-texts")
+
+
 def pair_routes(pairs: DataFrame) -> DataFrame:
     """Where to send the texts of (hub, node) pairs; a hub of many members is copied to as many parts as needed."""
     pairs = materialize(pairs, "likely-pairs")
-    parts = max(16, pairs.count() // MEMBERS_PER_TASK)
-    members = pairs.select(F.col("node").alias("id"), "hub", F.lit(-1).alias("block"), F.pmod(F.xxhash64("node"), F.lit(parts)).cast("int").alias("part"))
+    parts = pairs.groupBy("hub").agg(F.ceil(F.count("*") / MEMBERS_PER_TASK).cast("int").alias("parts"))
+    members = pairs.join(parts, "hub").select(
+        F.col("node").alias("id"), "hub", F.lit(-1).alias("block"), F.pmod(F.xxhash64("node"), "parts").cast("int").alias("part"))
     hubs = members.select(F.col("hub").alias("id"), "hub", "block", "part").distinct()
     return hubs.withColumn("held", F.lit(0)).unionByName(members.withColumn("held", F.lit(1)))
 
@@ -231,13 +244,13 @@ def groups_of(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", s
     # From here on only buckets of several members matter.
     members = materialize(bands.join(hubs, "band").select("hub", "id", "n").distinct(), "members")
     nodes = classes.select("id", "n", "regs")
-    named = docs.where("id IS NOT NULL")
+    texts = wanted_texts(docs, members)
     pairs = members.where("id != hub").select("hub", F.col("id").alias("node"))
-    links = materialize(linked_texts(pair_routes(likely_pairs(pairs, nodes, percent)), named, size, percent), "links")
+    links = materialize(linked_texts(pair_routes(likely_pairs(pairs, nodes, percent)), texts, size, percent), "links")
     labels = relabel(None, links.select(F.col("hub").alias("a"), F.col("node").alias("b")))
     few, blocks = left_over(members, labels)
     routes = pair_routes(likely_pairs(few, nodes, percent)).unionByName(blocks)
-    links = materialize(linked_texts(routes, named, size, percent), "links")
+    links = materialize(linked_texts(routes, texts, size, percent), "links")
     if not links.isEmpty():
         labels = relabel(labels, links.select(F.col("hub").alias("a"), F.col("node").alias("b")))
     out = rows.select("id", "n", "s1", "s2").join(classes.select("s1", "s2", F.col("id").alias("node")), ["s1", "s2"], "left")
