@@ -14,8 +14,11 @@ from emberlog import schema as S
 from emberlog.functions.sizing import maybe_broadcast
 
 
+KEY_COLUMNS = ["key_hash", "name", "scopes", "tenant_id", "created_at"]
+
+
 def key_rows(keys: DataFrame) -> DataFrame:
-    """(key, name, scopes, tenant_id[, created_at]) plaintext → stored key rows."""
+    """(key, name, scopes, tenant_id[, created_at, position]) plaintext → stored key rows (with their position, if given)."""
     created = F.col("created_at") if "created_at" in keys.columns else F.current_timestamp()
     scopes = F.coalesce(F.col("scopes"), F.array(*[F.lit(s) for s in S.DEFAULT_SCOPES]))
     return keys.select(
@@ -24,12 +27,29 @@ def key_rows(keys: DataFrame) -> DataFrame:
         scopes.alias("scopes"),
         F.col("tenant_id").cast("string").alias("tenant_id"),
         created.cast("timestamp").alias("created_at"),
+        *([F.col("position").cast("bigint").alias("position")] if "position" in keys.columns else []),
     )
 
 
-def seed_keys(existing: DataFrame, new_keys: DataFrame) -> DataFrame:
-    """Idempotent insert: keys already present keep their row (existing wins)."""
-    fresh = key_rows(new_keys).dropDuplicates(["key_hash"])
+def first_seeds(rows: DataFrame) -> DataFrame:
+    """One row for each key: of the earliest seed, in it of the lowest position, and of rows equal in both the
+    first in the order of name, tenant and scopes. The same whatever the order of the rows."""
+    place = F.struct("seed", "position", "name", "tenant_id", "scopes", "created_at")
+    kept = rows.groupBy("key_hash").agg(F.min(place).alias("k"))
+    return kept.select("key_hash", *[F.col(f"k.{c}").alias(c) for c in (*KEY_COLUMNS[1:], "seed", "position")])
+
+
+def seed_rows(new_keys: DataFrame, seed: int) -> DataFrame:
+    """The rows of one seed (key, name, scopes, tenant_id[, created_at, position]), one for each key."""
+    rows = key_rows(new_keys)
+    if "position" not in rows.columns:
+        rows = rows.withColumn("position", F.lit(0).cast("bigint"))
+    return first_seeds(rows.withColumn("seed", F.lit(seed).cast("bigint")))
+
+
+def seed_keys(existing: DataFrame | None, new_keys: DataFrame) -> DataFrame:
+    """Idempotent insert: keys already present keep their row (existing wins); of a key that the new ones repeat the first counts."""
+    fresh = seed_rows(new_keys, 0).select(*KEY_COLUMNS)
     if existing is None:
         return fresh
     return existing.unionByName(fresh.join(existing.select("key_hash"), "key_hash", "left_anti"))

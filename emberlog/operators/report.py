@@ -86,21 +86,38 @@ def percentiles(df: DataFrame, value_col: str, group_cols: list[str], pcts=DEFAU
     return out.select(*[F.col(f"_g.`{g}`").alias(g) for g in group_cols], "n", *[f"p{p}" for p in pcts])
 
 
-def load_summary(receipts: DataFrame, label_col: str) -> DataFrame:
+def load_summary(receipts: DataFrame, label_col: str, time_col: str | None = None, latency_col: str | None = None,
+                 pcts=DEFAULT_PERCENTILES) -> DataFrame:
     """Per label: documents sent, entries accepted and rejected, document
-    outcomes by status, and the accepted share of all entries."""
-    return receipts.groupBy(label_col).agg(
+    outcomes by status, and the accepted share of all entries.
+
+    With ``time_col`` (arrival of each document) also the window from the first to the last arrival in seconds and the
+    accepted entries per second of it (null for a window of no length); with ``latency_col`` the nearest-rank
+    percentiles of the latencies, 0 where a label has none.
+    """
+    window = [F.min(time_col).alias("_first"), F.max(time_col).alias("_last")] if time_col else []
+    out = receipts.groupBy(label_col).agg(
         F.count(F.lit(1)).alias("sent"),
         F.sum("accepted").alias("accepted"),
         F.sum("rejected").alias("rejected"),
         F.count_if(F.col("status") == "accepted").alias("docs_accepted"),
         F.count_if(F.col("status") == "refused").alias("docs_refused"),
         F.count_if(F.col("status") == "bad_batch").alias("docs_bad"),
+        *window,
     ).withColumn(
         "accept_ratio",
         F.when((F.col("accepted") + F.col("rejected")) > 0,
                F.col("accepted").cast("double") / (F.col("accepted") + F.col("rejected")).cast("double")),
     )
+    if time_col:
+        micros = lambda c: F.unix_micros(F.col(c).cast("timestamp"))
+        out = out.withColumn("window_s", (micros("_last") - micros("_first")) / 1_000_000).drop("_first", "_last")
+        out = out.withColumn("accepted_per_s", F.try_divide(F.col("accepted").cast("double"), "window_s"))
+    if latency_col:
+        late = percentiles(receipts, latency_col, [label_col], pcts).drop("n").withColumn("_label", F.struct(label_col)).drop(label_col)
+        out = out.withColumn("_label", F.struct(label_col)).join(late, "_label", "left").drop("_label")
+        out = out.na.fill(0, [f"p{p}" for p in pcts])
+    return out
 
 
 def reconcile(receipts: DataFrame, visible_logs: DataFrame) -> DataFrame:

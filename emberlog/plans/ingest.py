@@ -116,7 +116,9 @@ def frames_of(documents: DataFrame) -> BatchFrames:
     """Accepted rows, rejections and receipts of validated documents."""
     entries = _exploded(documents, "doc_id", "tenant_id")
     rejected = entries.where("reason IS NOT NULL").select("doc_id", "entry_index", "reason", "raw")
-    bad = documents.where("envelope_error IS NOT NULL AND auth_error IS NULL").select("doc_id", F.col("envelope_error").alias("error"))
+    # A filter on the error itself would be pushed below, and so validate twice.
+    error = F.when(F.col("auth_error").isNull(), F.col("envelope_error"))
+    bad = documents.select("doc_id", F.explode_outer(F.array(error)).alias("error")).where("error IS NOT NULL")
     return BatchFrames(documents, entries, _stored(entries), rejected, receipts_of(documents), bad)
 
 

@@ -2,18 +2,21 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from emberlog import schema as S
-from emberlog.operators.access import key_rows, seed_keys, stamp_tenant, verdicts
+from emberlog.operators.access import key_rows, stamp_tenant, verdicts
 from emberlog.operators.aggregate import render_buckets, rollup_counts
 from emberlog.operators.retention import cutoff_of, expire, expired_count
 from emberlog.operators.rollup import build_rollup
 from emberlog.plans import oracle as O
 from emberlog.plans.catalog import register
 from emberlog.plans.q_ingest import RECEIPT_SQL, REQ_CTE
-from emberlog.session import configure
+from emberlog.session import checkpoint_dir, configure
 from emberlog.sources.events import read_table
+from emberlog.sources.store import LogStore
 from emberlog.spec import AggregateSpec, to_utc
 
 # Fixed key list of the access checks: (plaintext, scopes, tenant).
@@ -94,7 +97,8 @@ def q_access_stamp(spark, sf_dir):
     "  CASE user_id % 3 WHEN 0 THEN NULL WHEN 1 THEN 'a' ELSE 'b' END AS tenant_id FROM u",
 )
 def q_key_seed(spark, sf_dir):
-    """Seed keys for signed-up users, then for every user: the first seed wins."""
+    """Stored seeds of signed-up users (repeated once for each signup), then of every user, then the first once more:
+    the first seed of a key wins."""
     configure(spark)
     ev = read_table(spark, sf_dir, "events")
     uid = F.col("user_id")
@@ -105,11 +109,13 @@ def q_key_seed(spark, sf_dir):
             F.lit(name).alias("name"),
             F.lit(None).cast("array<string>").alias("scopes"),
             F.when(uid % 3 == 0, F.lit(None).cast("string")).when(uid % 3 == 1, "a").otherwise("b").alias("tenant_id"),
-        ).distinct()
+        )
 
-    first = seed_keys(None, users(ev.where(F.col("event_type") == "signup"), "first"))
-    both = seed_keys(first, users(ev, "second"))
-    return both.select("key_hash", "name", "tenant_id")
+    store = LogStore(f"{checkpoint_dir(spark)}/keys-{uuid.uuid4().hex}")
+    signups = users(ev.where(F.col("event_type") == "signup"), "first")
+    for keys in (signups, users(ev, "second"), signups):
+        store.seed_keys(spark, keys)
+    return store.keys(spark).select("key_hash", "name", "tenant_id")
 
 
 # ---------------------------------------------------------------------------

@@ -6,11 +6,13 @@ from pyspark.sql import functions as F
 
 from emberlog import schema as S
 from emberlog.functions.timefns import iso_ms
+from emberlog.functions.written import written
 from emberlog.plans import oracle as O
 from emberlog.plans.catalog import register
 from emberlog.plans.ingest import ID_SHIFT, parse_batch, validate_batch, validate_parsed, with_ids
 from emberlog.session import configure
 from emberlog.sources.envelopes import MALFORMED_BODY, NOT_ENVELOPE, explode_entries, parse_envelopes
+from emberlog.sources.events import read_table
 from emberlog.sources.requests import AS_OF, SELECTOR_MOD, requests_from_events
 from emberlog.spec import to_utc
 
@@ -152,26 +154,39 @@ def q_ingest_receipt(spark, sf_dir):
     return ingest_frames(spark, sf_dir).receipts.withColumn("rejections", F.to_json("rejections"))
 
 
-@register(
-    "load_summary",
-    O.with_logs(
-        "SELECT service, count(*) AS sent, CAST(sum(accepted) AS BIGINT) AS accepted,\n"
-        "  CAST(sum(rejected) AS BIGINT) AS rejected,\n"
-        "  count(*) FILTER (WHERE status = 'accepted') AS docs_accepted,\n"
-        "  count(*) FILTER (WHERE status = 'refused') AS docs_refused,\n"
-        "  count(*) FILTER (WHERE status = 'bad_batch') AS docs_bad,\n"
-        "  CASE WHEN sum(accepted) + sum(rejected) > 0 THEN CAST(sum(accepted) AS DOUBLE) / "
-        "CAST(sum(accepted) + sum(rejected) AS DOUBLE) END AS accept_ratio\n"
-        "FROM (" + RECEIPT_SQL.replace("SELECT doc_id,", "SELECT doc_id, service,", 1) + ") r GROUP BY service",
-        REQ_CTE,
-    ),
+def _pct(p: int) -> str:
+    return (f"coalesce(max(value) FILTER (WHERE rk = least(n - 1, CAST(floor({p}.0 / 100.0 * n) AS BIGINT))), 0) AS p{p}")
+
+
+LOAD_SQL = (
+    "SELECT s.*, l.p50, l.p95, l.p99 FROM (SELECT service, count(*) AS sent, CAST(sum(accepted) AS BIGINT) AS accepted,\n"
+    "  CAST(sum(rejected) AS BIGINT) AS rejected,\n"
+    "  count(*) FILTER (WHERE status = 'accepted') AS docs_accepted,\n"
+    "  count(*) FILTER (WHERE status = 'refused') AS docs_refused,\n"
+    "  count(*) FILTER (WHERE status = 'bad_batch') AS docs_bad,\n"
+    "  CASE WHEN sum(accepted) + sum(rejected) > 0 THEN CAST(sum(accepted) AS DOUBLE) / "
+    "CAST(sum(accepted) + sum(rejected) AS DOUBLE) END AS accept_ratio,\n"
+    "  (epoch_us(max(ts)) - epoch_us(min(ts))) / 1000000 AS window_s,\n"
+    "  CAST(sum(accepted) AS DOUBLE) / nullif((epoch_us(max(ts)) - epoch_us(min(ts))) / 1000000, 0) AS accepted_per_s\n"
+    "FROM (" + RECEIPT_SQL.replace("SELECT doc_id,", "SELECT doc_id, service, ts,", 1) + ") r GROUP BY service) s\n"
+    "JOIN (SELECT service, " + ", ".join(_pct(p) for p in (50, 95, 99)) + "\n"
+    "  FROM (SELECT l.service, e.value, row_number() OVER (PARTITION BY l.service ORDER BY e.value) - 1 AS rk,\n"
+    "        count(e.value) OVER (PARTITION BY l.service) AS n FROM logs l JOIN events e ON e.event_id = l.id) t GROUP BY service) l\n"
+    "ON l.service = s.service"
 )
+
+
+@register("load_summary", O.with_logs(LOAD_SQL, REQ_CTE))
 def q_load_summary(spark, sf_dir):
+    """The load of each service: outcomes, arrival window, rate, and percentiles of the value that stands for a latency."""
     from emberlog.operators.report import load_summary
 
     configure(spark)
     docs = requests_from_events(spark, sf_dir)
     receipts = validate_batch(docs.select("doc_id", "value", "tenant_id"), as_of=to_utc(AS_OF)).receipts
     # The label of a request is the service that sent it (from the view, not the body).
-    svc = docs.select("doc_id", "service")
-    return load_summary(receipts.join(svc, "doc_id"), "service")
+    arrived = read_table(spark, sf_dir, "events").select(F.col("event_id"), F.col("ts").alias("arrived"), F.col("value").alias("latency"))
+    sent = docs.select("doc_id", "service", "event_id").join(arrived, "event_id")
+    # Read more than once (counts, then the bins of the latencies).
+    rows = written(receipts.join(sent, "doc_id").select("service", "accepted", "rejected", "status", "arrived", "latency"), "load-receipts")
+    return load_summary(rows, "service", "arrived", "latency")

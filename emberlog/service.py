@@ -84,6 +84,14 @@ class LogService:
         return render_buckets(bucket_counts(logs, counts, spec, tenant))
 
     # -- access -------------------------------------------------------------
+    def seed_keys(self, keys: DataFrame) -> int:
+        """Store plaintext keys (key, name, scopes, tenant_id) as hashes; keys that are stored already stay as they are."""
+        return self.store.seed_keys(self.spark, keys)
+
+    def keys(self) -> DataFrame:
+        """The stored key table, for ``keys`` of the other calls."""
+        return self.store.keys(self.spark)
+
     def scope_of(self, keys: DataFrame, api_key: str | None, need: str = "query"):
         """(verdict, tenant scope) of one caller: the verdict join on a one-row
         request. With access on, a key without tenant reads rows without tenant."""

@@ -6,6 +6,7 @@ Layout under one root (a shared, cluster-visible folder)::
     log_counts/dt=.../batch_id=N/       bucket_ts service level tenant_id n   (additive partials)
     rejected/batch_id=N/                doc_id entry_index reason raw
     receipts/batch_id=N/                doc_id accepted rejected status error rejections(index, reason)
+    keys/seed=N/                        key_hash name scopes tenant_id created_at position   (insert-only)
     commits/batch_id=N/                 committed, retires_batch, retires_dt   (written last)
 
 Ingest batches have non-negative ids, maintenance batches (compaction,
@@ -25,6 +26,7 @@ from pyspark.sql import functions as F
 
 from emberlog import schema as S
 from emberlog.functions.sizing import is_small
+from emberlog.operators.access import KEY_COLUMNS, first_seeds, seed_rows
 
 MAX_BROADCAST_COMMIT_ROWS = 5_000_000
 # Stored log rows: attributes as VARIANT (typed values, direct path lookups).
@@ -192,3 +194,28 @@ class LogStore:
     def receipts(self, spark: SparkSession) -> DataFrame:
         """Receipts of committed batches: a batch is acknowledged once stored."""
         return self._committed(spark, self.raw_receipts(spark))
+
+    # -- keys -------------------------------------------------------------
+    KEYS_DDL = ("key_hash string, name string, scopes array<string>, tenant_id string, created_at timestamp, "
+                "position bigint, seed bigint")
+
+    def raw_keys(self, spark: SparkSession) -> DataFrame:
+        return self._read(spark, "keys", self.KEYS_DDL).withColumn("seed", F.col("seed").cast("bigint"))
+
+    def keys(self, spark: SparkSession) -> DataFrame:
+        """The key table: one row for each key, the one that was seeded first."""
+        return first_seeds(self.raw_keys(spark)).select(*KEY_COLUMNS)
+
+    def seed_keys(self, spark: SparkSession, new_keys: DataFrame, seed: int | None = None) -> int:
+        """Insert the keys (key, name, scopes, tenant_id[, created_at, position]) that are not stored yet; returns the seed's number.
+
+        Rows are only ever added, so a repeated or retried seed changes nothing, and of two seeds at the same time the
+        one of the lower number counts in every read.
+        """
+        if seed is None:
+            last = self.raw_keys(spark).agg(F.max("seed")).first()[0]
+            seed = 0 if last is None else int(last) + 1
+        stored = self.raw_keys(spark).select("key_hash")
+        fresh = seed_rows(new_keys, seed).join(stored, "key_hash", "left_anti")
+        fresh.write.mode("append").partitionBy("seed").parquet(self.path("keys"))
+        return seed

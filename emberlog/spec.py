@@ -8,13 +8,10 @@ from __future__ import annotations
 
 import re
 from dataclasses import dataclass, field
-from datetime import datetime, timezone
+from datetime import datetime, timedelta, timezone
 
 from emberlog import schema as S
 
-_ISO_PREFIX = re.compile(r"^\d{4}-\d{2}-\d{2}T")
-
-
 class _AllTenants:
     """Scope sentinel: no tenant scoping at all (access control off)."""
 
@@ -33,29 +30,42 @@ class _AllTenants:
 ALL_TENANTS = _AllTenants()
 
 
-def to_utc(value: datetime | str) -> datetime:
-    """Query bound → aware UTC datetime.
+# Date and time of a bound: seconds and their fraction, and the zone, may be missing.
+_BOUND = re.compile(r"(\d{4})-(\d{2})-(\d{2})T(\d{2}):(\d{2})(?::(\d{2})(?:\.(\d+))?)?(?:([Zz])|([+-])(\d{2}):?(\d{2}))?", re.ASCII)
+
 
-    Text must start with ``YYYY-MM-DDT`` and is kept at millisecond precision,
-    like a JavaScript Date; a naive datetime is taken as UTC.
+def parse_bound(text: str) -> datetime | None:
+    """A bound's text by its own grammar, at millisecond precision; None when it is not of that shape.
+
+    As a JavaScript Date reads it: 24:00:00 is the next midnight, days up to 31 run over into the next month, digits
+    after the third of a fraction are cut off, and a time without a zone is UTC.
     """
-    if isinstance(value, str):
-        if not _ISO_PREFIX.match(value):
-            raise ValueError(f"invalid timestamp: '{value}'")
-        text = value[:-1] + "+00:00" if value[-1:] in ("Z", "z") else value
-        try:
-            parsed = datetime.fromisoformat(text)
-        except ValueError:
-            raise ValueError(f"invalid timestamp: '{value}'") from None
-        if parsed.tzinfo is None:
-            parsed = parsed.replace(tzinfo=timezone.utc)
-        parsed = parsed.replace(microsecond=parsed.microsecond // 1000 * 1000)
-        return parsed.astimezone(timezone.utc)
-    if not isinstance(value, datetime):
+    m = _BOUND.fullmatch(text)
+    if not m:
+        return None
+    year, month, day, hour, minute = (int(x) for x in m.groups()[:5])
+    second, milli = int(m[6] or 0), int(((m[7] or "") + "000")[:3])
+    off_hour, off_minute = int(m[10] or 0), int(m[11] or 0)
+    if not (1 <= month <= 12 and 1 <= day <= 31 and hour <= 24 and minute <= 59 and second <= 59 and off_hour <= 23 and off_minute <= 59):
+        return None
+    if hour == 24 and (minute or second or int(m[7] or 0)):
+        return None
+    offset = timedelta(hours=off_hour, minutes=off_minute) * (-1 if m[9] == "-" else 1)
+    try:
+        start = datetime(year, month, 1, tzinfo=timezone.utc)
+        return start + timedelta(days=day - 1, hours=hour, minutes=minute, seconds=second, milliseconds=milli) - offset
+    except (ValueError, OverflowError):  # year 0, or past the last year
+        return None
+
+
+def to_utc(value: datetime | str) -> datetime:
+    """Query bound → aware UTC datetime: text by ``parse_bound``; a naive datetime is taken as UTC."""
+    parsed = parse_bound(value) if isinstance(value, str) else value
+    if not isinstance(parsed, datetime):
         raise ValueError(f"invalid timestamp: '{value}'")
-    if value.tzinfo is None:
-        return value.replace(tzinfo=timezone.utc)
-    return value.astimezone(timezone.utc)
+    if parsed.tzinfo is None:
+        return parsed.replace(tzinfo=timezone.utc)
+    return parsed.astimezone(timezone.utc)
 
 
 @dataclass(frozen=True)

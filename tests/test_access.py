@@ -106,3 +106,30 @@ def test_service_scopes_reads_by_key(spark, tmp_root):
     spec = AggregateSpec("2026-07-20T14:00:00Z", "2026-07-20T15:00:00Z", "1m")
     assert [tuple(r) for r in svc.aggregate_for_key(keys, "tenant-b-key", spec).collect()] == [
         ("2026-07-20T14:02:00.000Z", None, 1)]
+
+
+def test_stored_keys_keep_their_first_seed(spark, tmp_root):
+    from emberlog.service import LogService
+
+    svc = LogService(spark, tmp_root)
+    ddl = "key string, name string, scopes array<string>, tenant_id string, position int"
+    first = spark.createDataFrame([("k1", "one", None, "a", 2), ("k1", "earlier", ["query"], "b", 1), ("k2", "two", None, None, 3)], ddl)
+    assert svc.keys().count() == 0
+    assert svc.seed_keys(first.repartition(3)) == 0
+    rows = sorted(map(str, svc.keys().collect()))
+    assert svc.seed_keys(first) == 1 and sorted(map(str, svc.keys().collect())) == rows
+    later = spark.createDataFrame([("k2", "late", ["ingest"], "z", 0), ("k3", "three", None, "c", 0)], ddl)
+    svc.seed_keys(later)
+    assert svc.store.seed_keys(spark, later, seed=0) == 0  # a retried number changes nothing
+    got = {r["name"]: (r["tenant_id"], r["scopes"]) for r in svc.keys().collect()}
+    assert got == {"earlier": ("b", ["query"]), "two": (None, ["ingest", "query"]), "three": ("c", ["ingest", "query"])}
+    assert set(rows) <= set(map(str, svc.keys().collect()))
+    assert svc.scope_of(svc.keys(), "k1") == ("ok", "b")
+    assert svc.scope_of(svc.keys(), "k1", "ingest")[0].startswith("403")
+    # Without positions, rows of one key that differ: the first by name, tenant and scopes, in any order.
+    from emberlog.operators.access import seed_keys
+
+    twice = [("k9", n, None, t) for n, t in (("b", "x"), ("a", "y"), ("a", "x"))]
+    for rows9 in (twice, twice[::-1]):
+        row = seed_keys(None, spark.createDataFrame(rows9, "key string, name string, scopes array<string>, tenant_id string")).first()
+        assert (row["name"], row["tenant_id"]) == ("a", "x")

@@ -60,3 +60,20 @@ def test_scale_conf():
     c = scale_conf(100 * 1024**4)
     assert c["spark.sql.shuffle.partitions"] == "409600"
     assert scale_conf(10)["spark.sql.shuffle.partitions"] == "200"
+
+
+def test_bounds_by_their_own_grammar():
+    taken = {
+        "2026-07-20T24:00:00Z": (2026, 7, 21, 0, 0, 0, 0), "2026-12-31T24:00": (2027, 1, 1, 0, 0, 0, 0), "2026-07-20T10:00": (2026, 7, 20, 10, 0, 0, 0),
+        "2026-07-20T10:00:00.1234567Z": (2026, 7, 20, 10, 0, 0, 123000), "2026-07-20T10:00:00.5z": (2026, 7, 20, 10, 0, 0, 500000),
+        "2026-07-20T10:00:00+0530": (2026, 7, 20, 4, 30, 0, 0), "2026-07-20T10:00-23:59": (2026, 7, 21, 9, 59, 0, 0), "2026-02-30T00:00:00Z": (2026, 3, 2, 0, 0, 0, 0),
+        "2024-02-29T23:59:59.999Z": (2024, 2, 29, 23, 59, 59, 999000),
+    }
+    for text, parts in taken.items():
+        assert to_utc(text) == datetime(*parts, tzinfo=timezone.utc), text
+    refused = ["2026-07-20T100000Z", "2026-07-20T10:00:00,5Z", "2026-07-20T24:00:01Z", "2026-07-20T24:00:00.001Z", "2026-13-01T00:00Z", "2026-00-01T00:00Z",
+               "2026-07-32T00:00Z", "2026-07-00T00:00Z", "2026-07-20T10Z", "2026-07-20T10:60Z", "2026-07-20T10:00:60Z", "2026-07-20T10:00:00.Z", "2026-07-20T",
+               "2026-07-20T10:00:00+24:00", "2026-07-20T10:00:00+5", "2026-07-20T10:00:00Z ", "2026-W30-1T10:00Z", "٢٠٢٦-07-20T10:00Z", "0000-01-01T00:00Z", "9999-12-31T24:00Z"]
+    for text in refused:
+        with pytest.raises(ValueError, match="invalid timestamp"):
+            to_utc(text)

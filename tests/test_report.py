@@ -141,3 +141,13 @@ def test_selection_of_skewed_values(spark, monkeypatch, rows_sorted):
 def test_percentiles_of_nothing(spark):
     df = spark.createDataFrame([("a", None)], "g string, v double")
     assert percentiles(df, "v", ["g"]).collect() == []
+
+
+def test_load_summary_with_window_and_latencies(spark):
+    rows = [("s1", 2, 1, "accepted", "2026-07-20 10:00:00", 5.0), ("s1", 1, 0, "accepted", "2026-07-20 10:00:04", 9.0), ("s1", 0, 0, "bad_batch", "2026-07-20 10:00:01", None),
+            (None, 0, 3, "refused", "2026-07-20 10:00:00", None)]
+    rec = spark.createDataFrame(rows, "svc string, accepted long, rejected long, status string, t string, ms double").withColumn("t", F.to_timestamp("t"))
+    got = {r["svc"]: r for r in load_summary(rec, "svc", "t", "ms").collect()}
+    assert (got["s1"]["window_s"], got["s1"]["accepted_per_s"], got["s1"]["p50"], got["s1"]["p99"]) == (4.0, 0.75, 9.0, 9.0)
+    assert (got[None]["window_s"], got[None]["accepted_per_s"], got[None]["p50"]) == (0.0, None, 0.0)
+    assert got["s1"]["docs_bad"] == 1 and got[None]["docs_refused"] == 1
