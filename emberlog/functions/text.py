@@ -2,18 +2,9 @@
 
 from __future__ import annotations
 
-import re
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-_LIKE_SPECIAL = re.compile(r"([\\%_])")
-
-
-def escape_like(text: str) -> str:
-    """Escape LIKE wildcards so ``text`` matches literally (escape char ``\\``)."""
-    return _LIKE_SPECIAL.sub(r"\\\1", text)
-
 
 def message_contains(col: Column | str, q: str) -> Column:
     """Case-insensitive literal substring test, the same as ILIKE '%q%' with escapes.

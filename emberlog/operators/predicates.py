@@ -75,12 +75,6 @@ def filter_clauses(flt: LogFilter, tenant=ALL_TENANTS, bookmark: Bookmark | None
     return out
 
 
-def filter_column(flt: LogFilter, tenant=ALL_TENANTS, bookmark: Bookmark | None = None,
-                  with_time: bool = True, has_day: bool = False) -> Column:
-    clauses = filter_clauses(flt, tenant, bookmark, with_time, has_day)
-    return reduce(lambda a, b: a & b, clauses) if clauses else F.lit(True)
-
-
 def attributes_are_variant(df) -> bool:
     """The store keeps attributes as VARIANT; views and fixtures as JSON text."""
     return "attributes" in df.columns and isinstance(df.schema["attributes"].dataType, VariantType)

@@ -1,7 +1,7 @@
 """Retention: expire logs older than ``as_of - hours`` and keep the rollup in step.
 
-On the store, whole ``dt`` partitions before the cutoff day are retired and
-dropped; only the day holding the cutoff is rewritten with its kept rows.
+On the store, day folders before the cutoff day are dropped by their name; only
+the day holding the cutoff is rewritten, each batch in its own place.
 Rollup partials follow the same cutoff: seconds wholly before it go, and the
 second that holds the cutoff is recounted from kept rows.
 """
@@ -15,7 +15,8 @@ from pyspark.sql import functions as F
 
 from emberlog import schema as S
 from emberlog.functions.timefns import ceil_second
-from emberlog.operators.rollup import build_rollup, compact
+from emberlog.functions.written import written
+from emberlog.operators.rollup import build_rollup
 from emberlog.spec import to_utc
 
 
@@ -54,53 +55,38 @@ def expired_count(logs: DataFrame, as_of: datetime, hours: int = S.RETENTION_HOU
     return logs.where(F.col("ts") < F.lit(cut)).agg(F.count(F.lit(1)).alias("expired"))
 
 
-def _fs(spark: SparkSession, path: str):
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p
-
-
 def expire_store(store, as_of: datetime, hours: int = S.RETENTION_HOURS_DEFAULT,
                  spark: SparkSession | None = None) -> int:
     """Apply retention to a ``LogStore``; returns the number of log rows removed.
 
-    Kept rows of the day holding the cutoff are rewritten as one new batch
-    (with the rollup partials of that day, the cutoff second recounted from
-    kept rows). That batch's commit marker retires every (batch, day)
-    partition up to the cutoff day, so readers switch in one step; the retired
-    directories are deleted afterwards. A rerun after a crash is harmless:
-    before the marker nothing is visible, after it the work is done.
+    The kept rows and partials of the cutoff day are first written to the checkpoint folder, then put in the place of
+    the day's batches by dynamic partition overwrite; batches of which nothing is kept lose their folder of that day.
+    Every step gives the same again, so a sweep that was interrupted is completed by the next one.
     """
     spark = spark or SparkSession.getActiveSession()
     cut = cutoff_of(as_of, hours)
-    day = F.lit(cut.date().isoformat()).cast("date")
+    day = cut.date().isoformat()
+    on_day = F.col("dt") == F.lit(day).cast("date")
     logs = store.logs(spark)
-    # One row per (day, batch) partition up to the cutoff day: store metadata.
-    parts = [
-        (r["dt"].isoformat(), int(r["batch_id"]))
-        for r in logs.where(F.col("dt") <= day).select("dt", "batch_id").distinct().collect()
-    ]
-    if not parts:
-        return 0
-    removed = int(logs.where(F.col("ts") < F.lit(cut)).count())
-    new_batch = store.next_maintenance_batch(spark)
-    b = F.lit(new_batch).cast("bigint")
-    kept = logs.where((F.col("dt") == day) & (F.col("ts") >= F.lit(cut))).drop("batch_id").withColumn("batch_id", b)
-    store.write_partitions(kept, "logs", ["dt", "batch_id"], "ts")
+    removed = int(logs.where((F.col("dt") <= F.lit(day).cast("date")) & (F.col("ts") < F.lit(cut))).count())
+    for table in ("logs", "log_counts"):
+        for d in store.values(spark, store.path(table), "dt"):
+            if d < day:
+                store.drop(spark, f"{store.path(table)}/dt={d}")
     lo = ceil_second(cut)
-    keys = ["bucket_ts", "service", "level", "tenant_id", "n"]
-    counts = store.counts(spark).where((F.col("dt") == day) & (F.col("bucket_ts") >= F.lit(lo))).select(*keys)
+    kept = written(store.raw_logs(spark).where(on_day & (F.col("ts") >= F.lit(cut))), "kept-logs")
+    counts = store.raw_counts(spark).where(on_day & (F.col("bucket_ts") >= F.lit(lo)))
     if lo != cut:  # the second holding the cutoff, recounted from kept rows
-        edge = logs.where((F.col("dt") == day) & (F.col("ts") >= F.lit(cut)) & (F.col("ts") < F.lit(lo)))
-        counts = counts.unionByName(build_rollup(edge).select(*keys))
-    counts = compact(counts).withColumn("dt", day).withColumn("batch_id", b)
-    store.write_partitions(counts, "log_counts", ["dt", "batch_id"], "bucket_ts")
-    store.commit(spark, new_batch, retires=[(bid, d) for d, bid in parts])
-    for table in ("logs", "log_counts"):
-        for d, bid in parts:
-            fs, p = _fs(spark, f"{store.path(table)}/dt={d}/batch_id={bid}")
-            if fs.exists(p):
-                fs.delete(p, True)
+        edge = build_rollup(kept.where(F.col("ts") < F.lit(lo)), "dt", "batch_id")
+        counts = counts.unionByName(edge.select(counts.columns))
+    counts = written(counts, "kept-counts")
+    for table, rows, order in (("logs", kept, "ts"), ("log_counts", counts, "bucket_ts")):
+        store.write_partitions(rows, table, ["dt", "batch_id"], order)
+        # Batches of one day: those whose rows are all gone have no partition to overwrite theirs.
+        held = {str(r["batch_id"]) for r in rows.select("batch_id").distinct().collect()}
+        for b in store.values(spark, f"{store.path(table)}/dt={day}", "batch_id"):
+            if b not in held:
+                store.drop(spark, f"{store.path(table)}/dt={day}/batch_id={b}")
     return removed
 
 

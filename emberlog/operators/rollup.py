@@ -15,9 +15,10 @@ from emberlog.functions.timefns import bucket_start
 ROLLUP_KEYS = ["bucket_ts", "service", "level", "tenant_id"]
 
 
-def build_rollup(logs: DataFrame) -> DataFrame:
+def build_rollup(logs: DataFrame, *keep: str) -> DataFrame:
+    """``keep``: further columns that tell partials apart (batch and day)."""
     return logs.groupBy(
-        bucket_start("ts", 1).alias("bucket_ts"), "service", "level", "tenant_id"
+        bucket_start("ts", 1).alias("bucket_ts"), "service", "level", "tenant_id", *keep
     ).agg(F.count(F.lit(1)).alias("n"))
 
 

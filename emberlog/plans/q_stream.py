@@ -161,9 +161,7 @@ def q_reconcile(spark, sf_dir):
     ),
 )
 def q_store_compact(spark, sf_dir):
-    """Three interleaved batches, then day compaction: rows and rollup unchanged."""
-    from emberlog.plans.compaction import compact_days
-
+    """Three interleaved batches; rows of each day, and the sum of its partials folded to one for each key."""
     configure(spark)
     store = LogStore(f"{checkpoint_dir(spark)}/compact-{uuid.uuid4().hex}")
     docs = requests_from_events(spark, sf_dir).select("doc_id", "value", "tenant_id")
@@ -174,8 +172,7 @@ def q_store_compact(spark, sf_dir):
     for b in range(3):
         part = docs.where((h >= F.lit(cuts[b])) & (h < F.lit(cuts[b + 1])) if b < 2 else (h >= F.lit(cuts[b])))
         ingest_batch(store, part, b, as_of=to_utc(AS_OF))
-    compact_days(store, spark=spark)
-    day = F.date_format("dt", "yyyy-MM-dd").alias("dt")
-    rows = store.logs(spark).groupBy(day).agg(F.count(F.lit(1)).alias("n"))
-    counts = store.counts(spark).groupBy(day).agg(F.sum("n").alias("rollup_n"))
+    rows = store.logs(spark).groupBy(F.date_format("dt", "yyyy-MM-dd").alias("dt")).agg(F.count(F.lit(1)).alias("n"))
+    day = F.date_format("bucket_ts", "yyyy-MM-dd").alias("dt")
+    counts = compact(store.counts(spark)).groupBy(day).agg(F.sum("n").alias("rollup_n"))
     return rows.join(counts, "dt", "full_outer")

@@ -47,7 +47,6 @@ REQUIRED_FIELDS = ("timestamp", "level", "service", "message")
 VERDICT_OK = "ok"
 VERDICT_MALFORMED = "401 missing or malformed credentials"
 VERDICT_UNKNOWN = "401 invalid api key"
-VERDICT_SCOPE = "403 insufficient permissions: scope '{scope}' required"
 
 # ---------------------------------------------------------------------------
 # Stored tables.
@@ -63,23 +62,3 @@ LOGS_SCHEMA = T.StructType(
         T.StructField("tenant_id", T.StringType(), True),
     ]
 )
-
-COUNTS_SCHEMA = T.StructType(
-    [
-        T.StructField("bucket_ts", T.TimestampType(), False),
-        T.StructField("service", T.StringType(), False),
-        T.StructField("level", T.StringType(), False),
-        T.StructField("tenant_id", T.StringType(), True),
-        T.StructField("n", T.LongType(), False),
-    ]
-)
-
-KEYS_SCHEMA = T.StructType(
-    [
-        T.StructField("key_hash", T.StringType(), False),
-        T.StructField("name", T.StringType(), True),
-        T.StructField("scopes", T.ArrayType(T.StringType()), False),
-        T.StructField("tenant_id", T.StringType(), True),
-        T.StructField("created_at", T.TimestampType(), True),
-    ]
-)

@@ -7,14 +7,11 @@ Layout under one root (a shared, cluster-visible folder)::
     rejected/batch_id=N/                doc_id entry_index reason raw
     receipts/batch_id=N/                doc_id accepted rejected status error rejections(index, reason)
     keys/seed=N/                        key_hash name scopes tenant_id created_at position   (insert-only)
-    commits/batch_id=N/                 committed, retires_batch, retires_dt   (written last)
-
-Ingest batches have non-negative ids, maintenance batches (compaction,
-retention) negative ones. A batch becomes visible only once its commit marker exists; a replayed batch
-overwrites its own partitions (dynamic partition overwrite), so retries never
-double rows or counts. A compaction batch's marker also names the
-(batch, day) partitions it replaces; readers drop those in the same step, so
-the switch from many small partitions to one compacted partition is atomic.
+    commits/batch_id=N/                 committed   (written last)
+
+A batch becomes visible only once its commit marker exists; an attempt that
+ended before it is removed when the batch is sent again. Retention drops whole
+day folders and rewrites the day that holds the cutoff, batch by batch.
 """
 
 from __future__ import annotations
@@ -24,16 +21,14 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from emberlog import schema as S
-from emberlog.functions.sizing import is_small
 from emberlog.operators.access import KEY_COLUMNS, first_seeds, seed_rows
 
-MAX_BROADCAST_COMMIT_ROWS = 5_000_000
 # Stored log rows: attributes as VARIANT (typed values, direct path lookups).
 STORED_LOGS_DDL = (
     "id bigint, ts timestamp, level string, service string, message string, attributes variant, "
     "tenant_id string, dt date, batch_id bigint"
 )
+STORED_COUNTS_DDL = "bucket_ts timestamp, service string, level string, tenant_id string, n bigint, dt date, batch_id bigint"
 
 
 @dataclass(frozen=True)
@@ -68,8 +63,8 @@ class LogStore:
 
     def is_committed(self, spark: SparkSession, batch_id: int) -> bool:
         """Whether the batch has its marker (one look at a path)."""
-        marker = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.path('commits')}/batch_id={batch_id}")
-        return marker.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(marker)
+        fs, marker = self._folder(spark, f"{self.path('commits')}/batch_id={batch_id}")
+        return fs.exists(marker)
 
     def clear_uncommitted(self, spark: SparkSession, batch_id: int) -> None:
         """Delete what an earlier, uncommitted attempt of this batch left: dynamic overwrite
@@ -77,101 +72,69 @@ class LogStore:
         its marker. A committed batch is left alone."""
         if self.is_committed(spark, batch_id):
             return
-        to_path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
-        fs = to_path(self.root).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        fs, _ = self._folder(spark, self.root)
         for table, days in (("logs", "dt=*/"), ("log_counts", "dt=*/"), ("rejected", ""), ("receipts", "")):
-            for st in fs.globStatus(to_path(f"{self.path(table)}/{days}batch_id={batch_id}")) or []:
+            pattern = self._folder(spark, f"{self.path(table)}/{days}batch_id={batch_id}")[1]
+            for st in fs.globStatus(pattern) or []:
                 fs.delete(st.getPath(), True)
 
     # -- readers ----------------------------------------------------------
     def _read(self, spark: SparkSession, table: str, schema: str) -> DataFrame:
+        """The table by its known schema: no file is opened to plan a query."""
         try:
-            return spark.read.parquet(self.path(table))
+            return spark.read.schema(schema).parquet(self.path(table))
         except Exception as exc:  # empty store: no files yet
-            if "PATH_NOT_FOUND" in str(exc) or "UNABLE_TO_INFER_SCHEMA" in str(exc):
+            if "PATH_NOT_FOUND" in str(exc):
                 return spark.createDataFrame([], schema)
             raise
 
-    COMMITS_DDL = "committed boolean, retires_batch bigint, retires_dt date, batch_id bigint"
-
-    def _commit_rows(self, spark: SparkSession) -> DataFrame:
-        return self._read(spark, "commits", self.COMMITS_DDL)
+    COMMITS_DDL = "committed boolean, batch_id bigint"
 
     def commits(self, spark: SparkSession) -> DataFrame:
-        return self._commit_rows(spark).select("batch_id").distinct()
-
-    def retired(self, spark: SparkSession) -> DataFrame:
-        """(batch_id, dt) partitions replaced by a committed compaction."""
-        rows = self._commit_rows(spark)
-        if "retires_batch" not in rows.columns:
-            return spark.createDataFrame([], "batch_id bigint, dt date")
-        return rows.where(F.col("retires_batch").isNotNull()).select(
-            F.col("retires_batch").alias("batch_id"), F.col("retires_dt").alias("dt")
-        ).distinct()
-
-    def commit(self, spark: SparkSession, batch_id: int, retires: list[tuple[int, str]] | None = None) -> None:
+        return self._read(spark, "commits", self.COMMITS_DDL).select("batch_id").distinct()
+
+    def commit(self, spark: SparkSession, batch_id: int) -> None:
         """Write the commit marker of ``batch_id`` (the last write of a batch)."""
-        if retires:
-            df = spark.createDataFrame(
-                [(True, int(b), d, int(batch_id)) for b, d in retires],
-                "committed boolean, retires_batch bigint, retires_dt string, batch_id bigint",
-            ).withColumn("retires_dt", F.col("retires_dt").cast("date"))
-        else:
-            df = spark.range(1).select(
-                F.lit(True).alias("committed"), F.lit(None).cast("bigint").alias("retires_batch"),
-                F.lit(None).cast("date").alias("retires_dt"), F.lit(int(batch_id)).cast("bigint").alias("batch_id"),
-            )
+        df = spark.range(1).select(F.lit(True).alias("committed"), F.lit(int(batch_id)).cast("bigint").alias("batch_id"))
         self.write_partitions(df.coalesce(1), "commits", ["batch_id"])
 
-    def next_maintenance_batch(self, spark: SparkSession) -> int:
-        """A fresh id for a compaction or retention batch.
+    # -- folders ----------------------------------------------------------
+    def _folder(self, spark: SparkSession, path: str):
+        p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p
 
-        Maintenance batches take negative ids, so they never meet the ids of
-        ingest batches (stream epochs count up from a non-negative base) even
-        while a stream keeps writing.
-        """
-        low = self.commits(spark).agg(F.min("batch_id")).first()[0]
-        return min(0, int(low) if low is not None else 0) - 1
+    def values(self, spark: SparkSession, path: str, column: str) -> list[str]:
+        """Values of a partition column below ``path`` (a directory listing)."""
+        fs, p = self._folder(spark, path)
+        names = [st.getPath().getName() for st in fs.listStatus(p) if st.isDirectory()] if fs.exists(p) else []
+        return sorted(n[len(column) + 1:] for n in names if n.startswith(f"{column}="))
+
+    def drop(self, spark: SparkSession, path: str) -> None:
+        fs, p = self._folder(spark, path)
+        fs.delete(p, True)
 
     def days(self, spark: SparkSession) -> list[str]:
-        """Day partitions of the log table, newest first (a directory listing)."""
-        jvm = spark.sparkContext._jvm
-        root = jvm.org.apache.hadoop.fs.Path(self.path("logs"))
-        fs = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-        if not fs.exists(root):
-            return []
-        names = [st.getPath().getName() for st in fs.listStatus(root) if st.isDirectory()]
-        return sorted((n[3:] for n in names if n.startswith("dt=")), reverse=True)
-
-    def commits_are_small(self, spark: SparkSession) -> bool:
-        """One size check of the commit markers (batches + retired partitions)."""
-        return is_small(self._commit_rows(spark), MAX_BROADCAST_COMMIT_ROWS)
-
-    def _visible(self, spark: SparkSession, raw: DataFrame, small: bool | None = None) -> DataFrame:
-        """Semi join on committed batches, anti join on retired (batch, day)
-        partitions. Both lists come from the commit markers (one row per batch
-        or retired partition); one size check covers both broadcasts."""
-        small = self.commits_are_small(spark) if small is None else small
-        side = F.broadcast if small else (lambda df: df)
-        out = raw.join(side(self.commits(spark)), "batch_id", "left_semi")
-        return out.join(side(self.retired(spark)), ["batch_id", "dt"], "left_anti")
+        """Day partitions of the log table, newest first."""
+        return self.values(spark, self.path("logs"), "dt")[::-1]
+
+    def _visible(self, spark: SparkSession, raw: DataFrame) -> DataFrame:
+        """Semi join on committed batches. The planner knows the size of the markers from their files: it broadcasts
+        them while that is small, and no job is needed to find out."""
+        return raw.join(self.commits(spark), "batch_id", "left_semi")
 
     def raw_logs(self, spark: SparkSession) -> DataFrame:
         return self._read(spark, "logs", STORED_LOGS_DDL)
 
     def raw_counts(self, spark: SparkSession) -> DataFrame:
-        return self._read(
-            spark, "log_counts", S.COUNTS_SCHEMA.simpleString()[7:-1] + ",dt date,batch_id bigint"
-        )
+        return self._read(spark, "log_counts", STORED_COUNTS_DDL)
 
-    def logs(self, spark: SparkSession, small: bool | None = None) -> DataFrame:
-        """Committed, not compacted-away logs (J4). ``batch_id`` and ``dt`` are
-        partition columns, so the joins also prune partitions at run time.
-        ``small``: a result of ``commits_are_small`` already at hand."""
-        return self._visible(spark, self.raw_logs(spark), small)
+    def logs(self, spark: SparkSession) -> DataFrame:
+        """Logs of committed batches (J4). ``batch_id`` and ``dt`` are
+        partition columns, so the join also prunes partitions at run time."""
+        return self._visible(spark, self.raw_logs(spark))
 
-    def counts(self, spark: SparkSession, small: bool | None = None) -> DataFrame:
-        return self._visible(spark, self.raw_counts(spark), small)
+    def counts(self, spark: SparkSession) -> DataFrame:
+        return self._visible(spark, self.raw_counts(spark))
 
     def raw_rejected(self, spark: SparkSession) -> DataFrame:
         return self._read(spark, "rejected", "doc_id string,entry_index int,reason string,raw string,batch_id bigint")
@@ -182,25 +145,20 @@ class LogStore:
             "rejections array<struct<index:int,reason:string>>,batch_id bigint"
         )
 
-    def _committed(self, spark: SparkSession, raw: DataFrame) -> DataFrame:
-        small = is_small(self._commit_rows(spark), MAX_BROADCAST_COMMIT_ROWS)
-        commits = self.commits(spark)
-        return raw.join(F.broadcast(commits) if small else commits, "batch_id", "left_semi")
-
     def rejected(self, spark: SparkSession) -> DataFrame:
         """Rejections of committed batches."""
-        return self._committed(spark, self.raw_rejected(spark))
+        return self._visible(spark, self.raw_rejected(spark))
 
     def receipts(self, spark: SparkSession) -> DataFrame:
         """Receipts of committed batches: a batch is acknowledged once stored."""
-        return self._committed(spark, self.raw_receipts(spark))
+        return self._visible(spark, self.raw_receipts(spark))
 
     # -- keys -------------------------------------------------------------
     KEYS_DDL = ("key_hash string, name string, scopes array<string>, tenant_id string, created_at timestamp, "
                 "position bigint, seed bigint")
 
     def raw_keys(self, spark: SparkSession) -> DataFrame:
-        return self._read(spark, "keys", self.KEYS_DDL).withColumn("seed", F.col("seed").cast("bigint"))
+        return self._read(spark, "keys", self.KEYS_DDL)
 
     def keys(self, spark: SparkSession) -> DataFrame:
         """The key table: one row for each key, the one that was seeded first."""

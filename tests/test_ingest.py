@@ -132,28 +132,6 @@ def test_store_reads_prune_day_partitions(spark, tmp_root):
     assert [tuple(r)[1:] for r in agg.collect()] == [(None, 1)]
 
 
-def test_compact_day_is_atomic_and_lossless(spark, tmp_root):
-    from emberlog.operators.listing import list_rows
-    from emberlog.plans.compaction import compact_days
-    from emberlog.spec import ListSpec, LogFilter
-
-    store = LogStore(tmp_root)
-    for b in range(3):
-        docs = docs_df(spark, [(f"d{b}", {"logs": [entry(f"2026-07-20T14:0{b}:0{k}Z") for k in range(4)]})])
-        ingest_batch(store, docs, b, as_of=AS_OF)
-    before = sorted((r["id"], r["ts"]) for r in store.logs(spark).collect())
-    sums = compact(store.counts(spark)).orderBy("bucket_ts").collect()
-    res = compact_days(store, spark=spark)
-    assert res["compacted"] and res["retired"] == 3 and res["batch_id"] < 0  # maintenance id space
-    after = sorted((r["id"], r["ts"]) for r in store.logs(spark).collect())
-    assert after == before
-    assert compact(store.counts(spark)).orderBy("bucket_ts").collect() == sums
-    assert store.raw_logs(spark).select("batch_id").distinct().count() == 1
-    assert store.counts(spark).count() == len(sums)
-    page = list_rows(store.logs(spark), ListSpec(LogFilter(), limit=5)).collect()
-    assert [r["id"] for r in page] == [i for i, _ in sorted(before, key=lambda x: (x[1], x[0]), reverse=True)][:6]
-
-
 def test_page_by_days_equals_full_scan(spark, tmp_root):
     from emberlog.operators.listing import fetch_page, fetch_page_by_days
     from emberlog.spec import ListSpec, LogFilter
