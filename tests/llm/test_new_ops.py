@@ -272,3 +272,21 @@ def test_tree_is_the_same_however_it_is_appended():
         assert tree.root() == root
         assert [[(list(r), p) for r, p in w.steps] for w in found] == [[(list(r), p) for r, p in path] for path in paths]
         assert all(w.fold(x) == root for w, x in zip(found, leaves))
+
+
+# -- line dedup beside columns of its own names ------------------------------------
+def test_line_dedup_leaves_columns_of_any_name(spark):
+    from emberlog.llm.line_dedup import drop_repeated_lines
+
+    rows = [(k, "a line that all of them hold\n" + f"own line number {k}") for k in range(4)]
+    plain = spark.createDataFrame(rows, "doc_id long, text string")
+    names = ["__id", "__th", "__gone", "__lines", "__hash", "__GONE_", "id", "th", "pos", "h1", "owner", "a.b"]
+    df = plain.select("*", *[F.concat(F.lit(n), "doc_id").alias(n) for n in names], F.lit("old").alias("kept_text"))
+    got = drop_repeated_lines(df).collect()
+    want = {r["doc_id"]: (r["kept_text"], r["n_lines"], r["n_dropped"]) for r in drop_repeated_lines(plain).collect()}
+    assert want[1] == ("own line number 1", 2, 1)
+    for r in got:
+        assert (r["kept_text"], r["n_lines"], r["n_dropped"]) == want[r["doc_id"]]
+        assert [r[n] for n in names] == [f"{n}{r['doc_id']}" for n in names]
+    with pytest.raises(ValueError, match="may not be named"):
+        drop_repeated_lines(plain.withColumnRenamed("text", "kept_text"), text_col="kept_text")
