@@ -95,6 +95,47 @@ def attr_equals(attrs: Column | str, key: str, value: str, is_variant: bool = Fa
     return match
 
 
+def promoted_columns(key: str) -> dict[str, str]:
+    """Names of the stored columns of a promoted key: its text, number and boolean value, and the mark that a file has them.
+
+    Column names ignore case, so all but lower-case letters and digits is spelled by code point.
+    """
+    enc = re.sub(r"[^a-z0-9]", lambda m: f"_{ord(m[0]):x}_", key)
+    return {kind: f"attr_{kind}_{enc}" for kind in ("text", "number", "bool", "kept")}
+
+
+def promoted_values(attrs: Column | str, key: str) -> list[Column]:
+    """The typed columns of a promoted key, from a VARIANT attribute column. At most one of the values is set."""
+    names = promoted_columns(key)
+    x = attr_value(attrs, key, is_variant=True)
+    kind = F.schema_of_variant(x)
+    # Adding zero makes a stored -0.0 findable as 0.0 in Parquet's dictionaries and Bloom filters.
+    number = F.when(_is_numeric(kind), F.try_variant_get(x, "$", "double") + F.lit(0.0))
+    return [
+        F.when(kind == "STRING", F.try_variant_get(x, "$", "string")).alias(names["text"]),
+        number.alias(names["number"]),
+        F.when(kind == "BOOLEAN", F.try_variant_get(x, "$", "boolean")).alias(names["bool"]),
+        F.lit(True).alias(names["kept"]),
+    ]
+
+
+def promoted_equals(attrs: Column | str, key: str, value: str) -> Column:
+    """``attr_equals`` on a table whose files may hold the key's typed columns.
+
+    The first clause has plain comparisons only, so it is pushed into the scan; rows of files written before the key was
+    promoted (no mark) are let through by it and probed in the second.
+    """
+    names = promoted_columns(key)
+    direct = F.col(names["text"]) == F.lit(value)
+    num = js_number(value) if value != "" else None
+    if num is not None:
+        direct = direct | (F.col(names["number"]) == F.lit(float(num) + 0.0))
+    if value in ("true", "false"):
+        direct = direct | (F.col(names["bool"]) == F.lit(value == "true"))
+    older = F.col(names["kept"]).isNull()
+    return (direct | older) & (F.coalesce(direct, F.lit(False)) | (older & attr_equals(attrs, key, value, is_variant=True)))
+
+
 def attributes_as_text(attrs_text: Column | str) -> Column:
     """Every attribute value coerced to its string form (numbers and booleans
     spelled as text), as JSON object text."""

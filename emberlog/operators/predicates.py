@@ -13,7 +13,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import VariantType
 
-from emberlog.functions.attrs import attr_equals
+from emberlog.functions.attrs import attr_equals, promoted_columns, promoted_equals
 from emberlog.functions.text import message_contains
 from emberlog.spec import ALL_TENANTS, Bookmark, LogFilter
 
@@ -50,7 +50,7 @@ def day_bounds(since=None, until=None, ts_upper=None) -> list[Column]:
 
 def filter_clauses(flt: LogFilter, tenant=ALL_TENANTS, bookmark: Bookmark | None = None,
                    with_time: bool = True, has_day: bool = False,
-                   attrs_variant: bool = False) -> list[Column]:
+                   attrs_variant: bool = False, columns: frozenset = frozenset()) -> list[Column]:
     out: list[Column] = []
     if has_day:
         out += day_bounds(flt.since if with_time else None, flt.until if with_time else None,
@@ -64,7 +64,10 @@ def filter_clauses(flt: LogFilter, tenant=ALL_TENANTS, bookmark: Bookmark | None
     if flt.level is not None:
         out.append(F.col("level") == F.lit(flt.level))
     for key, value in flt.attrs:
-        out.append(attr_equals("attributes", key, value, is_variant=attrs_variant))
+        if attrs_variant and columns.issuperset(promoted_columns(key).values()):
+            out.append(promoted_equals("attributes", key, value))
+        else:
+            out.append(attr_equals("attributes", key, value, is_variant=attrs_variant))
     if flt.q is not None:
         out.append(message_contains("message", flt.q))
     tc = tenant_column(tenant)
@@ -83,7 +86,8 @@ def attributes_are_variant(df) -> bool:
 def apply_filter(df, flt: LogFilter, tenant=ALL_TENANTS, bookmark: Bookmark | None = None,
                  with_time: bool = True):
     """Filter ``df``; on a stored table with a ``dt`` column the time bounds
-    also become ``dt`` bounds, which prune whole day partitions."""
+    also become ``dt`` bounds, which prune whole day partitions, and probes of
+    promoted attribute keys become comparisons of their stored columns."""
     clauses = filter_clauses(flt, tenant, bookmark, with_time, has_day="dt" in df.columns,
-                             attrs_variant=attributes_are_variant(df))
+                             attrs_variant=attributes_are_variant(df), columns=frozenset(df.columns))
     return df.where(reduce(lambda a, b: a & b, clauses)) if clauses else df

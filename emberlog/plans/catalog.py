@@ -271,3 +271,4 @@ from emberlog.plans import q_ingest  # noqa: E402,F401
 from emberlog.plans import q_access  # noqa: E402,F401
 from emberlog.plans import q_reports  # noqa: E402,F401
 from emberlog.plans import q_stream  # noqa: E402,F401
+from emberlog.plans import q_store  # noqa: E402,F401

@@ -168,7 +168,7 @@ def ingest_batch(store: LogStore, docs: DataFrame, batch_id: int, as_of: datetim
     frames = frames_of(documents)
     b = F.lit(batch_id).cast("bigint")
     day = F.col("dt")
-    logs = _stored(with_ids(documents, batch_id, is_written=True)).withColumn("batch_id", b)
+    logs = store.with_promoted(_stored(with_ids(documents, batch_id, is_written=True))).withColumn("batch_id", b)
     counts = build_rollup(frames.accepted).withColumn("dt", F.to_date("bucket_ts")).withColumn("batch_id", b)
     tables = [
         (logs.hint("rebalance", day), "logs", ["dt", "batch_id"], "ts"),

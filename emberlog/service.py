@@ -26,9 +26,10 @@ from emberlog.streaming.ingest_stream import document_stream, start_ingest
 
 
 class LogService:
-    def __init__(self, spark: SparkSession, root: str):
+    def __init__(self, spark: SparkSession, root: str, promoted: tuple[str, ...] = ()):
+        """``promoted``: attribute keys that are asked for often (see ``LogStore``)."""
         self.spark = configure(spark)
-        self.store = LogStore(root)
+        self.store = LogStore(root, tuple(promoted))
 
     # -- ingest -------------------------------------------------------------
     def ingest(self, docs: DataFrame, batch_id: int, as_of: datetime | None = None,

@@ -3,6 +3,7 @@
 Layout under one root (a shared, cluster-visible folder)::
 
     logs/dt=YYYY-MM-DD/batch_id=N/      id ts level service message attributes(variant) tenant_id
+                                        + typed columns of the promoted attribute keys
     log_counts/dt=.../batch_id=N/       bucket_ts service level tenant_id n   (additive partials)
     rejected/batch_id=N/                doc_id entry_index reason raw
     receipts/batch_id=N/                doc_id accepted rejected status error rejections(index, reason)
@@ -21,6 +22,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from emberlog.functions.attrs import promoted_columns, promoted_values
 from emberlog.operators.access import KEY_COLUMNS, first_seeds, seed_rows
 
 # Stored log rows: attributes as VARIANT (typed values, direct path lookups).
@@ -33,7 +35,12 @@ STORED_COUNTS_DDL = "bucket_ts timestamp, service string, level string, tenant_i
 
 @dataclass(frozen=True)
 class LogStore:
+    """``promoted`` declares the hot attribute keys: what is written from then on also holds their values as typed columns,
+    with Bloom filters, and probes of these keys are pushed into the scan. Files written before, or by a
+    writer that did not declare a key, are answered from the VARIANT, so the list may change at any time."""
+
     root: str
+    promoted: tuple[str, ...] = ()
 
     def path(self, table: str) -> str:
         return f"{self.root.rstrip('/')}/{table}"
@@ -54,12 +61,16 @@ class LogStore:
                 keys = [c for c in partition_cols if c != "batch_id"] + [sort_col]
                 df = df.repartitionByRange(*keys)
             df = df.sortWithinPartitions(*partition_cols, sort_col)
-        (
-            df.write.mode("overwrite")
-            .option("partitionOverwriteMode", "dynamic")
-            .partitionBy(*partition_cols)
-            .parquet(self.path(table))
-        )
+        writer = df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+        for key in self.promoted if table == "logs" else ():
+            writer = writer.option("parquet.bloom.filter.adaptive.enabled", "true")
+            for kind in ("text", "number"):
+                writer = writer.option(f"parquet.bloom.filter.enabled#{promoted_columns(key)[kind]}", "true")
+        writer.partitionBy(*partition_cols).parquet(self.path(table))
+
+    def with_promoted(self, logs: DataFrame) -> DataFrame:
+        """Log rows (attributes as VARIANT) with the typed columns of the promoted keys."""
+        return logs.select("*", *[c for key in self.promoted for c in promoted_values("attributes", key)])
 
     def is_committed(self, spark: SparkSession, batch_id: int) -> bool:
         """Whether the batch has its marker (one look at a path)."""
@@ -123,7 +134,9 @@ class LogStore:
         return raw.join(self.commits(spark), "batch_id", "left_semi")
 
     def raw_logs(self, spark: SparkSession) -> DataFrame:
-        return self._read(spark, "logs", STORED_LOGS_DDL)
+        types = {"text": "string", "number": "double", "bool": "boolean", "kept": "boolean"}
+        typed = [f"{name} {types[kind]}" for key in self.promoted for kind, name in promoted_columns(key).items()]
+        return self._read(spark, "logs", ", ".join([STORED_LOGS_DDL, *typed]))
 
     def raw_counts(self, spark: SparkSession) -> DataFrame:
         return self._read(spark, "log_counts", STORED_COUNTS_DDL)
