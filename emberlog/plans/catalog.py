@@ -77,7 +77,8 @@ def stored_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
         counts = build_rollup(logs_of(spark, sf_dir)).withColumn("dt", F.to_date("bucket_ts"))
         counts.write.partitionBy("dt").parquet(path)
         _ROLLUPS[key] = path
-    return spark.read.parquet(_ROLLUPS[key])
+    # The schema is known: no job to find it.
+    return spark.read.schema("bucket_ts timestamp, service string, level string, tenant_id string, n bigint, dt date").parquet(_ROLLUPS[key])
 
 
 def _register_agg(name: str, spec: AggregateSpec, tenant=ALL_TENANTS, rollup: bool = False):

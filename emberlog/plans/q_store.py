@@ -1,4 +1,4 @@
-"""Catalog entries that read a store with promoted attribute keys (F5)."""
+"""Catalog entries that read a store: promoted attribute keys (F5), catalogue tables (S5, S6)."""
 
 from __future__ import annotations
 
@@ -13,6 +13,7 @@ from emberlog.plans.catalog import MONTH, register
 from emberlog.plans.ingest import ingest_batch
 from emberlog.plans.q_ingest import REQ_CTE
 from emberlog.session import checkpoint_dir, configure
+from emberlog.sources.catalogue import Catalogue
 from emberlog.sources.requests import AS_OF, requests_from_events
 from emberlog.sources.store import LogStore
 from emberlog.spec import AggregateSpec, ListSpec, LogFilter, to_utc
@@ -65,3 +66,16 @@ LIST = ListSpec(LogFilter(attrs=(("ok", "true"), ("k", "17"))), limit=1000)
 def q_promoted_list(spark, sf_dir):
     """A page by two promoted keys. Ids are given at ingest, so the page is compared without them."""
     return L.render_rows(L.list_rows(promoted_store(spark, sf_dir).logs(spark), LIST)).drop("id")
+
+
+EDGED = AggregateSpec("2024-01-04T05:06:07.089Z", "2024-01-26T20:10:30.500Z", "1h", "level", LogFilter(service="svc-2"))
+
+
+@register("catalogue_agg", O.with_logs(
+    f"SELECT {O.iso(O.bucket_sql('ts', EDGED.width_seconds))} AS bucket_start, level AS group_name, count(*) AS count\n"
+    f"FROM stored {O.where_sql(EDGED.window_filter(), A.ALL_TENANTS)} GROUP BY 1, 2", STORED_CTE))
+def q_catalogue_agg(spark, sf_dir):
+    """Counts from the catalogue's rollup table and the raw rows of both edges."""
+    store = promoted_store(spark, sf_dir)
+    tables = Catalogue(spark, store, f"emberlog_{store.root.rsplit('-', 1)[1]}").open()
+    return A.render_buckets(A.bucket_counts(tables.logs(), tables.counts(), EDGED))

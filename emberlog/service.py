@@ -16,9 +16,10 @@ from emberlog.operators.access import verdicts
 from emberlog.operators.aggregate import bucket_counts, render_buckets
 from emberlog.operators.listing import fetch_page_by_days
 from emberlog.operators.report import reconcile
-from emberlog.operators.retention import expire_store
+from emberlog.operators.retention import cutoff_of, expire_store
 from emberlog.plans.ingest import ingest_batch
 from emberlog.session import checkpoint_dir, configure
+from emberlog.sources.catalogue import Catalogue
 from emberlog.sources.envelopes import read_documents
 from emberlog.sources.store import LogStore
 from emberlog.spec import ALL_TENANTS, AggregateSpec, Bookmark, ListSpec
@@ -26,10 +27,13 @@ from emberlog.streaming.ingest_stream import document_stream, start_ingest
 
 
 class LogService:
-    def __init__(self, spark: SparkSession, root: str, promoted: tuple[str, ...] = ()):
-        """``promoted``: attribute keys that are asked for often (see ``LogStore``)."""
+    def __init__(self, spark: SparkSession, root: str, promoted: tuple[str, ...] = (),
+                 database: str | None = None):
+        """``promoted``: attribute keys that are asked for often (see ``LogStore``). With a ``database`` the tables are
+        kept in Spark's catalogue and read from it (see ``Catalogue``)."""
         self.spark = configure(spark)
         self.store = LogStore(root, tuple(promoted))
+        self.catalogue = Catalogue(self.spark, self.store, database).open() if database else None
 
     # -- ingest -------------------------------------------------------------
     def ingest(self, docs: DataFrame, batch_id: int, as_of: datetime | None = None,
@@ -37,7 +41,14 @@ class LogService:
         """``docs``: (doc_id, value[, tenant_id | api_key]) request bodies; one store batch.
         With ``keys`` each document's ``api_key`` must hold the ingest scope. A batch that is
         committed is not written again; its totals are returned."""
-        return ingest_batch(self.store, docs, batch_id, as_of=as_of, tenant=tenant, keys=keys)
+        out = ingest_batch(self.store, docs, batch_id, as_of=as_of, tenant=tenant, keys=keys)
+        if self.catalogue:
+            self.catalogue.add_batch(batch_id)
+        return out
+
+    def sync(self) -> list[int]:
+        """Bring the catalogue up to the committed batches, those of a stream for example."""
+        return self.catalogue.sync() if self.catalogue else []
 
     def ingest_files(self, path: str, batch_id: int, as_of: datetime | None = None,
                      tenant: str | None = None) -> dict:
@@ -56,18 +67,18 @@ class LogService:
 
     # -- read ---------------------------------------------------------------
     def logs(self) -> DataFrame:
-        return self.store.logs(self.spark)
+        return self.catalogue.logs() if self.catalogue else self.store.logs(self.spark)
 
     def counts(self) -> DataFrame:
-        return self.store.counts(self.spark)
+        return self.catalogue.counts() if self.catalogue else self.store.counts(self.spark)
 
     def receipts(self) -> DataFrame:
         """Per-document outcome of committed batches (accepted, rejected, status, error)."""
-        return self.store.receipts(self.spark)
+        return self.catalogue.receipts() if self.catalogue else self.store.receipts(self.spark)
 
     def rejected(self) -> DataFrame:
         """Rejected entries of committed batches with their reasons."""
-        return self.store.rejected(self.spark)
+        return self.catalogue.rejected() if self.catalogue else self.store.rejected(self.spark)
 
     def reconcile(self) -> DataFrame:
         """Per batch: accepted according to receipts vs rows visible."""
@@ -75,7 +86,8 @@ class LogService:
 
     def list(self, spec: ListSpec = ListSpec(), tenant=ALL_TENANTS) -> tuple[list, Bookmark | None]:
         """One page newest first and the bookmark of the next page (or None)."""
-        return fetch_page_by_days(self.logs(), self.store.days(self.spark), spec, tenant)
+        days = self.catalogue.days() if self.catalogue else self.store.days(self.spark)
+        return fetch_page_by_days(self.logs(), days, spec, tenant)
 
     def aggregate(self, spec: AggregateSpec, tenant=ALL_TENANTS) -> DataFrame:
         """Buckets (bucket_start ISO text, group_name, count), oldest first."""
@@ -112,4 +124,7 @@ class LogService:
 
     # -- upkeep -------------------------------------------------------------
     def expire(self, as_of: datetime, hours: int = S.RETENTION_HOURS_DEFAULT) -> int:
-        return expire_store(self.store, as_of, hours, self.spark)
+        removed = expire_store(self.store, as_of, hours, self.spark)
+        if self.catalogue:
+            self.catalogue.drop_until(cutoff_of(as_of, hours).date().isoformat())
+        return removed

@@ -21,6 +21,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from emberlog.functions.attrs import promoted_columns, promoted_values
 from emberlog.operators.access import KEY_COLUMNS, first_seeds, seed_rows
@@ -30,6 +31,10 @@ STORED_LOGS_DDL = (
     "id bigint, ts timestamp, level string, service string, message string, attributes variant, "
     "tenant_id string, dt date, batch_id bigint"
 )
+REJECTED_DDL = "doc_id string,entry_index int,reason string,raw string,batch_id bigint"
+RECEIPTS_DDL = ("doc_id string,accepted bigint,rejected bigint,status string,error string,"
+                "rejections array<struct<index:int,reason:string>>,batch_id bigint")
+COMMITS_DDL = "committed boolean, batch_id bigint"
 STORED_COUNTS_DDL = "bucket_ts timestamp, service string, level string, tenant_id string, n bigint, dt date, batch_id bigint"
 
 
@@ -68,6 +73,22 @@ class LogStore:
                 writer = writer.option(f"parquet.bloom.filter.enabled#{promoted_columns(key)[kind]}", "true")
         writer.partitionBy(*partition_cols).parquet(self.path(table))
 
+    def promoted_schema(self) -> StructType:
+        """The typed columns of the promoted keys."""
+        types = {"text": "string", "number": "double", "bool": "boolean", "kept": "boolean"}
+        out = StructType()
+        for key in self.promoted:
+            for kind, name in promoted_columns(key).items():
+                out = out.add(name, types[kind])
+        return out
+
+    def ddl(self, table: str) -> str:
+        """Columns of a table, partition columns included."""
+        plain = {"logs": STORED_LOGS_DDL, "log_counts": STORED_COUNTS_DDL, "rejected": REJECTED_DDL, "receipts": RECEIPTS_DDL,
+                 "commits": COMMITS_DDL}[table]
+        typed = [f"{f.name} {f.dataType.simpleString()}" for f in self.promoted_schema()] if table == "logs" else []
+        return ", ".join([plain, *typed])
+
     def with_promoted(self, logs: DataFrame) -> DataFrame:
         """Log rows (attributes as VARIANT) with the typed columns of the promoted keys."""
         return logs.select("*", *[c for key in self.promoted for c in promoted_values("attributes", key)])
@@ -83,11 +104,9 @@ class LogStore:
         its marker. A committed batch is left alone."""
         if self.is_committed(spark, batch_id):
             return
-        fs, _ = self._folder(spark, self.root)
-        for table, days in (("logs", "dt=*/"), ("log_counts", "dt=*/"), ("rejected", ""), ("receipts", "")):
-            pattern = self._folder(spark, f"{self.path(table)}/{days}batch_id={batch_id}")[1]
-            for st in fs.globStatus(pattern) or []:
-                fs.delete(st.getPath(), True)
+        for table in ("logs", "log_counts", "rejected", "receipts"):
+            for folder in self._batch_folders(spark, table, batch_id):
+                self.drop(spark, folder)
 
     # -- readers ----------------------------------------------------------
     def _read(self, spark: SparkSession, table: str, schema: str) -> DataFrame:
@@ -99,10 +118,8 @@ class LogStore:
                 return spark.createDataFrame([], schema)
             raise
 
-    COMMITS_DDL = "committed boolean, batch_id bigint"
-
     def commits(self, spark: SparkSession) -> DataFrame:
-        return self._read(spark, "commits", self.COMMITS_DDL).select("batch_id").distinct()
+        return self._read(spark, "commits", COMMITS_DDL).select("batch_id").distinct()
 
     def commit(self, spark: SparkSession, batch_id: int) -> None:
         """Write the commit marker of ``batch_id`` (the last write of a batch)."""
@@ -124,6 +141,16 @@ class LogStore:
         fs, p = self._folder(spark, path)
         fs.delete(p, True)
 
+    def _batch_folders(self, spark: SparkSession, table: str, batch_id: int | str) -> list[str]:
+        days = "dt=*/" if table in ("logs", "log_counts") else ""
+        fs, pattern = self._folder(spark, f"{self.path(table)}/{days}batch_id={batch_id}")
+        return [st.getPath().toString() for st in fs.globStatus(pattern) or []]
+
+    def batch_partitions(self, spark: SparkSession, table: str, batch_id: int | str) -> list[dict[str, str]]:
+        """Partition values of a batch's folders (one listing)."""
+        found = [folder.rsplit("/", 2)[1:] for folder in self._batch_folders(spark, table, batch_id)]
+        return [dict(p.split("=", 1) for p in parts if p.startswith(("dt=", "batch_id="))) for parts in found]
+
     def days(self, spark: SparkSession) -> list[str]:
         """Day partitions of the log table, newest first."""
         return self.values(spark, self.path("logs"), "dt")[::-1]
@@ -134,9 +161,7 @@ class LogStore:
         return raw.join(self.commits(spark), "batch_id", "left_semi")
 
     def raw_logs(self, spark: SparkSession) -> DataFrame:
-        types = {"text": "string", "number": "double", "bool": "boolean", "kept": "boolean"}
-        typed = [f"{name} {types[kind]}" for key in self.promoted for kind, name in promoted_columns(key).items()]
-        return self._read(spark, "logs", ", ".join([STORED_LOGS_DDL, *typed]))
+        return self._read(spark, "logs", self.ddl("logs"))
 
     def raw_counts(self, spark: SparkSession) -> DataFrame:
         return self._read(spark, "log_counts", STORED_COUNTS_DDL)
@@ -150,13 +175,10 @@ class LogStore:
         return self._visible(spark, self.raw_counts(spark))
 
     def raw_rejected(self, spark: SparkSession) -> DataFrame:
-        return self._read(spark, "rejected", "doc_id string,entry_index int,reason string,raw string,batch_id bigint")
+        return self._read(spark, "rejected", REJECTED_DDL)
 
     def raw_receipts(self, spark: SparkSession) -> DataFrame:
-        return self._read(
-            spark, "receipts", "doc_id string,accepted bigint,rejected bigint,status string,error string,"
-            "rejections array<struct<index:int,reason:string>>,batch_id bigint"
-        )
+        return self._read(spark, "receipts", RECEIPTS_DDL)
 
     def rejected(self, spark: SparkSession) -> DataFrame:
         """Rejections of committed batches."""

@@ -9,7 +9,7 @@ import __spark_entry__ as E
 SF = "/root/testdata/sf0.001"
 # These run a stream or write a store when called; their plans are covered elsewhere.
 SIDE_EFFECTS = {"stream_ingest", "stream_rollup", "stream_late", "stream_replay", "visible_logs", "reconcile",
-                "store_compact", "promoted_agg", "promoted_agg_number", "promoted_agg_bool", "promoted_list"}
+                "store_compact", "promoted_agg", "promoted_agg_number", "promoted_agg_bool", "promoted_list", "catalogue_agg"}
 FORBIDDEN = ("BatchEvalPython", "ArrowEvalPython", "CartesianProduct", "BroadcastNestedLoopJoin")
 
 
