@@ -1,8 +1,11 @@
 """Operator 10, license scans by canonical digests, in DataFrame functions only.
 
-A text is lower-cased, loses its copyright lines, gets one spelling of equivalent words and a single space for
-any punctuation; its SHA-256 is then looked up among the digests of known licences, normalised by the same
-expressions. A whole document is looked up, and each of its lines as a text of its own.
+A text is lower-cased, loses its copyright lines, gets a single space for any punctuation or white space and one spelling
+of equivalent words; its SHA-256 is then looked up among the digests of known licences, normalised by the same
+expressions. A whole document is looked up, and each of its lines as a text of its own. Line breaks of the whole text do not
+count: spellings are matched after the lines are joined, and only lines that name an owner go, not prose that starts with
+"copyright". As a wrapped owner's line has a rest on the next line, the text without the paragraphs that begin with an
+owner's line is looked up as well.
 """
 
 from __future__ import annotations
@@ -13,35 +16,51 @@ from pyspark.sql import functions as F
 from emberlog.llm.common import ascii_lower, require
 from emberlog.llm.license_texts import STATEMENTS, TEXTS
 
-# Equivalent spellings, and the lines that only name an owner.
+# Equivalent spellings of words and of word pairs, and what begins a line that only names an owner.
 SPELLINGS = [
     ("acknowledgement", "acknowledgment"), ("analogue", "analog"), ("analyse", "analyze"), ("artefact", "artifact"),
     ("authoris", "authoriz"), ("calibre", "caliber"), ("cancell", "cancel"), ("capitaliz", "capitalis"),
-    ("catalogue", "catalog"), ("centre", "center"), ("copyright owner", "copyright holder"), ("emphasise", "emphasize"),
-    ("favour", "favor"), ("fulfil ", "fulfill "), ("honour", "honor"), ("initialis", "initializ"), ("judgement", "judgment"),
-    ("labell", "label"), ("licence", "license"), ("maximis", "maximiz"), ("modell", "model"), ("noncommercial", "non-commercial"),
-    ("optimis", "optimiz"), ("organis", "organiz"), ("per cent", "percent"), ("practise", "practice"), ("programme", "program"),
-    ("recognis", "recogniz"), ("sub-license", "sublicense"), ("utilis", "utiliz"), ("whilst", "while"), ("wilful", "willful"),
+    ("catalogue", "catalog"), ("centre", "center"), ("emphasise", "emphasize"), ("favour", "favor"), ("fulfill", "fulfil"),
+    ("honour", "honor"), ("initialis", "initializ"), ("judgement", "judgment"), ("labell", "label"), ("licence", "license"),
+    ("maximis", "maximiz"), ("modell", "model"), ("optimis", "optimiz"), ("organis", "organiz"), ("practise", "practice"),
+    ("programme", "program"), ("recognis", "recogniz"), ("utilis", "utiliz"), ("whilst", "while"), ("wilful", "willful"),
 ]
-COPYRIGHT_LINE = r"(?m)^[ \t]*(?:copyright|\(c\)|©)[^\n]*$"
+PAIRS = [("copyright owner", "copyright holder"), ("non commercial", "noncommercial"), ("per cent", "percent"), ("sub license", "sublicense")]
+OWNER = r"[ \t]*(?:copyright[ \t]*(?:\(c\)|©|[0-9<\[{])|(?:\(c\)|©)[ \t]*(?:copyright[ \t]*)?[0-9<\[{])"
+OWNER_LINE = f"(?m)^{OWNER}[^\\n]*$"
+OWNER_START = r"^[ \t\r\n]*" + OWNER
+PARAGRAPHS = r"\n[ \t\r\n]*\n"
+# Lines end at line feeds alone, in Java too.
+UNIX_LINES = "(?d)"
 NOT_WORDS = r"[\x00-\x09\x0B-\x2F\x3A-\x60\x7B-\x7F]+"
 # Known texts of at most so many rows are broadcast.
 BROADCAST_TEXTS = 100_000
 
 
-def canonical_lines(text: Column) -> Column:
-    """The non-empty normalised lines of a text, in order."""
-    t = ascii_lower(F.coalesce(text, F.lit("")))
-    owner = t.contains("copyright") | t.contains("(c)") | t.contains("©")
-    t = F.when(owner, F.regexp_replace(t, COPYRIGHT_LINE, "")).otherwise(t)
-    for spelt, like in SPELLINGS:
+def _spelt(t: Column, spellings: list[tuple[str, str]]) -> Column:
+    for spelt, like in spellings:
         t = F.replace(t, F.lit(spelt), F.lit(like))
-    t = F.regexp_replace(t, NOT_WORDS, " ")
+    return t
+
+
+def _words_of_lines(lower: Column) -> Column:
+    """The non-empty lines of a lower-cased text, as words with one space between."""
+    t = _spelt(F.regexp_replace(lower, NOT_WORDS, " "), SPELLINGS)
     return F.array_remove(F.transform(F.split(t, "\n", -1), lambda line: F.btrim(line)), "")
 
 
-def digest(lines: Column) -> Column:
-    return F.sha2(F.array_join(lines, " "), 256)
+def _joined(lines: Column) -> Column:
+    return _spelt(F.array_join(lines, " "), PAIRS)
+
+
+def units(text: Column) -> Column:
+    """What is looked up of a text: the whole, the whole without the paragraphs of owners (empty if there is none), and its lines."""
+    t = ascii_lower(F.coalesce(text, F.lit("")))
+    owner = t.contains("copyright") | t.contains("(c)") | t.contains("©")
+    lines = _words_of_lines(F.when(owner, F.regexp_replace(t, UNIX_LINES + OWNER_LINE, "")).otherwise(t))
+    paragraphs = F.filter(F.split(t, PARAGRAPHS, -1), lambda p: ~p.rlike(OWNER_START))
+    rest = _joined(_words_of_lines(F.array_join(paragraphs, "\n")))
+    return F.concat(F.array(_joined(lines), F.when(owner, rest).otherwise("")), F.transform(lines, lambda line: _spelt(line, PAIRS)))
 
 
 def known_licenses(spark: SparkSession, path: str | None = None) -> DataFrame:
@@ -57,29 +76,29 @@ def scan(docs: DataFrame, known: DataFrame | None = None, id_col: str = "doc_id"
 
     Null or empty texts, and texts of copyright lines only, normalise to nothing and match nothing, as do known
     texts that do. Repeated rows get a row each; null ids stay; empty tables give an empty result; other columns
-    are not read. Lines are combined before the shuffle, which carries a row per document and task.
+    are not read. A very long text is one row's work, whole, and its lines are rows of their own. Lines are combined before
+    the shuffle, which carries a row per document and task.
     """
     require(docs, id_col, text_col)
     known = known_licenses(docs.sparkSession) if known is None else known
     digests = (
-        known.select("license_id", canonical_lines(F.col("text")).alias("lines")).where(F.size("lines") > 0)
-        .select("license_id", digest(F.col("lines")).alias("digest")).groupBy("digest").agg(F.min("license_id").alias("license"))
+        known.select("license_id", F.explode(F.slice(units(F.col("text")), 1, 2)).alias("t")).where("t != ''")
+        .groupBy(F.sha2("t", 256).alias("digest")).agg(F.min("license_id").alias("license"))
     )
     if known.count() <= BROADCAST_TEXTS:
         digests = F.broadcast(digests)
     rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("th"),
-                       canonical_lines(F.col(text_col)).alias("lines"))
-    # The whole text first, then its lines.
-    units = rows.select("id", "th", F.posexplode(F.concat(F.array(F.array_join("lines", " ")), F.col("lines"))).alias("unit", "t"))
-    units = units.select("id", "th", (F.col("unit") == 0).alias("whole"), F.sha2("t", 256).alias("digest"), (F.col("t") != "").alias("full"))
-    found = units.join(digests, "digest", "left")
+                       F.posexplode(units(F.col(text_col))).alias("unit", "t"))
+    rows = rows.where((F.col("unit") != 1) | (F.col("t") != ""))
+    found = rows.select("id", "th", "unit", F.sha2("t", 256).alias("digest"), (F.col("t") != "").alias("full")).join(digests, "digest", "left")
     found = found.withColumn("license", F.when(F.col("full"), F.col("license")))
+    whole, part, line = F.col("unit") == 0, F.col("unit") == 1, F.col("unit") > 1
     per = found.groupBy("id", "th").agg(
-        F.count_if("whole").alias("copies"),
-        F.max(F.when(F.col("whole"), F.col("digest"))).alias("text_sha256"),
-        F.max(F.when(F.col("whole"), F.col("license"))).alias("license_id"),
-        F.count(F.when(~F.col("whole"), F.col("license"))).alias("n"),
-        F.array_sort(F.collect_set(F.when(~F.col("whole"), F.col("license")))).alias("ids"),
+        F.count_if(whole).alias("copies"),
+        F.max(F.when(whole, F.col("digest"))).alias("text_sha256"),
+        F.coalesce(F.max(F.when(whole, F.col("license"))), F.max(F.when(part, F.col("license")))).alias("license_id"),
+        F.count(F.when(line, F.col("license"))).alias("n"),
+        F.array_sort(F.collect_set(F.when(line, F.col("license")))).alias("ids"),
     )
     # Rows that repeat an id and text were one group: each gets its row again.
     per = per.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))))

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from emberlog.llm.common import LOWER, UPPER
-from emberlog.llm.license_scan import SPELLINGS
+from emberlog.llm.license_scan import NOT_WORDS, OWNER_LINE, OWNER_START, PAIRS, PARAGRAPHS, SPELLINGS
 from emberlog.llm.license_texts import STATEMENTS, TEXTS
 
 
@@ -94,25 +94,36 @@ FROM documents d LEFT JOIN n ON n.doc_id = d.doc_id JOIN m ON m.a = d.doc_id
 """
 
 
-def _canonical(expr: str) -> str:
-    t = lowered(f"coalesce({expr}, '')")
-    t = f"regexp_replace({t}, '(?m)^[ \\t]*(?:copyright|\\(c\\)|©)[^\\n]*$', '', 'g')"
-    for spelt, like in SPELLINGS:
+def _spelt(t: str, spellings: list[tuple[str, str]]) -> str:
+    for spelt, like in spellings:
         t = f"replace({t}, {quoted(spelt)}, {quoted(like)})"
-    t = f"regexp_replace({t}, '[\\x00-\\x09\\x0B-\\x2F\\x3A-\\x60\\x7B-\\x7F]+', ' ', 'g')"
+    return t
+
+
+def _words_of_lines(t: str) -> str:
+    t = _spelt(f"regexp_replace({t}, {quoted(NOT_WORDS)}, ' ', 'g')", SPELLINGS)
     return f"list_filter(list_transform(string_split({t}, chr(10)), lambda z: trim(z)), lambda z: z <> '')"
 
 
+def _licence_forms(table: str, key: str, body: str) -> str:
+    """key, l (lines), whole and rest of every row."""
+    rest = f"array_to_string(list_filter(string_split_regex(t, {quoted(PARAGRAPHS)}), lambda p: NOT regexp_matches(p, {quoted(OWNER_START)})), chr(10))"
+    pairs = lambda lines: _spelt(f"array_to_string({lines}, ' ')", PAIRS)
+    return f"""SELECT {key}, list_transform(l, lambda z: {_spelt('z', PAIRS)}) AS l, {pairs('l')} AS whole, {pairs('r')} AS rest
+  FROM (SELECT {key}, {_words_of_lines(f"regexp_replace(t, {quoted(OWNER_LINE)}, '', 'g')")} AS l, {_words_of_lines(rest)} AS r
+        FROM (SELECT {key}, {lowered(f"coalesce({body}, '')")} AS t FROM {table}))"""
+
+
 OP10 = f"""
 WITH known(license_id, body) AS (VALUES {', '.join(f'({quoted(i)}, {quoted(t)})' for i, t in STATEMENTS + TEXTS)}),
-kd AS (SELECT array_to_string({_canonical('body')}, ' ') AS t, license_id FROM known),
-k AS (SELECT t, min(license_id) AS license FROM kd WHERE t <> '' GROUP BY t),
-d AS (SELECT doc_id, {_canonical('text')} AS l FROM documents),
+kd AS ({_licence_forms('known', 'license_id', 'body')}),
+k AS (SELECT t, min(license_id) AS license FROM (SELECT license_id, whole AS t FROM kd UNION ALL SELECT license_id, rest FROM kd) WHERE t <> '' GROUP BY t),
+d AS ({_licence_forms('documents', 'doc_id', 'text')}),
 x AS (SELECT doc_id, license FROM (SELECT doc_id, unnest(l) AS t FROM d) z JOIN k ON k.t = z.t),
 y AS (SELECT doc_id, count(*) AS n, string_agg(DISTINCT license, ',' ORDER BY license) AS ids FROM x GROUP BY doc_id)
-SELECT d.doc_id, sha256(array_to_string(l, ' ')) AS text_sha256, k.license AS license_id, coalesce(n, 0) AS n_license_lines,
+SELECT d.doc_id, sha256(whole) AS text_sha256, coalesce(k.license, k2.license) AS license_id, coalesce(n, 0) AS n_license_lines,
        coalesce(ids, '') AS line_licenses
-FROM d LEFT JOIN k ON k.t = array_to_string(l, ' ') LEFT JOIN y ON y.doc_id = d.doc_id
+FROM d LEFT JOIN k ON k.t = whole LEFT JOIN k k2 ON k2.t = rest LEFT JOIN y ON y.doc_id = d.doc_id
 """
 
 

@@ -2,6 +2,8 @@
 
 import hashlib
 import random
+import re
+import textwrap
 from collections import defaultdict
 
 import pytest
@@ -185,6 +187,37 @@ def test_license_scan(spark):
                    (None, "MIT", 1, "MIT"), (2, None, 0, ""), (6, None, 0, "")}
 
 
+def rewrapped(text: str, width: int, crlf: bool = False) -> str:
+    paragraphs = re.split(r"\n[ \t]*\n", text)
+    out = "\n\n".join(textwrap.fill(" ".join(p.split()), width, break_long_words=False, break_on_hyphens=False) for p in paragraphs)
+    return out.replace("\n", "\r\n") if crlf else out
+
+
+def test_line_breaks_of_a_whole_text_do_not_count(spark):
+    names = {f.stem for f in FILES.glob("*.txt")} | {"MIT", "ISC", "Zlib", "BSD-2-Clause", "BSD-3-Clause", "Unlicense"}
+    texts = {}
+    for name, text in TEXTS:
+        texts.setdefault(name, text)
+    rows = [(name, rewrapped(texts[name], width, width == 72)) for name in sorted(names) for width in (50, 60, 72, 100, 10**9)]
+    rows += [("Apache-2.0", texts["Apache-2.0"].replace("copyright owner", "copyright\nowner")),
+             ("Apache-2.0", texts["Apache-2.0"].replace("copyright owner", "Copyright  Owner")),
+             ("Apache-2.0", "Copyright 2001 A\nCopyright (C) 2002 B\n\n" + texts["Apache-2.0"]),
+             # A line of prose that starts with "copyright" is no owner's, so it counts.
+             (None, texts["Apache-2.0"] + "\ncopyright law applies\n")]
+    got = license_scan.scan(docs_df(spark, [(k, t) for k, (_, t) in enumerate(rows)])).orderBy("doc_id").collect()
+    missed = [(i, k) for k, ((i, _), r) in enumerate(zip(rows, got, strict=True)) if r["license_id"] != i]
+    assert not missed
+
+
+def test_spellings_at_the_ends_of_texts_and_lines(spark):
+    known = spark.createDataFrame([("L1", "You shall fulfil."), ("L2", "Ask the copyright holder"), ("L3", "ten percent, non-commercial")],
+                                  "license_id string, text string")
+    rows = [(1, "you shall FULFILL"), (2, "ask the\ncopyright\n  owner"), (3, "Ten per cent\nnoncommercial"), (4, "x\nask the copyright  owner!\n"),
+            (5, "(c) ask the copyright owner"), (6, "\n\n\n\n"), (7, "©"), (8, "Copyright (c)\n\nask the copyright owner")]
+    got = {r["doc_id"]: (r["license_id"], r["line_licenses"]) for r in license_scan.scan(docs_df(spark, rows), known).collect()}
+    assert got == {1: ("L1", "L1"), 2: ("L2", ""), 3: ("L3", ""), 4: (None, "L2"), 5: (None, ""), 6: (None, ""), 7: (None, ""), 8: ("L2", "L2")}
+
+
 def test_whole_texts_of_long_licenses_and_of_a_table(spark, tmp_path):
     own = tmp_path / "known"
     spark.createDataFrame([("LicenseRef-own", "Use it\nas you like.")], "license_id string, text string").write.parquet(str(own))
