@@ -27,6 +27,10 @@ CONV_DIGITS = "0123456789ABCDEFGHIJKLMNOPQRSTUV"
 BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 FILE_BYTES = 256 << 20
 GAP, MOST = 64 << 10, 8 << 20
+# Archive bytes of a reading task, and of the stretches that are dealt to the tasks.
+TASK_BYTES, STRETCH_BYTES, LEAST_STRETCH = 64 << 20, 16 << 20, 256 << 10
+# Pages that are Python rows at a time.
+ROWS = 64
 LEVEL = 4
 DATE = "2024-01-01T00:00:00Z"
 
@@ -66,19 +70,25 @@ def one_line(text: str | None) -> str:
     return (text or "").replace("%", "%25").replace("\r", "%0D").replace("\n", "%0A")
 
 
-def build_record(page_id, url: str | None, payload: bytes, digest: str, record_type: str, refers_to) -> bytes:
-    """One WARC/1.1 record; a revisit has no block, its payload is the record it refers to."""
+def http_head(length: int) -> bytes:
+    """What a response's block has before the payload."""
+    return f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {length}\r\n\r\n".encode()
+
+
+def build_record(page_id, url: str | None, payload: bytes, digest: str, record_type: str, refers_to, date: str = DATE) -> bytes:
+    """One WARC/1.1 record. A response's block is an HTTP response, its digest that of the payload; a revisit has no
+    block, its payload is that of the record it refers to."""
     head = [
-        "WARC/1.1", f"WARC-Type: {record_type}", f"WARC-Record-ID: {record_id(page_id)}", f"WARC-Date: {DATE}",
+        "WARC/1.1", f"WARC-Type: {record_type}", f"WARC-Record-ID: {record_id(page_id)}", f"WARC-Date: {date}",
         f"WARC-Target-URI: {one_line(url)}", f"WARC-Payload-Digest: sha1:{digest}",
         f"X-Page-ID: {'' if page_id is None else page_id}", f"X-Payload-Length: {len(payload)}",
     ]
-    block = payload
+    block = http_head(len(payload)) + payload
     if record_type == "revisit":
         head += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest",
                  f"WARC-Refers-To: {record_id(refers_to)}", f"X-Refers-To-Page-ID: {'' if refers_to is None else refers_to}"]
         block = b""
-    head += ["Content-Type: text/html; charset=utf-8", f"Content-Length: {len(block)}"]
+    head += ["Content-Type: application/http; msgtype=response", f"Content-Length: {len(block)}"]
     return "\r\n".join(head).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
 
 
@@ -101,13 +111,14 @@ def file_system(uri: str) -> tuple[fs.FileSystem, str]:
 
 
 def write_archives(pages: DataFrame, folder: str, id_col: str = "page_id", url_col: str = "url", html_col: str = "html",
-                   min_bytes: int = 0) -> DataFrame:
+                   min_bytes: int = 0, date: str = DATE) -> DataFrame:
     """Write all rows to archive files below ``folder`` (a URI that all executors share) and return the index:
     page_id, url, digest, record_type, file, offset, length.
 
     Of rows with equal payloads of at least ``min_bytes`` bytes, the one with the smallest id is the response and
     the others revisit it; a null payload is an empty one. A null id comes after all others. Rows that repeat the
-    smallest id are responses each. Null URLs are written empty. Other columns are not read.
+    smallest id are responses each. Null URLs are written empty. A very long page is one record, whole. ``date`` is the
+    WARC-Date of the records. Empty tables write no file; other columns are not read.
     """
     require(pages, id_col, url_col, html_col)
     rows = with_record_types(pages, id_col, url_col, html_col, min_bytes)
@@ -118,7 +129,7 @@ def write_archives(pages: DataFrame, folder: str, id_col: str = "page_id", url_c
         name, offset = "", 0
         for batch in batches:
             found = []
-            for row in batch.to_pylist():
+            for row in (row for lo in range(0, batch.num_rows, ROWS) for row in batch.slice(lo, ROWS).to_pylist()):
                 if out is None or offset >= FILE_BYTES:
                     if out is not None:
                         out.close()
@@ -128,7 +139,7 @@ def write_archives(pages: DataFrame, folder: str, id_col: str = "page_id", url_c
                     out = system.open_output_stream(f"{path}/{name}", compression=None)
                 packer = zlib.compressobj(LEVEL, zlib.DEFLATED, 31)
                 member = packer.compress(build_record(row["page_id"], row["url"], row["payload"], row["digest"],
-                                                      row["record_type"], row["refers_to"])) + packer.flush()
+                                                      row["record_type"], row["refers_to"], date)) + packer.flush()
                 out.write(member)
                 found.append((name, offset, len(member)))
                 offset += len(member)
@@ -165,9 +176,13 @@ def read_records(index: DataFrame, folder: str) -> DataFrame:
     The digest of a response is computed from the bytes read and must equal its header.
     """
     id_type = index.schema["page_id"].dataType.simpleString()
-    # Places of one file and stretch of 64 MB meet in a task, in order: neighbours become one read.
-    placed = index.select("page_id", "file", "offset", "length", F.floor(F.col("offset") / (64 << 20)).alias("stretch"))
-    placed = placed.repartition("file", "stretch").sortWithinPartitions("file", "offset")
+    # A task for so many bytes of archives (those of the index rows are few and say nothing), at least one for each core.
+    total = index.agg(F.sum("length").alias("n")).first()["n"] or 0
+    tasks = max(index.sparkSession.sparkContext.defaultParallelism, -(-total // TASK_BYTES))
+    stretch = min(STRETCH_BYTES, max(LEAST_STRETCH, total // (4 * tasks)))
+    # Places of one file and stretch meet in a task, in order: neighbours become one read.
+    placed = index.select("page_id", "file", "offset", "length", F.floor(F.col("offset") / stretch).alias("stretch"))
+    placed = placed.repartition(tasks, "file", "stretch").sortWithinPartitions("file", "offset")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -195,6 +210,8 @@ def _read_back(rows: list[dict], data: bytes, start: int, kind: pa.DataType) ->
         h, block = parse_record(data[at:at + row["length"]])
         revisit = h["WARC-Type"] == "revisit"
         digest = h["WARC-Payload-Digest"].removeprefix("sha1:")
+        if not revisit:
+            block = block.partition(b"\r\n\r\n")[2]
         if not revisit and (base64.b32encode(hashlib.sha1(block).digest()).decode() != digest or len(block) != int(h["X-Payload-Length"])):
             raise ValueError(f"record at {row['file']}:{row['offset']} does not have its digest")
         url = h["WARC-Target-URI"].replace("%0A", "\n").replace("%0D", "\r").replace("%25", "%")

@@ -7,6 +7,7 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from emberlog.llm import chat_format, hamming_topk, lang_id, warc
 from emberlog.llm.common import shared_path
@@ -64,12 +65,29 @@ def test_archives_read_back(spark):
     with system.open_input_file(f"{path}/{row['file']}") as f:
         raw = zlib.decompress(f.read_at(row["length"], row["offset"]), 31)
     assert raw.startswith(b"WARC/1.1\r\n") and raw.endswith("<p>é</p>\r\n\r\n".encode())
+    # The block of a response is an HTTP response: its own header, an empty line, the payload.
+    headers, block = raw.split(b"\r\n\r\n", 1)
+    assert b"WARC-Type: response\r\n" in headers and b"Content-Type: application/http; msgtype=response\r\n" in headers
+    assert block.startswith(b"HTTP/1.1 200 OK\r\n") and f"Content-Length: {len('<p>é</p>'.encode())}\r\n\r\n".encode() in block
     assert warc.read_records(index.where("page_id = 9"), folder).count() == 1
     big = warc.write_archives(df, shared_path(spark, "warc-test"), min_bytes=100)
     assert big.where("record_type = 'revisit'").count() == 0
     assert warc.write_archives(df.limit(0), folder).count() == 0
 
 
+def test_archives_are_read_by_several_tasks(spark):
+    rng = random.Random(4)
+    rows = [(i, f"http://a/{i}", rng.randbytes(3000).hex(), i) for i in range(600)]
+    folder = shared_path(spark, "warc-test")
+    index = warc.write_archives(spark.createDataFrame(rows, PAGES).coalesce(1), folder, date="2025-05-05T00:00:00Z")
+    assert index.select("file").distinct().count() == 1
+    back = warc.read_records(index, folder)
+    # A file of a few megabytes is still dealt to several tasks; each page comes back once.
+    assert back.select(F.spark_partition_id().alias("p")).distinct().count() > 1
+    assert {r["page_id"]: bytes(r["payload"]).decode() for r in back.collect()} == {i: h for i, _, h, _ in rows}
+    assert b"WARC-Date: 2025-05-05T00:00:00Z\r\n" in warc.build_record(1, "u", b"x", "d", "response", None, "2025-05-05T00:00:00Z")
+
+
 def test_ranges_are_coalesced():
     ranges = [(0, 10), (10, 10), (30, 5), (200, 10), (210, 1000)]
     assert list(warc.coalesced(ranges, gap=15, most=100)) == [(0, 3, 0, 35), (3, 4, 200, 210), (4, 5, 210, 1210)]
