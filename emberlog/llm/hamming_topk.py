@@ -2,22 +2,22 @@
 
 A vector's signs are its code, cut into segments of 16 bits. A code within distance
 m * (r + 1) - 1 of a query has one of its m segments within r of the query's, so after all
-segments have been searched up to radius r, every such code has been verified. Round r looks
-at the codes with a segment at distance r just now; a query is finished as soon as its kth
-verified distance is covered, and only the others go on to the next radius.
+segments have been searched up to radius r, every such code has been verified. The radius grows
+from 0 until the kth verified distance is covered.
 
-The stated query set is taken in blocks of bounded size. Each task holds an index over its own part
-of the distinct codes and returns at most k codes per query, so no pair table is ever made.
+The distinct codes are dealt into parts, the stated query set into blocks, both of bounded size. A task
+meets one block and one part, builds the part's index and returns the part's exact k best codes of
+each query; the k best of all parts are the answer. Only counts reach the driver.
 """
 
 from __future__ import annotations
 
 import functools
 import itertools
-from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -25,9 +25,8 @@ from pyspark.sql.window import Window
 from emberlog.llm.common import materialize, require
 
 SEGMENT = 16
-# Queries sent to the tasks at a time (8 bytes a segment group and query).
-QUERY_BLOCK = 200_000
-# Distinct codes of one task's index.
+# Distinct query codes of a block and distinct codes of a part: what one task holds.
+QUERY_BLOCK = 100_000
 INDEX_CODES = 1_000_000
 _ONES = np.array([bin(i).count("1") for i in range(1 << 8)], dtype=np.uint8)
 
@@ -43,31 +42,30 @@ def masks(radius: int) -> np.ndarray:
     return np.array([sum(1 << b for b in bits) for bits in itertools.combinations(range(SEGMENT), radius)], dtype=np.uint16)
 
 
-def codes_of(df: DataFrame, id_col: str, vector_col: str, dims: int) -> DataFrame:
-    """id and code (array<int> of 16-bit segments; a bit is set where the value is positive)."""
-    bit = lambda x: F.when(x > 0, 1).otherwise(0)
+def codes_of(df: DataFrame, id_col: str, vector_col: str) -> DataFrame:
+    """id, dims (the vector's length) and code (array<int> of 16-bit segments; a bit is set where the value is positive)."""
     segment = lambda s: F.aggregate(
-        F.slice("v", s * SEGMENT + 1, F.lit(SEGMENT)), F.lit(0), lambda acc, x: acc * 2 + bit(x))
-    rows = df.select(F.col(id_col).alias("id"), F.col(vector_col).alias("v")).where(F.col("id").isNotNull() & (F.size("v") == dims))
-    return rows.select("id", F.transform(F.sequence(F.lit(0), F.lit(-(-dims // SEGMENT) - 1)), segment).alias("code"))
+        F.slice("v", s * SEGMENT + 1, F.lit(SEGMENT)), F.lit(0), lambda acc, x: acc * 2 + F.when(x > 0, 1).otherwise(0))
+    rows = df.select(F.col(id_col).alias("id"), F.col(vector_col).alias("v")).where(F.col("id").isNotNull() & (F.size("v") > 0))
+    last = F.ceil(F.size("v") / SEGMENT).cast("int") - 1
+    return rows.select("id", F.size("v").alias("dims"), F.transform(F.sequence(F.lit(0), last), segment).alias("code"))
 
 
 class SegmentIndex:
-    """Codes of one task, findable by the value of each segment."""
+    """Codes of one task, findable by the value of each segment; of equal distances the lower row is the better."""
 
-    def __init__(self, codes: np.ndarray, first: np.ndarray):
-        self.codes, self.first = codes, first
+    def __init__(self, codes: np.ndarray):
+        self.codes = codes
         self.order = [np.argsort(codes[:, s], kind="stable") for s in range(codes.shape[1])]
         self.starts = [np.searchsorted(codes[o, s], np.arange((1 << SEGMENT) + 1)) for s, o in enumerate(self.order)]
 
     def at(self, query: np.ndarray, radius: int) -> np.ndarray:
         """Rows with some segment at just this distance."""
-        found = []
         wanted = masks(radius)
+        if len(self.codes) <= len(wanted):
+            return np.flatnonzero((popcount(self.codes ^ query) == radius).any(axis=1))
+        found = []
         for s in range(self.codes.shape[1]):
-            if len(self.codes) <= len(wanted):
-                found.append(np.flatnonzero(popcount(self.codes[:, s] ^ query[s]) == radius))
-                continue
             keys = (wanted ^ query[s]).astype(np.int64)
             lo, hi = self.starts[s][keys], self.starts[s][keys + 1]
             full = hi > lo
@@ -75,95 +73,73 @@ class SegmentIndex:
             if len(n):
                 ends = np.cumsum(n)
                 found.append(self.order[s][np.arange(ends[-1]) + np.repeat(lo - (ends - n), n)])
-        return np.unique(np.concatenate(found)) if found else np.zeros(0, dtype=np.int64)
-
-    def nearest(self, query: np.ndarray, radius: int, k: int, worst: int) -> tuple[np.ndarray, np.ndarray]:
-        """(rows, distances) of the k best by (distance, smallest id) not beyond ``worst``."""
-        rows = self.at(query, radius)
-        d = popcount(self.codes[rows] ^ query).sum(axis=1, dtype=np.int64)
-        near = d <= worst
-        rows, d = rows[near], d[near]
-        if len(rows) > k:
-            best = np.lexsort((self.first[rows], d))[:k]
+        return np.concatenate(found) if found else np.zeros(0, dtype=np.int64)
+
+    def nearest(self, query: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+        """(rows, distances) of the k best: the radius grows until the kth distance is covered."""
+        rows = np.zeros(0, dtype=np.int64)
+        for radius in range(SEGMENT + 1):
+            rows = np.unique(np.concatenate([rows, self.at(query, radius)]))
+            d = popcount(self.codes[rows] ^ query).sum(axis=1, dtype=np.int64)
+            # What is not among the k best so far never will be.
+            best = np.argsort(d, kind="stable")[:k]
             rows, d = rows[best], d[best]
+            if len(rows) == len(self.codes) or len(rows) == k and d[-1] < self.codes.shape[1] * (radius + 1):
+                break
         return rows, d
 
 
-def top_k(df: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "vec_id", vector_col: str = "embedding",
-          dims: int = 64) -> DataFrame:
+def top_k(df: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """(query_id, rank, neighbor_id, distance): for every row of ``queries`` the k rows of ``df`` of smallest
     Hamming distance between sign codes, ties by smaller id; all rows count, a query's own row too.
 
-    Rows without an id, with a null vector or one that has not ``dims`` values have no code: they are not
-    found and get no answer. Null or NaN values give bit 0. Rows that repeat an id and code count once.
-    Tables of fewer than k rows give all of them; empty tables give an empty result. Other columns are not read.
+    Ids may be of any type with an order. Vectors may be of any length; a query is compared with the vectors of its own
+    length. Rows without an id, or whose vector is null or empty, have no code: they are not found and get no answer.
+    Null values give bit 0, NaN bit 1 (Spark orders it above all numbers). Rows that repeat an id and code count once. Where there are fewer than k rows all are
+    given; empty tables give an empty result. Other columns are not read.
     """
     require(df, id_col, vector_col)
-    spark, sc = df.sparkSession, df.sparkSession.sparkContext
-    segments = -(-dims // SEGMENT)
-    # Of each code only its k smallest ids can be answers; the limit applies before the shuffle too.
-    by_id = Window.partitionBy("code").orderBy("id")
-    ids = codes_of(df, id_col, vector_col, dims).withColumn("r", F.dense_rank().over(by_id)).where(F.col("r") <= k)
-    index = materialize(ids.groupBy("code").agg(F.array_sort(F.collect_set("id")).alias("ids")), "codes")
-    asked = materialize(codes_of(queries, id_col, vector_col, dims).distinct(), "queries")
-    wanted = materialize(asked.select("code").distinct(), "query-codes")
-    total = index.select(F.count("*").alias("n")).first()["n"]
-    blocks = -(-wanted.count() // QUERY_BLOCK)
-    index = index.repartition(max(8, -(-total // INDEX_CODES)))
+    require(queries, id_col, vector_col)
+    # Repeated rows are merged first. Of each code only its k smallest ids can be answers; the limit applies before the shuffle too.
+    ids = codes_of(df, id_col, vector_col).distinct()
+    ids = ids.withColumn("r", F.row_number().over(Window.partitionBy("dims", "code").orderBy("id"))).where(F.col("r") <= k)
+    index = materialize(ids.groupBy("dims", "code").agg(F.array_sort(F.collect_set("id")).alias("ids")), "codes")
+    asked = materialize(codes_of(queries, id_col, vector_col).distinct(), "queries")
+    wanted = materialize(asked.select("dims", "code").distinct(), "query-codes")
+    parts = max(1, -(-index.count() // INDEX_CODES))
+    # Blocks of a bounded size, and enough of them for every core.
+    blocks = max(1, -(-wanted.count() // QUERY_BLOCK), -(-2 * df.sparkSession.sparkContext.defaultParallelism // parts))
+    place = ["dims", "block", "part"]
+    dealt = lambda rows, n: F.pmod(F.xxhash64("code"), F.lit(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    left = index.select("dims", every(blocks).alias("block"), dealt(index, parts).alias("part"), "code", "ids")
+    right = wanted.select("dims", dealt(wanted, blocks).alias("block"), every(parts).alias("part"), "code")
+    # A number of its own: adaptive execution would merge these small but laborious partitions.
+    left, right = (rows.repartition(2 * blocks * parts, *place).groupBy(*place) for rows in (left, right))
     id_type = asked.schema["id"].dataType.simpleString()
-    order = Window.partitionBy("code").orderBy("distance", "id")
-    answers = []
-    for block in range(blocks):
-        mine = wanted.where(F.pmod(F.xxhash64("code"), F.lit(blocks)) == block)
-        best = None
-        for radius in range(SEGMENT + 1):
-            # Queries not finished, with the kth distance verified so far.
-            if best is None:
-                open_ = [(row["code"], dims) for row in mine.toLocalIterator()]
-            else:
-                kth = best.groupBy("code").agg(F.count("*").alias("n"), F.max("distance").alias("d"))
-                kth = mine.join(kth, "code", "left").select("code", F.when(F.col("n") >= k, F.col("d")).otherwise(dims).alias("d"))
-                open_ = [(row["code"], row["d"]) for row in kth.where(F.col("d") > segments * radius - 1).toLocalIterator()]
-            if not open_:
-                break
-            sent = sc.broadcast((np.array([c for c, _ in open_], dtype=np.uint16), np.array([d for _, d in open_])))
-            found = index.mapInArrow(functools.partial(_search, sent, radius, k, segments),
-                                     f"code array<int>, distance int, ids array<{id_type}>")
-            found = found.select("code", "distance", F.explode("ids").alias("id"))
-            if best is not None:
-                found = found.unionByName(best)
-            found = found.distinct().withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).drop("rank")
-            best = materialize(found, "best")
-        if best is not None:
-            answers.append(best)
-    if not answers:
-        return spark.createDataFrame([], f"query_id {id_type}, rank int, neighbor_id {id_type}, distance int")
-    best = functools.reduce(DataFrame.unionByName, answers).withColumn("rank", F.row_number().over(order))
-    return asked.join(best.withColumnRenamed("id", "neighbor_id"), "code").select(
-        F.col("id").alias("query_id"), "rank", "neighbor_id", "distance")
-
-
-def _search(sent, radius: int, k: int, segments: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    queries, worst = sent.value
-    held = [b for b in batches if b.num_rows]
-    if not held:
-        return
-    table = pa.Table.from_batches(held)
-    column = lambda name: table.column(table.schema.get_field_index(name)).combine_chunks()
-    codes = column("code").flatten().to_numpy().astype(np.uint16).reshape(-1, segments)
-    ids = column("ids")
-    first = pa.ListArray.from_arrays(ids.offsets, ids.values).flatten().to_numpy()[ids.offsets.to_numpy()[:-1]]
-    index = SegmentIndex(codes, first)
-    for lo in range(0, len(queries), 4096):
-        q_out, d_out, r_out = [], [], []
-        for i in range(lo, min(lo + 4096, len(queries))):
-            rows, d = index.nearest(queries[i], radius, k, worst[i])
-            q_out.append(np.repeat(queries[i:i + 1], len(rows), axis=0))
-            d_out.append(d)
-            r_out.append(rows)
-        q, rows = np.concatenate(q_out), np.concatenate(r_out)
-        offsets = pa.array(np.arange(len(q) + 1, dtype=np.int32) * segments)
-        yield pa.RecordBatch.from_arrays(
-            [pa.ListArray.from_arrays(offsets, pa.array(q.reshape(-1).astype(np.int32))),
-             pa.array(np.concatenate(d_out).astype(np.int32)), ids.take(pa.array(rows))],
-            names=["code", "distance", "ids"])
+    found = left.cogroup(right).applyInArrow(
+        functools.partial(_search, k), f"dims int, code array<int>, found array<struct<distance: int, ids: array<{id_type}>>>")
+    found = found.select("dims", "code", F.explode("found").alias("f")).select("dims", "code", "f.distance", F.explode("f.ids").alias("id"))
+    order = Window.partitionBy("dims", "code").orderBy("distance", "id")
+    best = found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).withColumnRenamed("id", "neighbor_id")
+    return asked.join(best, ["dims", "code"]).select(F.col("id").alias("query_id"), "rank", "neighbor_id", "distance")
+
+
+def _search(k: int, index: pa.Table, wanted: pa.Table) -> pa.Table:
+    """dims, code and the k best codes (distance, ids) of every wanted code, among those of one part."""
+    kind = index.schema.field("ids").type
+    if not index.num_rows or not wanted.num_rows:
+        return pa.table({"dims": pa.array([], pa.int32()), "code": pa.array([], pa.list_(pa.int32())),
+                         "found": pa.array([], pa.list_(pa.struct([("distance", pa.int32()), ("ids", kind)])))})
+    segments = -(-index.column("dims")[0].as_py() // SEGMENT)
+    matrix = lambda t: t.column("code").combine_chunks().flatten().to_numpy().astype(np.uint16).reshape(-1, segments)
+    # Rows in order of their smallest ids: the lower row wins a tie.
+    ids = index.column("ids").combine_chunks()
+    order = pc.sort_indices(ids.values.take(ids.offsets[:-1]))
+    found = SegmentIndex(matrix(index)[order.to_numpy()])
+    rows, distances = zip(*(found.nearest(query, k) for query in matrix(wanted)), strict=True)
+    offsets = np.cumsum([0, *map(len, rows)])
+    pairs = pa.StructArray.from_arrays([pa.array(np.concatenate(distances).astype(np.int32)), ids.take(order).take(pa.array(np.concatenate(rows)))],
+                                       names=["distance", "ids"])
+    return pa.table({"dims": wanted.column("dims"), "code": wanted.column("code"),
+                     "found": pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pairs)})

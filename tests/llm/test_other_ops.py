@@ -39,6 +39,23 @@ def test_top_k_of_small_tables(spark):
     assert hamming_topk.top_k(df.limit(0), df.limit(0)).count() == 0
 
 
+def test_top_k_of_any_length_and_id(spark, monkeypatch):
+    # Several parts and blocks; vectors of 24 and 32 values, text ids, repeated rows, columns named like the operator's own.
+    monkeypatch.setattr(hamming_topk, "INDEX_CODES", 40)
+    monkeypatch.setattr(hamming_topk, "QUERY_BLOCK", 7)
+    rng = np.random.default_rng(11)
+    rows = [(f"v{i}", [float(x) for x in rng.normal(size=24 if i % 3 else 32)]) for i in range(150)]
+    rows += [("w", rows[1][1]), ("a", rows[1][1])] + rows[:40] * 3 + [("none", None), ("empty", [])]
+    df = spark.createDataFrame([(*r, "clash", 1, 2) for r in rows], "vec_id string, embedding array<double>, code string, dims int, part int")
+    got = {tuple(r) for r in hamming_topk.top_k(df, df, k=6).collect()}
+    bits = {i: np.array(v) > 0 for i, v in rows if v}
+    want = set()
+    for q, x in bits.items():
+        near = sorted((int((x != y).sum()), i) for i, y in bits.items() if len(x) == len(y))[:6]
+        want |= {(q, rank, i, d) for rank, (d, i) in enumerate(near, 1)}
+    assert got == want
+
+
 # -- WARC
 
 PAGES = "page_id long, url string, html string, digest int"
