@@ -2,7 +2,8 @@
 
 Training counts words per language over distinct labelled texts, at most a bounded number of each language. A word the model knows adds
 its log frequency per language; an unknown word adds the mean log frequency of its known n-grams of the longest
-order that has any, from ORDERS downwards. The best sum is the language, its posterior the score.
+order that has any, from ORDERS downwards. The best sum is the language. The score is the posterior that the mean
+word alone would give: the sums would be all but certain of any text of some length, of mixed or senseless ones too.
 """
 
 from __future__ import annotations
@@ -102,7 +103,8 @@ class Model:
             if w not in rows:
                 total += c * self.unseen(w).astype(np.float64)
         best = int(np.argmax(total))
-        return self.langs[best], float(1.0 / np.exp(total - total[best]).sum())
+        mean = (total - total[best]) / sum(counts.values())
+        return self.langs[best], float(1.0 / np.exp(mean).sum())
 
 
 def grams_of(word: str, n: int) -> list[str]:
@@ -164,7 +166,7 @@ def has_letters(text_col: str):
 
 def identify(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
     """Add lang_pred (a learned language, ``und`` without letters or for null text) and score (0 to 1: its
-    posterior; 0 for und).
+    posterior for the mean word; 0 for und).
 
     Only the text is used. Ties go to the first language in alphabetical order. Whole texts of any length count.
     Without training rows every text is ``und``. Repeated rows get the same answer; empty tables give an empty

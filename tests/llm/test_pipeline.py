@@ -7,6 +7,7 @@ import public_tokenizers
 from tokenizers import Tokenizer
 
 import corpus_pipeline
+from emberlog.llm import lang_id
 from tests.llm.test_text_ops import brute_contamination, brute_groups, brute_lines, prose
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
@@ -30,6 +31,7 @@ def test_pipeline(spark, tmp_path):
     kept = dict((i, t) for i, t in kept if i not in bad)
     assert bad == {202} and set(got) == set(kept)
     library = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    assert all(r["round_trip"] for r in got.values())
     for i, t in kept.items():
         assert np.frombuffer(got[i]["token_ids"], dtype="<u4").tolist() == library.encode(t, add_special_tokens=False).ids
     assert [n for n, _ in corpus_pipeline.STAGES] == ["language", "line_dedup", "near_dedup", "decontamination", "bpe"]
@@ -55,6 +57,58 @@ def test_pipeline_without_any_label_keeps_texts_with_letters(spark, tmp_path):
     assert {r["doc_id"]: r["lang"] for r in corpus_pipeline.run(spark, str(tmp_path)).collect()} == dict.fromkeys(range(8))
 
 
+def test_language_stage_on_held_out_texts(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").withColumn("held_out", lang_id.held_out("doc_id"))
+    rows = docs.select("doc_id", "text", "lang", "source", "n_chars", "held_out").collect()
+    held = [r for r in rows if r["held_out"] and r["text"]]
+    learn = [tuple(r)[:5] for r in rows if not r["held_out"]]
+    langs = sorted({r["lang"] for r in held})
+    rng = random.Random(12)
+    # Beside the learned rows: held-out texts without a label, halves of two languages, and nonsense.
+    bare = [(100_000 + i, r["text"], None, "s", 1) for i, r in enumerate(held)]
+    by = {x: [r["text"].split() for r in held if r["lang"] == x] for x in langs}
+    mixed = []
+    for i in range(40):
+        one, two = rng.sample(langs, 2)
+        a, b = rng.choice(by[one]), rng.choice(by[two])
+        n = min(len(a), len(b))
+        mixed.append((300_000 + i, " ".join(a[:n] + b[:n]), one, "s", 1))
+    word = lambda: "".join(rng.choice("bcdfghjklmnpqrstvwxz") for _ in range(rng.randint(3, 8)))
+    nonsense = [(400_000 + i, " ".join(word() for _ in range(60)), None, "s", 1) for i in range(40)]
+    out = corpus_pipeline.identify_language(spark, spark.createDataFrame(learn + bare + mixed + nonsense, SCHEMA), "")
+    got = {r["doc_id"]: r["lang"] for r in out.collect()}
+    assert all(got[r[0]] == r[2] for r in learn if r[1] and r[2])  # no right label is changed
+    right = sum(got.get(100_000 + i) == r["lang"] for i, r in enumerate(held))
+    kept = sum(got[r[0]] == r[2] for r in mixed)
+    gone = sum(r[0] not in got for r in nonsense)
+    print(f"held-out right {right} of {len(held)}, mixed kept {kept}, nonsense gone {gone}")
+    assert right >= 0.98 * len(held) and kept >= 36 and gone >= 20
+
+
+def test_stages_on_empty_tables_repeated_rows_and_clashing_names(spark, tmp_path):
+    rng = random.Random(13)
+    item = prose(rng, 30)
+    one = (1, prose(rng, 50), "en", "s", 9)
+    rows = [one, one, (2, None, "en", "s", None), (2, None, "en", "s", None), (3, "", None, None, 0), (None, prose(rng, 40), "en", None, 3),
+            (5, item, "en", "s", 1), (6, prose(rng, 20_000), "en", "s", 1)]
+    wide = SCHEMA + ", lang_pred string, kept_text string, n_dropped int, hub long, __id long, words string, n_hit int"
+    docs = spark.createDataFrame([(*r, "und", "x", 7, 1, 2, "w", 0) for r in rows], wide)
+    spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    for name, stage in corpus_pipeline.STAGES:
+        empty = stage(spark, docs.limit(0), str(tmp_path))
+        assert empty.count() == 0
+        out = stage(spark, docs, str(tmp_path))
+        got = out.collect()
+        assert {r["doc_id"] for r in got} >= {1, 6}
+        if name != "bpe":
+            assert out.columns == docs.columns
+            assert all(tuple(r)[5:] == ("und", "x", 7, 1, 2, "w", 0) for r in got)
+        if name == "decontamination":
+            assert 5 not in {r["doc_id"] for r in got} and len(got) == 7
+        if name == "bpe":
+            assert len(got) == 8 and all(r["round_trip"] for r in got)
+
+
 def test_near_copies_of_four_fifths_go(spark):
     words = [f"w{i}" for i in range(54)]  # 50 shingles; one word in the middle is in 5 of them
     near, far = ([("x" if i in at else w) for i, w in enumerate(words)] for at in ((25,), (10, 40)))
