@@ -53,9 +53,13 @@ def _joined(lines: Column) -> Column:
     return _spelt(F.array_join(lines, " "), PAIRS)
 
 
-def units(text: Column) -> Column:
-    """What is looked up of a text: the whole, the whole without the paragraphs of owners (empty if there is none), and its lines."""
-    t = ascii_lower(F.coalesce(text, F.lit("")))
+def lowered(text: Column) -> Column:
+    """The text that ``units`` takes; as a column of its own it is computed once."""
+    return ascii_lower(F.coalesce(text, F.lit("")))
+
+
+def units(t: Column) -> Column:
+    """What is looked up of a lower-cased text: the whole, the whole without the paragraphs of owners (empty if there is none), and its lines."""
     owner = t.contains("copyright") | t.contains("(c)") | t.contains("©")
     lines = _words_of_lines(F.when(owner, F.regexp_replace(t, UNIX_LINES + OWNER_LINE, "")).otherwise(t))
     paragraphs = F.filter(F.split(t, PARAGRAPHS, -1), lambda p: ~p.rlike(OWNER_START))
@@ -82,13 +86,13 @@ def scan(docs: DataFrame, known: DataFrame | None = None, id_col: str = "doc_id"
     require(docs, id_col, text_col)
     known = known_licenses(docs.sparkSession) if known is None else known
     digests = (
-        known.select("license_id", F.explode(F.slice(units(F.col("text")), 1, 2)).alias("t")).where("t != ''")
+        known.select("license_id", lowered(F.col("text")).alias("low")).select("license_id", F.explode(F.slice(units(F.col("low")), 1, 2)).alias("t")).where("t != ''")
         .groupBy(F.sha2("t", 256).alias("digest")).agg(F.min("license_id").alias("license"))
     )
     if known.count() <= BROADCAST_TEXTS:
         digests = F.broadcast(digests)
     rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("th"),
-                       F.posexplode(units(F.col(text_col))).alias("unit", "t"))
+                       lowered(F.col(text_col)).alias("low")).select("id", "th", F.posexplode(units(F.col("low"))).alias("unit", "t"))
     rows = rows.where((F.col("unit") != 1) | (F.col("t") != ""))
     found = rows.select("id", "th", "unit", F.sha2("t", 256).alias("digest"), (F.col("t") != "").alias("full")).join(digests, "digest", "left")
     found = found.withColumn("license", F.when(F.col("full"), F.col("license")))
