@@ -38,33 +38,40 @@ BROADCAST_TEXTS = 100_000
 
 
 def _spelt(t: Column, spellings: list[tuple[str, str]]) -> Column:
-    for spelt, like in spellings:
-        t = F.replace(t, F.lit(spelt), F.lit(like))
-    return t
+    """Each spelling replaced in turn. A text that lacks one is only searched, which costs much less than a replacement."""
+    pairs = F.array(*[F.struct(F.lit(spelt).alias("spelt"), F.lit(like).alias("like")) for spelt, like in spellings])
+    return F.aggregate(pairs, t, lambda s, p: F.when(s.contains(p["spelt"]), F.replace(s, p["spelt"], p["like"])).otherwise(s))
 
 
-def _words_of_lines(lower: Column) -> Column:
-    """The non-empty lines of a lower-cased text, as words with one space between."""
-    t = _spelt(F.regexp_replace(lower, NOT_WORDS, " "), SPELLINGS)
-    return F.array_remove(F.transform(F.split(t, "\n", -1), lambda line: F.btrim(line)), "")
+def _spelt_words(lower: Column) -> Column:
+    """The words of a lower-cased text with one space between, spelt alike; line feeds stay."""
+    return _spelt(F.regexp_replace(lower, NOT_WORDS, " "), SPELLINGS)
+
+
+def _lines(words: Column) -> Column:
+    return F.array_remove(F.transform(F.split(words, "\n", -1), lambda line: F.btrim(line)), "")
 
 
 def _joined(lines: Column) -> Column:
     return _spelt(F.array_join(lines, " "), PAIRS)
 
 
-def lowered(text: Column) -> Column:
-    """The text that ``units`` takes; as a column of its own it is computed once."""
-    return ascii_lower(F.coalesce(text, F.lit("")))
+def normalized(docs: DataFrame, text: Column, *keep: Column) -> DataFrame:
+    """The columns ``keep`` and what is looked up of a text: whole (the whole), rest (the whole without the paragraphs
+    of owners, null if there is none) and lines.
 
-
-def units(t: Column) -> Column:
-    """What is looked up of a lower-cased text: the whole, the whole without the paragraphs of owners (empty if there is none), and its lines."""
-    owner = t.contains("copyright") | t.contains("(c)") | t.contains("©")
-    lines = _words_of_lines(F.when(owner, F.regexp_replace(t, UNIX_LINES + OWNER_LINE, "")).otherwise(t))
-    paragraphs = F.filter(F.split(t, PARAGRAPHS, -1), lambda p: ~p.rlike(OWNER_START))
-    rest = _joined(_words_of_lines(F.array_join(paragraphs, "\n")))
-    return F.concat(F.array(_joined(lines), F.when(owner, rest).otherwise("")), F.transform(lines, lambda line: _spelt(line, PAIRS)))
+    Each step is a column that the next one reads more than once, so that the planner computes it once a row.
+    """
+    names = docs.select(*keep).columns
+    low = docs.select(*keep, ascii_lower(F.coalesce(text, F.lit(""))).alias("low"))
+    low = low.select(*names, "low", (F.col("low").contains("copyright") | F.col("low").contains("(c)") | F.col("low").contains("©")).alias("owner"))
+    paragraphs = F.filter(F.split("low", PARAGRAPHS, -1), lambda p: ~p.rlike(OWNER_START))
+    words = low.select(
+        *names,
+        _spelt_words(F.when(F.col("owner"), F.regexp_replace("low", UNIX_LINES + OWNER_LINE, "")).otherwise(F.col("low"))).alias("words"),
+        F.when(F.col("owner"), _spelt_words(F.array_join(paragraphs, "\n"))).alias("rest"))
+    lines = words.select(*names, _lines(F.col("words")).alias("lines"), _joined(_lines(F.col("rest"))).alias("rest"))
+    return lines.select(*names, _joined(F.col("lines")).alias("whole"), "rest", "lines")
 
 
 def known_licenses(spark: SparkSession, path: str | None = None) -> DataFrame:
@@ -85,17 +92,24 @@ def scan(docs: DataFrame, known: DataFrame | None = None, id_col: str = "doc_id"
     """
     require(docs, id_col, text_col)
     known = known_licenses(docs.sparkSession) if known is None else known
+    texts = normalized(known, F.col("text"), F.col("license_id"))
     digests = (
-        known.select("license_id", lowered(F.col("text")).alias("low")).select("license_id", F.explode(F.slice(units(F.col("low")), 1, 2)).alias("t")).where("t != ''")
+        texts.select("license_id", F.explode_outer(F.array("whole", "rest")).alias("t")).where("t != ''")
         .groupBy(F.sha2("t", 256).alias("digest")).agg(F.min("license_id").alias("license"))
     )
     if known.count() <= BROADCAST_TEXTS:
         digests = F.broadcast(digests)
-    rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("th"),
-                       lowered(F.col(text_col)).alias("low")).select("id", "th", F.posexplode(units(F.col("low"))).alias("unit", "t"))
-    rows = rows.where((F.col("unit") != 1) | (F.col("t") != ""))
-    found = rows.select("id", "th", "unit", F.sha2("t", 256).alias("digest"), (F.col("t") != "").alias("full")).join(digests, "digest", "left")
-    found = found.withColumn("license", F.when(F.col("full"), F.col("license")))
+    text = F.col(text_col)
+    parts = normalized(docs, text, F.col(id_col).alias("id"), F.xxhash64(F.coalesce(text, F.lit(""))).alias("th"))
+    # Digests before the rows are dealt out: a row carries 64 characters, not its text. Unit 0 is the whole, 1 the rest.
+    units = F.concat(F.array(F.sha2("whole", 256), F.when(F.col("rest") != "", F.sha2("rest", 256))),
+                     F.transform("lines", lambda line: F.sha2(_spelt(line, PAIRS), 256)))
+    rows = parts.select("id", "th", (F.col("whole") != "").alias("full"), units.alias("units"))
+    # Of an inner explode the planner would infer a filter on the array, push it to the scan and compute every text again.
+    rows = rows.select("id", "th", "full", F.posexplode_outer("units").alias("unit", "digest")).where("digest is not null")
+    found = rows.join(digests, "digest", "left").withColumn("license", F.when(F.col("full") | (F.col("unit") > 0), F.col("license")))
+    # A line that is no known text adds nothing.
+    found = found.where((F.col("unit") == 0) | F.col("license").isNotNull())
     whole, part, line = F.col("unit") == 0, F.col("unit") == 1, F.col("unit") > 1
     per = found.groupBy("id", "th").agg(
         F.count_if(whole).alias("copies"),
