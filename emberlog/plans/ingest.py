@@ -47,7 +47,7 @@ class BatchFrames:
 
 
 def parse_batch(docs: DataFrame, tenant: str | None = None, keys: DataFrame | None = None) -> DataFrame:
-    """Spread (if needed) and parse the documents: doc_id, value, tenant_id,
+    """Spread and parse the documents: doc_id, value, tenant_id,
     logs, envelope_error and auth_error.
 
     With ``keys`` (the key table) and an ``api_key`` column, each document is

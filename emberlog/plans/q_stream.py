@@ -13,6 +13,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from emberlog.functions.timefns import iso_ms
+from emberlog.functions.written import written
 from emberlog.operators.listing import attributes_text
 from emberlog.operators.report import reconcile
 from emberlog.operators.rollup import compact
@@ -30,9 +31,8 @@ LATE_SPLIT = "2024-01-15T00:00:00Z"  # documents before this day arrive in a lat
 _STORES: dict[tuple, LogStore] = {}
 
 
-def _land(spark, sf_dir, root, name, cond):
-    docs = requests_from_events(spark, sf_dir).where(cond).select("doc_id", "value", "tenant_id")
-    docs.repartitionByRange(2, "doc_id").write.parquet(f"{root}/{name}")
+def _land(docs, root, name, cond):
+    docs.where(cond).select("doc_id", "value", "tenant_id").repartitionByRange(2, "doc_id").write.parquet(f"{root}/{name}")
     return f"{root}/{name}"
 
 
@@ -47,8 +47,10 @@ def stream_store(spark, sf_dir) -> LogStore:
     root = f"{checkpoint_dir(spark)}/stream-{uuid.uuid4().hex}"
     store = LogStore(f"{root}/store")
     is_late = F.coalesce(F.get_json_object("value", "$.logs[0].timestamp") < F.lit(LATE_SPLIT), F.lit(False))
-    on_time = _land(spark, sf_dir, root, "in/0", ~is_late)
-    late = _land(spark, sf_dir, root, "in/1", is_late)
+    # Made once: a range exchange reads its input twice, and each run has its own.
+    docs = written(requests_from_events(spark, sf_dir).select("doc_id", "value", "tenant_id", is_late.alias("late")), "stream-requests")
+    on_time = _land(docs, root, "in/0", ~F.col("late"))
+    late = _land(docs, root, "in/1", F.col("late"))
     ckpt = f"{root}/checkpoint"
     for path, base in ((on_time, 0), (late, 1000)):
         q = start_ingest(document_stream(spark, path, "parquet", max_files_per_trigger=1), store,

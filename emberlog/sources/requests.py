@@ -12,6 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from emberlog.functions.spread import spread
 from emberlog.sources.events import logs_from_events
 
 # The outcome of each selector value (event_id % 20).
@@ -41,7 +42,8 @@ def _entry(**fields: Column) -> Column:
 
 def requests_from_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(doc_id, value, tenant_id, service, event_id): one request body per event."""
-    df = logs_from_events(spark, sf_dir)
+    # A body costs far more than the event it is made of, and a file of one row group is read by one task.
+    df = spread(logs_from_events(spark, sf_dir), "id", "ts", "message")
     sel = F.col("id") % SELECTOR_MOD
     ts_text = F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'")
     attrs = F.parse_json("attributes")

@@ -245,3 +245,38 @@ def test_typed_probes_on_stored_variant_attributes(spark, tmp_root):
     assert "from_json" not in plan and "variant_get" in plan
     texts = sorted(r["attributes"] for r in render_rows(list_rows(logs, ListSpec())).collect())
     assert """{"a'b":1,"retries":"x"}""" in texts and '{"retries":2}' in texts
+
+
+def test_tasks_before_costly_work_grow_with_the_input(spark):
+    """One file is one or few splits; before, no more tasks than cores followed, whatever the number of documents."""
+    from pyspark.sql import functions as F
+
+    from emberlog.functions.spread import spread
+
+    def tasks(rows):
+        df = spark.range(rows).repartition(4, F.lit(1)).select(F.col("id").cast("string").alias("doc_id"), F.sha2(F.col("id").cast("string"), 512).alias("value"))
+        return spread(df, "doc_id").groupBy(F.spark_partition_id()).agg(F.max("value")).count()
+
+    conf = {"spark.sql.shuffle.partitions": "64", "spark.sql.adaptive.coalescePartitions.minPartitionSize": "1k",
+            "spark.sql.adaptive.advisoryPartitionSizeInBytes": "100k"}
+    old = {k: spark.conf.get(k, None) for k in conf}
+    try:
+        for k, v in conf.items():
+            spark.conf.set(k, v)
+        few, many = tasks(4_000), tasks(32_000)
+    finally:
+        for k, v in old.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+    assert few >= 3 and many >= 4 * few
+
+
+def test_request_bodies_are_made_after_the_events_are_dealt(spark, tmp_root):
+    from emberlog.sources.requests import requests_from_events
+
+    spark.sql("SELECT id AS event_id, timestamp'2024-01-20' AS ts, id AS user_id, 'view' AS event_type, 1.0D AS value, "
+              "'{\"k\": 1}' AS props FROM range(40)").coalesce(1).write.parquet(f"{tmp_root}/events.parquet")
+    docs = requests_from_events(spark, tmp_root)
+    plan = docs._jdf.queryExecution().optimizedPlan().toString()
+    # The project that spells the body stands above the exchange, and filters of a batch below it.
+    assert plan.index("format_string") < plan.index("Rebalance") and docs.count() == 40
+    assert docs.select("doc_id").distinct().count() == 40

@@ -84,3 +84,17 @@ def test_stream_with_key_check(spark, tmp_root):
     assert rec == {"d1": ("accepted", None),
                    "d2": ("denied", "403 insufficient permissions: scope 'ingest' required"),
                    "d3": ("denied", "401 invalid api key")}
+
+
+def test_stream_store_makes_the_requests_once(spark, tmp_root, monkeypatch):
+    """Each landing folder, and the sample of its range exchange, made all bodies anew."""
+    from emberlog.plans import q_stream
+
+    spark.sql("SELECT id AS event_id, timestampadd(DAY, CAST(id % 30 AS INT), timestamp'2024-01-01') AS ts, id AS user_id, 'view' AS event_type, "
+              "1.0D AS value, '{\"k\": 1}' AS props FROM range(100)").write.parquet(f"{tmp_root}/events.parquet")
+    calls, make = [], q_stream.requests_from_events
+    monkeypatch.setattr(q_stream, "requests_from_events", lambda *a: calls.append(a) or make(*a))
+    store = q_stream.stream_store(spark, tmp_root)
+    assert len(calls) == 1
+    # Nine of twenty are accepted; one of twenty is two entries.
+    assert store.logs(spark).count() == 45 and store.receipts(spark).count() == 100
