@@ -255,7 +255,7 @@ def test_tasks_before_costly_work_grow_with_the_input(spark):
 
     def tasks(rows):
         df = spark.range(rows).repartition(4, F.lit(1)).select(F.col("id").cast("string").alias("doc_id"), F.sha2(F.col("id").cast("string"), 512).alias("value"))
-        return spread(df, "doc_id").groupBy(F.spark_partition_id()).agg(F.max("value")).count()
+        return len(spread(df, "doc_id").groupBy(F.spark_partition_id()).agg(F.max("value")).collect())
 
     conf = {"spark.sql.shuffle.partitions": "64", "spark.sql.adaptive.coalescePartitions.minPartitionSize": "1k",
             "spark.sql.adaptive.advisoryPartitionSizeInBytes": "100k"}
