@@ -45,41 +45,39 @@ def requests_from_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     # A body costs far more than the event it is made of, and a file of one row group is read by one task.
     df = spread(logs_from_events(spark, sf_dir), "id", "ts", "message")
     sel = F.col("id") % SELECTOR_MOD
-    ts_text = F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'")
-    attrs = F.parse_json("attributes")
-    base = dict(timestamp=ts_text, level=F.col("level"), service=F.col("service"),
-                message=F.col("message"), attributes=attrs)
-
-    def spoil(**kw):
-        return _entry(**{**base, **kw})
-
-    good = _entry(**base)
+    text = F.col("attributes")
+    written_at = F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'")
+    year_ahead = F.date_format(F.col("ts") + F.expr("INTERVAL 366 DAYS"), "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'")
+    # One choice for each field, not one entry for each rule: the generated code of an entry for each rule, several times
+    # in a body, is too long for the JVM to compile.
+    ts_text = F.when(sel == 1, F.lit("garbage")).when(sel == 8, year_ahead).otherwise(written_at)
+    # sel 11: attributes become {"k": "<k as text>", "ok": true}.
+    k_text = F.get_json_object("attributes", "$.k")
+    attrs = F.parse_json(
+        F.when(sel == 4, F.concat(F.lit('{"k":'), text, F.lit("}")))
+        .when(sel == 5, F.concat(F.lit("["), text, F.lit("]")))
+        .when(sel == 11, F.concat(F.lit('{"k":"'), k_text, F.lit('","ok":true}')))
+        .otherwise(text))
+    # A field that is NULL is left out.
+    fields = dict(
+        level=F.when(sel == 0, F.lit("critical")).otherwise(F.col("level")),
+        service=F.when(sel == 2, F.lit("")).otherwise(F.col("service")),
+        message=F.when(~F.coalesce(sel == 3, F.lit(False)), F.col("message")),
+        attributes=attrs,
+        trace_id=F.when(sel == 11, F.concat(F.lit("t-"), F.col("id").cast("string"))))
     entry = (
-        F.when(sel == 0, spoil(level=F.lit("critical")))
-        .when(sel == 1, spoil(timestamp=F.lit("garbage")))
-        .when(sel == 2, spoil(service=F.lit("")))
-        .when(sel == 3, _entry(timestamp=ts_text, level=F.col("level"), service=F.col("service"), attributes=attrs))
-        .when(sel == 4, spoil(attributes=F.parse_json(F.concat(F.lit('{"k":'), F.col("attributes"), F.lit("}")))))
-        .when(sel == 5, spoil(attributes=F.parse_json(F.concat(F.lit("["), F.col("attributes"), F.lit("]")))))
-        .when(sel == 6, spoil(timestamp=F.unix_millis("ts")))
+        F.when(sel == 6, _entry(timestamp=F.unix_millis("ts"), **fields))
         .when(sel == 7, F.col("id").cast("string"))
-        .when(sel == 8, spoil(timestamp=F.date_format(F.col("ts") + F.expr("INTERVAL 366 DAYS"),
-                                                      "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'")))
-        .otherwise(good)
+        .otherwise(_entry(timestamp=ts_text, **fields))
     )
-    # sel 11: attributes become {"k": "<k as text>", "ok": true}.
-    k_text = F.get_json_object("attributes", "$.k")
-    entry = F.when(
-        sel == 11,
-        _entry(**{**base, "attributes": F.parse_json(F.concat(F.lit('{"k":"'), k_text, F.lit('","ok":true}')))},
-               trace_id=F.concat(F.lit("t-"), F.col("id").cast("string"))),
-    ).otherwise(entry)
-    body = (
-        F.when(sel == 9, F.concat(F.lit('{"logs": ['), entry, F.lit("]")))
-        .when(sel == 10, F.concat(F.lit('{"logs": '), entry, F.lit("}")))
-        .when(sel == 12, F.concat(F.lit('{"logs": ['), entry, F.lit(", "), spoil(level=F.lit("fatal")), F.lit("]}")))
-        .otherwise(F.concat(F.lit('{"logs": ['), entry, F.lit("]}")))
+    fatal = _entry(timestamp=written_at, level=F.lit("fatal"), service=F.col("service"), message=F.col("message"), attributes=F.parse_json("attributes"))
+    end = (
+        F.when(sel == 9, F.lit("]"))
+        .when(sel == 10, F.lit("}"))
+        .when(sel == 12, F.concat(F.lit(", "), fatal, F.lit("]}")))
+        .otherwise(F.lit("]}"))
     )
+    body = F.concat(F.when(sel == 10, F.lit('{"logs": ')).otherwise(F.lit('{"logs": [')), entry, end)
     return df.select(
         F.format_string("req-%010d", F.col("id")).alias("doc_id"),
         body.alias("value"),

@@ -280,3 +280,26 @@ def test_request_bodies_are_made_after_the_events_are_dealt(spark, tmp_root):
     # The project that spells the body stands above the exchange, and filters of a batch below it.
     assert plan.index("format_string") < plan.index("Rebalance") and docs.count() == 40
     assert docs.select("doc_id").distinct().count() == 40
+
+
+def _events(spark, root, rows):
+    spark.sql(f"SELECT id AS event_id, timestamp'2024-01-10' + make_dt_interval(id % 15) AS ts, id AS user_id, 'view' AS event_type, 1.0D AS value, "
+              f"'{{\"k\": 1}}' AS props FROM range({rows})").coalesce(1).write.parquet(f"{root}/events.parquet")
+
+
+def test_a_request_body_is_spelled_by_few_expressions(spark, tmp_root):
+    """An entry for each rule, four times in a body, made code that the JVM does not compile."""
+    from emberlog.sources.requests import requests_from_events
+
+    _events(spark, tmp_root, 40)
+    docs = requests_from_events(spark, tmp_root)
+    plan = docs._jdf.queryExecution().optimizedPlan().toString()
+    assert 1 <= plan.count("to_json") + plan.count("structstojson") + plan.count("StructsToJson") <= 6
+    got = {r["event_id"]: r["value"] for r in docs.where("event_id IN (3, 6, 11, 12)").collect()}
+    assert got[3] == '{"logs": [{"timestamp":"2024-01-13T00:00:00.000000Z","level":"debug","service":"svc-3","attributes":{"k":1}}]}'
+    assert got[6] == ('{"logs": [{"timestamp":1705363200000,"level":"debug","service":"svc-6","message":"view by user 6","attributes":{"k":1}}]}')
+    assert got[11] == ('{"logs": [{"timestamp":"2024-01-21T00:00:00.000000Z","level":"debug","service":"svc-3","message":"view by user 11",'
+                       '"attributes":{"k":"1","ok":true},"trace_id":"t-11"}]}')
+    tail = '"service":"svc-4","message":"view by user 12","attributes":{"k":1}}'
+    day = '{"timestamp":"2024-01-22T00:00:00.000000Z","level":'
+    assert got[12] == f'{{"logs": [{day}"debug",{tail}, {day}"fatal",{tail}]}}'
