@@ -29,14 +29,16 @@ def parse_envelopes(docs: DataFrame) -> DataFrame:
     # body's own hash, anything but exactly one strict JSON value breaks the array or moves the hash.
     seal = F.xxhash64("value")
     sealed = F.try_parse_json(F.concat(F.lit("["), F.col("value"), F.lit(","), seal.cast("string"), F.lit("]")))
-    whole = F.coalesce(F.try_variant_get(sealed, "$[1]", "bigint") == seal, F.lit(False))
-    logs = F.when(whole, F.try_variant_get(sealed, "$[0].logs", "array<variant>"))
+    whole = F.coalesce(F.try_variant_get("_sealed", "$[1]", "bigint") == seal, F.lit(False))
+    logs = F.when(whole, F.try_variant_get("_sealed", "$[0].logs", "array<variant>"))
     error = (
-        F.when(logs.isNotNull(), F.lit(None).cast("string"))
+        F.when(F.col("logs").isNotNull(), F.lit(None).cast("string"))
         .when(~whole, F.lit(MALFORMED_BODY))
         .otherwise(F.lit(NOT_ENVELOPE))
     )
-    return docs.select("*", logs.alias("logs")).withColumn("envelope_error", error.alias("envelope_error"))
+    # Each step is a column: written into one expression, every use of the sealed body would parse it anew.
+    parsed = docs.withColumn("_sealed", sealed).withColumn("logs", logs)
+    return parsed.withColumn("envelope_error", error).drop("_sealed")
 
 
 def bad_documents(parsed: DataFrame) -> DataFrame:

@@ -303,3 +303,15 @@ def test_a_request_body_is_spelled_by_few_expressions(spark, tmp_root):
     tail = '"service":"svc-4","message":"view by user 12","attributes":{"k":1}}'
     day = '{"timestamp":"2024-01-22T00:00:00.000000Z","level":'
     assert got[12] == f'{{"logs": [{day}"debug",{tail}, {day}"fatal",{tail}]}}'
+
+
+def test_a_body_is_parsed_once(spark, tmp_root):
+    docs = docs_df(spark, [("a", {"logs": [entry("2026-07-20T14:01:30Z")]}), ("b", "{"), ("c", "[]"), ("d", None)])
+    path = f"{tmp_root}/bodies"
+    docs.write.parquet(path)
+    parsed = ingest.parse_batch(spark.read.parquet(path))
+    plan = parsed._jdf.queryExecution().optimizedPlan().toString().lower()
+    assert plan.count("parsejson(") + plan.count("parse_json(") == 1
+    assert {r["doc_id"]: r["envelope_error"] for r in parsed.collect()} == {
+        "a": None, "b": "malformed JSON body", "c": "request body must be a JSON object with a 'logs' array", "d": "request body must be a JSON object with a 'logs' array"}
+    assert parsed.columns == ["doc_id", "value", "tenant_id", "auth_error", "logs", "envelope_error"]
