@@ -315,3 +315,18 @@ def test_a_body_is_parsed_once(spark, tmp_root):
     assert {r["doc_id"]: r["envelope_error"] for r in parsed.collect()} == {
         "a": None, "b": "malformed JSON body", "c": "request body must be a JSON object with a 'logs' array", "d": "request body must be a JSON object with a 'logs' array"}
     assert parsed.columns == ["doc_id", "value", "tenant_id", "auth_error", "logs", "envelope_error"]
+
+
+def test_tasks_are_sized_for_their_work_unless_the_session_says_otherwise(spark):
+    from emberlog.session import TASK_BYTES, TASK_BYTES_CONF, configure
+
+    old = spark.conf.get(TASK_BYTES_CONF, None)
+    try:
+        spark.conf.unset(TASK_BYTES_CONF)
+        configure(spark)
+        assert spark.conf.get(TASK_BYTES_CONF) == TASK_BYTES
+        spark.conf.set(TASK_BYTES_CONF, "3m")
+        configure(spark)
+        assert spark.conf.get(TASK_BYTES_CONF) == "3m"
+    finally:
+        spark.conf.unset(TASK_BYTES_CONF) if old is None else spark.conf.set(TASK_BYTES_CONF, old)
