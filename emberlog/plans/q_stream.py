@@ -2,7 +2,7 @@
 
 The request documents derived from ``events`` are landed as Parquet in the
 session's shared checkpoint folder and ingested by a Structured Streaming
-query (``availableNow``, one file per micro-batch). The resulting store is
+query (``availableNow``, two micro-batches in a run). The resulting store is
 shared by the entries of one Spark application.
 """
 
@@ -28,12 +28,18 @@ from emberlog.spec import to_utc
 from emberlog.streaming.ingest_stream import document_stream, run_to_end, start_ingest
 
 LATE_SPLIT = "2024-01-15T00:00:00Z"  # documents before this day arrive in a later run
+BATCHES = 2  # micro-batches of a run
+DOCS_PER_FILE = 200_000
 _STORES: dict[tuple, LogStore] = {}
 
 
-def _land(docs, root, name, cond):
-    docs.where(cond).select("doc_id", "value", "tenant_id").repartitionByRange(2, "doc_id").write.parquet(f"{root}/{name}")
-    return f"{root}/{name}"
+def _land(docs, root, name, cond) -> tuple[str, int]:
+    """The folder of the landed documents, and how many of its files make a micro-batch. The files become more as the
+    documents do, so that no task writes or reads half of a run."""
+    mine = docs.where(cond).select("doc_id", "value", "tenant_id")
+    files = max(1, -(-mine.count() // (BATCHES * DOCS_PER_FILE)))
+    mine.repartitionByRange(BATCHES * files, "doc_id").write.parquet(f"{root}/{name}")
+    return f"{root}/{name}", files
 
 
 def stream_store(spark, sf_dir) -> LogStore:
@@ -52,8 +58,8 @@ def stream_store(spark, sf_dir) -> LogStore:
     on_time = _land(docs, root, "in/0", ~F.col("late"))
     late = _land(docs, root, "in/1", F.col("late"))
     ckpt = f"{root}/checkpoint"
-    for path, base in ((on_time, 0), (late, 1000)):
-        q = start_ingest(document_stream(spark, path, "parquet", max_files_per_trigger=1), store,
+    for (path, files), base in ((on_time, 0), (late, 1000)):
+        q = start_ingest(document_stream(spark, path, "parquet", max_files_per_trigger=files), store,
                          f"{ckpt}/{base}", as_of=to_utc(AS_OF), batch_base=base)
         run_to_end(q)
     _STORES[key] = store

@@ -330,3 +330,17 @@ def test_tasks_are_sized_for_their_work_unless_the_session_says_otherwise(spark)
         assert spark.conf.get(TASK_BYTES_CONF) == "3m"
     finally:
         spark.conf.unset(TASK_BYTES_CONF) if old is None else spark.conf.set(TASK_BYTES_CONF, old)
+
+
+def test_landed_files_grow_with_the_documents(spark, tmp_root, monkeypatch):
+    from emberlog.plans import q_stream
+
+    monkeypatch.setattr(q_stream, "DOCS_PER_FILE", 10)
+    _events(spark, tmp_root, 150)
+    got = [tuple(r) for r in q_stream.q_reconcile(spark, tmp_root).collect()]
+    store = q_stream.stream_store(spark, tmp_root)
+    landed = [spark.read.parquet(f"{store.root.rsplit('/', 1)[0]}/in/{k}") for k in (0, 1)]
+    accepted = sum(i % 20 >= 11 for i in range(150))
+    assert got == [(accepted, accepted, True)] and sum(d.count() for d in landed) == 150
+    assert all(len(d.inputFiles()) > 2 for d in landed)
+    assert sorted(r["batch_id"] for r in store.commits(spark).collect()) == [0, 1, 1000, 1001]
